@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, packing, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op6_histogram_sharding": sharding.op6_histogram_sharding,
         "op9_curriculum_mix": mixing.op9_curriculum_mix,
+        "op10_warc_index_first": warc.op10_warc_index_first,
     }
 
 

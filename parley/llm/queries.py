@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, warc
+from . import mixing, packing, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op6_histogram_sharding": sharding.op6_histogram_sharding,
         "op9_curriculum_mix": mixing.op9_curriculum_mix,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, toxicity, warc
+from . import lm, mixing, packing, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op3_lm_scoring": lm.op3_lm_scoring,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op6_histogram_sharding": sharding.op6_histogram_sharding,
         "op9_curriculum_mix": mixing.op9_curriculum_mix,

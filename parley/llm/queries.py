@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm, mixing, packing, sharding, toxicity, warc
+from . import ann, lm, mixing, neardup, packing, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op3_lm_scoring": lm.op3_lm_scoring,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_pivot_neardup": neardup.op5_pivot_neardup,
         "op6_histogram_sharding": sharding.op6_histogram_sharding,
+        "op8_collision_counting": ann.op8_collision_counting,
         "op9_curriculum_mix": mixing.op9_curriculum_mix,
         "op10_warc_index_first": warc.op10_warc_index_first,
     }

@@ -72,16 +72,18 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 class Codes(dict):
-    """Maps keys to values made by ``make``; emptied when it holds ``most`` entries, so its memory is bounded."""
+    """Maps keys to values made by ``make``. Holds ``most`` entries and as many older ones, which go when it is full again."""
 
     def __init__(self, make: Callable, most: int = 400_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old[key] if key in self.old else self.make(key)
+        self[key] = value
         return value
 
 

@@ -8,8 +8,10 @@ length, into a run of bins. The ranks and the final look-up are distributed.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,42 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return plan
 
 
+class WordIds(Codes):
+    """The ids (packed, 4 bytes each) of words without white space, put together from those of their parts.
+
+    The tokenizer folds case, and a run of letters is a part of its own, so "Word," is made of "word" and ",". Only
+    A-Z are folded here, and not where a special token could arise.
+    """
+
+    PUNCTUATION = re.compile(r"[!-&(-/:-@\[-`{-~]")
+    LOWER = {a: a + 32 for a in range(65, 91)}
+
+    def __init__(self, vocabulary: str, most: int = 500_000):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(vocabulary)
+        super().__init__(self.parts, most)
+
+    def encode(self, word: str) -> bytes:
+        return np.array(self.model.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def parts(self, word: str) -> bytes:
+        if "<" not in word:
+            folded = word.translate(self.LOWER)
+            if folded != word:
+                return self[folded]
+            mark = self.PUNCTUATION.search(word)
+            if mark and mark.start() and word[: mark.start()].isalpha():
+                return self[word[: mark.start()]] + self[word[mark.start() :]]
+        return self.encode(word)
+
+
+@lru_cache(1)
+def words_of(vocabulary: str) -> WordIds:
+    """Kept by a Python worker from task to task."""
+    return WordIds(vocabulary)
+
+
 def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces (key, piece, start, length, ids_crc32[, ids]) of the token ids of whole texts, each text's ids ended by ``end_id``.
 
@@ -99,11 +137,8 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
     schema = f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(vocabulary)
-        encode = lambda word: np.array(model.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        known = Codes(encode)
+        known = words_of(vocabulary)
+        encode = known.encode
         end = np.array([end_id], dtype="<u4").tobytes()
         for frame in frames:
             ids = {c: [] for c in ("row", "piece", "start", "length", "ids_crc32", "ids")}

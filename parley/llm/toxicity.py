@@ -8,9 +8,11 @@ the weights of the word and of its first 4 to 6 letters, so that inflected forms
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import exp, log1p
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -50,64 +52,69 @@ class NoisyOr:
         return found or [(0, 0, self.bias)]
 
 
-def learn(texts: list[str], toxic: np.ndarray, weight: np.ndarray, evidence: float = 20.0, epochs: int = 150, rate: float = 0.15, ridge: float = 1e-4) -> NoisyOr:
+def _ratio(k: np.ndarray, k1: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """Likelihood ratio statistics of features in ``k`` texts, ``k1`` of them toxic, from ``n`` and ``n1``."""
+    out = np.zeros(len(k))
+    for seen, expected in ((k1, k * n1 / n), (k - k1, k * (n - n1) / n), (n1 - k1, (n - k) * n1 / n), (n - n1 - k + k1, (n - k) * (n - n1) / n)):
+        out += np.where(seen > 0, 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    return out
+
+
+def dependent(texts: list[str], toxic: np.ndarray, evidence: float) -> list[str]:
+    """The features whose presence in a text depends on its label. They are screened by hash first, so that only those that may pass are held by name."""
+    size, n, n1 = 1 << 22, len(texts), int(toxic.sum())
+    cells = Codes(lambda w: [crc32(f.encode()) % size for f in features(w)], 200_000)
+    k, k1 = np.zeros(size), np.zeros(size)
+    for text, label in zip(texts, toxic):
+        at = np.fromiter({c for w in set(text.lower().split()) for c in cells[w]}, np.int64)
+        k[at] += 1
+        k1[at] += label
+    # cells shared by several features dilute what each shows: half of the evidence lets them through to the exact count
+    open_ = set(np.flatnonzero(_ratio(k, k1, n, n1) >= evidence / 2).tolist())
+    held = Codes(lambda w: [f for f in features(w) if crc32(f.encode()) % size in open_], 200_000)
+    both: tuple[Counter, Counter] = Counter(), Counter()
+    for text, label in zip(texts, toxic):
+        found = {f for w in set(text.lower().split()) for f in held[w]}
+        both[0].update(found)
+        if label:
+            both[1].update(found)
+    names = sorted(both[0])
+    g = _ratio(np.array([both[0][f] for f in names]), np.array([both[1][f] for f in names]), n, n1) if names else np.zeros(0)
+    return [f for f, x in zip(names, g) if x >= evidence]
+
+
+def learn(texts: list[str], toxic: np.ndarray, weight: np.ndarray, evidence: float = 20.0, epochs: int = 200, rate: float = 0.15, ridge: float = 1e-4) -> NoisyOr:
     """Fit by Adam on the weighted log-likelihood of the bags. Only features whose presence in a text depends on the label get a weight:
     those with a likelihood ratio statistic of ``evidence`` or more, which one in 100,000 unrelated ones reaches."""
     if not len(texts) or not 0 < toxic.sum() < len(texts):
         return NoisyOr()
-    words: dict[str, int] = {}
-    bags, sentences = [], []
-    for bag, text in enumerate(texts):
+    order = dependent(texts, toxic, evidence)
+    names = {f: i for i, f in enumerate(order)}
+    held = Codes(lambda w: [names[f] for f in features(w) if f in names], 200_000)
+    inside, sentence, bag = [], [], []
+    for number, text in enumerate(texts):
         for part in SENTENCE.findall(text.lower()) or [""]:
-            sentences.append(np.array([words.setdefault(w, len(words)) for w in set(part.split())], dtype=np.int32))
-            bags.append(bag)
-    bag = np.array(bags)
-    inside = np.concatenate(sentences)
-    sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
-    pairs = np.unique(bag[sentence] * np.int64(len(words)) + inside)
-    parts = [features(w) for w in words]
-    every: dict[str, int] = {}
-    flat = np.array([every.setdefault(f, len(every)) for fs in parts for f in fs], dtype=np.int64)
-    many = np.array([len(fs) for fs in parts])
-    first = np.concatenate([[0], np.cumsum(many)])
-    at, word = pairs // len(words), pairs % len(words)
-    spread = np.repeat(first[word], many[word]) + np.arange(many[word].sum()) - np.repeat(np.cumsum(many[word]) - many[word], many[word])
-    held = np.unique(np.repeat(at, many[word]) * np.int64(len(every)) + flat[spread])
-    names = _dependent(held // len(every), held % len(every), toxic, len(every), evidence)
-    names = {f: names[i] for f, i in every.items() if i in names}
-    of_word = np.array([w for w, fs in enumerate(parts) for f in fs if f in names], dtype=np.int64)
-    of_name = np.array([names[f] for fs in parts for f in fs if f in names], dtype=np.int64)
+            at = [i for w in set(part.split()) for i in held[w]]
+            inside += at
+            sentence += [len(bag)] * len(at)
+            bag.append(number)
+    inside, sentence, bag = (np.array(x, dtype=np.int64) for x in (inside, sentence, bag))
     x, bias = np.zeros(len(names)), -6.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     weight = weight / weight.sum()
-    for steps in range(1, epochs + 1):
-        by_word = np.bincount(of_word, x[of_name], len(words))
-        z = np.clip(bias + np.bincount(sentence, by_word[inside], len(sentences)), -40, 40)
+    for step in range(1, epochs + 1):
+        z = np.clip(bias + np.bincount(sentence, x[inside], len(bag)), -40, 40)
         total = np.maximum(np.bincount(bag, np.log1p(np.exp(z)), len(texts)), 1e-12)  # -log P(clean)
         slope = weight * np.where(toxic == 1, -1 / np.expm1(np.minimum(total, 500)), 1.0)
         each = slope[bag] / (1 + np.exp(-z))
-        by_word = np.bincount(inside, each[sentence], len(words))
-        g = np.append(np.bincount(of_name, by_word[of_word], len(names)) + ridge * x, each.sum())
+        g = np.append(np.bincount(inside, each[sentence], len(names)) + ridge * x, each.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-10)
+        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
         x, bias = x - move[:-1], bias - move[-1]
-    kept = np.flatnonzero(np.abs(x) > 1e-3)
-    order = list(names)
-    return NoisyOr(float(bias), {order[i]: float(x[i]) for i in kept})
-
-
-def _dependent(bag: np.ndarray, feature: np.ndarray, toxic: np.ndarray, count: int, evidence: float) -> dict[int, int]:
-    """Numbers, from 0, for the features that depend on the label."""
-    n, n1 = len(toxic), int(toxic.sum())
-    k = np.bincount(feature, minlength=count)
-    k1 = np.bincount(feature, toxic[bag], count)
-    g = np.zeros(count)
-    for seen, expected in ((k1, k * n1 / n), (k - k1, k * (n - n1) / n), (n1 - k1, (n - k) * n1 / n), (n - n1 - k + k1, (n - k) * (n - n1) / n)):
-        g += np.where(seen > 0, 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
-    return {int(f): i for i, f in enumerate(np.flatnonzero(g >= evidence))}
+    return NoisyOr(float(bias), {order[i]: float(x[i]) for i in np.flatnonzero(np.abs(x) > 1e-3)})
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most: int = 4000, most_bytes: int = 24 << 20) -> NoisyOr:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most: int = 3000, most_bytes: int = 8 << 20) -> NoisyOr:
     """Learn from labelled documents outside the held-out fold. The driver takes at most about ``most`` documents and ``most_bytes`` of text of each class, chosen by a hash of the id; they are
     weighted to stand for all of their class. Null labels and ids teach nothing; a document labelled twice counts twice;
     with no label of either class every score is near 0.

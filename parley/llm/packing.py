@@ -9,7 +9,9 @@ length, into a run of bins. The ranks and the final look-up are distributed.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -98,6 +100,7 @@ class WordIds(Codes):
     A-Z are folded here, and not where a special token could arise.
     """
 
+    ENDS = re.compile(r"(?<=[a-z0-9])([.,;:!?]+)(?=[ \n]|\Z)")
     PUNCTUATION = re.compile(r"[!-&(-/:-@\[-`{-~]")
     LOWER = {a: a + 32 for a in range(65, 91)}
 
@@ -108,9 +111,23 @@ class WordIds(Codes):
         super().__init__(self.parts, most)
 
     def encode(self, word: str) -> bytes:
-        return np.array(self.model.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = array("I", self.model.encode(word, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        return super().__missing__(word) if len(word) < 48 else self.encode(word)
+
+    def text(self, body: str) -> bytes:
+        """The ids of a whole text. A-Z are folded and stops parted from the words before them in one go where that changes nothing."""
+        if "<" not in body:
+            body = self.ENDS.sub(r" \1", body.encode().lower().decode())
+        return b"".join(map(self.__getitem__, body.replace("\n", " ").split(" ")))
 
     def parts(self, word: str) -> bytes:
+        if word.isalpha() and word.islower():
+            return self.encode(word)
         if "<" not in word:
             folded = word.translate(self.LOWER)
             if folded != word:
@@ -138,13 +155,11 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words_of(vocabulary)
-        encode = known.encode
         end = np.array([end_id], dtype="<u4").tobytes()
         for frame in frames:
             ids = {c: [] for c in ("row", "piece", "start", "length", "ids_crc32", "ids")}
             for row, body in enumerate(frame.column(text).to_pylist()):
-                words = (body or "").replace("\n", " ").split(" ")
-                codes = b"".join([known[w] if len(w) < 48 else encode(w) for w in words]) + end
+                codes = known.text(body or "") + end
                 for piece, at in enumerate(range(0, len(codes), 4 * capacity)):
                     part = codes[at : at + 4 * capacity]
                     for name, value in zip(ids, (row, piece, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else b"")):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, lm, mixing, neardup, packing, sharding, toxicity, warc
+from . import ann, jaccard, lm, mixing, neardup, packing, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op3_lm_scoring": lm.op3_lm_scoring,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_pivot_neardup": neardup.op5_pivot_neardup,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, lm, mixing, neardup, packing, sharding, toxicity, warc
+from . import ann, jaccard, lm, mixing, neardup, packing, repeats, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_pivot_neardup": neardup.op5_pivot_neardup,
         "op6_histogram_sharding": sharding.op6_histogram_sharding,
+        "op7_suffix_dedup": repeats.op7_suffix_dedup,
         "op8_collision_counting": ann.op8_collision_counting,
         "op9_curriculum_mix": mixing.op9_curriculum_mix,
         "op10_warc_index_first": warc.op10_warc_index_first,

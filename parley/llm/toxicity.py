@@ -120,12 +120,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most:
     with no label of either class every score is near 0.
     """
     usable = labels.where("toxic in (0, 1) and doc_id is not null").where(fold("doc_id", folds) != held).select("doc_id", "toxic")
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(usable, "doc_id")
-    sizes = {r["toxic"]: r for r in joined.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
-    if len(sizes) < 2:
+    share = {r["toxic"]: min(1.0, most / r["count"]) for r in usable.groupBy("toxic").count().collect()}
+    if len(share) < 2:
         return NoisyOr()
-    share = {t: min(1.0, most / r["n"], most_bytes / max(r["b"], 1)) for t, r in sizes.items()}
     point = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    picked = usable.where(point < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+    # about 2 * most ids are broadcast, so that no text is moved but those of the sample
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    for r in joined.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("b")).collect():
+        share[r["toxic"]] *= min(1.0, most_bytes / max(r["b"], 1))
     part = joined.where(point < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     rows = sorted((r["doc_id"], r["toxic"], r["text"]) for r in part.collect())
     toxic = np.array([r[1] for r in rows])
@@ -174,6 +177,11 @@ def offending_sentences(docs: DataFrame, model: NoisyOr, least: float = 0.5) ->
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start int, end int, probability double, sentence string")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` that a model learned from ``labels`` does not predict to be toxic."""
+    return score(docs, fit(docs, labels)).where("predicted = 0").select(docs.columns)
+
+
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -304,5 +304,12 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, percent: int = 80, most: int = 2_000_000) -> DataFrame:
+    """``docs`` without those linked to a document with a smaller doc_id. Rows with a null id, and rows without words, stay."""
+    gone = stage(jaccard_join(docs, percent).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    few = gone.count() <= most  # some 32 MB
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

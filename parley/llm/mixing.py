@@ -73,7 +73,8 @@ def mix(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, schedules=SCHEDULE
     within = Window.partitionBy("__source", "__slice").orderBy("__h", key, "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__c", F.coalesce(F.sum("size").over(within), F.lit(0)))
     table = table.withColumnsRenamed({"__source": "__s", "__slice": "__l"})
-    rows = rows.join(table, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__l"))).withColumn("__c", F.col("__c") + F.col("__start"))
+    few = table.count() <= 1_000_000  # some 64 MB
+    rows = rows.join(F.broadcast(table) if few else table, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__slice") == F.col("__l"))).withColumn("__c", F.col("__c") + F.col("__start"))
     goal = F.round("target").cast("bigint")
     whole, rest = F.coalesce(F.try_divide(goal, F.col("source_size")).cast("bigint"), F.lit(0)), F.coalesce(F.try_mod(goal, F.col("source_size")), F.lit(0))
     extra = F.least(F.col("size"), F.greatest(rest - F.col("__c"), F.lit(0))) if cut else F.when((rest > F.col("__c")) & ((rest - F.col("__c")) * 2 >= F.col("size")), F.col("size")).otherwise(0)

@@ -5,6 +5,12 @@ from __future__ import annotations
 from . import ann, jaccard, lm, mixing, neardup, packing, repeats, sharding, toxicity, warc
 
 
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +23,7 @@ def queries() -> dict:
         "op8_collision_counting": ann.op8_collision_counting,
         "op9_curriculum_mix": mixing.op9_curriculum_mix,
         "op10_warc_index_first": warc.op10_warc_index_first,
+        "pipeline": pipeline,
     }
 
 

@@ -349,6 +349,21 @@ def remove_repeats(docs: DataFrame, most: int = 2_000_000) -> DataFrame:
     return joined.mapInArrow(run, f"{schema}, body binary, n_bytes long, n_removed long, n_spans long")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated bytes gone from text (null stays null; a character that lost some of its bytes goes), and n_chars made anew where it is a column."""
+    removed, columns = remove_repeats(docs), docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            old = frame.column("text").to_pylist()
+            text = pa.array([t if t is None else b.decode("utf-8", "ignore") for t, b in zip(old, frame.column("body").to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([text if c == "text" else frame.column(c) for c in columns], columns)
+
+    out = removed.select(*docs.columns, "body").mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("body", 256).alias("kept_sha256"))

@@ -8,6 +8,7 @@ largest inner product is the least distance after one more coordinate makes all
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -37,25 +38,35 @@ class Block:
         spare = (projections * INSIDE * (1 - INSIDE)) ** 0.5
         self.enough = ceil(projections * INSIDE - 1.6 * spare)
 
-    def near(self, query: int, q: np.ndarray, radius: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and inner products of the verified vectors; with a radius of 2 or more, of all."""
-        norm = np.sqrt(q @ q)
-        centre = (q / norm) @ self.axes[:-1]
-        for r in (radius / 2, radius):
-            if r >= 1.9:  # no two of the unit vectors are much farther apart
-                found = np.arange(len(self.ids))
-            else:
-                low = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted.T, centre - WIDTH * r)])
-                high = np.array([np.searchsorted(s, c, side="right") for s, c in zip(self.sorted.T, centre + WIDTH * r)])
-                # ranks below a window wrap round to large numbers; a window of all 65536 is one short, which costs one vector one collision
-                within = (self.ranks - low.astype(np.uint16)[:, None]) < np.minimum(high - low, 65535).astype(np.uint16)[:, None]
-                found = np.flatnonzero(np.add.reduce(within.view(np.uint8), axis=0, dtype=np.uint16) >= self.enough)
-            found = found[self.ids[found] != query]
-            score = (self.x[found] * q).sum(axis=1)
-            # the distance from a query made as long as the others
-            if (2 - 2 * score / (norm * self.longest) <= r * r).sum() >= k:
-                break
-        return found, score
+    def search(self, queries: np.ndarray, q: np.ndarray, radius: np.ndarray, k: int) -> Iterator[tuple]:
+        """(query, ids, inner products) of each query's verified vectors within its radius, its k nearest at least if so many are near; with a radius of 2 or more, of all."""
+        norm = np.sqrt((q * q).sum(axis=1))
+        centre = (q / norm[:, None]) @ self.axes[:-1]
+        windows = []
+        for part in (0.5, 1.0):
+            reach = WIDTH * part * radius
+            low = np.array([np.searchsorted(s, c - reach) for s, c in zip(self.sorted.T, centre.T)], dtype=np.int64)
+            high = np.array([np.searchsorted(s, c + reach, side="right") for s, c in zip(self.sorted.T, centre.T)], dtype=np.int64)
+            # ranks below a window wrap round to large numbers; a window of all 65536 is one short, which costs one vector one collision
+            windows.append((part, low.T.astype(np.uint16), np.minimum(high - low, 65535).T.astype(np.uint16)))
+        for i, query in enumerate(queries):
+            for part, low, wide in windows:
+                r = part * radius[i]
+                if r >= 1.9:  # no two of the unit vectors are much farther apart
+                    found = np.arange(len(self.ids))
+                else:
+                    within = (self.ranks - low[i][:, None]) < wide[i][:, None]
+                    found = np.flatnonzero(np.add.reduce(within.view(np.uint8), axis=0, dtype=np.uint8) >= self.enough)
+                score = (self.x[found] * q[i]).sum(axis=1)
+                # the distance from a query made as long as the others
+                near = (2 - 2 * score / (norm[i] * self.longest) <= r * r + 1e-9) & (self.ids[found] != query)
+                if near.sum() >= k:
+                    break
+            if radius[i] >= 1.9:
+                near = self.ids[found] != query
+            found, score = found[near], score[near]
+            best = _best(self.ids[found], score, k)
+            yield query, self.ids[found][best], score[best]
 
 
 HITS = "query_id bigint, vec_id bigint, score double"
@@ -82,11 +93,9 @@ def _search(data: DataFrame, queries: DataFrame, dimension: int, rows: int, aske
             x, ids = matrix(own.column("v"), dimension), own.column("id").to_numpy()
             # hashing may overfill a block; ranks have 16 bits
             blocks = [Block(ids[at : at + 65536], x[at : at + 65536], longest, projections) for at in range(0, len(ids), 65536)]
-            for query, q, radius in zip(asked.column("id").to_numpy(), matrix(asked.column("v"), dimension), asked.column("radius").to_numpy()):
-                for b in blocks:
-                    found, score = b.near(query, q, radius, k)
-                    best = _best(b.ids[found], score, k)
-                    held.append((np.full(len(best), query), b.ids[found][best], score[best]))
+            for b in blocks:
+                for query, found, score in b.search(asked.column("id").to_numpy(), matrix(asked.column("v"), dimension), asked.column("radius").to_numpy(), k):
+                    held.append((np.full(len(found), query), found, score))
             out = [np.concatenate(c) for c in zip(*held)]
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
@@ -108,7 +117,7 @@ def nearest(rows: DataFrame, queries, k: int = 20, key: str = "vec_id", vector:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     longest = good.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] * (1 + 1e-12)
     few = np.array([r["v"] for r in good.orderBy(F.xxhash64("id"), "id").limit(sample).collect()])
-    place = min(len(few), ceil(3 * k * len(few) / n) + 2)
+    place = min(len(few), ceil(3 * k * len(few) / n) + 4)
     share = spark.sparkContext.broadcast(few)
 
     def radii(frames):
@@ -124,7 +133,8 @@ def nearest(rows: DataFrame, queries, k: int = 20, key: str = "vec_id", vector:
     out = _top(first, k)
     if n > 1:
         found = first.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"))
-        short = asking.join(found.where(F.col("n") >= min(k, n - 1)).select(F.col("query_id").alias("id")), "id", "left_anti")
+        short = asking.select("id").join(found.where(F.col("n") >= min(k, n - 1)).select(F.col("query_id").alias("id")), "id", "left_anti")
+        short = stage(short.join(good, "id"), "ann-short")  # stored: a cogroup's sides must not share columns
         missing = short.count()
         if missing:
             again = _search(good, short.withColumn("radius", F.lit(4.0)), dimension, n, missing, k, longest, projections, block, 8192)

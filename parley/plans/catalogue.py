@@ -1,6 +1,387 @@
-def queries():
-    return {}
+"""The query catalogue: each query applies operators to the driver's tables. Oracle SQL is in ``oracle``."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.vectors import cosine, si_sdr
+from ..operators import intervals as I
+from ..operators import rollup as R
+from ..operators import scoring as S
+from ..operators import sequences as Q
+from ..operators import speakers as V
+from ..sources import tables as D
+from ..streaming import live as L
+from .oracle import SQL
+
+
+def r6(x):
+    return F.round(F.col(x) if isinstance(x, str) else x, 6)
+
+
+def both(spark, d):
+    seg = D.segments(spark, d)
+    return seg, D.hypotheses(seg)
+
+
+def points(seg: DataFrame) -> DataFrame:
+    """Every tenth segment's time 1.5 s after its start."""
+    return seg.where("ord % 10 = 0").select("rec", "ord", (F.col("s") + F.lit(1.5)).alias("t"))
+
+
+def q01(spark, d):
+    regions = I.overlap_regions(D.segments(spark, d))
+    return regions.groupBy("rec").agg(F.count("*").alias("n_regions"), r6(F.sum(F.col("e") - F.col("s"))).alias("seconds"))
+
+
+def q02(spark, d):
+    seg, hyp = both(spark, d)
+    return I.intersect(seg, I.merge(hyp).select("rec", "s", "e")).select("rec", "ord", r6("s").alias("s"), r6("e").alias("e"), r6("dur").alias("dur"))
+
+
+def q03(spark, d):
+    seg, hyp = both(spark, d)
+    found = I.overlap_join(seg, hyp).groupBy("rec", "ord").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_ord", "r_spk"))), lambda x: x["r_spk"]), " ").alias("text"))
+    return seg.join(found, ["rec", "ord"], "left").select("rec", "ord", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "text")
+
+
+def q04(spark, d):
+    seg = D.segments(spark, d)
+    hit = I.overlap_join(seg, I.overlap_regions(seg)).groupBy("rec", "ord").agg(F.min("r_s").alias("region_s"), F.min_by("r_e", "r_s").alias("region_e"))
+    return seg.join(hit, ["rec", "ord"], "left").select("rec", "ord", r6("region_s").alias("region_s"), r6("region_e").alias("region_e"))
+
+
+def q05(spark, d):
+    seg = D.segments(spark, d)
+    return I.speaker_at(points(seg), seg).select("rec", "ord", "spk")
+
+
+def q06(spark, d):
+    seg = D.segments(spark, d)
+    hit = I.point_join(points(seg), I.overlapping_pairs(seg), 0.25, 0.1).groupBy("rec", "ord").agg(F.min(F.struct("r_s", "r_a", "r_b")).alias("x"))
+    return points(seg).join(hit, ["rec", "ord"], "left").select("rec", "ord", F.col("x.r_a").alias("a"), F.col("x.r_b").alias("b"))
+
+
+def q07(spark, d):
+    seg = D.segments(spark, d)
+    back = seg.select("rec", "ord", (F.col("s") - F.lit(2.0)).alias("s"), "e")
+    hit = I.overlap_join(back, seg).groupBy("rec", "ord").agg(F.array_join(F.sort_array(F.collect_set("r_spk")), ",").alias("speakers"))
+    return seg.select("rec", "ord").join(hit, ["rec", "ord"], "left")
+
+
+def q08(spark, d):
+    seg, hyp = both(spark, d)
+    regions = I.overlap_regions(seg)
+    # starts differ by less than a second, so points around the region's start meet
+    near = I.point_join(hyp.select("rec", "ord", F.col("s").alias("t"), F.col("e").alias("he")), regions.select("rec", "s", F.col("s").alias("e"), F.col("e").alias("re")), 1.0, 1.0)
+    dist = F.abs(F.col("t") - F.col("r_s")) + F.abs(F.col("he") - F.col("r_re"))
+    return near.withColumn("dist", dist).where("dist < 1.0").groupBy("rec", "ord").agg(r6(F.min("dist")).alias("dist"), r6(F.min_by("r_s", F.struct("dist", "r_s"))).alias("region_s"))
+
+
+def q09(spark, d):
+    return I.merge(D.segments(spark, d)).select("rec", r6("s").alias("s"), r6("e").alias("e"), "n")
+
+
+def q09b(spark, d):
+    return I.merge_same_speaker(D.segments(spark, d)).select("rec", "spk", r6("s").alias("s"), r6("e").alias("e"), "n")
+
+
+def q09c(spark, d):
+    return I.close_silences(I.merge(D.segments(spark, d)).select("rec", "s", "e", F.monotonically_increasing_id().alias("ord")), 60.0).select("rec", r6("s").alias("s"), r6("e").alias("e"), "n")
+
+
+def q10(spark, d):
+    return Q.change_points(D.segments(spark, d)).select("rec", "ord", r6("ts").alias("ts"))
+
+
+def q10b(spark, d):
+    seg = D.segments(spark, d)
+    return I.boundaries(Q.change_points(seg), seg.groupBy("rec").agg(F.max("e").alias("dur"))).select("rec", r6("s").alias("s"), r6("e").alias("e"))
+
+
+def q10c(spark, d):
+    return Q.segment_ends(D.segments(spark, d)).select("rec", "ord", r6("ts").alias("ts"))
+
+
+def q11(spark, d):
+    seg = D.segments(spark, d)
+    return Q.change_points_outside_overlap(seg, I.overlapping_pairs(seg)).select("rec", "ord", r6("ts").alias("ts"))
+
+
+def q12(spark, d):
+    return Q.thin(D.segments(spark, d).select("rec", F.col("s").alias("ts")), 600.0).select("rec", r6("ts").alias("ts"))
+
+
+def q13(spark, d):
+    return I.hysteresis(D.frames(spark, d), 0.15, 0.08).select("rec", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "n")
+
+
+def q14(spark, d):
+    deep = I.sweep(D.segments(spark, d))
+    return deep.groupBy("rec").agg(F.max("depth").cast("bigint").alias("depth"), r6(F.sum(F.when(F.col("depth") >= 2, F.col("e") - F.col("s")).otherwise(0.0))).alias("seconds"))
+
+
+def q15(spark, d):
+    seg = D.segments(spark, d).withColumn("len", F.col("e") - F.col("s"))
+    return Q.run_lengths(seg, "len").select("rec", "spk", r6("s").alias("s"), r6("e").alias("e"), "n", r6("mean").alias("mean"))
+
+
+def _prf(rows):
+    return S.prf(rows).select("rec", "tp", "fp", "fn", r6("precision_pct").alias("precision_pct"), r6("recall_pct").alias("recall_pct"), r6("f1_pct").alias("f1_pct"))
+
+
+def q16(spark, d):
+    return _prf(S.frame_counts(*both(spark, d)))
+
+
+def q17(spark, d):
+    return _prf(S.frame_counts(*both(spark, d), tolerance=50))
+
+
+def q18(spark, d):
+    seg, hyp = both(spark, d)
+    out = S.change_point_scores(Q.change_points(hyp).select("rec", "ts"), Q.change_points(seg).select("rec", "ts"))
+    return out.select("rec", "tp", "n_pred", "n_ref", r6("precision_pct").alias("precision_pct"), r6("recall_pct").alias("recall_pct"), r6("f1_pct").alias("f1_pct"))
+
+
+def q19(spark, d):
+    seg, hyp = both(spark, d)
+    return S.boundary_scores(Q.change_points(hyp), Q.change_points(seg))
+
+
+def q20(spark, d):
+    seg, hyp = both(spark, d)
+    return S.iou_scores(hyp, seg, 0.5)
+
+
+def q21(spark, d):
+    seg, hyp = both(spark, d)
+    return S.confusion(S.overlap_labels(hyp, seg))
+
+
+def _der(rows):
+    return rows.select("rec", *[r6(c).alias(c) for c in ("total", "miss", "false_alarm", "confusion", "der_pct")])
+
+
+def q22(spark, d):
+    return _der(S.diarization_error(*both(spark, d), optimal=False))
+
+
+def q23(spark, d):
+    return _der(S.diarization_error(*both(spark, d)))
+
+
+def q24(spark, d):
+    seg = D.segments(spark, d).withColumn("len", F.col("e") - F.col("s"))
+    return R.shares(seg, "rec", "spk", "len").select("rec", "spk", r6("total").alias("total"), r6("share").alias("share"))
+
+
+def q25(spark, d):
+    out = R.summary(D.runs(spark, d), ["model"], ["price", "discount"])
+    return out.select("model", *[F.round(c, 4).alias(c) for c in out.columns if c.endswith(("mean", "std", "total"))], "price_n", "discount_n")
+
+
+def q26(spark, d):
+    runs = D.runs(spark, d).withColumn("row", F.col("file_id") * 10 + F.col("ord"))
+    means = runs.groupBy("model").agg(F.round(F.avg("price"), 4).alias("mean"))
+    top = R.best(runs, ["model"], "price", "row", "row").select("model", F.col("row").alias("best_row"))
+    return R.ranking(means, "mean", "model", 3).join(top, "model").select("model", "mean", F.col("rank").cast("bigint").alias("rank"), "best_row")
+
+
+def q27(spark, d):
+    out = R.pivot_mean(D.runs(spark, d), "flag", "status", ["F", "O"], "discount")
+    return out.select("flag", r6("F").alias("mean_f"), r6("O").alias("mean_o"))
+
+
+def q28(spark, d):
+    seg = D.segments(spark, d).withColumn("len", F.col("e") - F.col("s"))
+    return R.capped(seg, "spk", "len", "ord", 20, 1.0).select("spk", "ord", r6("len").alias("len"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def q29(spark, d):
+    configs = R.sweep_configs(spark, model=["AF", "NF", "NO", "RF"], size=[1, 2, 3], mode=["a", "b"])
+    done = D.runs(spark, d).where("ord < 3 and model <> 'NF'").select("model", (F.col("ord") % 4).cast("bigint").alias("size")).distinct()
+    from ..sources.annotations import unfinished
+
+    return unfinished(configs, done, ["model", "size"])
+
+
+def q30(spark, d):
+    return V.centroids(D.vectors(spark, d)).select("label", "n", F.posexplode("v").alias("pos", "x")).select("label", "n", F.col("pos").cast("bigint").alias("pos"), F.round("x", 9).alias("x"))
+
+
+def _matches(spark, d):
+    vec = D.vectors(spark, d)
+    return V.best_matches(vec, V.centroids(vec), "vec_id", "label")
+
+
+def q31(spark, d):
+    return V.named(_matches(spark, d), "vec_id", 0.4).select("vec_id", "speaker", r6("score").alias("score"))
+
+
+def q31b(spark, d):
+    return V.fresh_labels(_matches(spark, d), "vec_id", 0.4, 10).select("vec_id", F.col("assigned").cast("bigint").alias("assigned"))
+
+
+def q32(spark, d):
+    out = V.leave_one_out(D.vectors(spark, d))
+    return out.groupBy("label").agg(F.count("*").alias("n"), r6(F.avg((F.col("label") == F.col("predicted")).cast("double"))).alias("accuracy"))
+
+
+def q33(spark, d):
+    return V.decide(_matches(spark, d), 0.21, 0.09).select("vec_id", "best", "accepted", r6(F.col("score") - F.col("second")).alias("margin"))
+
+
+def q34(spark, d):
+    return V.cosine_silhouette(D.vectors(spark, d)).groupBy("label").agg(F.count("*").alias("n"), r6(F.avg("silhouette")).alias("silhouette"))
+
+
+def q35(spark, d):
+    vec = D.vectors(spark, d)
+    return S.adjusted_rand(vec.join(_matches(spark, d), "vec_id"), "label", "best").select("n", r6("ari").alias("ari"))
+
+
+def scratch(spark, name: str) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or a local one where that is unset."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="parley-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q36(spark, d):
+    vec = D.vectors(spark, d)
+    out = V.graph_components(V.near_pairs(vec, 0.6), vec, scratch(spark, "components"))
+    size = F.count("*").over(Window.partitionBy("component"))
+    return out.withColumn("size", size).select("vec_id", "component", (F.col("size") == 1).alias("is_noise"))
+
+
+def q37(spark, d):
+    vec = D.vectors(spark, d)
+    seeds = [r["v"] for r in vec.where("vec_id < 8").orderBy("vec_id").limit(8).collect()]
+    return V.lloyd(vec, seeds, 3)
+
+
+def _pairs(spark, d):
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    return D.utterances(spark, d).withColumn("hyp", F.lead("text").over(order)).where("hyp is not null").withColumnRenamed("text", "ref")
+
+
+def q38(spark, d):
+    plain = F.rlike("ref", F.lit(r"^[\x00-\x7F]*$")) & F.rlike("hyp", F.lit(r"^[\x00-\x7F]*$"))
+    return _pairs(spark, d).where(plain).select("conv_id", "turn", r6(T.char_errors(F.col("ref"), F.col("hyp"))).alias("cer_pct"))
+
+
+def q39(spark, d):
+    return _pairs(spark, d).select("conv_id", "turn", r6(T.word_errors("ref", "hyp")).alias("wer_pct"))
+
+
+def q40(spark, d):
+    words = D.utterances(spark, d).select("conv_id", "turn", T.tokens(F.col("text")).alias("w"))
+    return words.select("conv_id", "turn", r6(T.adjacent_repeats(F.col("w"))).alias("adjacent"), r6(T.trigram_repeats(F.col("w"))).alias("trigram"), F.size(F.filter("w", lambda x: x.contains("..."))).cast("bigint").alias("ellipses"))
+
+
+def q41(spark, d):
+    words = D.utterances(spark, d).select("conv_id", "turn", F.posexplode(T.tokens(F.col("text"))).alias("pos", "w")).withColumn("p", T.plain(F.col("w")))
+    before = F.lag("p").over(Window.partitionBy("conv_id", "turn").orderBy("pos"))
+    kept = words.withColumn("b", before).where(~F.coalesce((F.col("p") == F.col("b")) & (F.col("p") != "") & (F.char_length("p") <= 4), F.lit(False)))
+    return kept.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("text"))
+
+
+def q42(spark, d):
+    """Words spread evenly over 30 s for each turn, given to the segment that holds their middle; turns of one conversation follow each other on the first recording."""
+    words = D.utterances(spark, d).select("conv_id", "turn", T.tokens(F.col("text")).alias("w")).where("size(w) > 0").select("conv_id", "turn", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+    t = (F.col("conv_id") * 100 + F.col("turn") * 30).cast("double") % 86400.0 + (F.col("pos") + F.lit(0.5)) * F.lit(30.0) / F.col("n")
+    seg = D.segments(spark, d)
+    first = seg.agg(F.min("rec").alias("rec"))
+    timed = words.crossJoin(F.broadcast(first)).select("rec", "conv_id", "turn", "pos", t.alias("t"))  # one row
+    hit = I.point_join(timed, seg).groupBy("conv_id", "turn", "pos").agg(F.max_by("r_spk", "r_ord").alias("spk"))
+    out = timed.join(hit, ["conv_id", "turn", "pos"], "left").select("conv_id", "turn", F.coalesce("spk", F.lit("unknown")).alias("spk"))
+    return out.groupBy("conv_id", "turn", "spk").agg(F.count("*").alias("n"))
+
+
+def q43(spark, d):
+    """Bubbles of up to 18 words of consecutive turns of one role."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = D.utterances(spark, d).withColumn("w", T.tokens(F.col("text"))).withColumn("new", F.coalesce((F.col("role") != F.lag("role").over(order)).cast("int"), F.lit(1)))
+    turns = turns.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    words = turns.select("conv_id", "run", "role", "turn", F.posexplode("w").alias("pos", "word"))
+    at = F.row_number().over(Window.partitionBy("conv_id", "run").orderBy("turn", "pos")) - 1
+    bubbles = words.withColumn("bubble", F.floor(at / 18).cast("bigint")).groupBy("conv_id", "run", "role", "bubble")
+    return bubbles.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "pos", "word"))), lambda x: x["word"]), " ").alias("text"))
+
+
+def q44(spark, d):
+    seg = D.segments(spark, d).withColumn("spk", F.when(F.col("ord") % 4 != 0, F.col("spk")))
+    return Q.backfill(seg).select("rec", "ord", "spk")
+
+
+def q45(spark, d):
+    return D.utterances(spark, d).select("conv_id", "turn", T.prompt_worthy(F.col("text")).alias("worthy"))
+
+
+def q45b(spark, d):
+    return D.table(spark, d, "events").select("event_id", r6(T.clamp(F.col("value") / F.lit(500.0), 0.05, 0.35)).alias("confidence"))
+
+
+def q46(spark, d):
+    out = L.windowed(L.timed(D.table(spark, d, "events")), "1 hour")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", r6("total").alias("total"))
+
+
+def q46b(spark, d):
+    out = L.windowed(L.timed(D.table(spark, d, "events")), "2 hours", "1 hour", by=())
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", r6("total").alias("total"))
+
+
+def q47(spark, d):
+    out = L.sessions(L.timed(D.table(spark, d, "events")), "30 minutes")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
+
+
+def chunks(spark, d):
+    seg = D.table(spark, d, "events")
+    t = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / F.lit(1e6)
+    return seg.select(F.col("user_id").alias("session"), F.col("event_id").alias("ord"), t.alias("s"), (t + F.col("value")).alias("e"), F.col("event_type").alias("spk"), T.clamp(F.col("value") / F.lit(500.0), 0.05, 0.35).alias("confidence"))
+
+
+def q48(spark, d):
+    return L.folded(chunks(spark, d), L.Dedupe)
+
+
+def q49(spark, d):
+    return L.folded(chunks(spark, d), L.Speaker, cooldown=3600.0).select("session", "ord", "speaker", r6("confidence").alias("confidence"))
+
+
+def q49b(spark, d):
+    return L.folded(chunks(spark, d), L.Timeline)
+
+
+def q50(spark, d):
+    vec = D.vectors(spark, d)
+    other = vec.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return vec.join(other, "vec_id").select("vec_id", r6(si_sdr("v", "w")).alias("si_sdr"), r6(cosine("v", "w")).alias("cosine"))
+
+
+NAMES = {
+    "q01_overlap_regions": q01, "q02_mask_intersection": q02, "q03_segment_text": q03, "q04_first_overlap_region": q04, "q05_speaker_at_time": q05, "q06_padded_lookup": q06,
+    "q07_active_speakers": q07, "q08_nearest_region": q08, "q09_merge": q09, "q09b_merge_same_speaker": q09b, "q09c_close_silences": q09c, "q10_change_points": q10, "q10b_boundaries": q10b,
+    "q10c_segment_ends": q10c, "q11_change_points_skip_overlap": q11, "q12_min_gap_thinning": q12, "q13_hysteresis": q13, "q14_sweep": q14, "q15_run_lengths": q15, "q16_frame_prf": q16,
+    "q17_frame_prf_tolerant": q17, "q18_change_point_prf": q18, "q19_boundary_match": q19, "q20_iou_greedy": q20, "q21_max_overlap_label": q21, "q22_der_by_name": q22, "q23_der_optimal": q23,
+    "q24_speech_share": q24, "q25_model_rollup": q25, "q26_ranking": q26, "q27_pivot_mean": q27, "q28_capped_sample": q28, "q29_config_sweep": q29, "q30_centroids": q30, "q31_naming": q31,
+    "q31b_fresh_labels": q31b, "q32_leave_one_out": q32, "q33_top2_margin": q33, "q34_cosine_silhouette": q34, "q35_adjusted_rand": q35, "q36_components": q36, "q37_lloyd": q37,
+    "q38_char_error_rate": q38, "q39_word_error_rate": q39, "q40_repetition": q40, "q41_repeat_squash": q41, "q42_word_attribution": q42, "q43_word_bubbles": q43, "q44_backfill": q44,
+    "q45_prompt_worthy": q45, "q45b_confidence": q45b, "q46_tumbling": q46, "q46b_sliding": q46b, "q47_sessions": q47, "q48_dedupe_fold": q48, "q49_speaker_fold": q49,
+    "q49b_timeline_fold": q49b, "q50_si_sdr": q50,
+}
+
+
+def queries() -> dict:
+    return dict(NAMES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Codes, batches, components, discard, mix64, stage, unpack
@@ -154,22 +154,27 @@ def index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int)
 
 
 def block_pairs(listed: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Distinct pairs (a, b), a > b, of pivots some of whose sets could link, from (s, rid, pos, n, pivot).
+    """Distinct pairs (a, b), a > b, of pivots some of whose sets could link, from (s, pos, n, pivot, kin).
 
     In each list the sets of one pivot are a block with its least size, largest size and most shingles from the position on. Two blocks
-    whose sizes or positions rule a link out are skipped; so are pairs within a block.
+    whose sizes or positions rule a link out are skipped; so are pairs that are already connected, and lists of connected sets alone.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        s, n, pivot = (table.column(c).to_numpy() for c in ("s", "n", "pivot"))
+        s, n, pivot, kin = (table.column(c).to_numpy() for c in ("s", "n", "pivot", "kin"))
         rest = n - table.column("pos").to_numpy()
         order = np.lexsort((pivot, s))
-        s, n, pivot, rest = s[order], n[order], pivot[order], rest[order]
+        s, n, pivot, kin, rest = s[order], n[order], pivot[order], kin[order], rest[order]
+        heads = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, int)
+        mixed = np.repeat(np.minimum.reduceat(kin, heads) != np.maximum.reduceat(kin, heads), np.diff(np.append(heads, len(s)))) if len(s) else np.zeros(0, bool)
+        s, n, pivot, kin, rest = s[mixed], n[mixed], pivot[mixed], kin[mixed], rest[mixed]
         first = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (pivot[1:] != pivot[:-1]))) if len(s) else np.zeros(0, int)
+        if not len(s):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], names=["a", "b"])
         least, most, rest = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.maximum.reduceat(rest, first)
-        s, pivot = s[first], pivot[first]
+        s, pivot, kin = s[first], pivot[first], kin[first]
         order = np.lexsort((least, s))
-        s, pivot, least, most, rest = s[order], pivot[order], least[order], most[order], rest[order]
+        s, pivot, kin, least, most, rest = s[order], pivot[order], kin[order], least[order], most[order], rest[order]
         starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         ends = np.append(starts[1:], len(s))
         # a block meets those after it in its list whose least size isn't over what its largest allows
@@ -180,7 +185,7 @@ def block_pairs(listed: DataFrame, percent: int, buckets: int) -> DataFrame:
         while len(at):
             at = at[at + step < until[at]]
             to = at + step
-            ok = (100 + percent) * np.minimum(rest[at], rest[to]) >= percent * (least[at] + least[to])
+            ok = (kin[at] != kin[to]) & ((100 + percent) * np.minimum(rest[at], rest[to]) >= percent * (least[at] + least[to]))
             pairs = np.column_stack([np.maximum(pivot[at], pivot[to]), np.minimum(pivot[at], pivot[to])])[ok]
             out.append(pairs)
             step += 1
@@ -201,49 +206,60 @@ def _until(s, least, most, starts, ends, percent) -> np.ndarray:
 
 
 def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, most: int = 2_000_000, tile: int = 256) -> DataFrame:
-    """Exact overlaps (a, b, o) of the sets of stored ``pairs`` (a, b). Sets are made again from the texts that are needed; members of one b go in tiles of
-    about ``tile``, each with its own copy of b, so a pivot of many is spread."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
-    needed = stage(reps.join(ids, "rid", "left_semi").select("rid", "doc_id"), "needed")
-    few = needed.count() <= most  # then they fit a broadcast of some 32 MB
-    hint = F.broadcast if few else (lambda df: df)
+    """Exact overlaps (a, b, o) of the sets of stored, distinct ``pairs`` (a, b).
 
-    def make(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Codes(_hash)
-        for frame in frames:
-            sets = [shingles(t, known) for t in frame.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "s"])
-
-    texts = docs.select("doc_id", "text").join(hint(needed.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(make, "rid long, s binary").join(hint(needed.select("rid")), "rid", "left_semi")
-    sets = stage(sets, "sets")
+    Sets are made again from the texts that are needed, and each goes where its pairs are compared in one exchange. The members of one b go in tiles of
+    about ``tile``, each with its own copy of b, so a pivot of many is spread.
+    """
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / tile).alias("tiles")).where("tiles > 1")
     total = pairs.count()
     buckets = max(64, total // 1000)
     cell = F.pmod(F.xxhash64("a"), F.coalesce("tiles", F.lit(1)))
-    tiled = stage(pairs.join(sizes, "b", "left").select("a", "b", cell.alias("tile")).withColumn("bucket", F.pmod(F.xxhash64("b", "tile"), F.lit(buckets))), "tiled")
-    left = tiled.join(sets.withColumnRenamed("rid", "a"), "a").select("bucket", "b", "a", "s")
-    # read anew: the two sides of a cogroup must not share columns
-    apart = lambda df: spark.read.schema(df.schema).parquet(df.staged_at)
-    right = apart(tiled).select("bucket", "b").distinct().join(apart(sets).withColumnRenamed("rid", "b"), "b").select("bucket", "b", "s")
-
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        pivots = dict(zip(right.column("b").to_pylist(), right.column("s").to_pylist()))
+    tiled = pairs.join(sizes, "b", "left").select("a", "b", cell.alias("tile"))
+    tiled = stage(tiled.select("a", "b", F.pmod(F.xxhash64("b", "tile"), F.lit(buckets)).cast("int").alias("bucket")), "tiled")
+    none = F.lit(None).cast("bigint")
+    goes = tiled.select(F.col("a").alias("rid"), "bucket", "a", "b").union(tiled.select("b", "bucket", none, "b").distinct())
+    # a set that very many pairs have goes in several rows
+    part = F.floor(F.row_number().over(Window.partitionBy("rid").orderBy("bucket", "b", "a")) / 4096)
+    goes = goes.withColumn("part", part).groupBy("rid", "part").agg(F.collect_list(F.struct("bucket", "a", "b")).alias("goes"))
+    goes = stage(goes.join(reps.select("rid", "doc_id"), "rid").select("doc_id", F.col("rid").alias("own"), "goes"), "goes")
+    few = total <= most  # then the ids and pairs fit a broadcast of some 100 MB
+    texts = docs.select("doc_id", "text").join(F.broadcast(goes) if few else goes, "doc_id").select("own", "text", "goes")
+
+    def make(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Codes(_hash)
+        for table in batches(frames, 2 << 20):
+            out: tuple = ([], [], [], [])
+            for own, text, goes in zip(*(table.column(c).to_pylist() for c in ("own", "text", "goes"))):
+                s = shingles(text, known)
+                if len(s) and set_id(s) == own:  # another row may have the id of the set's document
+                    held = s.tobytes()
+                    for g in goes:
+                        for c, v in zip(out, (g["bucket"], g["a"], g["b"], held)):
+                            c.append(v)
+                if len(out[3]) > 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+                    out = ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+
+    kinds, names = (pa.int32(), pa.int64(), pa.int64(), pa.binary()), ["bucket", "a", "b", "s"]
+
+    def count(table: pa.Table) -> pa.Table:
+        a, b, sets = (table.column(c).to_pylist() for c in ("a", "b", "s"))
+        pivots = {y: s for x, y, s in zip(a, b, sets) if x is None}
         out: list[tuple] = []
         last, own = None, np.zeros(0, np.uint64)
-        for i in np.argsort(left.column("b").to_numpy(), kind="stable") if left.num_rows else ():
-            b = left.column("b")[int(i)].as_py()
-            if b != last:
-                last, own = b, np.frombuffer(pivots[b], np.uint64)
-            s = np.frombuffer(left.column("s")[int(i)].as_buffer(), np.uint64)
+        for i in sorted((i for i, x in enumerate(a) if x is not None), key=lambda i: b[i]):
+            if b[i] != last:
+                last, own = b[i], np.frombuffer(pivots[b[i]], np.uint64)
+            s = np.frombuffer(sets[i], np.uint64)
             at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-            out.append((left.column("a")[int(i)].as_py(), b, int((own[at] == s).sum())))
+            out.append((a[i], b[i], int((own[at] == s).sum())))
         return pa.table([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["a", "b", "o"])
 
-    got = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(count, "a long, b long, o long")
-    out = stage(got.distinct(), "overlaps")
-    discard(needed, sets, tiled)
+    made = texts.mapInArrow(make, "bucket int, a long, b long, s binary")
+    out = stage(made.groupBy("bucket").applyInArrow(count, "a long, b long, o long").distinct(), "overlaps")
+    discard(tiled, goes)
     return out
 
 
@@ -263,7 +279,8 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     banded = reps.select("rid", "n", F.explode("bands").alias("band"))
     heads = stage(banded.groupBy("band").agg(F.min(F.struct("rid", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").select("band", F.col("head.rid").alias("b"), F.col("head.n").alias("m")), "heads")
     near = banded.join(heads, "band").where("rid <> b").where((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
-    tried = stage(near.select(F.col("rid").alias("a"), "b").distinct(), "tried")
+    votes = near.groupBy("rid", "b").agg(F.count("*").alias("c"))
+    tried = stage(votes.withColumn("k", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("c"), "b"))).where("k <= 2").select(F.col("rid").alias("a"), "b"), "tried")
     first = overlaps(docs, reps, tried)
     size = reps.select("rid", "n")
     sized = lambda df: df.join(size.withColumnsRenamed({"rid": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"rid": "b", "n": "nb"}), "b")
@@ -271,12 +288,13 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     best = stage(known.groupBy("a").agg(F.max(F.struct("o", "b", "nb")).alias("x"), F.max("na").alias("na")).select("a", "x.b", "x.o", "na", "x.nb"), "best")
     members = best.join(best.select(F.col("a").alias("b")), "b", "left_anti").select(F.col("a").alias("rid"), F.col("b").alias("pivot"), (F.col("na") - F.col("o")).alias("plus"), (F.col("nb") - F.col("o")).alias("minus"))
     zero = F.lit(0).cast("long")
-    family = stage(size.join(members, "rid", "left").select("rid", "n", F.coalesce("pivot", "rid").alias("pivot"), F.coalesce("plus", zero).alias("plus"), F.coalesce("minus", zero).alias("minus")), "family")
+    kin = components(known.select("a", "b")).withColumnsRenamed({"id": "rid", "component_id": "kin"})
+    family = stage(size.join(members, "rid", "left").join(kin, "rid", "left").select("rid", "n", F.coalesce("kin", "rid").alias("kin"), F.coalesce("pivot", "rid").alias("pivot"), F.coalesce("plus", zero).alias("plus"), F.coalesce("minus", zero).alias("minus")), "family")
     discard(heads, tried, best)
 
     # pairs of pivots, from the index
-    listed = index(docs, frequent(profiled), percent).join(family.select("rid", "n", "pivot"), "rid")
-    listed = stage(listed.select("s", "rid", "pos", "n", "pivot"), "lists")
+    listed = index(docs, frequent(profiled), percent).join(family.select("rid", "n", "pivot", "kin"), "rid")
+    listed = stage(listed.select("s", "pos", "n", "pivot", "kin"), "lists")
     pairs = stage(block_pairs(listed, percent, max(256, listed.count() // 20_000)), "block-pairs")
     discard(listed)
     second = overlaps(docs, reps, pairs)
@@ -287,8 +305,8 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     reach = family.groupBy("pivot").agg(F.max("plus").alias("plus"), F.min("n").alias("n"))
     ra, rb = reach.withColumnsRenamed({"pivot": "a", "plus": "pa", "n": "la"}), reach.withColumnsRenamed({"pivot": "b", "plus": "pb", "n": "lb"})
     open_ = alike.join(ra, "a").join(rb, "b").where("pa + pb > 0").where(like(F.col("o") + F.col("pa") + F.col("pb"), F.col("la"), F.col("lb"))).select("a", "b", "o")
-    side = lambda x, p: family.select(F.col("pivot").alias(p), F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("plus").alias(f"p{x}"), F.col("minus").alias(f"m{x}"))
-    met = open_.join(side("z", "a"), "a").join(side("y", "b"), "b").where("z <> a or y <> b")
+    side = lambda x, p: family.select(F.col("pivot").alias(p), F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("plus").alias(f"p{x}"), F.col("minus").alias(f"m{x}"), F.col("kin").alias(f"k{x}"))
+    met = open_.join(side("z", "a"), "a").join(side("y", "b"), "b").where("(z <> a or y <> b) and kz <> ky")
     met = met.where(like(F.least(F.col("o") + F.col("pz") + F.col("py"), F.col("nz"), F.col("ny")), F.col("nz"), F.col("ny")))
     met = stage(met.select("z", "y", like(F.col("o") - F.col("mz") - F.col("my"), F.col("nz"), F.col("ny")).alias("sure")), "met")
     third = overlaps(docs, reps, stage(met.where("not sure").select(F.greatest("z", "y").alias("a"), F.least("z", "y").alias("b")).distinct(), "open"))

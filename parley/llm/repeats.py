@@ -56,7 +56,7 @@ def anchors(held: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         low[max(0, end - LENGTH + 1) : end] = 0
     high = _slide(np.concatenate([np.zeros(LEFT, np.uint64), low]), np.maximum)
     at = np.flatnonzero((high == h) & (h != NONE))
-    return at, h[at]
+    return at, mix64(h[at] + P)  # least hashes are small: mixed again, they fill all buckets
 
 
 def _chunks(frames, least: int = 1 << 20):
@@ -122,7 +122,7 @@ def _bits(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def gram_filter(grams: DataFrame, most_bits: int = 1 << 29) -> tuple[int, np.ndarray]:
     """A filter that has all shared grams, in segments by bucket that tasks make. Its 64 MB at most bound what is broadcast; a fuller one only lets more others through."""
     total = grams.agg(F.sum(F.length("grams"))).first()[0] or 0
-    size = 1 << max(6, min(most_bits // BUCKETS, max(1, total // 8 * 12 // BUCKETS)).bit_length() - 1)
+    size = 1 << min((most_bits // BUCKETS).bit_length() - 1, max(6, (total * 2 // BUCKETS).bit_length()))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -351,17 +351,18 @@ def remove_repeats(docs: DataFrame, most: int = 2_000_000) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes gone from text (null stays null; a character that lost some of its bytes goes), and n_chars made anew where it is a column."""
-    removed, columns = remove_repeats(docs), docs.columns
+    columns = docs.columns
+    removed = remove_repeats(docs.withColumnRenamed("body", "__body") if "body" in columns else docs).withColumnRenamed("body", "__kept").withColumnRenamed("__body", "body")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             old = frame.column("text").to_pylist()
-            text = pa.array([t if t is None else b.decode("utf-8", "ignore") for t, b in zip(old, frame.column("body").to_pylist())], pa.string())
+            text = pa.array([t if t is None else b.decode("utf-8", "ignore") for t, b in zip(old, frame.column("__kept").to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([text if c == "text" else frame.column(c) for c in columns], columns)
 
-    out = removed.select(*docs.columns, "body").mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = removed.select(*columns, "__kept").mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

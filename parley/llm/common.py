@@ -32,9 +32,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stage(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors. ``files`` is the most it should be written as."""
     spark = df.sparkSession
+    df = df.coalesce(files) if files else df
     path = new_folder(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -133,15 +134,15 @@ def components(edges: DataFrame) -> DataFrame:
     adaptive execution can split a hub. Links stay on the executors. Self links and nulls are ignored.
     """
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    mark, files = None, max(1, now.count() // 250_000)  # no step makes more than twice the links: small tables stay in few files
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = stage(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", files)
+        large = stage(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large", files)
         discard(least)
-        least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least", files)
         small = large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
-        after = stage(small.distinct(), "edges")
+        after = stage(small.distinct(), "edges", files)
         discard(now, large, least)
         now = after
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -22,6 +22,7 @@ WORDS = 5
 BANDS, DEPTH = 6, 4
 FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BUCKETS = 256
+LONG = 64
 
 
 def _hash(word: bytes) -> int:
@@ -56,8 +57,13 @@ def band_keys(s: np.ndarray) -> list[int]:
     return [int(np.int64(_hash(b"%d:" % b + least[DEPTH * b : DEPTH * (b + 1)].tobytes()) - (1 << 63))) for b in range(BANDS)]
 
 
+def parity(s: np.ndarray) -> bytes:
+    """512 bits, each the parity of the shingles that fall on it: two sets differ by at least as many shingles as their parities by bits."""
+    return np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes()
+
+
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, rid, bands, common, times): the set's hash (null for the empty set), its min-hash bands, and on the first row of a batch the
+    """(doc_id, n_shingles, rid, bands, parity, common, times): the set's hash (null for the empty set), its min-hash bands, and on the first row of a batch the
     shingles that several of the batch's sets have, with how many."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -71,12 +77,12 @@ def profile(docs: DataFrame) -> DataFrame:
             often = times > 1
             rest = [None] * (len(sets) - 1)
             columns = [
-                table.column("doc_id").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(rids, pa.int64()), pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                table.column("doc_id").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(rids, pa.int64()), pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.binary()),
                 pa.array([every[often].tobytes(), *rest], pa.binary()), pa.array([times[often].astype("<i8").tobytes(), *rest], pa.binary()),
             ]
-            yield from pa.table(columns, names=["doc_id", "n_shingles", "rid", "bands", "common", "times"]).to_batches()
+            yield from pa.table(columns, names=["doc_id", "n_shingles", "rid", "bands", "parity", "common", "times"]).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, rid long, bands array<long>, common binary, times binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, rid long, bands array<long>, parity binary, common binary, times binary")
 
 
 def frequent(profiled: DataFrame, least: int = 8, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +112,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """(s, rid, pos): the entries of the prefix index whose list holds more than one set. Each batch sends an entry of a set once."""
+    """(s, rid, pos, long): the entries of the prefix index whose list holds more than one set, and whether it holds over ``LONG``. Each batch sends an entry of a set once."""
     share = docs.sparkSession.sparkContext.broadcast(common)
 
     def entries(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,17 +153,20 @@ def index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int)
         s, rid, pos = s[fresh], rid[fresh], pos[fresh]
         same = s[1:] == s[:-1]
         shared = np.append(same, False) | np.append(False, same)
-        return pa.table([pa.array(s[shared]), pa.array(rid[shared]), pa.array(pos[shared].astype(np.int32))], names=["s", "rid", "pos"])
+        s, rid, pos = s[shared], rid[shared], pos[shared]
+        _, back, times = np.unique(s, return_inverse=True, return_counts=True)
+        return pa.table([pa.array(s), pa.array(rid), pa.array(pos.astype(np.int32)), pa.array(times[back] > LONG)], names=["s", "rid", "pos", "long"])
 
     packed = docs.select("text").mapInArrow(entries, "bucket int, s binary, rid binary, pos binary")
-    return packed.groupBy("bucket").applyInArrow(lists, "s long, rid long, pos int")
+    return packed.groupBy("bucket").applyInArrow(lists, "s long, rid long, pos int, long boolean")
 
 
 def block_pairs(listed: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Distinct pairs (a, b), a > b, of pivots some of whose sets could link, from (s, pos, n, pivot, kin).
+    """Distinct pairs (a, b), a > b, of pivots some of whose sets could link, from (s, pos, n, pivot, kin, parity).
 
     In each list the sets of one pivot are a block with its least size, largest size and most shingles from the position on. Two blocks
-    whose sizes or positions rule a link out are skipped; so are pairs that are already connected, and lists of connected sets alone.
+    whose sizes or positions rule a link out are skipped; so are pairs that are already connected, lists of connected sets alone, and in long lists (whose rows have a parity)
+    pairs of single sets whose parities differ in too many bits.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -166,15 +175,18 @@ def block_pairs(listed: DataFrame, percent: int, buckets: int) -> DataFrame:
         order = np.lexsort((pivot, s))
         s, n, pivot, kin, rest = s[order], n[order], pivot[order], kin[order], rest[order]
         heads = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, int)
+        marks = np.frombuffer(b"".join(m or bytes(64) for m in table.column("parity").to_pylist()), dtype=np.uint64).reshape(-1, 8)[order]
+        marked = ~table.column("parity").is_null().to_numpy(zero_copy_only=False)[order]
         mixed = np.repeat(np.minimum.reduceat(kin, heads) != np.maximum.reduceat(kin, heads), np.diff(np.append(heads, len(s)))) if len(s) else np.zeros(0, bool)
-        s, n, pivot, kin, rest = s[mixed], n[mixed], pivot[mixed], kin[mixed], rest[mixed]
+        s, n, pivot, kin, rest, marks, marked = s[mixed], n[mixed], pivot[mixed], kin[mixed], rest[mixed], marks[mixed], marked[mixed]
         first = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (pivot[1:] != pivot[:-1]))) if len(s) else np.zeros(0, int)
         if not len(s):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], names=["a", "b"])
         least, most, rest = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.maximum.reduceat(rest, first)
-        s, pivot, kin = s[first], pivot[first], kin[first]
+        alone = np.diff(np.append(first, len(s))) == 1
+        s, pivot, kin, marks, marked = s[first], pivot[first], kin[first], marks[first], marked[first] & alone
         order = np.lexsort((least, s))
-        s, pivot, kin, least, most, rest = s[order], pivot[order], kin[order], least[order], most[order], rest[order]
+        s, pivot, kin, least, most, rest, marks, marked = s[order], pivot[order], kin[order], least[order], most[order], rest[order], marks[order], marked[order]
         starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         ends = np.append(starts[1:], len(s))
         # a block meets those after it in its list whose least size isn't over what its largest allows
@@ -186,6 +198,10 @@ def block_pairs(listed: DataFrame, percent: int, buckets: int) -> DataFrame:
             at = at[at + step < until[at]]
             to = at + step
             ok = (kin[at] != kin[to]) & ((100 + percent) * np.minimum(rest[at], rest[to]) >= percent * (least[at] + least[to]))
+            near = np.flatnonzero(ok & marked[at] & marked[to])
+            total = least[at[near]] + least[to[near]]
+            apart = np.bitwise_count(marks[at[near]] ^ marks[to[near]]).sum(axis=1, dtype=np.int64)
+            ok[near[(100 + percent) * (total - apart) < 2 * percent * total]] = False
             pairs = np.column_stack([np.maximum(pivot[at], pivot[to]), np.minimum(pivot[at], pivot[to])])[ok]
             out.append(pairs)
             step += 1
@@ -272,7 +288,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = docs.select("doc_id", "text")
     profiled = stage(profile(docs), "profile")
     sets = profiled.where("rid is not null and doc_id is not null")
-    reps = stage(sets.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands")), "sets-of-docs")
+    reps = stage(sets.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"), F.min("parity").alias("parity")), "sets-of-docs")
     like = lambda o, n, m: o * (100 + percent) >= (n + m) * percent
 
     # pivots
@@ -293,10 +309,12 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     discard(heads, tried, best)
 
     # pairs of pivots, from the index
-    listed = index(docs, frequent(profiled), percent).join(family.select("rid", "n", "pivot", "kin"), "rid")
-    listed = stage(listed.select("s", "pos", "n", "pivot", "kin"), "lists")
+    entries = stage(index(docs, frequent(profiled), percent), "entries")
+    listed = entries.join(family.select("rid", "n", "pivot", "kin"), "rid")
+    flat = listed.where("not long").select("s", "pos", "n", "pivot", "kin", F.lit(None).cast("binary").alias("parity"))
+    listed = stage(flat.union(listed.where("long").join(reps.select("rid", "parity"), "rid").select("s", "pos", "n", "pivot", "kin", "parity")), "lists")
     pairs = stage(block_pairs(listed, percent, max(256, listed.count() // 20_000)), "block-pairs")
-    discard(listed)
+    discard(listed, entries)
     second = overlaps(docs, reps, pairs)
     links = sized(second).where(like(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b")
 

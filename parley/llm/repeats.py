@@ -59,8 +59,8 @@ def anchors(held: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, mix64(h[at] + P)  # least hashes are small: mixed again, they fill all buckets
 
 
-def _chunks(frames, least: int = 1 << 20):
-    """(ids, starts and ends of the texts, their bytes) of about a megabyte of texts with an id."""
+def _chunks(frames, least: int = 1 << 19):
+    """(ids, starts and ends of the texts, their bytes) of about half a megabyte of texts with an id."""
     for table in batches(frames, least, "body"):
         table = table.combine_chunks()
         texts = [t if t else b"" for t in table.column("body").to_pylist()]

@@ -198,3 +198,11 @@ def test_toxicity_without_labels(spark):
     for few in (labels.limit(0), labels.where("toxic = 0"), labels.where("toxic is null")):
         assert toxicity.score(docs, toxicity.fit(docs, few)).where("score > 0.1").count() == 0
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, labels)).collect() == []
+
+
+def test_long_lists_are_pruned_by_parity(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG", 2)
+    assert Counter(map(tuple, jaccard.jaccard_join(docs, 80).collect())) == Counter(brute_components(texts()))
+    a, b = np.arange(1000, dtype=np.uint64) << np.uint64(20), np.arange(37, 1020, dtype=np.uint64) << np.uint64(20)
+    apart = np.bitwise_count(np.frombuffer(jaccard.parity(a), np.uint8) ^ np.frombuffer(jaccard.parity(b), np.uint8)).sum()
+    assert 0 < apart <= 57

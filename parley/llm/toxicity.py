@@ -62,8 +62,8 @@ def _ratio(k: np.ndarray, k1: np.ndarray, n: int, n1: int) -> np.ndarray:
 
 def dependent(texts: list[str], toxic: np.ndarray, evidence: float) -> list[str]:
     """The features whose presence in a text depends on its label. They are screened by hash first, so that only those that may pass are held by name."""
-    size, n, n1 = 1 << 22, len(texts), int(toxic.sum())
-    cells = Codes(lambda w: [crc32(f.encode()) % size for f in features(w)], 200_000)
+    size, n, n1 = 1 << 20, len(texts), int(toxic.sum())
+    cells = Codes(lambda w: [crc32(f.encode()) % size for f in features(w)], 50_000)
     k, k1 = np.zeros(size), np.zeros(size)
     for text, label in zip(texts, toxic):
         at = np.fromiter({c for w in set(text.lower().split()) for c in cells[w]}, np.int64)
@@ -71,7 +71,7 @@ def dependent(texts: list[str], toxic: np.ndarray, evidence: float) -> list[str]
         k1[at] += label
     # cells shared by several features dilute what each shows: half of the evidence lets them through to the exact count
     open_ = set(np.flatnonzero(_ratio(k, k1, n, n1) >= evidence / 2).tolist())
-    held = Codes(lambda w: [f for f in features(w) if crc32(f.encode()) % size in open_], 200_000)
+    held = Codes(lambda w: [f for f in features(w) if crc32(f.encode()) % size in open_], 50_000)
     both: tuple[Counter, Counter] = Counter(), Counter()
     for text, label in zip(texts, toxic):
         found = {f for w in set(text.lower().split()) for f in held[w]}
@@ -90,7 +90,7 @@ def learn(texts: list[str], toxic: np.ndarray, weight: np.ndarray, evidence: flo
         return NoisyOr()
     order = dependent(texts, toxic, evidence)
     names = {f: i for i, f in enumerate(order)}
-    held = Codes(lambda w: [names[f] for f in features(w) if f in names], 200_000)
+    held = Codes(lambda w: [names[f] for f in features(w) if f in names], 50_000)
     inside, sentence, bag = [], [], []
     for number, text in enumerate(texts):
         for part in SENTENCE.findall(text.lower()) or [""]:

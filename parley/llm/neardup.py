@@ -18,15 +18,23 @@ from .vectors import matrix, unit, usable
 FOUND = "id bigint, n bigint, b bigint"
 
 
-def choose(sample: np.ndarray, count: int, apart: float = 0.5) -> np.ndarray:
-    """Up to ``count`` vectors of a sample of unit vectors, in its order, no two with a cosine over ``apart``: a dense group has one pivot, not many that order at random."""
-    kept = np.zeros((0, sample.shape[1]))
-    for v in sample:
-        if len(kept) == count:
+def choose(sample: np.ndarray, count: int, closest: float = 0.8) -> np.ndarray:
+    """Two to ``count`` vectors of a sample of unit vectors, in its order, no two with a cosine over a bound: a dense group has one pivot, not many that order at random.
+
+    The bound is 0.5, and is loosened up to ``closest`` while it leaves less than a quarter of ``count``. A sample that has one pivot even then gives it twice, which puts all
+    vectors on one list.
+    """
+    kept, n = np.zeros((count, sample.shape[1])), 0
+    for apart in (*np.arange(0.5, closest, 0.05), closest):
+        for v in sample:
+            if n == count:
+                break
+            if not n or (kept[:n] @ v).max() <= apart:
+                kept[n] = v
+                n += 1
+        if 4 * n >= count:
             break
-        if not len(kept) or (kept @ v).max() <= apart:
-            kept = np.vstack([kept, v])
-    return kept
+    return kept[:n] if n > 1 else kept[[0, 0]]
 
 
 def describe(good: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
@@ -129,14 +137,14 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id",
 
     Rows link if their cosine is at least ``cosine`` and they share two of their ``near`` nearest pivots. Unusable vectors (see ``usable``) link with nothing;
     a null key has no component. The pivots are chosen from a sample of eight times as many vectors, by a hash of the id: 256, or more (4096 at most) for
-    over a million vectors. Rows that repeat an id link as that id does, and not with each other.
+    over a million vectors, and fewer where the sample has not enough that lie apart. Rows that repeat an id link as that id does, and not with each other.
     """
     good, dimension, n = usable(rows, key, vector)
     ids = rows.select(F.col(key).alias("id"))
     if not n:
         return ids.select(F.col("id").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     pivots = pivots or int(max(256, min(4096, n**0.4)))
-    few = choose(unit(np.array([r["v"] for r in good.orderBy(F.xxhash64("id"), "id").limit(8 * pivots).collect()])), pivots)
+    few = choose(unit(np.array([r["v"] for r in good.orderBy(F.xxhash64("id"), "id").limit(8 * pivots).collect()])), pivots, max(0.5, 2 * cosine**2 - 1))  # pivots at twice the angle of a link, or more
     described = describe(good.dropDuplicates(["id"]), few, min(near, len(few)))
     found = stage(links(described, dimension, len(few), cosine), "links")
     degrees = found.groupBy("id").agg(F.sum("n").alias("n_links"))

@@ -69,6 +69,22 @@ def test_near_duplicates_of_nothing(table):
     assert [r["n_links"] for r in neardup.near_duplicates(table.where("vec_id in (20, 920)")).collect()] == [1, 1]
 
 
+@pytest.mark.parametrize("noise", [0.5, 0.25, 0.01])
+def test_near_duplicates_with_a_common_direction(spark, noise):
+    """Cosines of about 0.8 and of 0.94 to each other, with pairs of near copies; and copies only."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(64)
+    x = x / np.linalg.norm(x) + noise / 8 * rng.standard_normal((600, 64))
+    x[1:200:2] = x[:200:2] + 0.01 * rng.standard_normal((100, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(rows).collect()}
+    found = np.array([got[i] for i in range(600)])
+    assert (found <= linked.sum(axis=1)).all() and found.sum() >= 0.9 * linked.sum()
+
+
 @pytest.mark.parametrize("sample", [4096, 64])
 def test_nearest(table, sample):
     ids, x = sound()

@@ -215,3 +215,13 @@ def test_windows_on_a_stream(spark, tmp_path):
     query = live.windowed(live.timed(source), "1 hour").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(180)
     assert spark.table("windows").count() == live.windowed(live.timed(events), "1 hour").count()
+
+
+def test_char_error_rate_of_whole_texts(spark, tmp_path):
+    from parley.plans import catalogue
+
+    texts = ["caf\u00e9 au lait", " cafe au lait", "\u65e5\u672c\u8a9e\u306e\u6587", "\u65e5\u672c\u306e\u6587\u7ae0 \U0001f600", "", "plain words", "\u041f\u0440\u0438\u0432\u0435\u0442"]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: r["cer_pct"] for r in catalogue.queries()["q38_char_error_rate"](spark, str(tmp_path)).collect()}
+    pairs = [(a.strip(" "), b.strip(" ")) for a, b in zip(texts, texts[1:])]
+    assert got == {i: round(100 * T.edit_distance(list(a), list(b)) / len(a), 6) if a else 0.0 for i, (a, b) in enumerate(pairs)}

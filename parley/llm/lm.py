@@ -4,11 +4,11 @@ Bigrams seen at least twice in the training documents are kept with their count
 into the filter once for each level 1..q, and its count is read back by probing level after level until one is missing.
 The filter is built in segments by hash, each by one task, and broadcast; its size is bounded by a parameter, beyond
 which it only errs more often. Unigram counts are exact: the most frequent words, as many as a bound allows, are
-broadcast, and all others are joined.
+broadcast, and all others are joined, so the bound changes no score.
 
 P(w | v) = (c(v w) - 1/2) / c(v) where the filter has the bigram, else backoff(v) * P(w). Backoff weights leave each
-class of words v (by the magnitude of c(v)) the mass that its kept bigrams don't take. P(w) is c(w) / (N + n1) for frequent words;
-what is left is spread evenly over the rare words and as many unseen ones as there are words seen once.
+class of words v (by the magnitude of c(v)) the mass that its kept bigrams don't take. P(w) is c(w) / (N + n1 + 1) for words seen;
+what is left is spread evenly over one more unseen word than there are words seen once.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, batches, fold, mix64, stage, unpack
+from .common import Codes, batches, discard, fold, mix64, stage, unpack
 
 #: The counts at which levels begin.
 LEVELS = np.unique((2 * 1.5 ** np.arange(60)).astype(np.int64))
@@ -201,7 +201,6 @@ class Model:
     n: int
     v: int
     n1: int
-    rare: int  # tokens of the words that aren't frequent
     backoff: np.ndarray | None = None  # by class
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
@@ -210,18 +209,17 @@ class Model:
         at = np.searchsorted(self.heads, some)
         return np.where(np.append(self.heads, np.uint64(1))[at] == some, at, -1)[back]
 
-    def unigram(self, at: np.ndarray) -> np.ndarray:
-        left = (self.rare + self.n1 + 1) / (self.n + self.n1 + 1) / (self.v - len(self.heads) + self.n1 + 1)
-        return np.where(at >= 0, np.append(self.counts, 0)[at] / (self.n + self.n1 + 1), left)
+    def unigram(self, count: np.ndarray) -> np.ndarray:
+        return np.maximum(count, 1) / (self.n + self.n1 + 1)
 
-    def seen(self, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: the count of the word before it (0 if rare), its class, and the bigram's count (0 if not kept)."""
-        before = np.concatenate([self.places(np.array([END])), at[:-1]]) if len(at) else at
-        cv = np.where(before >= 0, np.append(self.counts, 0)[before], 0)
-        keys = bigram_keys(hashes, np.concatenate([[END], hashes[:-1]]) if len(hashes) else hashes)
-        level = np.where(cv > 0, self.filter.levels(keys), 0)
-        both = np.where(level > 0, np.append(COUNTS, 0)[level - 1], 0.0)
-        return cv, np.frexp(cv.astype(float))[1], np.minimum(both, cv)
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """For each token, the level of the bigram that it ends."""
+        return self.filter.levels(bigram_keys(hashes, np.concatenate([[END], hashes[:-1]]) if len(hashes) else hashes))
+
+
+def kept(level: np.ndarray, cv: np.ndarray) -> np.ndarray:
+    """The counts of bigrams (0 if not kept), at most those of their first words."""
+    return np.minimum(np.where(level > 0, np.append(COUNTS, 0)[level - 1], 0.0), cv)
 
 
 def fit(train: DataFrame, most_words: int = 500_000, most_bytes: int = 192 << 20) -> tuple[Model, DataFrame]:
@@ -238,28 +236,29 @@ def fit(train: DataFrame, most_words: int = 500_000, most_bytes: int = 192 << 20
     keys, n = (heads.column(c).to_numpy() for c in ("key", "n"))
     order = np.argsort(keys.view(np.uint64))
     total = sum(n * c for n, c in spread)
-    model = Model(keys.view(np.uint64)[order].copy(), n[order], build_filter(counts, most_bytes), total, sum(c for _, c in spread), dict(spread).get(1, 0), total - int(n.sum()))
-    model.backoff = backoff(train, model)
-    return model, words.where(F.col("n") < least)
+    model = Model(keys.view(np.uint64)[order].copy(), n[order], build_filter(counts, most_bytes), total, sum(c for _, c in spread), dict(spread).get(1, 0))
+    rare = words.where(F.col("n") < least)
+    model.backoff = backoff(train, model, rare)
+    return model, rare
 
 
-def backoff(train: DataFrame, model: Model) -> np.ndarray:
+def backoff(train: DataFrame, model: Model, rare: DataFrame) -> np.ndarray:
     """By the class of the word before: the mass that kept bigrams leave, over the share of words that they don't reach."""
-    share = train.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = share.value
-        known = Codes(word_hash)
-        sums = np.zeros((3, 64))
-        for table in batches(frames):
-            hashes, _ = token_hashes(table.column("text").to_pylist(), known)
-            at = model.places(hashes)
-            cv, group, both = model.seen(at, hashes)
-            for k, w in enumerate((cv > 0, np.where(both > 0, 1 - DISCOUNT / np.maximum(both, 1), 0), np.where(both > 0, cv * model.unigram(at) / np.maximum(both, 1), 0))):
-                sums[k] += np.bincount(group, w, 64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), *(pa.array(s) for s in sums)], ["g", "a", "b", "c"])
+    def sums(model, cw, cv, level, row, rows):
+        both, group = kept(level, cv), np.frexp(cv.astype(float))[1]
+        parts = (cv > 0, np.where(both > 0, 1 - DISCOUNT / np.maximum(both, 1), 0), np.where(both > 0, cv * model.unigram(cw) / np.maximum(both, 1), 0))
+        return [np.concatenate([np.bincount(group, w, 64) for w in parts]), *[np.zeros(0)] * (rows - 1)][:rows]
 
-    rows = train.select("text").mapInArrow(run, "g long, a double, b double, c double").groupBy("g").agg(*[F.sum(x).alias(x) for x in "abc"]).collect()
+    def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, 64))
+        for frame in frames:
+            total += np.asarray(frame.column("sums").flatten()).reshape(-1, 3, 64).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), *(pa.array(t) for t in total)], ["g", "a", "b", "c"])
+
+    found = looked_up(train.select("text"), model, rare, sums, ())
+    rows = found.select("sums").mapInArrow(add, "g long, a double, b double, c double").groupBy("g").agg(*[F.sum(x).alias(x) for x in "abc"]).collect()
+    discard(found)
     out = np.ones(64)
     for r in rows:
         if r["a"]:
@@ -267,44 +266,103 @@ def backoff(train: DataFrame, model: Model) -> np.ndarray:
     return np.clip(out, 1e-3, 2.0)
 
 
-def score(docs: DataFrame, model: Model, rare: DataFrame, keys=("doc_id",)) -> DataFrame:
-    """``keys`` with n_tokens, n_known, train_tokens, base_score and score of each row's whole text (null: empty).
+def looked_up(docs: DataFrame, model: Model, rare: DataFrame, use, keys: tuple, by_bigram: bool = False) -> DataFrame:
+    """``keys`` with n_tokens, n_known, base_score and sums (array<double>) of each row's whole text: what ``use`` makes of the exact counts of each token, the count of
+    the word before it and their bigram's level, by row, added up.
 
-    Words that aren't broadcast are looked up by a join on their hash, once for each document and word. Repeated rows keep a row each.
+    Words that aren't broadcast are looked up by a join on their hash, once for each document and word. Tokens that need none are used at once; of the others, a count is
+    held as it is, or as -1 - its place among the document's words that are looked up. ``by_bigram``: a kept bigram after a broadcast word needs no other count.
     """
     share = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    names = [*keys, "n_tokens", "n_known", "base_score", "score", "rest", "times"]
+    kinds = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keys)
+    names = [*keys, "n_tokens", "n_known", "base_score", "sums", "rest", "times", "word", "before", "level"]
     bottom = model.n + model.v + 1
 
+    def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = share.value
         known = Codes(word_hash)
         for table in batches(frames):
             hashes, sizes = token_hashes(table.column("text").to_pylist(), known)
+            rows, row = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
             at = model.places(hashes)
-            cv, group, both = model.seen(at, hashes)
-            p = np.where(both > 0, (both - DISCOUNT) / np.maximum(cv, 1), np.where(cv > 0, model.backoff[group], 1.0) * model.unigram(at))
-            row = np.repeat(np.arange(len(sizes)), sizes)
             held = at >= 0
-            base = np.bincount(row[held], np.log10((model.counts[at[held]] + 1) / bottom), len(sizes)).astype(float)  # of nothing it counts integers
-            total = np.bincount(row, np.log10(np.minimum(p, 1)), len(sizes)).astype(float)
-            rest, times = [], []
-            ends = np.cumsum(sizes)
-            for start, end in zip(ends - sizes, ends):
-                k, n = np.unique(hashes[start:end][~held[start:end]], return_counts=True)
-                rest.append(k.view(np.int64))
-                times.append(n)
-            columns = [table.column(k).combine_chunks() for k in keys] + [pa.array(sizes), pa.array(np.bincount(row[held], minlength=len(sizes))), pa.array(base), pa.array(total), pa.array(rest, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+            base = np.bincount(row[held], np.log10((model.counts[at[held]] + 1) / bottom), rows).astype(float)  # of nothing it counts integers
+            word = np.append(model.counts, 0)[at]
+            # the rare words of each document, in order, and the place of each in it
+            order = np.flatnonzero(~held)
+            order = order[np.lexsort((hashes[order], row[order]))]
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+            firsts = order[fresh]
+            number = np.bincount(row[firsts], minlength=rows)
+            index = np.cumsum(fresh) - 1
+            word[order] = -1 - (index - (np.cumsum(number) - number)[row[order]])
+            times = np.bincount(index, minlength=len(firsts))
+            # the first word of a text follows the end, by which each text is closed
+            starts = np.cumsum(sizes) - sizes
+            before = np.concatenate([word[:1], word[:-1]])
+            before[starts] = word[np.cumsum(sizes) - 1]
+            level = model.levels(hashes)
+            local = (before >= 0) & ((word >= 0) | (level > 0) & by_bigram)
+            sums = use(model, word[local], before[local], level[local], row[local], rows)
+            open_ = np.bincount(row[~local], minlength=rows)
+            columns = [table.column(k).combine_chunks() for k in keys] + [
+                pa.array(sizes), pa.array(np.bincount(row[held], minlength=rows)), pa.array(base), lists(np.concatenate(sums), np.array([len(x) for x in sums])),
+                lists(hashes[firsts].view(np.int64), number), lists(times, number), lists(word[~local], open_), lists(before[~local], open_), lists(level[~local].astype(np.int16), open_),
+            ]
             yield from pa.table(columns, names=names).to_batches()
 
-    first = docs.select(*keys, "text").mapInArrow(run, f"{kinds}, n_tokens long, n_known long, base_score double, score double, rest array<long>, times array<long>")
-    first = stage(first.withColumn("__row", F.monotonically_increasing_id()), "lm-scores")
-    looked = first.where("size(rest) > 0").select("__row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("__row", F.col("w.rest").alias("key"), F.col("w.times").alias("times"))
-    n = F.coalesce("n", F.lit(0))
-    sums = looked.join(rare, "key", "left").groupBy("__row").agg(F.sum(F.col("times") * F.log10((n + 1) / F.lit(float(bottom)))).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("found"))
-    out = first.drop("rest", "times").join(sums, "__row", "left")
-    return out.select(*keys, "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    def finish(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = share.value
+        for frame in frames:
+            def flat(name):
+                column = frame.column(name)
+                sizes = np.asarray(column.value_lengths())
+                return column.flatten(), sizes, np.repeat(np.arange(len(sizes)), sizes)
+
+            rows = frame.num_rows
+            times, number, owner = flat("times")
+            starts = np.cumsum(number) - number
+            counts = np.zeros(len(owner), dtype=np.int64)
+            found, _, of = flat("found")
+            counts[starts[of] + np.asarray(found.field("i"))] = np.asarray(found.field("n"))
+            times = np.asarray(times)
+            n_known = np.asarray(frame.column("n_known")) + np.bincount(owner, times * (counts > 0), rows).astype(np.int64)
+            base = np.asarray(frame.column("base_score")) + np.bincount(owner, times * np.log10((counts + 1) / bottom), rows)
+            word, _, row = flat("word")
+            values = [np.asarray(word), np.asarray(flat("before")[0])]
+            word, before = (np.where(x < 0, np.append(counts, 0)[np.where(x < 0, starts[row] - x - 1, 0)], x) for x in values)
+            sums = use(model, word, before, np.asarray(flat("level")[0]), row, rows)
+            old, sizes, of = flat("sums")
+            old = np.split(np.asarray(old), np.cumsum(sizes)[:-1])
+            sums = [b if not len(a) else a if not len(b) else a + b for a, b in zip(old, sums)]
+            columns = [frame.column(k) for k in keys] + [frame.column("n_tokens"), pa.array(n_known), pa.array(base), lists(np.concatenate(sums), np.array([len(x) for x in sums]))]
+            yield pa.RecordBatch.from_arrays(columns, names=names[: len(keys) + 4])
+
+    facts = f"{kinds}n_tokens long, n_known long, base_score double, sums array<double>"
+    first = docs.select(*keys, "text").mapInArrow(run, f"{facts}, rest array<long>, times array<long>, word array<long>, before array<long>, level array<smallint>")
+    first = stage(first.withColumn("__row", F.monotonically_increasing_id()), "lm-tokens")
+    sought = first.select("__row", F.posexplode("rest").alias("i", "key"))
+    found = sought.join(rare, "key").groupBy("__row").agg(F.collect_list(F.struct("i", "n")).alias("found"))
+    found = first.drop("rest").join(found, "__row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<i:int,n:bigint>>")))
+    out = stage(found.drop("__row").mapInArrow(finish, facts), "lm-scores")
+    discard(first)
+    return out
+
+
+def score(docs: DataFrame, model: Model, rare: DataFrame, keys=("doc_id",)) -> DataFrame:
+    """``keys`` with n_tokens, n_known, train_tokens, base_score and score of each row's whole text (null: empty). Repeated rows keep a row each."""
+
+    def logs(model, cw, cv, level, row, rows):
+        both = kept(level, cv)
+        p = np.where(both > 0, (both - DISCOUNT) / np.maximum(cv, 1), np.where(cv > 0, model.backoff[np.frexp(cv.astype(float))[1]], 1.0) * model.unigram(cw))
+        return list(np.bincount(row, np.log10(np.minimum(p, 1)), rows).astype(float).reshape(-1, 1))
+
+    out = looked_up(docs, model, rare, logs, keys, by_bigram=True)
+    return out.select(*keys, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", F.col("sums")[0].alias("score"))
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -141,6 +141,15 @@ def test_language_model(spark, docs):
         assert got == want
 
 
+def test_score_is_the_same_for_any_number_of_words_broadcast(docs):
+    held = lm.F.coalesce(lm.fold("doc_id", 7) == 2, lm.F.lit(False))
+    got = []
+    for most in (0, 40, 1_000_000):
+        model, rare = lm.fit(docs.where(~held), most_words=most)
+        got.append(sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in lm.score(docs, model, rare).collect()))
+    assert got[0] == got[1] == got[2]
+
+
 def test_filter_returns_counts():
     rng = np.random.default_rng(4)
     keys = rng.integers(0, 1 << 62, 5000, dtype=np.uint64) >> np.uint64(8) << np.uint64(8)

@@ -1,9 +1,9 @@
 """Language-model scoring with n-gram counts in a log-frequency Bloom filter.
 
-Bigrams seen at least twice in the training documents are kept with their count quantised to levels; a bigram of level q is put
+All bigrams of the training documents are kept with their count quantised to levels; a bigram of level q is put
 into the filter once for each level 1..q, and its count is read back by probing level after level until one is missing.
-The filter is built in segments by hash, each by one task, and broadcast; its size is bounded by a parameter, beyond
-which it only errs more often. Unigram counts are exact: the most frequent words, as many as a bound allows, are
+The filter is built in segments by hash, each by one task; its size follows from its entries. It is broadcast up to a bound;
+a larger one stays in its segments, and the bigrams of the texts are dealt to them. Unigram counts are exact: the most frequent words, as many as a bound allows, are
 broadcast, and all others are joined, so the bound changes no score.
 
 P(w | v) = (c(v w) - 1/2) / c(v) where the filter has the bigram, else backoff(v) * P(w). Backoff weights leave each
@@ -14,18 +14,19 @@ what is left is spread evenly over one more unseen word than there are words see
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Codes, batches, discard, fold, mix64, stage, unpack
 
 #: The counts at which levels begin.
-LEVELS = np.unique((2 * 1.5 ** np.arange(60)).astype(np.int64))
+LEVELS = np.unique((1.5 ** np.arange(60)).astype(np.int64))
 COUNTS = np.sqrt(LEVELS * (np.append(LEVELS[1:], LEVELS[-1] * 3 // 2) - 1.0))
 PROBES = 5
 DISCOUNT = 0.5
@@ -44,6 +45,11 @@ def bigram_keys(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix64(before * np.uint64(0xD6E8FEB86659FD93) + tokens)
 
 
+def bigrams(hashes: np.ndarray) -> np.ndarray:
+    """The keys of the bigrams that the tokens of texts end."""
+    return bigram_keys(hashes, np.concatenate([[END], hashes[:-1]]) if len(hashes) else hashes)
+
+
 def token_hashes(texts: list, known) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, each text closed by the end, and the number of tokens of each."""
     of = known.__getitem__
@@ -82,7 +88,7 @@ PACKED = "kind int, bucket int, once binary, keys binary, counts binary"
 
 
 def counted(train: DataFrame) -> DataFrame:
-    """Exact counts of the words (kind 0) and of the bigrams seen at least twice (kind 1): a row for each kind and bucket, with packed keys and counts.
+    """Exact counts of the words (kind 0) and of the bigrams (kind 1): a row for each kind and bucket, with packed keys and counts.
 
     Batches are counted before the exchange, so a frequent n-gram is one entry of a batch. Keys are the upper 56 bits of 64-bit hashes.
     """
@@ -104,21 +110,27 @@ def counted(train: DataFrame) -> DataFrame:
         more = (unpack(table.column("keys"), np.uint64) >> np.uint64(8)) << np.uint64(8)
         keys, at = np.unique(np.concatenate([once, more]), return_inverse=True)
         counts = np.bincount(at[: len(once)], minlength=len(keys)) + np.bincount(at[len(once) :], unpack(table.column("counts"), "<i8"), len(keys)).astype(np.int64)
-        kept = counts >= (2 if kind else 1)
-        row = (kind, bucket, b"", keys[kept].tobytes(), counts[kept].astype("<i8").tobytes())
+        row = (kind, bucket, _short(keys[counts == 1]), keys[counts > 1].tobytes(), counts[counts > 1].astype("<i8").tobytes())
         return pa.table([pa.array([v], k) for v, k in zip(row, KINDS)], names=names)
 
     packed = train.select("text").mapInArrow(count, PACKED)
     return stage(packed.groupBy("kind", "bucket").applyInArrow(total, PACKED), "ngrams")
 
 
+def entries(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and counts of a packed row."""
+    once = _long(row["once"], row["bucket"])
+    return np.concatenate([once, np.frombuffer(row["keys"], np.uint64)]), np.concatenate([np.ones(len(once), np.int64), np.frombuffer(row["counts"], "<i8")])
+
+
 def unpacked(counts: DataFrame) -> DataFrame:
     """Word counts as rows (key long, n long)."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for keys, n in zip(frame.column("keys").to_pylist(), frame.column("counts").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(n, "<i8"))], ["key", "n"])
+            for i in range(frame.num_rows):
+                keys, n = entries(frame.slice(i, 1).to_pylist()[0])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
     return counts.where("kind = 0").mapInArrow(run, "key long, n long")
 
@@ -162,46 +174,83 @@ def place(h: np.ndarray, step: np.ndarray, probe: int, bits: np.ndarray) -> np.n
     return ((((h + np.uint64(probe) * step) >> np.uint64(32)) * bits.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
-def build_filter(counts: DataFrame, most_bytes: int = 192 << 20) -> Filter:
-    """Each task makes the segments of its rows; the driver joins at most ``most_bytes``."""
+def build_filter(counts: DataFrame, most_bytes: int = 192 << 20) -> tuple[Filter | None, DataFrame | None]:
+    """The filter, joined by the driver, if it has at most ``most_bytes``; else its segments (bucket, held). Each task makes the segments of its rows."""
     def sizes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            n = [int(np.searchsorted(LEVELS, np.frombuffer(c, "<i8"), side="right").sum()) for c in frame.column("counts").to_pylist()]
+            n = [int(np.searchsorted(LEVELS, entries(frame.slice(i, 1).to_pylist()[0])[1], side="right").sum()) for i in range(frame.num_rows)]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
 
-    bigrams = counts.where("kind = 1").select("bucket", "keys", "counts")
-    entries = bigrams.mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
-    each = min(PROBES / log(2), 8 * most_bytes / max(entries, 1))
+    bigrams = counts.where("kind = 1").select("bucket", "once", "keys", "counts")
+    total = bigrams.mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
+    each = PROBES / log(2)
 
     def build(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for row in frame.to_pylist():
-                keys, n = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], "<i8")
+            for i in range(frame.num_rows):
+                row = frame.slice(i, 1).to_pylist()[0]
+                keys, n = entries(row)
                 level = np.searchsorted(LEVELS, n, side="right")
                 size = max(8, ceil(level.sum() * each / 8))
-                flags = np.zeros(8 * size, dtype=bool)
+                held = np.zeros(size, dtype=np.uint8)
                 for q in range(1, int(level.max(initial=0)) + 1):
                     k = keys[level >= q]
                     h, step = hashes(k, q)
-                    for i in range(PROBES):
-                        flags[place(h, step, i, np.array([8 * size]))] = True
-                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["bucket", "held"])
-
-    parts = {r["bucket"]: r["held"] for r in bigrams.mapInArrow(build, "bucket int, held binary").collect()}
+                    for probe in range(PROBES):
+                        at = place(h, step, probe, np.array([8 * size]))
+                        np.bitwise_or.at(held, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int32()), pa.array([held.tobytes()], pa.binary())], ["bucket", "held"])
+
+    built = bigrams.mapInArrow(build, "bucket int, held binary")
+    if total * each / 8 > most_bytes:
+        return None, stage(built, "filter")
+    parts = {r["bucket"]: r["held"] for r in built.collect()}
     parts = [bytes(parts.get(b) or bytes(8)) for b in range(256)]
     ends = np.cumsum([len(p) for p in parts])
-    return Filter(np.array([8 * len(p) for p in parts]), np.concatenate([[0], ends[:-1]]), np.frombuffer(b"".join(parts), dtype=np.uint8))
+    return Filter(np.array([8 * len(p) for p in parts]), np.concatenate([[0], ends[:-1]]), np.frombuffer(b"".join(parts), dtype=np.uint8)), None
+
+
+def dealt_levels(first: DataFrame, model: Model) -> DataFrame:
+    """(unit, keys, levels): the kept bigrams of each unit of ``first`` (unit, bigrams), which are dealt to the filter's segments; a segment meets the keys in parts of some 64 MB."""
+    parts = max(1, ceil(model.n * 8 / 256 / (64 << 20)))
+
+    def deal(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            units = np.repeat(np.asarray(frame.column("unit")), np.asarray(frame.column("bigrams").value_lengths()))
+            keys = np.asarray(frame.column("bigrams").flatten()).view(np.uint64)
+            for unit in np.unique(units):
+                k = np.unique(keys[units == unit])
+                edges = np.searchsorted(k, np.arange(1, 256, dtype=np.uint64) << TOP)
+                rows = [(b, x.tobytes()) for b, x in enumerate(np.split(k, edges)) if len(x)]
+                columns = [pa.array([int(unit)] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([int(unit) % parts] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["unit", "bucket", "part", "keys"])
+
+    def probe(sent: pa.Table, segment: pa.Table) -> pa.Table:
+        out = []
+        if sent.num_rows and segment.num_rows:
+            held = np.frombuffer(segment.column("held")[0].as_py(), np.uint8)
+            one = Filter(np.full(256, 8 * len(held)), np.zeros(256, np.int64), held)
+            for unit, keys in zip(sent.column("unit").to_pylist(), sent.column("keys").to_pylist()):
+                keys = np.frombuffer(keys, np.uint64)
+                level = one.levels(keys)
+                out.append((unit, keys[level > 0].tobytes(), level[level > 0].tobytes()))
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["unit", "keys", "levels"])
+
+    sent = first.select("unit", "bigrams").mapInArrow(deal, "unit long, bucket int, part int, keys binary")
+    segments = model.segments.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return sent.groupBy("bucket", "part").cogroup(segments.groupBy("bucket", "part")).applyInArrow(probe, "unit long, keys binary, levels binary")
 
 
 @dataclass
 class Model:
     heads: np.ndarray  # hashes of the frequent words, sorted
     counts: np.ndarray
-    filter: Filter
+    filter: Filter | None  # none if it is in segments
     n: int
     v: int
     n1: int
     backoff: np.ndarray | None = None  # by class
+    segments: DataFrame | None = None  # (bucket, held)
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each hash among the frequent words, or -1."""
@@ -214,7 +263,7 @@ class Model:
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """For each token, the level of the bigram that it ends."""
-        return self.filter.levels(bigram_keys(hashes, np.concatenate([[END], hashes[:-1]]) if len(hashes) else hashes))
+        return self.filter.levels(bigrams(hashes))
 
 
 def kept(level: np.ndarray, cv: np.ndarray) -> np.ndarray:
@@ -223,7 +272,7 @@ def kept(level: np.ndarray, cv: np.ndarray) -> np.ndarray:
 
 
 def fit(train: DataFrame, most_words: int = 500_000, most_bytes: int = 192 << 20) -> tuple[Model, DataFrame]:
-    """The model, and the counts (key, n) of the words that are not broadcast. At most ``most_words`` words and ``most_bytes`` of filter are."""
+    """The model, and the counts (key, n) of the words that are not broadcast. At most ``most_words`` words are, and a filter of at most ``most_bytes``."""
     counts = counted(train)
     words = unpacked(counts)
     spread = sorted((r["n"], r["count"]) for r in words.groupBy("n").count().collect())
@@ -236,7 +285,9 @@ def fit(train: DataFrame, most_words: int = 500_000, most_bytes: int = 192 << 20
     keys, n = (heads.column(c).to_numpy() for c in ("key", "n"))
     order = np.argsort(keys.view(np.uint64))
     total = sum(n * c for n, c in spread)
-    model = Model(keys.view(np.uint64)[order].copy(), n[order], build_filter(counts, most_bytes), total, sum(c for _, c in spread), dict(spread).get(1, 0))
+    held, segments = build_filter(counts, most_bytes)
+    model = Model(keys.view(np.uint64)[order].copy(), n[order], held, total, sum(c for _, c in spread), dict(spread).get(1, 0))
+    model.segments = segments
     rare = words.where(F.col("n") < least)
     model.backoff = backoff(train, model, rare)
     return model, rare
@@ -273,9 +324,10 @@ def looked_up(docs: DataFrame, model: Model, rare: DataFrame, use, keys: tuple,
     Words that aren't broadcast are looked up by a join on their hash, once for each document and word. Tokens that need none are used at once; of the others, a count is
     held as it is, or as -1 - its place among the document's words that are looked up. ``by_bigram``: a kept bigram after a broadcast word needs no other count.
     """
-    share = docs.sparkSession.sparkContext.broadcast(model)
+    share = docs.sparkSession.sparkContext.broadcast(replace(model, segments=None))
+    dealt = model.segments is not None
     kinds = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keys)
-    names = [*keys, "n_tokens", "n_known", "base_score", "sums", "rest", "times", "word", "before", "level"]
+    names = [*keys, "n_tokens", "n_known", "base_score", "sums", "rest", "times", "word", "before", "level", "unit", "bigrams"]
     bottom = model.n + model.v + 1
 
     def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -284,7 +336,8 @@ def looked_up(docs: DataFrame, model: Model, rare: DataFrame, use, keys: tuple,
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = share.value
         known = Codes(word_hash)
-        for table in batches(frames):
+        for number_of, table in enumerate(batches(frames)):
+            unit = (TaskContext.get().partitionId() << 33) + number_of
             hashes, sizes = token_hashes(table.column("text").to_pylist(), known)
             rows, row = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
             at = model.places(hashes)
@@ -305,50 +358,69 @@ def looked_up(docs: DataFrame, model: Model, rare: DataFrame, use, keys: tuple,
             starts = np.cumsum(sizes) - sizes
             before = np.concatenate([word[:1], word[:-1]])
             before[starts] = word[np.cumsum(sizes) - 1]
-            level = model.levels(hashes)
-            local = (before >= 0) & ((word >= 0) | (level > 0) & by_bigram)
+            level = np.zeros(len(hashes), np.int8) if dealt else model.levels(hashes)
+            local = np.full(len(hashes), not dealt) & (before >= 0) & ((word >= 0) | (level > 0) & by_bigram)
             sums = use(model, word[local], before[local], level[local], row[local], rows)
             open_ = np.bincount(row[~local], minlength=rows)
             columns = [table.column(k).combine_chunks() for k in keys] + [
                 pa.array(sizes), pa.array(np.bincount(row[held], minlength=rows)), pa.array(base), lists(np.concatenate(sums), np.array([len(x) for x in sums])),
                 lists(hashes[firsts].view(np.int64), number), lists(times, number), lists(word[~local], open_), lists(before[~local], open_), lists(level[~local].astype(np.int16), open_),
+                pa.array(np.full(rows, unit)), lists(bigrams(hashes).view(np.int64), sizes) if dealt else lists(np.zeros(0, np.int64), np.zeros(rows, np.int64)),
             ]
             yield from pa.table(columns, names=names).to_batches()
 
     def finish(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = share.value
         for frame in frames:
-            def flat(name):
-                column = frame.column(name)
-                sizes = np.asarray(column.value_lengths())
-                return column.flatten(), sizes, np.repeat(np.arange(len(sizes)), sizes)
-
-            rows = frame.num_rows
-            times, number, owner = flat("times")
-            starts = np.cumsum(number) - number
-            counts = np.zeros(len(owner), dtype=np.int64)
-            found, _, of = flat("found")
-            counts[starts[of] + np.asarray(found.field("i"))] = np.asarray(found.field("n"))
-            times = np.asarray(times)
-            n_known = np.asarray(frame.column("n_known")) + np.bincount(owner, times * (counts > 0), rows).astype(np.int64)
-            base = np.asarray(frame.column("base_score")) + np.bincount(owner, times * np.log10((counts + 1) / bottom), rows)
-            word, _, row = flat("word")
-            values = [np.asarray(word), np.asarray(flat("before")[0])]
-            word, before = (np.where(x < 0, np.append(counts, 0)[np.where(x < 0, starts[row] - x - 1, 0)], x) for x in values)
-            sums = use(model, word, before, np.asarray(flat("level")[0]), row, rows)
-            old, sizes, of = flat("sums")
-            old = np.split(np.asarray(old), np.cumsum(sizes)[:-1])
-            sums = [b if not len(a) else a if not len(b) else a + b for a, b in zip(old, sums)]
-            columns = [frame.column(k) for k in keys] + [frame.column("n_tokens"), pa.array(n_known), pa.array(base), lists(np.concatenate(sums), np.array([len(x) for x in sums]))]
-            yield pa.RecordBatch.from_arrays(columns, names=names[: len(keys) + 4])
+            yield complete(frame, np.asarray(frame.column("level").flatten()))
+
+    def finish_unit(table: pa.Table, levels: pa.Table) -> pa.Table:
+        frame = table.combine_chunks().to_batches()[0]
+        keys, level = unpack(levels.column("keys"), np.uint64), unpack(levels.column("levels"), np.int8)
+        order = np.argsort(keys)
+        keys, level = np.append(keys[order], np.uint64(0)), np.append(level[order], np.int8(0))
+        sought = np.asarray(frame.column("bigrams").flatten()).view(np.uint64)
+        at = np.searchsorted(keys[:-1], sought)
+        return pa.Table.from_batches([complete(frame, np.where(keys[at] == sought, level[at], 0))])
+
+    def complete(frame: pa.RecordBatch, level: np.ndarray) -> pa.RecordBatch:
+        model = share.value
+
+        def flat(name):
+            column = frame.column(name)
+            sizes = np.asarray(column.value_lengths())
+            return column.flatten(), sizes, np.repeat(np.arange(len(sizes)), sizes)
+
+        rows = frame.num_rows
+        times, number, owner = flat("times")
+        starts = np.cumsum(number) - number
+        counts = np.zeros(len(owner), dtype=np.int64)
+        found, _, of = flat("found")
+        counts[starts[of] + np.asarray(found.field("i"))] = np.asarray(found.field("n"))
+        times = np.asarray(times)
+        n_known = np.asarray(frame.column("n_known")) + np.bincount(owner, times * (counts > 0), rows).astype(np.int64)
+        base = np.asarray(frame.column("base_score")) + np.bincount(owner, times * np.log10((counts + 1) / bottom), rows)
+        word, _, row = flat("word")
+        values = [np.asarray(word), np.asarray(flat("before")[0])]
+        word, before = (np.where(x < 0, np.append(counts, 0)[np.where(x < 0, starts[row] - x - 1, 0)], x) for x in values)
+        sums = use(model, word, before, level, row, rows)
+        old, sizes, of = flat("sums")
+        old = np.split(np.asarray(old), np.cumsum(sizes)[:-1])
+        sums = [b if not len(a) else a if not len(b) else a + b for a, b in zip(old, sums)]
+        columns = [frame.column(k) for k in keys] + [frame.column("n_tokens"), pa.array(n_known), pa.array(base), lists(np.concatenate(sums), np.array([len(x) for x in sums]))]
+        return pa.RecordBatch.from_arrays(columns, names=names[: len(keys) + 4])
 
     facts = f"{kinds}n_tokens long, n_known long, base_score double, sums array<double>"
-    first = docs.select(*keys, "text").mapInArrow(run, f"{facts}, rest array<long>, times array<long>, word array<long>, before array<long>, level array<smallint>")
+    first = docs.select(*keys, "text").mapInArrow(run, f"{facts}, rest array<long>, times array<long>, word array<long>, before array<long>, level array<smallint>, unit long, bigrams array<long>")
     first = stage(first.withColumn("__row", F.monotonically_increasing_id()), "lm-tokens")
     sought = first.select("__row", F.posexplode("rest").alias("i", "key"))
     found = sought.join(rare, "key").groupBy("__row").agg(F.collect_list(F.struct("i", "n")).alias("found"))
     found = first.drop("rest").join(found, "__row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<i:int,n:bigint>>")))
-    out = stage(found.drop("__row").mapInArrow(finish, facts), "lm-scores")
+    found = found.drop("__row")
+    if dealt:
+        done = found.groupBy("unit").cogroup(dealt_levels(first, model).groupBy("unit")).applyInArrow(finish_unit, facts)
+    else:
+        done = found.mapInArrow(finish, facts)
+    out = stage(done, "lm-scores")
     discard(first)
     return out
 

@@ -150,6 +150,17 @@ def test_score_is_the_same_for_any_number_of_words_broadcast(docs):
     assert got[0] == got[1] == got[2]
 
 
+def test_all_bigrams_are_kept_in_a_filter_of_any_size(docs):
+    got = []
+    for most in (192 << 20, 100):
+        model, rare = lm.fit(docs, most_words=40, most_bytes=most)
+        got.append(sorted((str(r["doc_id"]), round(r["score"], 6)) for r in lm.score(docs, model, rare).collect()))
+        if model.segments is None:
+            hashes, _ = lm.token_hashes([t for _, t in texts()], lm.Codes(lm.word_hash))
+            assert (model.levels(hashes) > 0).all()
+    assert model.segments is not None and got[0] == got[1]
+
+
 def test_filter_returns_counts():
     rng = np.random.default_rng(4)
     keys = rng.integers(0, 1 << 62, 5000, dtype=np.uint64) >> np.uint64(8) << np.uint64(8)

@@ -6,9 +6,11 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, which is what
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, a new local one (local mode and tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a new local one in local mode, and an error on a cluster, whose machines share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="parley-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -72,10 +77,63 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+LETTERS = np.random.default_rng(17).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BLANK = np.isin(np.arange(256), [ord(c) for c in SPACES])
+POWER = 0x9E3779B97F4A7C15
+
+
+@lru_cache(4)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def word_hashes(texts: list, window: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one text after another, and the number of words of each.
+
+    A word's hash comes from differences of running sums of its bytes' random numbers times powers, which is the same wherever the word stands;
+    the sums are made over windows of some 256 KB of whole words.
+    """
+    bodies = [t.encode() if t else b"" for t in texts]
+    raw = np.frombuffer(b" ".join([b"", *bodies, b""]).lower(), dtype=np.uint8)
+    blank = BLANK[raw]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + window, side="right")))
+        size = int(ends[to - 1] - base)
+        room = max(window, 1 << size.bit_length())
+        sums = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(LETTERS[raw[base : base + size]] * _powers(POWER, room)[:size], out=sums[1:])
+        s, e = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = (sums[e] - sums[s]) * _powers(pow(POWER, -1, 1 << 64), room)[s]
+        at = to
+    closes = np.cumsum([len(b) + 1 for b in bodies]) if bodies else np.zeros(0, np.int64)
+    return mix64(out), np.bincount(np.searchsorted(closes, starts, side="right"), minlength=len(bodies))[: len(bodies)]
+
+
+def bucket_bits(size: int, each: int = 64 << 20, least: int = 8, most: int = 17) -> int:
+    """How many leading bits of a hash part ``size`` bytes into buckets of about ``each``."""
+    return min(most, max(least, (size // each).bit_length()))
+
+
+def release() -> None:
+    """Give free memory back to the system: a Python worker serves one task after another, and what one has left unused would stand beside what the next one takes."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class Codes(dict):
     """Maps keys to values made by ``make``. Holds ``most`` entries and as many older ones, which go when it is full again."""
 
-    def __init__(self, make: Callable, most: int = 400_000):
+    def __init__(self, make: Callable, most: int = 150_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
@@ -108,6 +166,7 @@ def batches(frames: Iterator[pa.RecordBatch], limit: int = 8 << 20, column: str
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+    release()
 
 
 def by_bucket(buckets: np.ndarray, count: int, **columns: np.ndarray) -> dict[str, list]:

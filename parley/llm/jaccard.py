@@ -1,7 +1,7 @@
 """Exact Jaccard join of documents as sets of five-word shingles, with set relations used to skip work.
 
-Equal sets are one set. Sets that a few min-hashes show to be alike are verified against one of them, their pivot, so that most near
-copies are a pivot and its members, whose differences from it are known. A prefix index (rarer shingles first) then gives every pair that could link;
+Equal sets are one set. Sets that a few min-hashes show to be alike are verified against one of them, their pivot: the one that shares most with the others, which in a
+group of near copies is what they were made from or close to it. So most near copies are a pivot and its members, whose differences from it are known. A prefix index (rarer shingles first) then gives every pair that could link;
 its lists are cut into blocks by pivot, and blocks whose sizes and positions rule a link out are skipped. A pair of
 pivots is verified once, and the answers of their members are derived from it: |z & y| lies between |p & q| - |p - z| - |q - y| and
 |p & q| + |z - p| + |y - q|, which settles nearly all; the rest is verified. The order of the index affects speed only.
@@ -16,32 +16,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Codes, batches, components, discard, mix64, stage, unpack
+from .common import batches, bucket_bits, components, discard, mix64, stage, unpack, word_hashes
 
 WORDS = 5
-BANDS, DEPTH = 6, 4
+BANDS, DEPTH = 8, 3
 FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BUCKETS = 256
 LONG = 64
 
 
-def _hash(word: bytes) -> int:
+def _hash(data: bytes) -> int:
     from xxhash import xxh3_64_intdigest
 
-    return xxh3_64_intdigest(word)
+    return xxh3_64_intdigest(data)
 
 
-def shingles(text: str | None, known) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes. With fewer than five words, the whole sequence is one; with none, there is none."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    size = min(WORDS, len(w))
-    h = np.full(len(w) - size + 1, size, dtype=np.uint64)
-    for i in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - size + 1 + i]
-    return np.unique(mix64(h))
+def shingles(texts: list) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes. With fewer than five words, the whole sequence is one; with none, there is none."""
+    words, sizes = word_hashes(texts)
+    step = np.uint64(0x9E3779B97F4A7C15)
+    ends = np.cumsum(sizes)
+
+    def join(parts: list[np.ndarray]) -> np.ndarray:
+        h = np.full(len(parts[0]), len(parts), dtype=np.uint64)
+        for part in parts:
+            h = h * step + part
+        return mix64(h)
+
+    n = len(words) - WORDS + 1
+    every = join([words[i : n + i] for i in range(WORDS)]) if n > 0 else np.zeros(0, np.uint64)
+    out = []
+    for start, size in zip((ends - sizes).tolist(), sizes.tolist()):
+        out.append(np.unique(every[start : start + size - WORDS + 1]) if size >= WORDS else join([words[start + i : start + i + 1] for i in range(size)]) if size else np.zeros(0, np.uint64))
+    return out
 
 
 def set_id(s: np.ndarray) -> int:
@@ -68,9 +74,8 @@ def profile(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Codes(_hash)
-        for table in batches(frames, 16 << 20):
-            sets = [shingles(t, known) for t in table.column("text").to_pylist()]
+        for table in batches(frames, 8 << 20):
+            sets = shingles(table.column("text").to_pylist())
             rids = [set_id(s) if len(s) else None for s in sets]
             distinct = {r: s for r, s in zip(rids, sets) if len(s)}
             every, times = np.unique(np.concatenate([*distinct.values(), np.zeros(0, np.uint64)]), return_counts=True)
@@ -111,17 +116,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """(s, rid, pos, long): the entries of the prefix index whose list holds more than one set, and whether it holds over ``LONG``. Each batch sends an entry of a set once."""
+def index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int, bits: int) -> DataFrame:
+    """(s, rid, pos, long): the entries of the prefix index whose list holds more than one set, and whether it holds over ``LONG``. Each batch sends an entry of a set once, to the
+    bucket of its leading ``bits`` (8 or more)."""
     share = docs.sparkSession.sparkContext.broadcast(common)
 
     def entries(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Codes(_hash)
         often, level = share.value
         for table in batches(frames, 8 << 20):
             done, parts = set(), []
-            for text in table.column("text").to_pylist():
-                s = shingles(text, known)
+            for s in shingles(table.column("text").to_pylist()):
                 if not len(s) or (rid := set_id(s)) in done:
                     continue
                 done.add(rid)
@@ -136,16 +140,16 @@ def index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int)
                 s, rid, pos = (np.concatenate(c) for c in zip(*parts))
                 order = np.argsort(s, kind="stable")
                 s, rid, pos = s[order], rid[order], pos[order]
-                edges = np.searchsorted((s >> np.uint64(56)).astype(np.int64), np.arange(BUCKETS + 1))
-                short = np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 1:7])  # the lowest byte goes, the top one is the bucket
-                full = [b for b in range(BUCKETS) if edges[b] < edges[b + 1]]
+                edges = np.searchsorted((s >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+                short = np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 1:7])  # the lowest byte goes, the top one is the bucket's
+                full = np.flatnonzero(np.diff(edges)).tolist()
                 cut = lambda a: pa.array([a[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(short), cut(rid), cut(pos)], ["bucket", "s", "rid", "pos"])
 
     def lists(table: pa.Table) -> pa.Table:
         bucket, short = table.column("bucket")[0].as_py(), unpack(table.column("s"), np.uint8).reshape(-1, 6)
         wide = np.zeros((len(short), 8), dtype=np.uint8)
-        wide[:, 1:7], wide[:, 7] = short, bucket
+        wide[:, 1:7], wide[:, 7] = short, bucket >> (bits - 8)
         s, rid, pos = wide.view(np.int64).ravel(), unpack(table.column("rid"), np.int64), unpack(table.column("pos"), "<u2")
         order = np.lexsort((pos, rid, s))
         s, rid, pos = s[order], rid[order], pos[order]
@@ -221,64 +225,82 @@ def _until(s, least, most, starts, ends, percent) -> np.ndarray:
     return out
 
 
-def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, most: int = 2_000_000, tile: int = 256) -> DataFrame:
+def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, most: int = 2_000_000) -> DataFrame:
     """Exact overlaps (a, b, o) of the sets of stored, distinct ``pairs`` (a, b).
 
-    Sets are made again from the texts that are needed, and each goes where its pairs are compared in one exchange. The members of one b go in tiles of
-    about ``tile``, each with its own copy of b, so a pivot of many is spread.
+    Sets are made again from the texts that are needed, and each goes where its pairs are compared in one exchange. ``reps`` deals sets that are alike to cells of bounded size; a pair
+    is compared where the pairs of its two cells are, so in a group in which many pairs must be compared a set is sent once for each cell that it meets, not for each pair.
     """
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / tile).alias("tiles")).where("tiles > 1")
     total = pairs.count()
     buckets = max(64, total // 1000)
-    cell = F.pmod(F.xxhash64("a"), F.coalesce("tiles", F.lit(1)))
-    tiled = pairs.join(sizes, "b", "left").select("a", "b", cell.alias("tile"))
-    tiled = stage(tiled.select("a", "b", F.pmod(F.xxhash64("b", "tile"), F.lit(buckets)).cast("int").alias("bucket")), "tiled")
-    none = F.lit(None).cast("bigint")
-    goes = tiled.select(F.col("a").alias("rid"), "bucket", "a", "b").union(tiled.select("b", "bucket", none, "b").distinct())
-    # a set that very many pairs have goes in several rows
-    part = F.floor(F.row_number().over(Window.partitionBy("rid").orderBy("bucket", "b", "a")) / 4096)
-    goes = goes.withColumn("part", part).groupBy("rid", "part").agg(F.collect_list(F.struct("bucket", "a", "b")).alias("goes"))
+    cells = reps.select("rid", "cell")
+    placed = pairs.join(cells.withColumnsRenamed({"rid": "a", "cell": "ca"}), "a").join(cells.withColumnsRenamed({"rid": "b", "cell": "cb"}), "b")
+    bucket = F.pmod(F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")), F.lit(buckets)).cast("int")
+    placed = stage(placed.select("a", "b", bucket.alias("bucket")), "placed")
+    wanted = placed.select(F.col("a").alias("rid"), "bucket").union(placed.select("b", "bucket")).distinct()
+    goes = wanted.groupBy("rid").agg(F.collect_list("bucket").alias("goes"))  # as many as there are cells alike, at most
     goes = stage(goes.join(reps.select("rid", "doc_id"), "rid").select("doc_id", F.col("rid").alias("own"), "goes"), "goes")
-    few = total <= most  # then the ids and pairs fit a broadcast of some 100 MB
+    few = total <= most  # then the ids and buckets fit a broadcast of some 100 MB
     texts = docs.select("doc_id", "text").join(F.broadcast(goes) if few else goes, "doc_id").select("own", "text", "goes")
 
     def make(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Codes(_hash)
         for table in batches(frames, 2 << 20):
-            out: tuple = ([], [], [], [])
-            for own, text, goes in zip(*(table.column(c).to_pylist() for c in ("own", "text", "goes"))):
-                s = shingles(text, known)
+            out: tuple = ([], [], [])
+            size = 0
+            for own, s, goes in zip(table.column("own").to_pylist(), shingles(table.column("text").to_pylist()), table.column("goes").to_pylist()):
                 if len(s) and set_id(s) == own:  # another row may have the id of the set's document
                     held = s.tobytes()
                     for g in goes:
-                        for c, v in zip(out, (g["bucket"], g["a"], g["b"], held)):
+                        for c, v in zip(out, (g, own, held)):
                             c.append(v)
-                if len(out[3]) > 1000:
+                        size += len(held)
+                if size > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-                    out = ([], [], [], [])
+                    out, size = ([], [], []), 0
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    kinds, names = (pa.int32(), pa.int64(), pa.int64(), pa.binary()), ["bucket", "a", "b", "s"]
+    kinds, names = (pa.int32(), pa.int64(), pa.binary()), ["bucket", "rid", "s"]
 
-    def count(table: pa.Table) -> pa.Table:
-        a, b, sets = (table.column(c).to_pylist() for c in ("a", "b", "s"))
-        pivots = {y: s for x, y, s in zip(a, b, sets) if x is None}
-        out: list[tuple] = []
+    def count(asked: pa.Table, held: pa.Table) -> pa.Table:
+        sets = {r: s.as_buffer() for r, s in zip(held.column("rid").to_pylist(), (s for c in held.column("s").chunks for s in c))}
+        a, b = asked.column("a").to_numpy(), asked.column("b").to_numpy()
+        out = np.zeros(len(a), np.int64)
         last, own = None, np.zeros(0, np.uint64)
-        for i in sorted((i for i, x in enumerate(a) if x is not None), key=lambda i: b[i]):
+        for i in np.argsort(b, kind="stable").tolist():
             if b[i] != last:
-                last, own = b[i], np.frombuffer(pivots[b[i]], np.uint64)
-            s = np.frombuffer(sets[i], np.uint64)
-            at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-            out.append((a[i], b[i], int((own[at] == s).sum())))
-        return pa.table([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["a", "b", "o"])
-
-    made = texts.mapInArrow(make, "bucket int, a long, b long, s binary")
-    out = stage(made.groupBy("bucket").applyInArrow(count, "a long, b long, o long").distinct(), "overlaps")
-    discard(tiled, goes)
+                last, own = b[i], np.frombuffer(sets[b[i]], np.uint64)
+            s = np.frombuffer(sets[a[i]], np.uint64)
+            if len(own) < len(s):
+                s, into = own, s
+            else:
+                into = own
+            out[i] = (into[np.minimum(np.searchsorted(into, s), len(into) - 1)] == s).sum()
+        return pa.table([pa.array(a), pa.array(b), pa.array(out)], names=["a", "b", "o"])
+
+    made = texts.mapInArrow(make, "bucket int, rid long, s binary")
+    out = stage(placed.groupBy("bucket").cogroup(made.groupBy("bucket")).applyInArrow(count, "a long, b long, o long"), "overlaps")
+    discard(placed, goes)
     return out
 
 
+def represented(sets: DataFrame, cell: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets (rid, doc_id, n, parity, cell), and (rid, n, band, score) of their min-hash bands that several have, both stored.
+
+    A set's score is how many sets its bands are shared with. Its cell is that of its most shared band, which is cut into as many as hold about ``cell`` shingles each; a set that shares none is a cell of its own.
+    """
+    reps = stage(sets.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"), F.min("parity").alias("parity")), "sets-of-docs")
+    banded = reps.select("rid", "n", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1")
+    banded = stage(banded.join(shared, "band"), "bands")
+    facts = banded.groupBy("rid").agg(F.sum("c").alias("score"), F.max(F.struct("c", "band", "w")).alias("x"))
+    alike = F.pmod(F.xxhash64("rid"), F.ceil(F.col("x.w") / cell))
+    facts = stage(facts.select("rid", "score", F.xxhash64("x.band", alike).alias("cell")), "cells")
+    out = stage(reps.join(facts.select("rid", "cell"), "rid", "left").select("rid", "doc_id", "n", "parity", F.coalesce("cell", "rid").alias("cell")), "reps")
+    near = stage(banded.select("rid", "n", "band").join(facts.select("rid", "score"), "rid"), "near")
+    discard(reps, banded, facts)
+    return out, near
+
+
 def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``doc_id``, n_shingles, component_id for each row: the smallest doc_id reachable over links, itself included.
 
@@ -288,12 +310,12 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = docs.select("doc_id", "text")
     profiled = stage(profile(docs), "profile")
     sets = profiled.where("rid is not null and doc_id is not null")
-    reps = stage(sets.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"), F.min("parity").alias("parity")), "sets-of-docs")
+    reps, banded = represented(sets)
+    bits = bucket_bits((reps.agg(F.sum("n")).first()[0] or 0) * 16 * (100 - percent) // 100)  # 16 bytes for each entry of the index
     like = lambda o, n, m: o * (100 + percent) >= (n + m) * percent
 
     # pivots
-    banded = reps.select("rid", "n", F.explode("bands").alias("band"))
-    heads = stage(banded.groupBy("band").agg(F.min(F.struct("rid", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").select("band", F.col("head.rid").alias("b"), F.col("head.n").alias("m")), "heads")
+    heads = stage(banded.groupBy("band").agg(F.max(F.struct("score", "rid", "n")).alias("head")).select("band", F.col("head.rid").alias("b"), F.col("head.n").alias("m")), "heads")
     near = banded.join(heads, "band").where("rid <> b").where((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
     votes = near.groupBy("rid", "b").agg(F.count("*").alias("c"))
     tried = stage(votes.withColumn("k", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("c"), "b"))).where("k <= 2").select(F.col("rid").alias("a"), "b"), "tried")
@@ -306,10 +328,10 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     zero = F.lit(0).cast("long")
     kin = components(known.select("a", "b")).withColumnsRenamed({"id": "rid", "component_id": "kin"})
     family = stage(size.join(members, "rid", "left").join(kin, "rid", "left").select("rid", "n", F.coalesce("kin", "rid").alias("kin"), F.coalesce("pivot", "rid").alias("pivot"), F.coalesce("plus", zero).alias("plus"), F.coalesce("minus", zero).alias("minus")), "family")
-    discard(heads, tried, best)
+    discard(heads, tried, best, banded)
 
     # pairs of pivots, from the index
-    entries = stage(index(docs, frequent(profiled), percent), "entries")
+    entries = stage(index(docs, frequent(profiled), percent, bits), "entries")
     listed = entries.join(family.select("rid", "n", "pivot", "kin"), "rid")
     flat = listed.where("not long").select("s", "pos", "n", "pivot", "kin", F.lit(None).cast("binary").alias("parity"))
     listed = stage(flat.union(listed.where("long").join(reps.select("rid", "parity"), "rid").select("s", "pos", "n", "pivot", "kin", "parity")), "lists")
@@ -327,7 +349,8 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     met = open_.join(side("z", "a"), "a").join(side("y", "b"), "b").where("(z <> a or y <> b) and kz <> ky")
     met = met.where(like(F.least(F.col("o") + F.col("pz") + F.col("py"), F.col("nz"), F.col("ny")), F.col("nz"), F.col("ny")))
     met = stage(met.select("z", "y", like(F.col("o") - F.col("mz") - F.col("my"), F.col("nz"), F.col("ny")).alias("sure")), "met")
-    third = overlaps(docs, reps, stage(met.where("not sure").select(F.greatest("z", "y").alias("a"), F.least("z", "y").alias("b")).distinct(), "open"))
+    unsure = stage(met.where("not sure").select(F.greatest("z", "y").alias("a"), F.least("z", "y").alias("b")).distinct(), "open")
+    third = overlaps(docs, reps, unsure)
     more = sized(third).where(like(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b")
 
     edges = known.select("a", "b").union(links).union(met.where("sure").select("z", "y")).union(more)
@@ -335,7 +358,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     roots = reps.select("rid", "doc_id").join(classes.withColumnRenamed("id", "rid"), "rid", "left").withColumn("c", F.coalesce("component_id", "rid"))
     least = stage(roots.groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
     answer = stage(roots.select("rid", "c").join(least, "c").select("rid", "component_id"), "classes")
-    discard(first, second, third, known, family, met, least)
+    discard(first, second, third, known, family, met, least, pairs, unsure, classes, reps)
     out = profiled.select("doc_id", "n_shingles", "rid").join(answer, "rid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -6,9 +6,10 @@ The filter is built in segments by hash, each by one task; its size follows from
 a larger one stays in its segments, and the bigrams of the texts are dealt to them. Unigram counts are exact: the most frequent words, as many as a bound allows, are
 broadcast, and all others are joined, so the bound changes no score.
 
-P(w | v) = (c(v w) - 1/2) / c(v) where the filter has the bigram, else backoff(v) * P(w). Backoff weights leave each
-class of words v (by the magnitude of c(v)) the mass that its kept bigrams don't take. P(w) is c(w) / (N + n1 + 1) for words seen;
-what is left is spread evenly over one more unseen word than there are words seen once.
+P(w | v) = (q(v w) + m P(w)) / (c(v) + m + f V): q is the mean count of the level that the filter tells for the bigram, at most c(v) and c(w); m is the mean number of different words
+after a word; f is the share of absent bigrams that the filter has by mistake, and V the number of words, so f V is what false hits add over the vocabulary. The sum over all words is therefore 1 in expectation,
+and off by no more than the levels are coarse. P(w) is c(w) / (N + n1 + 1) for words seen; what is left is spread evenly over one more unseen word than there are
+n1 words seen once. After a word never seen, P(w | v) = P(w).
 """
 
 from __future__ import annotations
@@ -23,24 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, batches, discard, fold, mix64, stage, unpack
+from .common import batches, bucket_bits, fold, mix64, release, stage, unpack, word_hashes
 
 #: The counts at which levels begin.
 LEVELS = np.unique((1.5 ** np.arange(60)).astype(np.int64))
-COUNTS = np.sqrt(LEVELS * (np.append(LEVELS[1:], LEVELS[-1] * 3 // 2) - 1.0))
-PROBES = 5
-DISCOUNT = 0.5
+PROBES = 8
 END = np.uint64(0x9E3779B97F4A7C00)
 TOP = np.uint64(56)
 
 
-def word_hash(word: bytes) -> int:
-    """The upper 56 bits of a 64-bit hash, in place."""
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(word) >> 8 << 8
-
-
 def bigram_keys(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix64(before * np.uint64(0xD6E8FEB86659FD93) + tokens)
 
@@ -50,21 +42,21 @@ def bigrams(hashes: np.ndarray) -> np.ndarray:
     return bigram_keys(hashes, np.concatenate([[END], hashes[:-1]]) if len(hashes) else hashes)
 
 
-def token_hashes(texts: list, known) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, each text closed by the end, and the number of tokens of each."""
-    of = known.__getitem__
-    parts, sizes = [], np.empty(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
-        words = text.encode().lower().split() if text else []
-        sizes[i] = len(words) + 1
-        parts.append(np.fromiter(map(of, words), np.uint64, len(words)))
-        parts.append(np.array([END]))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), sizes
+def token_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (the upper 56 bits) of the words of all texts, each text closed by the end, and the number of tokens of each."""
+    words, sizes = word_hashes(texts)
+    out = np.full(len(words) + len(texts), END)
+    out[np.arange(len(words)) + np.repeat(np.arange(len(texts)), sizes)] = words >> np.uint64(8) << np.uint64(8)
+    return out, sizes + 1
+
 
+def _edges(bits: int) -> np.ndarray:
+    return np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
-def _parts(keys: np.ndarray, counts: np.ndarray, kind: int) -> list[tuple]:
-    """Rows (kind, bucket, keys seen once, keys seen more often, their counts) of sorted keys; a bucket is a key's top byte."""
-    edges = np.searchsorted(keys, np.arange(1, 256, dtype=np.uint64) << TOP)
+
+def _parts(keys: np.ndarray, counts: np.ndarray, kind: int, bits: int) -> list[tuple]:
+    """Rows (kind, bucket, keys seen once, keys seen more often, their counts) of sorted keys; a bucket is a key's leading ``bits``, 8 or more."""
+    edges = np.searchsorted(keys, _edges(bits))
     out = []
     for bucket, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges))):
         if len(k):
@@ -77,17 +69,17 @@ def _short(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray((keys >> np.uint64(8)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def _long(short: bytes, bucket: int) -> np.ndarray:
+def _long(short: bytes, bucket: int, bits: int) -> np.ndarray:
     wide = np.zeros((len(short) // 6, 8), dtype=np.uint8)
     wide[:, :6] = np.frombuffer(short, dtype=np.uint8).reshape(-1, 6)
-    return (wide.view(np.uint64).ravel() << np.uint64(8)) + (np.uint64(bucket) << TOP)
+    return (wide.view(np.uint64).ravel() << np.uint64(8)) + (np.uint64(bucket >> (bits - 8)) << TOP)
 
 
 KINDS = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 PACKED = "kind int, bucket int, once binary, keys binary, counts binary"
 
 
-def counted(train: DataFrame) -> DataFrame:
+def counted(train: DataFrame, bits: int) -> DataFrame:
     """Exact counts of the words (kind 0) and of the bigrams (kind 1): a row for each kind and bucket, with packed keys and counts.
 
     Batches are counted before the exchange, so a frequent n-gram is one entry of a batch. Keys are the upper 56 bits of 64-bit hashes.
@@ -95,18 +87,17 @@ def counted(train: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in PACKED.split(", ")]
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Codes(word_hash)
         for table in batches(frames, 16 << 20):
-            tokens, _ = token_hashes(table.column("text").to_pylist(), known)
+            tokens, _ = token_hashes(table.column("text").to_pylist())
             before = np.concatenate([[END], tokens[:-1]])
             rows = []
             for kind, keys in enumerate((tokens, bigram_keys(tokens, before))):
-                rows += _parts(*np.unique(keys, return_counts=True), kind)
+                rows += _parts(*np.unique(keys, return_counts=True), kind, bits)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(KINDS)], names)
 
     def total(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        once = _long(b"".join(table.column("once").to_pylist()), bucket)
+        once = _long(b"".join(table.column("once").to_pylist()), bucket, bits)
         more = (unpack(table.column("keys"), np.uint64) >> np.uint64(8)) << np.uint64(8)
         keys, at = np.unique(np.concatenate([once, more]), return_inverse=True)
         counts = np.bincount(at[: len(once)], minlength=len(keys)) + np.bincount(at[len(once) :], unpack(table.column("counts"), "<i8"), len(keys)).astype(np.int64)
@@ -117,19 +108,19 @@ def counted(train: DataFrame) -> DataFrame:
     return stage(packed.groupBy("kind", "bucket").applyInArrow(total, PACKED), "ngrams")
 
 
-def entries(row: dict) -> tuple[np.ndarray, np.ndarray]:
+def entries(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys and counts of a packed row."""
-    once = _long(row["once"], row["bucket"])
+    once = _long(row["once"], row["bucket"], bits)
     return np.concatenate([once, np.frombuffer(row["keys"], np.uint64)]), np.concatenate([np.ones(len(once), np.int64), np.frombuffer(row["counts"], "<i8")])
 
 
-def unpacked(counts: DataFrame) -> DataFrame:
+def unpacked(counts: DataFrame, bits: int) -> DataFrame:
     """Word counts as rows (key long, n long)."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for i in range(frame.num_rows):
-                keys, n = entries(frame.slice(i, 1).to_pylist()[0])
+                keys, n = entries(frame.slice(i, 1).to_pylist()[0], bits)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
     return counts.where("kind = 0").mapInArrow(run, "key long, n long")
@@ -137,20 +128,21 @@ def unpacked(counts: DataFrame) -> DataFrame:
 
 @dataclass
 class Filter:
-    """A log-frequency Bloom filter in 256 segments by the keys' top byte."""
+    """A log-frequency Bloom filter in segments by the keys' leading bits."""
 
     bits: np.ndarray  # of each segment
     starts: np.ndarray  # byte offsets
     held: np.ndarray  # uint8
+    lead: int  # leading bits of a key that number its segment
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key, 0 if it isn't there."""
+        """The level of each key, 0 if it isn't there. Sorted keys meet the segments one after another."""
         out = np.zeros(len(keys), dtype=np.int8)
         left = np.arange(len(keys))
         keys = keys >> np.uint64(8) << np.uint64(8)
         for level in range(1, len(LEVELS) + 1):
             k = keys[left]
-            segment = (k >> TOP).astype(np.int64)
+            segment = (k >> np.uint64(64 - self.lead)).astype(np.int64)
             inside = np.arange(len(k))
             h, step = hashes(k, level)
             for i in range(PROBES):  # those that miss a probe are not probed again
@@ -174,45 +166,65 @@ def place(h: np.ndarray, step: np.ndarray, probe: int, bits: np.ndarray) -> np.n
     return ((((h + np.uint64(probe) * step) >> np.uint64(32)) * bits.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
-def build_filter(counts: DataFrame, most_bytes: int = 192 << 20) -> tuple[Filter | None, DataFrame | None]:
-    """The filter, joined by the driver, if it has at most ``most_bytes``; else its segments (bucket, held). Each task makes the segments of its rows."""
-    def sizes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def segment(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """The bytes of a segment that holds these keys, and the share of absent keys that it has by mistake."""
+    level = np.searchsorted(LEVELS, counts, side="right")
+    size = max(8, ceil(level.sum() * PROBES / log(2) / 8))
+    flags = np.zeros(8 * size, dtype=bool)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        h, step = hashes(keys[level >= q], q)
+        for probe in range(PROBES):
+            flags[place(h, step, probe, np.array([8 * size]))] = True
+    return np.packbits(flags, bitorder="little"), float(flags.mean() ** PROBES)
+
+
+def by_level(counts: DataFrame, bits: int) -> dict[int, tuple[int, int]]:
+    """How many bigrams there are of each level, and how often they were seen in all."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            n = [int(np.searchsorted(LEVELS, entries(frame.slice(i, 1).to_pylist()[0])[1], side="right").sum()) for i in range(frame.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
+            total = np.zeros((2, len(LEVELS) + 1))
+            for i in range(frame.num_rows):
+                n = entries(frame.slice(i, 1).to_pylist()[0], bits)[1]
+                level = np.searchsorted(LEVELS, n, side="right")
+                total += np.bincount(level, minlength=len(LEVELS) + 1), np.bincount(level, n, len(LEVELS) + 1)
+            found = np.flatnonzero(total[0])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[0][found].astype(np.int64)), pa.array(total[1][found].astype(np.int64))], ["level", "bigrams", "seen"])
+
+    rows = counts.where("kind = 1").select("bucket", "once", "keys", "counts").mapInArrow(run, "level long, bigrams long, seen long")
+    return {r["level"]: (r["b"], r["s"]) for r in rows.groupBy("level").agg(F.sum("bigrams").alias("b"), F.sum("seen").alias("s")).collect()}
+
 
-    bigrams = counts.where("kind = 1").select("bucket", "once", "keys", "counts")
-    total = bigrams.mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
-    each = PROBES / log(2)
+def build_filter(counts: DataFrame, bits: int, total: int, most_bytes: int) -> tuple[Filter | None, DataFrame | None, float]:
+    """The filter of ``total`` entries, joined by the driver, if it has at most ``most_bytes``, else its segments (bucket, held); and its share of false hits. Each task makes the segments of its rows."""
 
     def build(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for i in range(frame.num_rows):
                 row = frame.slice(i, 1).to_pylist()[0]
-                keys, n = entries(row)
-                level = np.searchsorted(LEVELS, n, side="right")
-                size = max(8, ceil(level.sum() * each / 8))
-                held = np.zeros(size, dtype=np.uint8)
-                for q in range(1, int(level.max(initial=0)) + 1):
-                    k = keys[level >= q]
-                    h, step = hashes(k, q)
-                    for probe in range(PROBES):
-                        at = place(h, step, probe, np.array([8 * size]))
-                        np.bitwise_or.at(held, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int32()), pa.array([held.tobytes()], pa.binary())], ["bucket", "held"])
-
-    built = bigrams.mapInArrow(build, "bucket int, held binary")
-    if total * each / 8 > most_bytes:
-        return None, stage(built, "filter")
-    parts = {r["bucket"]: r["held"] for r in built.collect()}
-    parts = [bytes(parts.get(b) or bytes(8)) for b in range(256)]
-    ends = np.cumsum([len(p) for p in parts])
-    return Filter(np.array([8 * len(p) for p in parts]), np.concatenate([[0], ends[:-1]]), np.frombuffer(b"".join(parts), dtype=np.uint8)), None
+                held, wrong = segment(*entries(row, bits))
+                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int32()), pa.array([held.tobytes()], pa.binary()), pa.array([wrong])], ["bucket", "held", "wrong"])
+        release()
+
+    built = counts.where("kind = 1").select("bucket", "once", "keys", "counts").mapInArrow(build, "bucket int, held binary, wrong double")
+    if total * PROBES / log(2) / 8 > most_bytes:
+        built = stage(built, "filter")
+        return None, built.select("bucket", "held"), built.agg(F.avg("wrong")).first()[0]
+    got = built.toArrow()
+    sizes = np.full(1 << bits, 8)
+    at = got.column("bucket").to_numpy()
+    sizes[at] = [len(x) for c in got.column("held").chunks for x in c.cast(pa.large_binary()).to_numpy(zero_copy_only=False)] if len(at) else []
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    held = np.zeros(int(sizes.sum()), dtype=np.uint8)
+    for b, x in zip(at, (x for c in got.column("held").chunks for x in c)):
+        held[starts[b] : starts[b] + sizes[b]] = np.frombuffer(x.as_buffer(), np.uint8)
+    return Filter(8 * sizes, starts, held, bits), None, float(np.mean(got.column("wrong").to_numpy())) if len(at) else 0.0
 
 
 def dealt_levels(first: DataFrame, model: Model) -> DataFrame:
     """(unit, keys, levels): the kept bigrams of each unit of ``first`` (unit, bigrams), which are dealt to the filter's segments; a segment meets the keys in parts of some 64 MB."""
-    parts = max(1, ceil(model.n * 8 / 256 / (64 << 20)))
+    lead = model.lead
+    parts = max(1, ceil(model.n * 8 / (1 << lead) / (64 << 20)))
 
     def deal(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -220,7 +232,7 @@ def dealt_levels(first: DataFrame, model: Model) -> DataFrame:
             keys = np.asarray(frame.column("bigrams").flatten()).view(np.uint64)
             for unit in np.unique(units):
                 k = np.unique(keys[units == unit])
-                edges = np.searchsorted(k, np.arange(1, 256, dtype=np.uint64) << TOP)
+                edges = np.searchsorted(k, _edges(lead))
                 rows = [(b, x.tobytes()) for b, x in enumerate(np.split(k, edges)) if len(x)]
                 columns = [pa.array([int(unit)] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([int(unit) % parts] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["unit", "bucket", "part", "keys"])
@@ -229,7 +241,7 @@ def dealt_levels(first: DataFrame, model: Model) -> DataFrame:
         out = []
         if sent.num_rows and segment.num_rows:
             held = np.frombuffer(segment.column("held")[0].as_py(), np.uint8)
-            one = Filter(np.full(256, 8 * len(held)), np.zeros(256, np.int64), held)
+            one = Filter(np.full(1 << lead, 8 * len(held)), np.zeros(1 << lead, np.int64), held, lead)
             for unit, keys in zip(sent.column("unit").to_pylist(), sent.column("keys").to_pylist()):
                 keys = np.frombuffer(keys, np.uint64)
                 level = one.levels(keys)
@@ -245,12 +257,15 @@ def dealt_levels(first: DataFrame, model: Model) -> DataFrame:
 class Model:
     heads: np.ndarray  # hashes of the frequent words, sorted
     counts: np.ndarray
-    filter: Filter | None  # none if it is in segments
-    n: int
-    v: int
-    n1: int
-    backoff: np.ndarray | None = None  # by class
+    n: int  # tokens
+    v: int  # words
+    n1: int  # words seen once
+    lead: int  # leading bits of a bigram's key that number its segment
+    mean: np.ndarray  # mean count of the bigrams of each level; 0 for level 0
+    after: float  # mean number of different words after a word
+    filter: Filter | None = None  # none if it is in segments
     segments: DataFrame | None = None  # (bucket, held)
+    wrong: float = 0.0  # share of absent bigrams that the filter has
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each hash among the frequent words, or -1."""
@@ -263,18 +278,21 @@ class Model:
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """For each token, the level of the bigram that it ends."""
-        return self.filter.levels(bigrams(hashes))
-
+        some, back = np.unique(bigrams(hashes), return_inverse=True)
+        return self.filter.levels(some)[back]
 
-def kept(level: np.ndarray, cv: np.ndarray) -> np.ndarray:
-    """The counts of bigrams (0 if not kept), at most those of their first words."""
-    return np.minimum(np.where(level > 0, np.append(COUNTS, 0)[level - 1], 0.0), cv)
+    def probability(self, cw: np.ndarray, cv: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """Of words seen ``cw`` times after words seen ``cv`` times, whose bigrams have a level."""
+        seen = np.minimum(self.mean[level], np.minimum(cv, cw))
+        both = (seen + self.after * self.unigram(cw)) / (cv + self.after + self.wrong * self.v)
+        return np.where(cv > 0, both, self.unigram(cw))
 
 
-def fit(train: DataFrame, most_words: int = 500_000, most_bytes: int = 192 << 20) -> tuple[Model, DataFrame]:
+def fit(train: DataFrame, most_words: int = 1_000_000, most_bytes: int = 128 << 20) -> tuple[Model, DataFrame]:
     """The model, and the counts (key, n) of the words that are not broadcast. At most ``most_words`` words are, and a filter of at most ``most_bytes``."""
-    counts = counted(train)
-    words = unpacked(counts)
+    lead = bucket_bits(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)  # about a byte of keys for a byte of text
+    counts = counted(train, lead)
+    words = unpacked(counts, lead)
     spread = sorted((r["n"], r["count"]) for r in words.groupBy("n").count().collect())
     least, held = 1 << 62, 0
     for n, c in reversed(spread):
@@ -284,50 +302,26 @@ def fit(train: DataFrame, most_words: int = 500_000, most_bytes: int = 192 << 20
     heads = words.where(F.col("n") >= least).toArrow()
     keys, n = (heads.column(c).to_numpy() for c in ("key", "n"))
     order = np.argsort(keys.view(np.uint64))
-    total = sum(n * c for n, c in spread)
-    held, segments = build_filter(counts, most_bytes)
-    model = Model(keys.view(np.uint64)[order].copy(), n[order], held, total, sum(c for _, c in spread), dict(spread).get(1, 0))
-    model.segments = segments
-    rare = words.where(F.col("n") < least)
-    model.backoff = backoff(train, model, rare)
-    return model, rare
-
-
-def backoff(train: DataFrame, model: Model, rare: DataFrame) -> np.ndarray:
-    """By the class of the word before: the mass that kept bigrams leave, over the share of words that they don't reach."""
-
-    def sums(model, cw, cv, level, row, rows):
-        both, group = kept(level, cv), np.frexp(cv.astype(float))[1]
-        parts = (cv > 0, np.where(both > 0, 1 - DISCOUNT / np.maximum(both, 1), 0), np.where(both > 0, cv * model.unigram(cw) / np.maximum(both, 1), 0))
-        return [np.concatenate([np.bincount(group, w, 64) for w in parts]), *[np.zeros(0)] * (rows - 1)][:rows]
-
-    def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, 64))
-        for frame in frames:
-            total += np.asarray(frame.column("sums").flatten()).reshape(-1, 3, 64).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), *(pa.array(t) for t in total)], ["g", "a", "b", "c"])
+    levels = by_level(counts, lead)
+    mean = np.append(0.0, LEVELS)  # a level without bigrams can be read by mistake
+    for q, (bigrams, seen) in levels.items():
+        mean[q] = seen / bigrams
+    v = sum(c for _, c in spread)
+    model = Model(keys.view(np.uint64)[order].copy(), n[order], sum(n * c for n, c in spread), v, dict(spread).get(1, 0), lead, mean, sum(b for b, _ in levels.values()) / max(1, v))
+    model.filter, model.segments, model.wrong = build_filter(counts, lead, sum(q * b for q, (b, _) in levels.items()), most_bytes)
+    return model, words.where(F.col("n") < least)
 
-    found = looked_up(train.select("text"), model, rare, sums, ())
-    rows = found.select("sums").mapInArrow(add, "g long, a double, b double, c double").groupBy("g").agg(*[F.sum(x).alias(x) for x in "abc"]).collect()
-    discard(found)
-    out = np.ones(64)
-    for r in rows:
-        if r["a"]:
-            out[r["g"]] = max(1 - r["b"] / r["a"], 1e-3) / max(1 - r["c"] / r["a"], 1e-3)
-    return np.clip(out, 1e-3, 2.0)
 
+def score(docs: DataFrame, model: Model, rare: DataFrame, keys: tuple = ("doc_id",)) -> DataFrame:
+    """``keys`` with n_tokens, n_known, train_tokens, base_score and score of each row's whole text (null: empty). Repeated rows keep a row each.
 
-def looked_up(docs: DataFrame, model: Model, rare: DataFrame, use, keys: tuple, by_bigram: bool = False) -> DataFrame:
-    """``keys`` with n_tokens, n_known, base_score and sums (array<double>) of each row's whole text: what ``use`` makes of the exact counts of each token, the count of
-    the word before it and their bigram's level, by row, added up.
-
-    Words that aren't broadcast are looked up by a join on their hash, once for each document and word. Tokens that need none are used at once; of the others, a count is
-    held as it is, or as -1 - its place among the document's words that are looked up. ``by_bigram``: a kept bigram after a broadcast word needs no other count.
+    Words that aren't broadcast are looked up by a join on their hash, once for each document and word. Tokens that need none are scored at once; of the others, a count is
+    held as it is, or as -1 - its place among the document's words that are looked up.
     """
     share = docs.sparkSession.sparkContext.broadcast(replace(model, segments=None))
     dealt = model.segments is not None
     kinds = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keys)
-    names = [*keys, "n_tokens", "n_known", "base_score", "sums", "rest", "times", "word", "before", "level", "unit", "bigrams"]
+    names = [*keys, "n_tokens", "n_known", "base_score", "score", "rest", "times", "word", "before", "level", "unit", "bigrams"]
     bottom = model.n + model.v + 1
 
     def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -335,10 +329,9 @@ def looked_up(docs: DataFrame, model: Model, rare: DataFrame, use, keys: tuple,
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = share.value
-        known = Codes(word_hash)
         for number_of, table in enumerate(batches(frames)):
             unit = (TaskContext.get().partitionId() << 33) + number_of
-            hashes, sizes = token_hashes(table.column("text").to_pylist(), known)
+            hashes, sizes = token_hashes(table.column("text").to_pylist())
             rows, row = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
             at = model.places(hashes)
             held = at >= 0
@@ -359,11 +352,11 @@ def looked_up(docs: DataFrame, model: Model, rare: DataFrame, use, keys: tuple,
             before = np.concatenate([word[:1], word[:-1]])
             before[starts] = word[np.cumsum(sizes) - 1]
             level = np.zeros(len(hashes), np.int8) if dealt else model.levels(hashes)
-            local = np.full(len(hashes), not dealt) & (before >= 0) & ((word >= 0) | (level > 0) & by_bigram)
-            sums = use(model, word[local], before[local], level[local], row[local], rows)
+            local = np.full(len(hashes), not dealt) & (before >= 0) & (word >= 0)
+            logs = np.bincount(row[local], np.log10(model.probability(word[local], before[local], level[local])), rows).astype(float)
             open_ = np.bincount(row[~local], minlength=rows)
             columns = [table.column(k).combine_chunks() for k in keys] + [
-                pa.array(sizes), pa.array(np.bincount(row[held], minlength=rows)), pa.array(base), lists(np.concatenate(sums), np.array([len(x) for x in sums])),
+                pa.array(sizes), pa.array(np.bincount(row[held], minlength=rows)), pa.array(base), pa.array(logs),
                 lists(hashes[firsts].view(np.int64), number), lists(times, number), lists(word[~local], open_), lists(before[~local], open_), lists(level[~local].astype(np.int16), open_),
                 pa.array(np.full(rows, unit)), lists(bigrams(hashes).view(np.int64), sizes) if dealt else lists(np.zeros(0, np.int64), np.zeros(rows, np.int64)),
             ]
@@ -402,14 +395,11 @@ def looked_up(docs: DataFrame, model: Model, rare: DataFrame, use, keys: tuple,
         word, _, row = flat("word")
         values = [np.asarray(word), np.asarray(flat("before")[0])]
         word, before = (np.where(x < 0, np.append(counts, 0)[np.where(x < 0, starts[row] - x - 1, 0)], x) for x in values)
-        sums = use(model, word, before, level, row, rows)
-        old, sizes, of = flat("sums")
-        old = np.split(np.asarray(old), np.cumsum(sizes)[:-1])
-        sums = [b if not len(a) else a if not len(b) else a + b for a, b in zip(old, sums)]
-        columns = [frame.column(k) for k in keys] + [frame.column("n_tokens"), pa.array(n_known), pa.array(base), lists(np.concatenate(sums), np.array([len(x) for x in sums]))]
+        logs = np.asarray(frame.column("score")) + np.bincount(row, np.log10(model.probability(word, before, level)), rows)
+        columns = [frame.column(k) for k in keys] + [frame.column("n_tokens"), pa.array(n_known), pa.array(base), pa.array(logs)]
         return pa.RecordBatch.from_arrays(columns, names=names[: len(keys) + 4])
 
-    facts = f"{kinds}n_tokens long, n_known long, base_score double, sums array<double>"
+    facts = f"{kinds}n_tokens long, n_known long, base_score double, score double"
     first = docs.select(*keys, "text").mapInArrow(run, f"{facts}, rest array<long>, times array<long>, word array<long>, before array<long>, level array<smallint>, unit long, bigrams array<long>")
     first = stage(first.withColumn("__row", F.monotonically_increasing_id()), "lm-tokens")
     sought = first.select("__row", F.posexplode("rest").alias("i", "key"))
@@ -420,21 +410,7 @@ def looked_up(docs: DataFrame, model: Model, rare: DataFrame, use, keys: tuple,
         done = found.groupBy("unit").cogroup(dealt_levels(first, model).groupBy("unit")).applyInArrow(finish_unit, facts)
     else:
         done = found.mapInArrow(finish, facts)
-    out = stage(done, "lm-scores")
-    discard(first)
-    return out
-
-
-def score(docs: DataFrame, model: Model, rare: DataFrame, keys=("doc_id",)) -> DataFrame:
-    """``keys`` with n_tokens, n_known, train_tokens, base_score and score of each row's whole text (null: empty). Repeated rows keep a row each."""
-
-    def logs(model, cw, cv, level, row, rows):
-        both = kept(level, cv)
-        p = np.where(both > 0, (both - DISCOUNT) / np.maximum(cv, 1), np.where(cv > 0, model.backoff[np.frexp(cv.astype(float))[1]], 1.0) * model.unigram(cw))
-        return list(np.bincount(row, np.log10(np.minimum(p, 1)), rows).astype(float).reshape(-1, 1))
-
-    out = looked_up(docs, model, rare, logs, keys, by_bigram=True)
-    return out.select(*keys, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", F.col("sums")[0].alias("score"))
+    return done.select(*keys, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -58,7 +58,8 @@ def mix(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, schedules=SCHEDULE
     cut there, and only its first words count; otherwise documents are whole and one that the target falls within is
     taken if at least half of it fits. ``position`` (0 to 1) is when the first copy is due, null if nothing is taken.
     Rows are sorted by position. Repeated rows and ties each count; null keys sort last; an empty table stays empty;
-    columns named like the results are replaced. Sources are laid out in 4096 slices each, so a hot source
+    columns named like the results are replaced, and names that begin with two underscores are reserved: the result has two more, __c (the words laid out
+    before the document's) and __turn (its source's number), for ``training_order``. Sources are laid out in 4096 slices each, so a hot source
     is spread over many tasks; what is broadcast holds a row for each source, or is joined where it is large.
     """
     own = ["size", "source_size", "target", "taken", "copies", "position"]
@@ -68,7 +69,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, schedules=SCHEDULE
     targets = source_targets(slices.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size")), weights, repeats)
     start = F.coalesce(F.sum("words").over(Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = slices.select("__source", "__slice", start.alias("__start"))
-    table = stage(starts.join(targets, F.col("__source").eqNullSafe(F.col("source"))).drop("source"), "mix-plan")
+    table = stage(starts.join(targets, F.col("__source").eqNullSafe(F.col("source"))).select("__source", "__slice", "__start", "source_size", "target", F.col("turn").alias("__turn")), "mix-plan")
     discard(slices)
     within = Window.partitionBy("__source", "__slice").orderBy("__h", key, "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__c", F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -83,11 +84,11 @@ def mix(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, schedules=SCHEDULE
     position = F.when(F.col("taken") > 0, _due(F.col("__share"), schedules))
     rows = rows.withColumn("position", position).withColumn("__tie", F.col("__h"))
     kept = [c for c in docs.columns if c not in own]
-    return rows.orderBy(F.col("position").asc_nulls_last(), "__tie").select(*kept, *own, "__c", "turn")
+    return rows.orderBy(F.col("position").asc_nulls_last(), "__tie").select(*kept, *own, "__c", "__turn")
 
 
 def _due(share: Column, schedules) -> Column:
-    at = F.col("turn") % len(schedules)
+    at = F.col("__turn") % len(schedules)
     out = running_share(schedules[0], share)
     for n, schedule in enumerate(schedules[1:], 1):
         out = F.when(at == n, running_share(schedule, share)).otherwise(out)
@@ -95,16 +96,16 @@ def _due(share: Column, schedules) -> Column:
 
 
 def training_order(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:
-    """A row for each copy that the mix takes, with ``copy`` (from 0), each at its own time, sorted by it."""
-    copies = mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    """A row for each copy that the mix takes, with ``copy`` (from 0; a column of that name is replaced), each at its own time, sorted by it."""
+    copies = mixed.drop("copy").where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     share = F.try_divide(F.col("__c") + F.col("copy") * F.col("source_size"), F.col("target"))
     due = _due(F.least(share.cast("double"), F.lit(1.0)), schedules)
-    return copies.withColumn("position", due).drop("__c", "turn").orderBy("position", "copy")
+    return copies.withColumn("position", due).drop("__c", "__turn").orderBy("position", "copy")
 
 
 def op9_curriculum_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 9).alias("position"))
 
 
 OP9_SQL = r"""
@@ -113,11 +114,17 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER
 w AS (SELECT *, (turn % 3 + 1)::DOUBLE AS weight, (3 * source_size)::BIGINT AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
-t AS (SELECT source, source_size, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM l),
-c AS (SELECT doc_id, size, source_size, target, round(target)::BIGINT AS goal,
+t AS (SELECT source, source_size, turn, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM l),
+c AS (SELECT doc_id, size, source_size, target, turn, round(target)::BIGINT AS goal,
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size = 0 THEN 0 ELSE ((goal // source_size) * size + least(size, greatest(goal % source_size - c, 0)))::BIGINT END AS taken
-FROM c
+k AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size END::BIGINT AS whole, CASE WHEN source_size = 0 THEN 0 ELSE least(size, greatest(goal % source_size - c, 0)) END::BIGINT AS extra,
+  CASE WHEN goal > 0 THEN c::DOUBLE / goal::DOUBLE END AS share FROM c),
+p AS (SELECT *, CASE turn % 3
+  WHEN 0 THEN CASE WHEN share <= 1.0::DOUBLE THEN least(share * 2.0::DOUBLE / (sqrt(greatest(2.25::DOUBLE - share * 2.0::DOUBLE, 0.0::DOUBLE)) + 1.5::DOUBLE), 1.0::DOUBLE) ELSE 1.0::DOUBLE END
+  WHEN 1 THEN CASE WHEN share <= 1.0::DOUBLE THEN least(share * 2.0::DOUBLE / (sqrt(0.25::DOUBLE + share * 2.0::DOUBLE) + 0.5::DOUBLE), 1.0::DOUBLE) ELSE 1.0::DOUBLE END
+  ELSE CASE WHEN share <= 0.5::DOUBLE THEN least(share * 2.0::DOUBLE / (sqrt(0.25::DOUBLE + share * 4.0::DOUBLE) + 0.5::DOUBLE), 0.5::DOUBLE)
+    WHEN share <= 1.0::DOUBLE THEN 0.5::DOUBLE + least((share - 0.5::DOUBLE) * 2.0::DOUBLE / (sqrt(greatest(2.25::DOUBLE - (share - 0.5::DOUBLE) * 4.0::DOUBLE, 0.0::DOUBLE)) + 1.5::DOUBLE), 0.5::DOUBLE) ELSE 1.0::DOUBLE END END AS due FROM k)
+SELECT doc_id, size, source_size, target, whole + extra AS taken, (CASE WHEN source_size = 0 THEN 0 ELSE goal // source_size END + CASE WHEN extra > 0 THEN 1 ELSE 0 END)::INTEGER AS copies,
+  CASE WHEN whole + extra > 0 THEN round(due, 9) END AS position FROM p
 """

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Codes, stage
+from .common import Codes, batches, stage
 
 CAPACITY = 4096
 END_ID = 1
@@ -104,7 +104,7 @@ class WordIds(Codes):
     PUNCTUATION = re.compile(r"[!-&(-/:-@\[-`{-~]")
     LOWER = {a: a + 32 for a in range(65, 91)}
 
-    def __init__(self, vocabulary: str, most: int = 500_000):
+    def __init__(self, vocabulary: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary)
@@ -133,7 +133,8 @@ class WordIds(Codes):
             if folded != word:
                 return self[folded]
             mark = self.PUNCTUATION.search(word)
-            if mark and mark.start() and word[: mark.start()].isalpha():
+            # the tokenizer's own folding must leave letters alone: one like U+0130 becomes two characters, of which it joins the last to what follows
+            if mark and mark.start() and word[: mark.start()].isalpha() and word[: mark.start()].isascii():
                 return self[word[: mark.start()]] + self[word[mark.start() :]]
         return self.encode(word)
 
@@ -156,7 +157,7 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words_of(vocabulary)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for frame in frames:
+        for frame in batches(frames, 4 << 20, text):
             ids = {c: [] for c in ("row", "piece", "start", "length", "ids_crc32", "ids")}
             for row, body in enumerate(frame.column(text).to_pylist()):
                 codes = known.text(body or "") + end
@@ -165,7 +166,7 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
                     for name, value in zip(ids, (row, piece, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else b"")):
                         ids[name].append(value)
             rows = pa.array(ids["row"], pa.int32())
-            out = [frame.column(key).take(rows), pa.array(ids["piece"], pa.int32()), *(pa.array(ids[c], pa.int64()) for c in ("start", "length", "ids_crc32"))]
+            out = [frame.column(key).combine_chunks().take(rows), pa.array(ids["piece"], pa.int32()), *(pa.array(ids[c], pa.int64()) for c in ("start", "length", "ids_crc32"))]
             names = [key, "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays(out + [pa.array(ids["ids"], pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
 

@@ -16,17 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, discard, mix64, stage, unpack
+from .common import batches, bucket_bits, discard, mix64, stage, unpack
 
 LENGTH, GRAM = 50, 19
 WINDOW = LENGTH - GRAM + 1  # 32 grams
 LEFT = WINDOW - 1
 CONTEXT = LEFT + LENGTH
-BUCKETS = 256
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 LETTERS = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 P = np.uint64(0x9E3779B97F4A7C15)
-TOP = np.uint64(56)
+REMOVALS = "n_bytes long, n_removed long, n_spans long"
 
 
 def _slide(x: np.ndarray, of) -> np.ndarray:
@@ -70,18 +69,22 @@ def _chunks(frames, least: int = 1 << 19):
         yield table.column("doc_id").to_numpy(), starts, ends, np.frombuffer(b"".join(texts), dtype=np.uint8)
 
 
-def shared_grams(docs: DataFrame) -> DataFrame:
-    """A row for each bucket with the packed hashes (56 bits) of the anchors' grams that more than one document has."""
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def shared_grams(docs: DataFrame, bits: int) -> DataFrame:
+    """A row for each bucket (the leading ``bits``, 8 or more, of a hash) with the packed hashes (56 bits) of the anchors' grams that more than one document has."""
 
     def send(hashes, which):
         order = np.lexsort((which, hashes))
         hashes, which = hashes[order], which[order]
         fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (which[1:] != which[:-1]))
         some, times = np.unique(hashes[fresh], return_counts=True)
-        edges = np.searchsorted((some >> TOP).astype(np.int64), np.arange(BUCKETS + 1))
+        edges = np.searchsorted(_bucket(some, bits), np.arange((1 << bits) + 1))
         short = np.ascontiguousarray(some.view(np.uint8).reshape(-1, 8)[:, 1:7])
         many = times > 1
-        full = [b for b in range(BUCKETS) if edges[b] < edges[b + 1]]
+        full = np.flatnonzero(np.diff(edges)).tolist()
         cut = [slice(edges[b], edges[b + 1]) for b in full]
         columns = [pa.array([short[c][~many[c]].tobytes() for c in cut], pa.binary()), pa.array([short[c][many[c]].tobytes() for c in cut], pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *columns], ["bucket", "once", "more"])
@@ -103,7 +106,7 @@ def shared_grams(docs: DataFrame) -> DataFrame:
 
         def wide(short):
             out = np.zeros((len(short) // 6, 8), dtype=np.uint8)
-            out[:, 1:7], out[:, 7] = short.reshape(-1, 6), bucket
+            out[:, 1:7], out[:, 7] = short.reshape(-1, 6), bucket >> (bits - 8)
             return out.view(np.uint64).ravel()
 
         once, more = wide(unpack(table.column("once"), np.uint8)), wide(unpack(table.column("more"), np.uint8))
@@ -119,10 +122,11 @@ def _bits(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(size - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)
 
 
-def gram_filter(grams: DataFrame, most_bits: int = 1 << 29) -> tuple[int, np.ndarray]:
-    """A filter that has all shared grams, in segments by bucket that tasks make. Its 64 MB at most bound what is broadcast; a fuller one only lets more others through."""
+def gram_filter(grams: DataFrame, bits: int, most_bits: int = 1 << 28) -> tuple[int, np.ndarray]:
+    """A filter that has all shared grams, in segments by bucket that tasks make. Its 32 MB at most bound what is broadcast; a fuller one only lets more others through."""
     total = grams.agg(F.sum(F.length("grams"))).first()[0] or 0
-    size = 1 << min((most_bits // BUCKETS).bit_length() - 1, max(6, (total * 2 // BUCKETS).bit_length()))
+    buckets = 1 << bits
+    size = 1 << min((most_bits // buckets).bit_length() - 1, max(6, (total * 2 // buckets).bit_length()))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -135,7 +139,7 @@ def gram_filter(grams: DataFrame, most_bits: int = 1 << 29) -> tuple[int, np.nda
             yield pa.RecordBatch.from_arrays([frame.column("bucket"), pa.array(out, pa.binary())], ["bucket", "held"])
 
     parts = {r["bucket"]: bytes(r["held"]) for r in grams.mapInArrow(run, "bucket int, held binary").collect()}
-    return size, np.frombuffer(b"".join(parts.get(b, bytes(size // 8)) for b in range(BUCKETS)), dtype=np.uint8)
+    return size, np.frombuffer(b"".join(parts.get(b, bytes(size // 8)) for b in range(buckets)), dtype=np.uint8)
 
 
 def _merge(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +160,7 @@ def _merge(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 SPANS = "bucket int, doc_id long, start long, end long, hash binary, docs binary, places binary, sides binary, context binary"
 
 
-def occurrences(docs: DataFrame, filtered: tuple[int, np.ndarray]) -> DataFrame:
+def occurrences(docs: DataFrame, filtered: tuple[int, np.ndarray], bits: int) -> DataFrame:
     """Anchors that the filter has. Of equal contexts in a batch, only the smallest document's are sent on, packed by bucket; the others are already known to
     repeat, and give spans (bucket -1)."""
     share = docs.sparkSession.sparkContext.broadcast(filtered)
@@ -176,8 +180,8 @@ def occurrences(docs: DataFrame, filtered: tuple[int, np.ndarray]) -> DataFrame:
         h, doc, place, context = h[keep], doc[keep], place[keep], context[keep]
         sides = np.column_stack([left[keep], right[keep]]).astype(np.uint8)
         order = np.argsort(h, kind="stable")
-        edges = np.searchsorted((h[order] >> TOP).astype(np.int64), np.arange(BUCKETS + 1))
-        full = [b for b in range(BUCKETS) if edges[b] < edges[b + 1]]
+        edges = np.searchsorted(_bucket(h[order], bits), np.arange((1 << bits) + 1))
+        full = np.flatnonzero(np.diff(edges)).tolist()
         cut = lambda a: pa.array([a[order[edges[b] : edges[b + 1]]].tobytes() for b in full], pa.binary())
         none = pa.nulls(len(full), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), none, none, none, cut(h), cut(doc), cut(place), cut(sides), cut(context)], names)
@@ -188,7 +192,7 @@ def occurrences(docs: DataFrame, filtered: tuple[int, np.ndarray]) -> DataFrame:
         for ids, starts, ends, body in _chunks(frames):
             at, h = anchors(body, ends)
             inside = np.ones(len(at), dtype=bool)
-            base = (h >> TOP).astype(np.int64) * size
+            base = _bucket(h, bits) * size
             for bit in _bits(h >> np.uint64(8) << np.uint64(8), size):
                 bit = base + bit
                 inside &= flags[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
@@ -203,7 +207,7 @@ def occurrences(docs: DataFrame, filtered: tuple[int, np.ndarray]) -> DataFrame:
                 context[i, LEFT + right[i] :] = 0
             held.append((h, ids[which].astype(np.int64), at - starts[which], left, right, context))
             count += len(at)
-            if count > 150_000:
+            if count > 100_000:
                 yield from send(*(np.concatenate(c) for c in zip(*held)))
                 held, count = [], 0
         if held:
@@ -306,65 +310,81 @@ def repeated_spans(found: DataFrame, buckets: int) -> DataFrame:
     return every.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).groupBy("part").applyInArrow(unite, "doc_id long, spans binary")
 
 
-def remove_repeats(docs: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """``docs`` with body (the kept bytes), n_bytes, n_removed and n_spans.
-
-    A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller doc_id. Texts are their UTF-8 bytes, null texts empty. Whole copies of
-    a smaller document are told first, by length and SHA-256, and take no part in the search. Rows with a null doc_id keep all and remove
-    nothing from others. A doc_id stands for one text: repeated rows remove nothing from each other. Other columns pass through; those named like the results are replaced.
-    """
-    own = ["body", "n_bytes", "n_removed", "n_spans"]
-    docs = docs.drop(*own).withColumn("body", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    slim = docs.select("doc_id", "body").where("doc_id is not null")
+def removals(docs: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """(doc_id, __spans, __copy), stored: for each document that loses something, its packed spans, or that it is a whole copy."""
+    slim = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body")).where("doc_id is not null")
     marked = stage(slim.select("doc_id", F.length("body").alias("n"), F.sha2("body", 256).alias("sha")), "shas")
+    bits = bucket_bits((marked.agg(F.sum("n")).first()[0] or 0) * 3 // 8)  # 6 bytes for each of the grams, of which there is one in 16 bytes
     firsts = stage(marked.where(F.col("n") >= LENGTH).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sha", "first"), "firsts")
-    copies = stage(marked.join(firsts, "sha").where("doc_id > first").select(F.col("doc_id").alias("copy"), F.col("n").alias("copied"), F.col("sha").alias("copy_sha")).distinct(), "copies")
+    copies = stage(marked.join(firsts, "sha").where("doc_id > first").select("doc_id").distinct(), "copies")
     discard(marked, firsts)
     few = copies.count() <= most  # some 32 MB
-    searched = slim.join((F.broadcast if few else (lambda df: df))(copies.select("copy").distinct()), F.col("doc_id") == F.col("copy"), "left_anti").where(F.length("body") >= LENGTH)
-    grams = shared_grams(searched)
-    found = occurrences(searched, gram_filter(grams))
+    searched = slim.join((F.broadcast if few else (lambda df: df))(copies), "doc_id", "left_anti").where(F.length("body") >= LENGTH)
+    grams = shared_grams(searched, bits)
+    found = occurrences(searched, gram_filter(grams, bits), bits)
     spans = stage(repeated_spans(found, max(64, found.count() // 5_000)), "spans")
     discard(grams, found)
-    every = spans.union(copies.select(F.col("copy").alias("doc_id"), F.lit(None).cast("binary").alias("spans"))).groupBy("doc_id").agg(F.max("spans").alias("spans"), F.max(F.col("spans").isNull()).alias("copy"))
-    every = stage(every, "removals")
-    kept = [f for f in docs.schema.fields if f.name != "body"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    every = spans.select("doc_id", "spans").union(copies.select("doc_id", F.lit(None).cast("binary")))
+    out = stage(every.groupBy("doc_id").agg(F.max("spans").alias("__spans"), F.max(F.col("spans").isNull()).alias("__copy")), "removals")
+    discard(copies, spans)
+    return out
+
+
+def _schema(fields) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+
+def _cut(docs: DataFrame, kept: list, as_text: bool) -> DataFrame:
+    """The fields ``kept`` of ``docs``, with text cut in place, or with body (what is left, as bytes) and the counts of what went. Only these and the text reach Python, in batches of a few MB."""
+    kinds = [*([] if as_text else [pa.binary()]), pa.int64(), pa.int64(), pa.int64()]
+    names = [f.name for f in kept]
+    own = [*([] if as_text else ["body"]), *(c.split()[0] for c in REMOVALS.split(", "))]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for table in batches(frames, 4 << 20):
             rows = []
-            for body, packed, copy in zip(frame.column("body").to_pylist(), frame.column("spans").to_pylist(), frame.column("copy").to_pylist()):
+            for text, packed, copy in zip(*(table.column(c).to_pylist() for c in ("text", "__spans", "__copy"))):
+                body = text.encode() if text else b""
                 spans = np.frombuffer(packed, "<i8").reshape(-1, 2).tolist() if packed else [[0, len(body)]] if copy else []
                 parts, at = [], 0
                 for start, end in spans:
                     parts.append(body[at:start])
                     at = end
-                rest = b"".join([*parts, body[at:]])
-                rows.append((rest, len(body), len(body) - len(rest), len(spans)))
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([frame.column(f.name) for f in kept] + columns, [f.name for f in kept] + own)
+                rest = b"".join([*parts, body[at:]]) if spans else body
+                left = rest if not as_text else None if text is None else rest.decode("utf-8", "ignore") if spans else text
+                rows.append((left, len(body), len(body) - len(rest), len(spans)))
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds, as_text)]
+            texts = [pa.array([r[0] for r in rows], pa.string())] if as_text else []
+            held = [texts[0] if texts and n == "text" else table.column(n).combine_chunks() for n in names]
+            yield from pa.table(held + columns, names=names + own).to_batches()
 
-    joined = docs.join(every, "doc_id", "left").select(*[f.name for f in kept], "body", "spans", "copy")
-    return joined.mapInArrow(run, f"{schema}, body binary, n_bytes long, n_removed long, n_spans long")
+    joined = docs.select(*dict.fromkeys([*names, "doc_id", "text"])).join(removals(docs), "doc_id", "left")
+    schema = f"{_schema(kept)}, {'' if as_text else 'body binary, '}{REMOVALS}"
+    return joined.mapInArrow(run, schema)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes gone from text (null stays null; a character that lost some of its bytes goes), and n_chars made anew where it is a column."""
-    columns = docs.columns
-    removed = remove_repeats(docs.withColumnRenamed("body", "__body") if "body" in columns else docs).withColumnRenamed("body", "__kept").withColumnRenamed("__body", "body")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` (those named in ``keep``, or all) with body (the kept bytes), n_bytes, n_removed and n_spans.
+
+    A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller doc_id. Texts are their UTF-8 bytes, null texts empty. Whole copies of
+    a smaller document are told first, by length and SHA-256, and take no part in the search. Rows with a null doc_id keep all and remove
+    nothing from others. A doc_id stands for one text: repeated rows remove nothing from each other. Other columns pass through; those named like the results are replaced,
+    and names that begin with two underscores are reserved.
+    """
+    own = {"body", "n_bytes", "n_removed", "n_spans"}
+    kept = [f for f in docs.schema.fields if f.name not in own and (keep is None or f.name in keep)]
+    return _cut(docs, kept, False)
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            old = frame.column("text").to_pylist()
-            text = pa.array([t if t is None else b.decode("utf-8", "ignore") for t, b in zip(old, frame.column("__kept").to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([text if c == "text" else frame.column(c) for c in columns], columns)
 
-    out = removed.select(*columns, "__kept").mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated bytes gone from text (null stays null; a character that lost some of its bytes goes), and n_chars made anew where it is a column."""
+    own = [c.split()[0] for c in REMOVALS.split(", ")]
+    inner = [f"__{c}" if c in own else c for c in docs.columns]
+    renamed = docs.toDF(*inner)
+    out = _cut(renamed, renamed.schema.fields, True).select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns)])
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("body", 256).alias("kept_sha256"))
+    return remove_repeats(docs, ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("body", 256).alias("kept_sha256"))

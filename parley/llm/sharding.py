@@ -62,19 +62,20 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = 1e-4, probes: in
     return [found.get(i, HIGHEST) for i in range(shards - 1)]
 
 
-def histogram_shard(docs: DataFrame, shards: int = 8, text: str = "text", order: str | None = None, tolerance: float = 1e-4, slices: int = 64) -> DataFrame:
+def histogram_shard(docs: DataFrame, shards: int = 8, text: str = "text", order: str | None = None, tolerance: float = 1e-4, slice_rows: int = 100_000) -> DataFrame:
     """``docs`` with size, shard (0 to shards-1) and slot (0, 1, ... within the shard), law 'bytes'.
 
     A size is the text's UTF-8 bytes plus 1; null texts count as empty. The key is ``order`` (a long column, nulls
     first) or a hash of the text, so that equal texts share a shard. Shards differ by at most the tolerance and one
     group of equal texts at each boundary. Repeated rows are kept, each with its slot; an empty table stays empty;
-    columns named like the results are replaced. Each shard is numbered in slices by a hash of all that orders it, so a
+    columns named like the results are replaced, and names that begin with two underscores are reserved. Each shard is numbered in slices of about ``slice_rows`` (64 at least) by a hash of all that orders it, so a
     text that a third of the rows hold is numbered by many tasks.
     """
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     key = F.coalesce(F.col(order).cast("bigint"), F.lit(LOWEST)) if order else F.xxhash64(body)
     rows = docs.drop("size", "shard", "slot", "law").withColumns({"size": F.length(body).cast("bigint") + 1, "__key": key})
     keyed = stage(rows.select(F.col("__key").alias("key"), "size"), "shard-keys")
+    slices = max(64, keyed.count() // (shards * slice_rows))
     cuts = splitters(keyed, shards, tolerance)
     discard(keyed)
     shard = F.lit(0)

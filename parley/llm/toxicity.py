@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, fold
+from .common import Codes, batches, fold
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 EDGES = ".,;:!?\"'()[]{}<>|*-_"
@@ -147,15 +147,16 @@ def score(docs: DataFrame, model: NoisyOr) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = share.value
-        known = Codes(model.word)
-        for frame in frames:
+        known = Codes(model.word, 100_000)
+        for table in batches(frames, 4 << 20):
             out = []
-            for text in frame.column("text").to_pylist():
+            for text in table.column("text").to_pylist():
                 found = model.sentences(text or "", known)
                 start, end, z = max(found, key=lambda s: s[2])
                 p = -np.expm1(-sum(_softplus(s[2]) for s in found))
                 out.append((p, int(p >= 0.5), len(found), start, end, 1 / (1 + exp(-max(z, -500)))))
-            yield pa.RecordBatch.from_arrays([frame.column(f.name) for f in kept] + [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], [f.name for f in kept] + names)
+            columns = [table.column(f.name).combine_chunks() for f in kept] + [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
+            yield from pa.table(columns, names=[f.name for f in kept] + names).to_batches()
 
     return docs.select(*[f.name for f in kept]).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + own)
 
@@ -167,12 +168,13 @@ def offending_sentences(docs: DataFrame, model: NoisyOr, least: float = 0.5) ->
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = share.value
-        known = Codes(model.word)
-        for frame in frames:
+        known = Codes(model.word, 100_000)
+        for frame in batches(frames, 4 << 20):
             found = [(row, s, e, 1 / (1 + exp(-max(z, -500))), text[s:e]) for row, text in enumerate(frame.column("text").to_pylist()) if text for s, e, z in model.sentences(text, known)]
             found = [f for f in found if f[3] >= least]
             columns = [pa.array([f[i] for f in found], k) for i, k in ((1, pa.int32()), (2, pa.int32()), (3, pa.float64()), (4, pa.string()))]
-            yield pa.RecordBatch.from_arrays([frame.column("doc_id").take(pa.array([f[0] for f in found], pa.int32())), *columns], ["doc_id", "start", "end", "probability", "sentence"])
+            ids = frame.column("doc_id").combine_chunks().take(pa.array([f[0] for f in found], pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "start", "end", "probability", "sentence"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start int, end int, probability double, sentence string")
 
@@ -185,5 +187,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score(docs, model).withColumn("held_out", fold("doc_id", 5) == 0)
+    scored = score(docs, model).withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)))
     return scored.select("doc_id", "held_out", "score", "predicted", "n_sentences", "worst_start", "worst_end", "worst_probability")

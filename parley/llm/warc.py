@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, stage
+from .common import new_folder, release, stage
 
 INDEX = "page_id bigint, file string, offset bigint, length bigint, url string, payload_digest string, record_type string, refers_to bigint"
 #: Fixed values of the format.
@@ -105,13 +105,17 @@ def write_warc(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
     return stage(pages.select("page_id", "url", "payload", "refers_to").mapInArrow(run, INDEX), "warc-index")
 
 
-def read_warc(index: DataFrame, folder: str, payloads: bool = True, gap: int = 64 << 10, span: int = 8 << 20) -> DataFrame:
-    """The records of the given index rows. Ranges of one archive that lie within ``gap`` bytes are read at once, up to about ``span``."""
+def read_warc(index: DataFrame, folder: str, payloads: bool = True, gap: int = 64 << 10, span: int = 2 << 20, task: int = 8 << 20) -> DataFrame:
+    """The records of the given index rows. Ranges of one archive that lie within ``gap`` bytes are read at once, up to about ``span``.
+
+    The index is small beside the archives, so the reads are dealt out by the bytes to be read: a task for each ``task`` of them, or, beyond 4096 tasks, as many larger ones.
+    """
+    tasks = max(1, min((index.agg(F.sum("length")).first()[0] or 0) // task, 4096))
     order = Window.partitionBy("file").orderBy("offset")
     apart = F.col("offset") - F.lag(F.col("offset") + F.col("length"), 1, -(gap + 1)).over(order) > gap
     runs = index.select("file", "offset", "length", apart.cast("int").alias("apart"), F.floor(F.col("offset") / span).alias("part"))
     runs = runs.withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    reads = runs.groupBy("file", "run", "part").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
+    reads = runs.groupBy("file", "run", "part").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("ranges")).repartition(tasks, "file", "run", "part")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -128,6 +132,7 @@ def read_warc(index: DataFrame, folder: str, payloads: bool = True, gap: int = 6
                 rows = [parse(zlib.decompress(held[r["offset"] - start : r["offset"] + r["length"] - start], 31)) for r in read["ranges"]]
                 columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns if payloads else columns[:-1] + [pa.nulls(len(rows), pa.binary())], names)
+        release()
 
     return reads.select("file", "ranges").mapInArrow(run, READ)
 

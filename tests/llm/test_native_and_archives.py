@@ -11,14 +11,14 @@ from hypothesis import strategies as st
 from parley.llm import mixing, packing, sharding, warc
 from parley.llm.common import new_folder
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, slot string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, slot string, weight string, turn string"
 
 
 def documents(spark):
-    rows = [(i, f"Word{i % 7} and\tmore\nwords " * (1 + i % 5), "en", f"s{i % 4}", 1, "x", "y") for i in range(200)]
-    rows += [(i, "the same text", "en", "hot", 1, "x", "y") for i in range(200, 300)]
-    rows += [(300, None, None, None, None, None, None), (301, "", "en", None, 0, "", ""), (None, "a b c", "en", "s1", 5, "", ""), (5, "again", "en", "s1", 5, "", ""), (302, "long " * 30_000, "en", "s2", 5, "", "")]
-    rows += [(303, "é ß " * 10, "de", "", 5, "", "")] * 2
+    rows = [(i, f"Word{i % 7} and\tmore\nwords " * (1 + i % 5), "en", f"s{i % 4}", 1, "x", "y", "w", "t") for i in range(200)]
+    rows += [(i, "the same text", "en", "hot", 1, "x", "y", "w", "t") for i in range(200, 300)]
+    odd = [(300, None, None, None, None), (301, "", "en", None, 0), (None, "a b c", "en", "s1", 5), (5, "again", "en", "s1", 5), (302, "long " * 30_000, "en", "s2", 5)]
+    rows += [(*r, "", "", "", "") for r in [*odd, *[(303, "é ß " * 10, "de", "", 5)] * 2]]
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -158,6 +158,21 @@ def test_pieces_and_sequences(spark):
     assert packing.pack_documents(docs.limit(0), path).collect() == []
 
 
+def test_word_ids_equal_the_tokenizer():
+    """Letters with odd case, marks, blanks of all kinds, controls and what special tokens are made of."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, words, rng = Tokenizer.from_file(path), packing.WordIds(path), random.Random(8)
+    pool = list("abzABZ019.,;:!?-'\"()[]<>|_ \n\t\r") + ["İ", "ı", "ſ", "Σ", "ς", "ß", "ẞ", "é", "e\u0301", "\u0307", "\u00a0", "\u2003", "\u200b", "\x00", "\x07", "\x85", "\u2028", "漢", "字", "д", "Ж", "ǅ", "ﬁ", "’", "—", "<|", "|>", "</s>", "the", "Word"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))
+        assert np.frombuffer(words.text(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_archives_round_trip(spark):
     rows = [(i, f"http://x/{i}", f"<p>{i % 9}</p>") for i in range(60)] + [(60, None, None), (61, "a b\r\nc", ""), (None, "", "<p>1</p>"), (62, "u", "é" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)

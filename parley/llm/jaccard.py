@@ -9,7 +9,7 @@ pivots is verified once, and the answers of their members are derived from it: |
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -225,8 +225,8 @@ def _until(s, least, most, starts, ends, percent) -> np.ndarray:
     return out
 
 
-def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """Exact overlaps (a, b, o) of the sets of stored, distinct ``pairs`` (a, b).
+def compared(docs: DataFrame, reps: DataFrame, pairs: DataFrame, use: Callable, columns: list[tuple], most: int = 2_000_000) -> DataFrame:
+    """(a, b, *columns) for the stored, distinct ``pairs`` (a, b): what ``use`` makes of the sets of a and b; ``columns`` are names and types (Spark's and Arrow's).
 
     Sets are made again from the texts that are needed, and each goes where its pairs are compared in one exchange. ``reps`` deals sets that are alike to cells of bounded size; a pair
     is compared where the pairs of its two cells are, so in a group in which many pairs must be compared a set is sent once for each cell that it meets, not for each pair.
@@ -264,25 +264,63 @@ def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, most: int = 2_0
     def count(asked: pa.Table, held: pa.Table) -> pa.Table:
         sets = {r: s.as_buffer() for r, s in zip(held.column("rid").to_pylist(), (s for c in held.column("s").chunks for s in c))}
         a, b = asked.column("a").to_numpy(), asked.column("b").to_numpy()
-        out = np.zeros(len(a), np.int64)
-        last, own = None, np.zeros(0, np.uint64)
-        for i in np.argsort(b, kind="stable").tolist():
-            if b[i] != last:
-                last, own = b[i], np.frombuffer(sets[b[i]], np.uint64)
-            s = np.frombuffer(sets[a[i]], np.uint64)
-            if len(own) < len(s):
-                s, into = own, s
-            else:
-                into = own
-            out[i] = (into[np.minimum(np.searchsorted(into, s), len(into) - 1)] == s).sum()
-        return pa.table([pa.array(a), pa.array(b), pa.array(out)], names=["a", "b", "o"])
+        found = [use(np.frombuffer(sets[x], np.uint64), np.frombuffer(sets[y], np.uint64)) for x, y in zip(a.tolist(), b.tolist())]
+        return pa.table([pa.array(a), pa.array(b), *(pa.array([f[i] for f in found], c[2]) for i, c in enumerate(columns))], names=["a", "b", *(c[0] for c in columns)])
 
     made = texts.mapInArrow(make, "bucket int, rid long, s binary")
-    out = stage(placed.groupBy("bucket").cogroup(made.groupBy("bucket")).applyInArrow(count, "a long, b long, o long"), "overlaps")
+    out = stage(placed.groupBy("bucket").cogroup(made.groupBy("bucket")).applyInArrow(count, ", ".join(["a long, b long", *(f"{c[0]} {c[1]}" for c in columns)])), "compared")
     discard(placed, goes)
     return out
 
 
+def _inside(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Flags for those of ``s`` that are in ``t``; both are sorted."""
+    return t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s
+
+
+def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact overlaps (a, b, o) of the sets of stored, distinct ``pairs`` (a, b)."""
+
+    def use(a: np.ndarray, b: np.ndarray) -> tuple:
+        return (int((_inside(a, b) if len(a) < len(b) else _inside(b, a)).sum()),)
+
+    return compared(docs, reps, pairs, use, [("o", "long", pa.int64())])
+
+
+def differences(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, far, w, slack, t, take, tokens) of sets a near a pivot b: how a differs from b, as far as it can matter.
+
+    Let a and y be near b, with d and e shingles of b that a and y lack, g and h that they have besides, and s of these differences in common. Then |a & y| = |b| - d - e + s, so they link if
+    (100 + percent) s >= w(a) + w(y) - (100 - percent) |b| with w(a) = 100 d + percent g. If a doesn't link to b itself (``far``, ``slack`` = w(a) - (100 - percent) |b| > 0), a link needs differences in common:
+    at least slack / 100 of a's, and over w(y) / (100 + percent) of y's. So of the t differences, in any order, a link can't miss all of the first ``take``.
+    """
+
+    def use(a: np.ndarray, b: np.ndarray) -> tuple:
+        more, less = a[~_inside(a, b)], b[~_inside(b, a)]
+        w = 100 * len(less) + percent * len(more)
+        slack = w - (100 - percent) * len(b)
+        least = w // (100 + percent) + 1
+        if slack > 0:
+            least = max(1, min(least, -(-slack // 100)))
+        tokens = np.concatenate([more & ~np.uint64(1), less | np.uint64(1)])
+        return slack > 0, w, slack, len(tokens), max(0, len(tokens) - least + 1), tokens.view(np.int64)
+
+    kinds = [("far", "boolean", pa.bool_()), *((c, "long", pa.int64()) for c in ("w", "slack", "t", "take")), ("tokens", "array<long>", pa.list_(pa.int64()))]
+    return compared(docs, reps, pairs, use, kinds)
+
+
+def sharing(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (z, y) of sets near one pivot, z far from it, whose ``differences`` allow a link. The rarest differences of a pivot's sets come first."""
+    each = near.select("a", "b", F.explode("tokens").alias("token"))
+    often = each.groupBy("b", "token").agg(F.count("*").alias("c"))
+    order = each.join(often, ["b", "token"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("order"))
+    rows = stage(near.drop("tokens").join(order, ["a", "b"]).select("a", "b", "far", "w", "slack", "t", F.posexplode(F.expr("slice(order.token, 1, int(take))")).alias("pos", "token")), "differing")
+    left = rows.where("far").select("b", "token", F.col("a").alias("z"), "slack", (F.col("t") - F.col("pos")).alias("rest"))
+    right = rows.select("b", "token", F.col("a").alias("y"), "far", "w", (F.col("t") - F.col("pos")).alias("left"))
+    both = left.join(right, ["b", "token"]).where("z <> y and (not far or z > y)")
+    return both.where((100 + percent) * F.least("rest", "left") >= F.col("slack") + F.col("w")).select("z", "y").distinct()
+
+
 def represented(sets: DataFrame, cell: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
     """The distinct sets (rid, doc_id, n, parity, cell), and (rid, n, band, score) of their min-hash bands that several have, both stored.
 
@@ -326,7 +364,9 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     best = stage(known.groupBy("a").agg(F.max(F.struct("o", "b", "nb")).alias("x"), F.max("na").alias("na")).select("a", "x.b", "x.o", "na", "x.nb"), "best")
     members = best.join(best.select(F.col("a").alias("b")), "b", "left_anti").select(F.col("a").alias("rid"), F.col("b").alias("pivot"), (F.col("na") - F.col("o")).alias("plus"), (F.col("nb") - F.col("o")).alias("minus"))
     zero = F.lit(0).cast("long")
-    kin = components(known.select("a", "b")).withColumnsRenamed({"id": "rid", "component_id": "kin"})
+    # sets with the same kin are connected; that some connected ones have another is of no harm
+    chain = best.select("a", "b").join(best.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left")
+    kin = chain.select(F.col("a").alias("rid"), F.least("b", F.coalesce("c", "b")).alias("kin"))
     family = stage(size.join(members, "rid", "left").join(kin, "rid", "left").select("rid", "n", F.coalesce("kin", "rid").alias("kin"), F.coalesce("pivot", "rid").alias("pivot"), F.coalesce("plus", zero).alias("plus"), F.coalesce("minus", zero).alias("minus")), "family")
     discard(heads, tried, best, banded)
 
@@ -342,14 +382,23 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     # members: derived from their pivots' answer, or verified where the bounds leave it open
     alike = sized(second).where(~like(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b", "o")
-    reach = family.groupBy("pivot").agg(F.max("plus").alias("plus"), F.min("n").alias("n"))
-    ra, rb = reach.withColumnsRenamed({"pivot": "a", "plus": "pa", "n": "la"}), reach.withColumnsRenamed({"pivot": "b", "plus": "pb", "n": "lb"})
-    open_ = alike.join(ra, "a").join(rb, "b").where("pa + pb > 0").where(like(F.col("o") + F.col("pa") + F.col("pb"), F.col("la"), F.col("lb"))).select("a", "b", "o")
+    reach = family.groupBy("pivot").agg(F.max("plus").alias("plus"), F.min("n").alias("n"), F.count("*").alias("c"))
+    ra, rb = reach.withColumnsRenamed({"pivot": "a", "plus": "pa", "n": "la", "c": "ca"}), reach.withColumnsRenamed({"pivot": "b", "plus": "pb", "n": "lb", "c": "cb"})
+    open_ = alike.join(ra, "a").join(rb, "b").where("pa + pb > 0").where(like(F.col("o") + F.col("pa") + F.col("pb"), F.col("la"), F.col("lb")))
+    open_ = stage(open_.select("a", "b", "o", "ca", "cb"), "open")
+    # a set alone against the members of a pivot: they link only if they differ from the pivot in common
+    lone = open_.where("ca = 1").select("a", "b").union(open_.where("ca > 1 and cb = 1").select("b", "a"))
+    about = lone.select("b").distinct()
+    around = stage(lone.union(family.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).join(about, "b", "left_semi").select("a", "b")), "around")
+    near = differences(docs, reps, around, percent)
+    kins = family.select("rid", "kin")
+    shared = sharing(near, percent).join(kins.withColumnsRenamed({"rid": "z", "kin": "kz"}), "z").join(kins.withColumnsRenamed({"rid": "y", "kin": "ky"}), "y").where("kz <> ky").select("z", "y")
+    open_ = open_.where("ca > 1 and cb > 1").select("a", "b", "o")
     side = lambda x, p: family.select(F.col("pivot").alias(p), F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("plus").alias(f"p{x}"), F.col("minus").alias(f"m{x}"), F.col("kin").alias(f"k{x}"))
     met = open_.join(side("z", "a"), "a").join(side("y", "b"), "b").where("(z <> a or y <> b) and kz <> ky")
     met = met.where(like(F.least(F.col("o") + F.col("pz") + F.col("py"), F.col("nz"), F.col("ny")), F.col("nz"), F.col("ny")))
     met = stage(met.select("z", "y", like(F.col("o") - F.col("mz") - F.col("my"), F.col("nz"), F.col("ny")).alias("sure")), "met")
-    unsure = stage(met.where("not sure").select(F.greatest("z", "y").alias("a"), F.least("z", "y").alias("b")).distinct(), "open")
+    unsure = stage(met.where("not sure").select("z", "y").union(shared).select(F.greatest("z", "y").alias("a"), F.least("z", "y").alias("b")).distinct(), "unsure")
     third = overlaps(docs, reps, unsure)
     more = sized(third).where(like(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b")
 
@@ -358,7 +407,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     roots = reps.select("rid", "doc_id").join(classes.withColumnRenamed("id", "rid"), "rid", "left").withColumn("c", F.coalesce("component_id", "rid"))
     least = stage(roots.groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
     answer = stage(roots.select("rid", "c").join(least, "c").select("rid", "component_id"), "classes")
-    discard(first, second, third, known, family, met, least, pairs, unsure, classes, reps)
+    discard(first, second, third, known, family, met, least, pairs, unsure, classes, reps, around, near)
     out = profiled.select("doc_id", "n_shingles", "rid").join(answer, "rid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

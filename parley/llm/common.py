@@ -130,6 +130,14 @@ def release() -> None:
         pass
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand texts to Python in batches of ``rows`` at most, and 4 MB where Spark can count bytes, unless the session has smaller ones: both sides hold a whole batch."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Codes(dict):
     """Maps keys to values made by ``make``. Holds ``most`` entries and as many older ones, which go when it is full again."""
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bucket_bits, fold, mix64, release, stage, unpack, word_hashes
+from .common import batches, bucket_bits, fold, mix64, release, small_batches, stage, unpack, word_hashes
 
 #: The counts at which levels begin.
 LEVELS = np.unique((1.5 ** np.arange(60)).astype(np.int64))
@@ -87,7 +87,7 @@ def counted(train: DataFrame, bits: int) -> DataFrame:
     names = [c.split()[0] for c in PACKED.split(", ")]
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(frames, 16 << 20):
+        for table in batches(frames, 8 << 20):
             tokens, _ = token_hashes(table.column("text").to_pylist())
             before = np.concatenate([[END], tokens[:-1]])
             rows = []
@@ -290,6 +290,7 @@ class Model:
 
 def fit(train: DataFrame, most_words: int = 1_000_000, most_bytes: int = 128 << 20) -> tuple[Model, DataFrame]:
     """The model, and the counts (key, n) of the words that are not broadcast. At most ``most_words`` words are, and a filter of at most ``most_bytes``."""
+    small_batches(train.sparkSession)
     lead = bucket_bits(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)  # about a byte of keys for a byte of text
     counts = counted(train, lead)
     words = unpacked(counts, lead)
@@ -329,7 +330,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, keys: tuple = ("doc_id
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = share.value
-        for number_of, table in enumerate(batches(frames)):
+        for number_of, table in enumerate(batches(frames, 2 << 20)):
             unit = (TaskContext.get().partitionId() << 33) + number_of
             hashes, sizes = token_hashes(table.column("text").to_pylist())
             rows, row = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
@@ -365,6 +366,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, keys: tuple = ("doc_id
     def finish(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             yield complete(frame, np.asarray(frame.column("level").flatten()))
+        release()
 
     def finish_unit(table: pa.Table, levels: pa.Table) -> pa.Table:
         frame = table.combine_chunks().to_batches()[0]

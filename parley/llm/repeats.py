@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bucket_bits, discard, mix64, stage, unpack
+from .common import batches, bucket_bits, discard, mix64, small_batches, stage, unpack
 
 LENGTH, GRAM = 50, 19
 WINDOW = LENGTH - GRAM + 1  # 32 grams
@@ -95,7 +95,7 @@ def shared_grams(docs: DataFrame, bits: int) -> DataFrame:
             at, h = anchors(body, ends)
             held.append((h, np.searchsorted(ends, at, side="right") + count))
             count, size = count + len(ids), size + len(body)
-            if size > 16 << 20:
+            if size > 8 << 20:
                 yield send(*(np.concatenate(c) for c in zip(*held)))
                 held, size = [], 0
         if held:
@@ -312,6 +312,7 @@ def repeated_spans(found: DataFrame, buckets: int) -> DataFrame:
 
 def removals(docs: DataFrame, most: int = 2_000_000) -> DataFrame:
     """(doc_id, __spans, __copy), stored: for each document that loses something, its packed spans, or that it is a whole copy."""
+    small_batches(docs.sparkSession)
     slim = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body")).where("doc_id is not null")
     marked = stage(slim.select("doc_id", F.length("body").alias("n"), F.sha2("body", 256).alias("sha")), "shas")
     bits = bucket_bits((marked.agg(F.sum("n")).first()[0] or 0) * 3 // 8)  # 6 bytes for each of the grams, of which there is one in 16 bytes

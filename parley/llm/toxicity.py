@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, batches, fold
+from .common import Codes, batches, fold, small_batches
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 EDGES = ".,;:!?\"'()[]{}<>|*-_"
@@ -139,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most:
 def score(docs: DataFrame, model: NoisyOr) -> DataFrame:
     """``docs`` with score (0 to 1), predicted (1 from 0.5), n_sentences, worst_start, worst_end and worst_probability (characters of the likeliest
     sentence). Whole texts count; null and empty ones are one empty sentence. Other columns pass through, those named like the results are replaced."""
+    small_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(model)
     own = "score double, predicted int, n_sentences int, worst_start int, worst_end int, worst_probability double"
     names = [c.split()[0] for c in own.split(", ")]
@@ -147,7 +148,7 @@ def score(docs: DataFrame, model: NoisyOr) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = share.value
-        known = Codes(model.word, 100_000)
+        known = Codes(model.word, 300_000)
         for table in batches(frames, 4 << 20):
             out = []
             for text in table.column("text").to_pylist():
@@ -168,7 +169,7 @@ def offending_sentences(docs: DataFrame, model: NoisyOr, least: float = 0.5) ->
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = share.value
-        known = Codes(model.word, 100_000)
+        known = Codes(model.word, 300_000)
         for frame in batches(frames, 4 << 20):
             found = [(row, s, e, 1 / (1 + exp(-max(z, -500))), text[s:e]) for row, text in enumerate(frame.column("text").to_pylist()) if text for s, e, z in model.sentences(text, known)]
             found = [f for f in found if f[3] >= least]

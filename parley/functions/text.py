@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -23,14 +24,34 @@ def char_errors(reference, hypothesis):
 
 
 def edit_distance(a: list, b: list) -> int:
+    """Rows of the usual table, each in a few vector steps: insertions along a row are a running minimum of (value - place)."""
     if len(a) < len(b):
         a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int64) for words in (a, b))
+    place = np.arange(len(y) + 1)
+    row = place.copy()
+    for i, w in enumerate(x, 1):
+        best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != w))])
+        row = np.minimum.accumulate(best - place) + place
+    return int(row[-1])
+
+
+def joined_texts(rows, by: list[str], order: list[str], *texts: str):
+    """The texts of each group one after another, a space between them, for error rates of a whole corpus rather than means of rows."""
+    listed = F.array_sort(F.collect_list(F.struct(*order, *texts)))
+    return rows.groupBy(*by).agg(listed.alias("x")).select(*by, *[F.array_join(F.col(f"x.{t}"), " ").alias(t) for t in texts])
+
+
+def parsed_segment(line):
+    """A struct (s, e, spk) of a line "start end speaker"."""
+    part = F.split(F.trim(line), r"\s+")
+    return F.struct(F.try_element_at(part, F.lit(1)).cast("double").alias("s"), F.try_element_at(part, F.lit(2)).cast("double").alias("e"), F.try_element_at(part, F.lit(3)).alias("spk"))
+
+
+def segment_line(s, e, spk):
+    """A line "start end speaker" with three decimals."""
+    return F.format_string("%.3f %.3f %s", s, e, spk)
 
 
 def word_errors(reference, hypothesis):

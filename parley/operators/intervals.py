@@ -131,3 +131,63 @@ def to_frames(rows: DataFrame, frame: float = 0.01, durations: DataFrame | None
 def dilate(frames: DataFrame, k: int) -> DataFrame:
     """Frame intervals widened by ``k`` on both sides (from 0 on), merged."""
     return merge(frames.select("rec", F.greatest(F.col("s") - k, F.lit(0)).alias("s"), (F.col("e") + k).alias("e"))).select("rec", "s", "e")
+
+
+def min_duration(rows: DataFrame, least: float = 0.5, rate: int = 16_000) -> DataFrame:
+    """Rows that last at least ``least`` seconds, counted in whole samples of each bound, as an embedding model takes them. Rows without a bound go."""
+    n = sample_index("e", rate) - sample_index("s", rate)
+    return rows.where(n >= int(least * rate))
+
+
+def sample_index(t, rate: int = 16_000) -> Column:
+    """The sample at a time: cut towards zero."""
+    return ((F.col(t) if isinstance(t, str) else t) * F.lit(float(rate))).cast("bigint")
+
+
+def shifted(rows: DataFrame, by, *columns: str) -> DataFrame:
+    """``rows`` with s and e (or the given columns) moved by a column or number; nulls stay null."""
+    return rows.withColumns({c: F.col(c) + by for c in columns or ("s", "e")})
+
+
+def several_active(frames: DataFrame, onset: float) -> DataFrame:
+    """Frames (rec, ix, scores) as (rec, ix, score): 1 where more than one of the scores is at least ``onset``, else 0, ready for ``hysteresis``."""
+    return frames.select("rec", "ix", (F.size(F.filter("scores", lambda x: x >= onset)) > 1).cast("double").alias("score"))
+
+
+def class_probability(frames: DataFrame, classes: list[int]) -> DataFrame:
+    """Frames (rec, ix, scores) as (rec, ix, score): the probability of the given classes (from 0) together. If any score of the recording is negative they are logarithms."""
+    logs = F.min(F.array_min("scores")).over(Window.partitionBy("rec")) < 0
+    wanted = F.filter(F.transform("scores", lambda x, i: F.when(i.isin(classes), x)), lambda x: x.isNotNull())
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return frames.select("rec", "ix", F.when(logs, add(F.transform(wanted, F.exp))).otherwise(add(wanted)).alias("score"))
+
+
+def change_score(frames: DataFrame) -> DataFrame:
+    """Frames (rec, ix, scores) as (rec, ix, score): the L1 distance to the frame before (0 for the first), over the recording's largest; 0 where nothing changes."""
+    before = F.lag("scores").over(Window.partitionBy("rec").orderBy("ix"))
+    far = F.coalesce(F.aggregate(F.zip_with("scores", before, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+    moved = frames.select("rec", "ix", far.alias("d")).withColumn("top", F.max("d").over(Window.partitionBy("rec")))
+    return moved.select("rec", "ix", F.when(F.col("top") > 0, F.col("d") / F.col("top")).otherwise(F.lit(0.0)).alias("score"))
+
+
+def signal_windows(durations: DataFrame, width: float, hop: float) -> DataFrame:
+    """(rec, n, s, e) for each recording (rec, dur): windows of ``width`` every ``hop``, and a last shorter one if over half of it is left."""
+    whole = F.when(F.col("dur") >= width, F.floor((F.col("dur") - width) / hop).cast("bigint") + 1).otherwise(F.lit(0))
+    left = F.col("dur") - F.col("whole") * F.lit(hop)
+    rows = durations.where("dur > 0").select("rec", "dur", whole.alias("whole"))
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(0), F.col("whole")))).where((F.col("n") < F.col("whole")) | (left > width / 2))
+    return rows.select("rec", F.col("n").cast("bigint").alias("n"), (F.col("n") * F.lit(hop)).alias("s"), F.least(F.col("n") * F.lit(hop) + F.lit(width), "dur").alias("e"))
+
+
+def stitched(rows: DataFrame, length: float, overlap: float, gap: float = 0.1) -> DataFrame:
+    """Segments (rec, chunk, ord, s, e, spk) with times within chunks of ``length`` that overlap, on the recording's clock, those of one speaker merged: (rec, spk, s, e, n)."""
+    start = F.col("chunk") * F.lit(length - overlap)
+    return merge(shifted(rows, start), ("rec", "spk"), gap).select("rec", "spk", "s", "e", "n")
+
+
+def numbered_frames(frames: DataFrame) -> DataFrame:
+    """Frames (rec, chunk, ix, score) of chunks one after another as (rec, ix, score)."""
+    sizes = frames.groupBy("rec", "chunk").agg(F.count("*").alias("n"))
+    start = F.coalesce(F.sum("n").over(Window.partitionBy("rec").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("rec", "chunk").orderBy("ix")) - 1
+    return frames.withColumn("ix", place).join(sizes.select("rec", "chunk", start.alias("start")), ["rec", "chunk"]).select("rec", (F.col("start") + F.col("ix")).cast("bigint").alias("ix"), "score")

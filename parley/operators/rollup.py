@@ -48,3 +48,28 @@ def sweep_configs(spark, **options: list) -> DataFrame:
         part = spark.range(1).select(F.explode(F.array(*[F.lit(v).cast("bigint") if isinstance(v, int) else F.lit(v) for v in values])).alias(name))
         out = part if out is None else out.crossJoin(part)
     return out
+
+
+def best_config(results: DataFrame, by: list[str], what: str, precision: str = "precision", f1: str = "f1") -> DataFrame:
+    """The configuration of each group with the largest mean of precision and F1; the first by name of those that tie."""
+    score = (F.col(precision) + F.col(f1)) / 2.0
+    return results.groupBy(*by).agg(F.min_by(what, F.struct(-score, F.col(what))).alias(what), F.max(score).alias("score"))
+
+
+def first_seen(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Each key with the value of its first row."""
+    return rows.groupBy(key).agg(F.min_by(value, order).alias(value))
+
+
+def distinct_counts(rows: DataFrame, by: list[str], what: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count_distinct(what).alias("n"))
+
+
+def clamped(rows: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
+    """Settings cut to their limits; nulls stay null."""
+    return rows.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(low)), F.lit(high))) for c, (low, high) in limits.items()})
+
+
+def subset(part, whole):
+    """Whether an array has nothing that another lacks."""
+    return F.size(F.array_except(part, whole)) == 0

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import dilate, overlap_join, sweep, to_frames
+from .intervals import dilate, intersect, merge, overlap_join, sweep, to_frames
+
 
 def prf(rows: DataFrame, tp: str = "tp", fp: str = "fp", fn: str = "fn") -> DataFrame:
     """precision_pct, recall_pct and f1_pct (0 where undefined)."""
@@ -153,6 +154,33 @@ def best_assignment(table: np.ndarray) -> list[tuple[int, int]]:
     return sorted((match[j] - 1, j - 1) for j in range(1, columns + 1) if match[j])
 
 
+def label_alignment(labelled: DataFrame, predicted: str = "predicted", true: str = "label") -> DataFrame:
+    """(predicted, label): the one-to-one mapping of predicted to true labels that most rows agree with. Counts are aggregated first; the table of labels is solved in one task."""
+    counts = labelled.groupBy(F.col(predicted).cast("string").alias("p"), F.col(true).cast("string").alias("t")).agg(F.count("*").alias("n"))
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.pivot_table(index="p", columns="t", values="n", fill_value=0, aggfunc="sum")
+        return pd.DataFrame([(table.index[i], table.columns[j]) for i, j in best_assignment(table.to_numpy())], columns=[predicted, true])
+
+    return counts.groupBy().applyInPandas(assign, f"{predicted} string, {true} string")
+
+
+def class_scores(labelled: DataFrame, predicted: str = "predicted", true: str = "label", noise=None) -> DataFrame:
+    """One row (n, macro_precision, macro_recall, macro_f1, weighted_precision, weighted_recall, weighted_f1) of predicted against true labels.
+
+    Rows with the ``noise`` label are left out; so are, after ``label_alignment``, null predictions. Means are over the classes that either side has, weights are the true rows of each.
+    """
+    rows = labelled.where(F.col(predicted).isNotNull() & F.col(true).isNotNull())
+    rows = rows.where(F.col(predicted) != noise) if noise is not None else rows
+    side = lambda c, name: rows.groupBy(F.col(c).alias("c")).agg(F.count("*").alias(name))
+    same = rows.where(F.col(predicted) == F.col(true)).groupBy(F.col(true).alias("c")).agg(F.count("*").alias("tp"))
+    each = side(true, "nt").join(side(predicted, "np"), "c", "full").join(same, "c", "left").fillna(0, ["nt", "np", "tp"])
+    part = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a / F.greatest(b, F.lit(1)))
+    each = each.select("nt", part(F.col("tp"), F.col("np")).alias("precision"), part(F.col("tp"), F.col("nt")).alias("recall"), part(2 * F.col("tp"), F.col("np") + F.col("nt")).alias("f1"))
+    means = [F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")] + [(F.sum(F.col(c) * F.col("nt")) / F.sum("nt")).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")]
+    return each.agg(F.sum("nt").alias("n"), *means)
+
+
 def elementary(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     """(rec, s, e, refs, hyps): intervals between neighbouring bounds with the speakers active in each, as sorted lists without repeats."""
     both = ref.select("rec", "s", "e", "spk", F.lit(0).alias("side")).union(hyp.select("rec", "s", "e", "spk", F.lit(1).alias("side")))
@@ -174,11 +202,15 @@ def speaker_mapping(cells: DataFrame) -> DataFrame:
     return shared.groupBy("rec").applyInPandas(assign, "rec string, hyp string, ref string")
 
 
-def diarization_error(ref: DataFrame, hyp: DataFrame, optimal: bool = True, collar: float = 0.0) -> DataFrame:
+def diarization_error(ref: DataFrame, hyp: DataFrame, optimal: bool = True, collar: float = 0.0, uem: DataFrame | str | None = None) -> DataFrame:
     """(rec, total, miss, false_alarm, confusion, der_pct). Overlapped speech counts; without ``optimal``, speakers are taken by name.
 
-    ``collar`` is the whole width left out around each reference boundary.
+    ``collar`` is the whole width left out around each reference boundary. ``uem`` limits what is scored: intervals (rec, s, e), such as 0 to the duration, or "reference" for the
+    union of the reference's regions.
     """
+    if uem is not None:
+        parts = merge(ref if isinstance(uem, str) else uem).select("rec", "s", "e")
+        ref, hyp = (intersect(x.select("rec", "s", "e", "spk"), parts).drop("dur") for x in (ref, hyp))
     cells = elementary(ref, hyp)
     if collar:
         bounds = ref.select("rec", F.explode(F.array("s", "e")).alias("t")).distinct().select("rec", (F.col("t") - collar / 2).alias("s"), (F.col("t") + collar / 2).alias("e"))

@@ -40,6 +40,41 @@ def named(matches: DataFrame, key: str, threshold: float) -> DataFrame:
     return matches.withColumn("speaker", F.when(F.col("score") > threshold, F.col("best").cast("string")).otherwise(F.concat(F.lit("SPEAKER_"), F.col(key).cast("string"))))
 
 
+def named_clusters(rows: DataFrame, registry: DataFrame, cluster: str, name: str, threshold: float) -> DataFrame:
+    """(cluster, speaker, score): the most similar name for each cluster's centroid where the similarity is over the threshold, else SPEAKER_<cluster>."""
+    return named(best_matches(centroids(rows, cluster), registry, cluster, name), cluster, threshold).select(cluster, "speaker", "score")
+
+
+def without_noise(rows: DataFrame, label: str = "label", noise: int = -1) -> DataFrame:
+    """Noise gets a label of its own, one over the largest."""
+    top = rows.agg((F.max(label) + 1).alias("__top"))
+    return rows.crossJoin(F.broadcast(top)).withColumn(label, F.when(F.col(label) == noise, F.col("__top")).otherwise(F.col(label))).drop("__top")  # one row
+
+
+def similarity(rows: DataFrame, label: str = "label", vector: str = "v") -> DataFrame:
+    """One row (intra, inter): the mean cosine of vectors to their own centroid, and the mean over pairs of centroids, of which there is a row a label."""
+    centre = centroids(rows, label, vector)
+    own = rows.join(centre.select(label, F.col("v").alias("c")), label).agg(F.avg(cosine(vector, "c")).alias("intra"))
+    a, b = centre.select(F.col(label).alias("a"), F.col("v").alias("x")), centre.select(F.col(label).alias("b"), F.col("v").alias("y"))
+    return own.crossJoin(a.join(F.broadcast(b), F.col("a") < F.col("b")).agg(F.avg(cosine("x", "y")).alias("inter")))  # one row each
+
+
+def verified(a, b, threshold: float = 0.5):
+    """Whether two vectors are one speaker's: a cosine over the threshold."""
+    return cosine(a, b) > threshold
+
+
+def accepted_in_overlap(rows: DataFrame, centre: DataFrame, cluster: str = "cluster", least: float = 0.35) -> DataFrame:
+    """``rows`` (with v and a cluster) with ``accepted``: the cluster where the vector is similar enough to its centroid, else -1."""
+    near = rows.join(centre.select(cluster, F.col("v").alias("__c")), cluster, "left")
+    return near.withColumn("accepted", F.when(cosine("v", "__c") >= least, F.col(cluster)).otherwise(F.lit(-1))).drop("__c")
+
+
+def expanded_labels(rows: DataFrame, labels: DataFrame, key: str = "vec_id", reference: str = "is_reference") -> DataFrame:
+    """``rows`` with the label of each from ``labels`` (key, label); references get -2."""
+    return rows.join(labels, key, "left").withColumn("label", F.when(F.col(reference), F.lit(-2)).otherwise(F.coalesce("label", F.lit(-2))))
+
+
 def decide(matches: DataFrame, least: float = 0.21, margin: float = 0.09) -> DataFrame:
     """``accepted``: the best is good enough and well ahead of the second."""
     return matches.withColumn("accepted", (F.col("score") >= least) & (F.col("score") - F.coalesce("second", F.lit(0.0)) >= margin))
@@ -185,24 +220,32 @@ def average_linkage(rows: DataFrame, group: str, key: str, clusters: int) -> Dat
 
 
 def greedy_online(rows: DataFrame, group: str, key: str, threshold: float, most: int) -> DataFrame:
-    """(group, key, cluster) in the order of the key: the best centre if similar enough, else a new one up to ``most``, else the closest; only accepted vectors move a centre."""
+    """(group, key, cluster) in the order of the key: the best centre if similar enough, else a new one up to ``most``, else the closest.
+
+    An accepted vector moves its centre to the mean of all that carry its label, those that were forced on it included; a forced one alone doesn't move it.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         sums: list[np.ndarray] = []
         counts: list[int] = []
+        centres: list[np.ndarray] = []
         out = []
         for v in pdf["v"]:
             v = np.asarray(v, dtype=float)
             size = np.sqrt(v @ v) or 1.0
-            scores = [float(v @ s) / (size * (np.sqrt(s @ s) or 1.0)) for s in sums]
+            scores = [float(v @ c) / (size * (np.sqrt(c @ c) or 1.0)) for c in centres]
             best = int(np.argmax(scores)) if scores else -1
             if best >= 0 and scores[best] >= threshold:
                 sums[best], counts[best] = sums[best] + v, counts[best] + 1
-            elif len(sums) < most:
+                centres[best] = sums[best] / counts[best]
+            elif len(sums) < most or not sums:
                 sums.append(v.copy())
                 counts.append(1)
+                centres.append(v.copy())
                 best = len(sums) - 1
+            else:
+                sums[best], counts[best] = sums[best] + v, counts[best] + 1
             out.append(best)
         return pd.DataFrame({group: pdf[group], key: pdf[key], "cluster": out})
 

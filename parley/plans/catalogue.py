@@ -27,8 +27,8 @@ def both(spark, d):
 
 
 def points(seg: DataFrame) -> DataFrame:
-    """Every tenth segment's time 1.5 s after its start."""
-    return seg.where("ord % 10 = 0").select("rec", "ord", (F.col("s") + F.lit(1.5)).alias("t"))
+    """Each segment's time 1.5 s after its start."""
+    return seg.select("rec", "ord", (F.col("s") + F.lit(1.5)).alias("t"))
 
 
 def q01(spark, d):
@@ -365,6 +365,111 @@ def q50(spark, d):
     return vec.join(other, "vec_id").select("vec_id", r6(si_sdr("v", "w")).alias("si_sdr"), r6(cosine("v", "w")).alias("cosine"))
 
 
+def q51(spark, d):
+    return I.min_duration(D.segments(spark, d)).select("rec", "ord", I.sample_index("s").alias("first"), I.sample_index("e").alias("last"))
+
+
+def q52(spark, d):
+    dur = D.segments(spark, d).groupBy("rec").agg(F.max("e").alias("dur"))
+    return I.signal_windows(dur, 600.0, 300.0).select("rec", "n", r6("s").alias("s"), r6("e").alias("e"))
+
+
+def scores(spark, d):
+    """Three scores a frame: the event's and two made from its number."""
+    other = lambda k: (F.col("ord") * k % 500).cast("double") / F.lit(500.0)
+    return D.frames(spark, d).select("rec", "ix", F.array("score", other(7), other(13)).alias("scores"))
+
+
+def q53(spark, d):
+    return I.hysteresis(I.several_active(scores(spark, d), 0.3), 0.5, 0.5).select("rec", F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "n")
+
+
+def q54(spark, d):
+    return I.class_probability(scores(spark, d), [1, 2]).select("rec", F.col("ix").cast("bigint").alias("ix"), r6("score").alias("score"))
+
+
+def q55(spark, d):
+    return I.change_score(scores(spark, d)).select("rec", F.col("ix").cast("bigint").alias("ix"), r6("score").alias("score"))
+
+
+def q56(spark, d):
+    out = S.class_scores(D.vectors(spark, d).join(_matches(spark, d), "vec_id"), "best", "label")
+    return out.select("n", *[r6(c).alias(c) for c in out.columns if c != "n"])
+
+
+def q56b(spark, d):
+    rows = D.vectors(spark, d).join(_matches(spark, d), "vec_id").withColumn("best", (F.col("best") + 3) % 10)
+    names = S.label_alignment(rows, "best", "label").withColumnRenamed("label", "named")
+    out = S.class_scores(rows.withColumn("best", F.col("best").cast("string")).join(F.broadcast(names), "best", "left").withColumn("label", F.col("label").cast("string")), "named", "label")
+    return out.select("n", *[r6(c).alias(c) for c in out.columns if c != "n"])
+
+
+def q57(spark, d):
+    return V.similarity(D.vectors(spark, d)).select(r6("intra").alias("intra"), r6("inter").alias("inter"))
+
+
+def q58(spark, d):
+    vec = D.vectors(spark, d)
+    return V.named_clusters(vec, V.centroids(vec.withColumn("label", F.col("vec_id") % 7)), "label", "label", 0.3).select("label", "speaker", r6("score").alias("score"))
+
+
+def q59(spark, d):
+    return L.folded(chunks(spark, d), L.Silence, least=0.1)
+
+
+def q60(spark, d):
+    means = D.runs(spark, d).groupBy("status", "model").agg(F.avg("discount").alias("p"), F.avg("quantity").alias("f"))
+    return R.best_config(means, ["status"], "model", "p", "f").select("status", "model", r6("score").alias("score"))
+
+
+def q61(spark, d):
+    return R.first_seen(D.segments(spark, d), "spk", "rec", "ord")
+
+
+def q62(spark, d):
+    return R.distinct_counts(D.segments(spark, d), ["rec"], "spk")
+
+
+def q63(spark, d):
+    seg, hyp = both(spark, d)
+    return _der(S.diarization_error(seg, hyp, optimal=False, uem=seg.select("rec").distinct().select("rec", F.lit(0.0).alias("s"), F.lit(43200.0).alias("e"))))
+
+
+def q64(spark, d):
+    chunk = F.floor(F.col("s") / 25.0).cast("bigint")
+    rows = D.segments(spark, d).withColumn("chunk", chunk).withColumns({"s": F.col("s") - chunk * 25.0, "e": F.col("e") - chunk * 25.0})
+    return I.stitched(rows, 30.0, 5.0).select("rec", "spk", r6("s").alias("s"), r6("e").alias("e"), "n")
+
+
+def q65(spark, d):
+    cut = D.frames(spark, d).select("rec", F.floor((F.col("ix") - 1) / 10).alias("chunk"), ((F.col("ix") - 1) % 10).alias("ix"), "score")
+    return I.numbered_frames(cut).select("rec", "ix", r6("score").alias("score"))
+
+
+def q67(spark, d):
+    noisy = D.vectors(spark, d).select("vec_id", F.when(F.col("label") == 3, F.lit(-1)).otherwise(F.col("label")).alias("label"))
+    return V.without_noise(noisy).select("vec_id", F.col("label").cast("bigint").alias("label"))
+
+
+def q68(spark, d):
+    vec = D.vectors(spark, d)
+    other = vec.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return vec.join(other, "vec_id").select("vec_id", V.verified("v", "w", 0.1).alias("same"))
+
+
+def q69(spark, d):
+    rows = T.joined_texts(_pairs(spark, d).select("conv_id", "turn", "ref", "hyp"), ["conv_id"], ["turn"], "ref", "hyp")
+    return rows.select("conv_id", r6(T.word_errors("ref", "hyp")).alias("wer_pct"), r6(T.char_errors(F.col("ref"), F.col("hyp"))).alias("cer_pct"))
+
+
+def q70(spark, d):
+    return L.folded(chunks(spark, d), L.Accumulation, need=100.0).select("session", "ord", r6("held").alias("held"), "ready")
+
+
+def q71(spark, d):
+    return L.folded(chunks(spark, d), L.Buffer, most=120.0, fresh=10.0, interval=600.0).select("session", "ord", r6("t0").alias("t0"), r6("length").alias("length"), "due")
+
+
 NAMES = {
     "q01_overlap_regions": q01, "q02_mask_intersection": q02, "q03_segment_text": q03, "q04_first_overlap_region": q04, "q05_speaker_at_time": q05, "q06_padded_lookup": q06,
     "q07_active_speakers": q07, "q08_nearest_region": q08, "q09_merge": q09, "q09b_merge_same_speaker": q09b, "q09c_close_silences": q09c, "q10_change_points": q10, "q10b_boundaries": q10b,
@@ -374,7 +479,10 @@ NAMES = {
     "q31b_fresh_labels": q31b, "q32_leave_one_out": q32, "q33_top2_margin": q33, "q34_cosine_silhouette": q34, "q35_adjusted_rand": q35, "q36_components": q36, "q37_lloyd": q37,
     "q38_char_error_rate": q38, "q39_word_error_rate": q39, "q40_repetition": q40, "q41_repeat_squash": q41, "q42_word_attribution": q42, "q43_word_bubbles": q43, "q44_backfill": q44,
     "q45_prompt_worthy": q45, "q45b_confidence": q45b, "q46_tumbling": q46, "q46b_sliding": q46b, "q47_sessions": q47, "q48_dedupe_fold": q48, "q49_speaker_fold": q49,
-    "q49b_timeline_fold": q49b, "q50_si_sdr": q50,
+    "q49b_timeline_fold": q49b, "q50_si_sdr": q50, "q51_min_duration": q51, "q52_signal_windows": q52, "q53_several_active": q53, "q54_class_probability": q54, "q55_change_score": q55,
+    "q56_class_scores": q56, "q56b_aligned_class_scores": q56b, "q57_similarity": q57, "q58_named_clusters": q58, "q59_two_strikes": q59, "q60_best_config": q60, "q61_first_seen": q61,
+    "q62_distinct_speakers": q62, "q63_der_uem": q63, "q64_stitched": q64, "q65_numbered_frames": q65, "q67_noise": q67, "q68_verification": q68, "q69_corpus_errors": q69,
+    "q70_accumulation": q70, "q71_buffer": q71,
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 SEG = "seg AS (SELECT strftime(ts, '%Y-%m-%d') AS rec, event_id AS ord, (epoch_us(ts) % 86400000000)::DOUBLE / 1e6 AS s, (epoch_us(ts) % 86400000000)::DOUBLE / 1e6 + value AS e, event_type AS spk FROM events)"
 HYP = "hyp AS (SELECT rec, ord, s + (ord % 5)::DOUBLE * 0.4::DOUBLE AS s, e + (ord % 5)::DOUBLE * 0.4::DOUBLE AS e, CASE WHEN ord % 11 = 0 THEN 'click' ELSE spk END AS spk FROM seg WHERE ord % 7 <> 0)"
 PAIRS = "pairs AS (SELECT a.rec, a.ord AS a, b.ord AS b, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e FROM seg a JOIN seg b ON a.rec = b.rec AND a.ord < b.ord AND a.spk <> b.spk AND a.s < b.e AND b.s < a.e AND least(a.e, b.e) - greatest(a.s, b.s) >= 0.5)"
-POINTS = "points AS (SELECT rec, ord, s + 1.5::DOUBLE AS t FROM seg WHERE ord % 10 = 0)"
+POINTS = "points AS (SELECT rec, ord, s + 1.5::DOUBLE AS t FROM seg)"
 
 
 def islands(name: str, source: str, by: str = "rec", gap: str = "0") -> str:
@@ -115,3 +115,36 @@ c AS (SELECT vec_id, x0, r0, list_transform(x0, lambda t: t - list_avg(x0)) AS x
 h AS (SELECT vec_id, x0, r0, energy * gain * gain AS target, list_sum(list_transform(list_zip(x, r), lambda z: (z[1] - gain * z[2]) * (z[1] - gain * z[2]))) AS rest FROM g)
 SELECT vec_id, round(CASE WHEN rest < 1e-8 THEN 'inf'::DOUBLE ELSE 10.0::DOUBLE * log10(target / rest) END, 6) AS si_sdr, round(list_cosine_similarity(x0, r0), 6) AS cosine FROM h""",
 }
+
+SCORES = """f AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ix, value / 500.0::DOUBLE AS a, (event_id * 7 % 500)::DOUBLE / 500.0::DOUBLE AS b, (event_id * 13 % 500)::DOUBLE / 500.0::DOUBLE AS c FROM events)"""
+CLASSES = """SELECT sum(nt)::BIGINT AS n, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(f), 6) AS macro_f1, round(sum(p * nt) / sum(nt), 6) AS weighted_precision,
+round(sum(r * nt) / sum(nt), 6) AS weighted_recall, round(sum(f * nt) / sum(nt), 6) AS weighted_f1 FROM (SELECT nt, CASE WHEN np = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / np END AS p, CASE WHEN nt = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / nt END AS r,
+CASE WHEN np + nt = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * tp / (np + nt) END AS f FROM (SELECT c, count(*) FILTER (side = 0) AS nt, count(*) FILTER (side = 1) AS np, count(*) FILTER (side = 2) AS tp FROM
+(SELECT label AS c, 0 AS side FROM l UNION ALL SELECT best, 1 FROM l UNION ALL SELECT label, 2 FROM l WHERE label = best) GROUP BY 1))"""
+
+SQL |= {
+    "q51_min_duration": f"WITH {SEG} SELECT rec, ord, trunc(s * 16000.0::DOUBLE)::BIGINT AS first, trunc(e * 16000.0::DOUBLE)::BIGINT AS last FROM seg WHERE trunc(e * 16000.0::DOUBLE)::BIGINT - trunc(s * 16000.0::DOUBLE)::BIGINT >= 8000",
+    "q52_signal_windows": f"""WITH {SEG}, d AS (SELECT rec, max(e) AS dur FROM seg GROUP BY 1), w AS (SELECT *, CASE WHEN dur >= 600 THEN floor((dur - 600.0::DOUBLE) / 300.0::DOUBLE)::BIGINT + 1 ELSE 0 END AS whole FROM d), n AS (SELECT *, unnest(range(whole + 1)) AS n FROM w)
+SELECT rec, n, round(n * 300.0::DOUBLE, 6) AS s, round(least(n * 300.0::DOUBLE + 600.0::DOUBLE, dur), 6) AS e FROM n WHERE n < whole OR dur - whole * 300.0::DOUBLE > 300""",
+    "q53_several_active": f"""WITH {SCORES}, x AS (SELECT rec, ix, (a >= 0.3)::INT + (b >= 0.3)::INT + (c >= 0.3)::INT > 1 AS is_on FROM f), y AS (SELECT *, ix - row_number() OVER (PARTITION BY rec ORDER BY ix) AS i FROM x WHERE is_on)
+SELECT rec, min(ix) AS first, max(ix) AS last, count(*) AS n FROM y GROUP BY rec, i""",
+    "q54_class_probability": f"WITH {SCORES} SELECT rec, ix, round(b + c, 6) AS score FROM f",
+    "q55_change_score": f"""WITH {SCORES}, x AS (SELECT rec, ix, coalesce(abs(a - lag(a) OVER w) + abs(b - lag(b) OVER w) + abs(c - lag(c) OVER w), 0.0::DOUBLE) AS d FROM f WINDOW w AS (PARTITION BY rec ORDER BY ix)),
+y AS (SELECT *, max(d) OVER (PARTITION BY rec) AS top FROM x) SELECT rec, ix, round(CASE WHEN top > 0 THEN d / top ELSE 0.0::DOUBLE END, 6) AS score FROM y""",
+    "q56_class_scores": f"WITH {CENTRES}, l AS (SELECT label, best FROM vec JOIN matches USING (vec_id)) {CLASSES}",
+    "q57_similarity": f"WITH {CENTRES} SELECT (SELECT round(avg(list_cosine_similarity(v, w)), 6) FROM vec JOIN c ON label = name) AS intra, (SELECT round(avg(list_cosine_similarity(a.w, b.w)), 6) FROM c a JOIN c b ON a.name < b.name) AS inter",
+    "q58_named_clusters": f"""WITH {UNIT}, cent AS (SELECT label, pos, avg(x) AS x FROM elements GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY pos) AS v FROM cent GROUP BY 1), reg AS (SELECT vec_id % 7 AS name, pos, avg(x) AS x FROM elements GROUP BY 1, 2),
+r AS (SELECT name, list(x ORDER BY pos) AS w FROM reg GROUP BY 1), k AS (SELECT label, name, list_cosine_similarity(v, w) AS score, row_number() OVER (PARTITION BY label ORDER BY list_cosine_similarity(v, w) DESC, name) AS i FROM c, r)
+SELECT label, CASE WHEN score > 0.3 THEN name::VARCHAR ELSE 'SPEAKER_' || label END AS speaker, round(score, 6) AS score FROM k WHERE i = 1""",
+    "q59_two_strikes": """WITH f AS (SELECT user_id AS session, event_id AS ord, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (value / 500.0::DOUBLE - 0.05::DOUBLE) / (0.35::DOUBLE - 0.05::DOUBLE))) < 0.1 AS q, ts FROM events),
+g AS (SELECT *, coalesce(lag(q) OVER (PARTITION BY session ORDER BY ts, ord), false) AS before FROM f) SELECT session, ord, q AND NOT before AS flagged, q AND before AS silent FROM g""",
+    "q60_best_config": f"WITH {MODEL}, m AS (SELECT status, model, (avg(discount) + avg(quantity)) / 2.0::DOUBLE AS score FROM runs GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY score DESC, model) AS i FROM m) SELECT status, model, round(score, 6) AS score FROM k WHERE i = 1",
+    "q61_first_seen": f"WITH {SEG} SELECT spk, arg_min(rec, ord) AS rec FROM seg GROUP BY 1",
+    "q62_distinct_speakers": f"WITH {SEG} SELECT rec, count(DISTINCT spk) AS n FROM seg GROUP BY 1",
+    "q63_der_uem": f"""{CELLS.replace("u AS (SELECT rec, s, e, spk, 0 AS side FROM seg UNION ALL SELECT rec, s, e, spk, 1 FROM hyp)", "v AS (SELECT rec, s, e, spk, 0 AS side FROM seg UNION ALL SELECT rec, s, e, spk, 1 FROM hyp), u AS (SELECT rec, s, least(e, 43200.0::DOUBLE) AS e, spk, side FROM v WHERE s < 43200.0::DOUBLE)")},
+same AS (SELECT a.rec, a.s, count(DISTINCT a.spk) AS ok FROM inside a JOIN inside b ON a.rec = b.rec AND a.s = b.s AND a.side = 0 AND b.side = 1 AND a.spk = b.spk GROUP BY 1, 2), z AS (SELECT rec, e - s AS d, r, h, coalesce(ok, 0) AS ok FROM cells LEFT JOIN same USING (rec, s)) {DER}""",
+    "q64_stitched": f"WITH {SEG}, {islands('m', 'seg', 'rec, spk', '0.1')} SELECT rec, spk, round(s, 6) AS s, round(e, 6) AS e, n FROM m",
+    "q65_numbered_frames": f"WITH {SCORES} SELECT rec, ix - 1 AS ix, round(a, 6) AS score FROM f",
+    "q67_noise": "SELECT vec_id, (CASE WHEN label = 3 THEN (SELECT max(label) + 1 FROM embeddings WHERE label <> 3) ELSE label END)::BIGINT AS label FROM embeddings",
+    "q68_verification": "SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.1 AS same FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+}

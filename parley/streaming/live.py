@@ -39,14 +39,14 @@ def sessions(events: DataFrame, gap: str, key: str = "user_id", late: str = "30
 
 @dataclass
 class Dedupe:
-    """Words that start within ``slack`` of the last kept word's end are dropped; a last end over a second past the cursor is forgotten."""
+    """Words that start within ``slack`` of the last kept word's end are dropped. A last end over a second past the start of what is new can't be right, and that start takes its place."""
 
     slack: float = 0.03
     last: float = float("-inf")
 
     def step(self, row) -> tuple:
-        if self.last > row.s + 1.0 + RETENTION:
-            self.last = float("-inf")
+        if self.last > row.s + 1.0:
+            self.last = row.s
         kept = row.s > self.last + self.slack
         if kept:
             self.last = row.e
@@ -65,19 +65,24 @@ class Dedupe:
 
 @dataclass
 class Speaker:
-    """The current speaker of a session: a switch needs ``cooldown`` seconds since the last one; the same speaker's confidence is an exponential mean."""
+    """The current speaker of a session: another one, or none where the confidence is under ``least``, takes over once ``cooldown`` seconds have gone since the last switch or match;
+    the same speaker's confidence is an exponential mean."""
 
     cooldown: float = 1.0
+    least: float = 0.0
     alpha: float = 0.3
     speaker: str | None = None
     confidence: float = 0.0
     since: float = float("-inf")
 
     def step(self, row) -> tuple:
-        if row.spk == self.speaker:
-            self.confidence = self.alpha * row.confidence + (1 - self.alpha) * self.confidence
-        elif row.s - self.since >= self.cooldown:
+        sure = row.spk is not None and row.confidence >= self.least
+        if sure and row.spk == self.speaker:
+            self.confidence, self.since = self.alpha * row.confidence + (1 - self.alpha) * self.confidence, row.s
+        elif sure and (self.speaker is None or row.s - self.since >= self.cooldown):
             self.speaker, self.confidence, self.since = row.spk, row.confidence, row.s
+        elif not sure and self.speaker is not None and row.s - self.since >= self.cooldown:
+            self.speaker, self.confidence, self.since = None, 0.0, row.s
         return (row.session, row.ord, self.speaker, self.confidence)
 
     STATE = "speaker string, confidence double, since double"
@@ -91,9 +96,90 @@ class Speaker:
         return self
 
 
+@dataclass
+class Silence:
+    """``silent`` is only confirmed by a second silent chunk in a row; a chunk with speech (a confidence of ``least``) takes the first one back."""
+
+    least: float = 0.05
+    strikes: int = 0
+
+    def step(self, row) -> tuple:
+        self.strikes = 0 if row.confidence >= self.least else self.strikes + 1
+        return (row.session, row.ord, self.strikes == 1, self.strikes >= 2)
+
+    STATE = "strikes int"
+    OUT = "session long, ord long, flagged boolean, silent boolean"
+
+    def dump(self) -> tuple:
+        return (self.strikes,)
+
+    def load(self, held: tuple) -> Silence:
+        self.strikes = held[0]
+        return self
+
+
+@dataclass
+class Accumulation:
+    """Seconds of speech held for the next decision: over three times ``need`` they are cut to twice ``need``; ``ready`` from ``need`` on."""
+
+    need: float = 0.5
+    held: float = 0.0
+
+    def step(self, row) -> tuple:
+        self.held += row.e - row.s
+        if self.held > 3 * self.need:
+            self.held = 2 * self.need
+        return (row.session, row.ord, self.held, self.held >= self.need)
+
+    STATE = "held double"
+    OUT = "session long, ord long, held double, ready boolean"
+
+    def dump(self) -> tuple:
+        return (self.held,)
+
+    def load(self, held: tuple) -> Accumulation:
+        self.held = held[0]
+        return self
+
+
+@dataclass
+class Buffer:
+    """A buffer of at most ``most`` seconds with an absolute clock: what is over goes from its head, ``t0`` moves on by as much, and the cursor (how far it was processed) moves back.
+
+    The buffer is processed when at least ``fresh`` seconds are new and ``interval`` seconds have gone since the last time.
+    """
+
+    most: float = 12.0
+    fresh: float = 1.0
+    interval: float = 0.5
+    t0: float = 0.0
+    length: float = 0.0
+    cursor: float = 0.0
+    last: float = float("-inf")
+
+    def step(self, row) -> tuple:
+        self.length += row.e - row.s
+        over = max(0.0, self.length - self.most)
+        self.length, self.t0, self.cursor = self.length - over, self.t0 + over, max(0.0, self.cursor - over)
+        due = self.length - self.cursor >= self.fresh and row.s - self.last >= self.interval
+        if due:
+            self.cursor, self.last = self.length, row.s
+        return (row.session, row.ord, self.t0, self.length, due)
+
+    STATE = "t0 double, length double, cursor double, last double"
+    OUT = "session long, ord long, t0 double, length double, due boolean"
+
+    def dump(self) -> tuple:
+        return (self.t0, self.length, self.cursor, self.last)
+
+    def load(self, held: tuple) -> Buffer:
+        self.t0, self.length, self.cursor, self.last = held
+        return self
+
+
 @dataclass
 class Timeline:
-    """Spans by speaker: one of the same speaker is extended, another is appended; those that ended over ``RETENTION`` seconds ago go."""
+    """Spans by speaker: one of the same speaker is extended, another is appended; from the oldest on, those that ended over ``RETENTION`` seconds ago go."""
 
     names: list = field(default_factory=list)
     starts: list = field(default_factory=list)
@@ -106,8 +192,9 @@ class Timeline:
             self.names.append(row.spk)
             self.starts.append(row.s)
             self.ends.append(row.e)
-        keep = [i for i, e in enumerate(self.ends) if e >= row.s - RETENTION]
-        self.names, self.starts, self.ends = ([x[i] for i in keep] for x in (self.names, self.starts, self.ends))
+        while self.ends and self.ends[0] < row.s - RETENTION:
+            for x in (self.names, self.starts, self.ends):
+                x.pop(0)
         return (row.session, row.ord, len(self.names), ",".join(sorted(set(self.names))))
 
     STATE = "names array<string>, starts array<double>, ends array<double>"

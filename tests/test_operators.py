@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from parley.functions import text as T
-from parley.operators import intervals, scoring, sequences, speakers
+from parley.operators import intervals, rollup, scoring, sequences, speakers
 from parley.sources import annotations, tables
 from parley.streaming import live
 
@@ -193,7 +193,7 @@ def test_presets_drop_private_keys(spark, tmp_path):
     assert [tuple(r) for r in annotations.read_presets(spark, f"file://{tmp_path}/p.json").collect()] == [("fast", "interval", "0.5")]
 
 
-@pytest.mark.parametrize("rule", [live.Dedupe, live.Speaker, live.Timeline])
+@pytest.mark.parametrize("rule", [live.Dedupe, live.Speaker, live.Timeline, live.Silence, live.Accumulation, live.Buffer])
 def test_stream_equals_batch(spark, tmp_path, rule):
     rng = random.Random(8)
     rows = [(i % 3, i, float(i), i + rng.uniform(0.2, 3), rng.choice("AB"), rng.random()) for i in range(60)]
@@ -225,3 +225,102 @@ def test_char_error_rate_of_whole_texts(spark, tmp_path):
     got = {r["turn"]: r["cer_pct"] for r in catalogue.queries()["q38_char_error_rate"](spark, str(tmp_path)).collect()}
     pairs = [(a.strip(" "), b.strip(" ")) for a, b in zip(texts, texts[1:])]
     assert got == {i: round(100 * T.edit_distance(list(a), list(b)) / len(a), 6) if a else 0.0 for i, (a, b) in enumerate(pairs)}
+
+
+def live_rows(spark, rows):
+    return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "session long, ord long, s double, e double, spk string, confidence double")
+
+
+def test_dedupe_rule(spark):
+    rows = [(0.0, 0.5, "A", 1.0), (0.52, 0.9, "A", 1.0), (0.6, 5.0, "A", 1.0), (0.95, 1.2, "A", 1.0), (3.0, 3.2, "A", 1.0), (3.5, 4.0, "A", 1.0)]
+    got = [r["kept"] for r in sorted(live.folded(live_rows(spark, rows), live.Dedupe).collect(), key=lambda r: r["ord"])]
+    last, want = float("-inf"), []
+    for s, e, *_ in rows:
+        if last > s + 1.0:  # more than a second past what is new: it starts there
+            last = s
+        want.append(s > last + 0.03)
+        last = e if want[-1] else last
+    assert got == want and not all(want)
+
+
+def test_speaker_rule(spark):
+    rows = [(0.0, 0, "A", 0.9), (0.5, 0, "B", 0.9), (0.9, 0, "A", 0.5), (1.5, 0, "B", 0.9), (1.95, 0, "B", 0.8), (2.2, 0, "B", 0.1), (3.2, 0, "C", 0.1), (3.3, 0, "C", 0.7), (3.4, 0, None, 0.9)]
+    got = [(r["speaker"], round(r["confidence"], 6)) for r in sorted(live.folded(live_rows(spark, [(s, float(e), k, c) for s, e, k, c in rows]), live.Speaker, least=0.2).collect(), key=lambda r: r["ord"])]
+    # a match of the current speaker renews the time, so B takes over only at 1.95; unsure chunks clear it after a second
+    assert got == [("A", 0.9), ("A", 0.9), ("A", 0.78), ("A", 0.78), ("B", 0.8), ("B", 0.8), (None, 0.0), ("C", 0.7), ("C", 0.7)]
+
+
+def test_buffer_keeps_the_clock(spark):
+    rows = [(float(i), i + 1.0, "A", 1.0) for i in range(20)]
+    got = sorted(live.folded(live_rows(spark, rows), live.Buffer, most=12.0, fresh=2.0, interval=3.0).collect(), key=lambda r: r["ord"])
+    assert [(r["t0"], r["length"]) for r in got] == [(max(0.0, i - 11.0), min(i + 1.0, 12.0)) for i in range(20)]
+    assert [r["ord"] for r in got if r["due"]] == list(range(1, 20, 3))
+
+
+def test_greedy_clusters_move_by_all_members(spark):
+    x, df = vectors(spark, 30)
+    rows = df.orderBy("vec_id").collect()
+    for grp in {r["grp"] for r in rows}:
+        vecs = [(r["vec_id"], np.array(r["v"])) for r in rows if r["grp"] == grp]
+        labels, centres = [], []
+        for i, (_, v) in enumerate(vecs):
+            if not centres:
+                centres.append(v)
+                labels.append(0)
+                continue
+            near = [float(v @ c / (np.linalg.norm(v) * np.linalg.norm(c))) for c in centres]
+            best = int(np.argmax(near))
+            if near[best] >= 0.3:
+                labels.append(best)
+                centres[best] = np.mean([vecs[j][1] for j, k in enumerate(labels) if k == best], axis=0)
+            elif len(centres) < 3:
+                labels.append(len(centres))
+                centres.append(v)
+            else:
+                labels.append(best)
+        got = {r["vec_id"]: r["cluster"] for r in speakers.greedy_online(df.where(f"grp = '{grp}'"), "grp", "vec_id", 0.3, 3).collect()}
+        assert [got[k] for k, _ in vecs] == labels
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
+def test_edit_distance(a, b):
+    table = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+    assert T.edit_distance(a, b) == table[-1][-1]
+
+
+def test_class_scores_after_alignment(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("xyz"), rng.choice([0, 0, 1, 2, -1])) for _ in range(80)]
+    rows = [(str((p + 1) % 3) if p >= 0 and rng.random() < 0.7 else str(p), t) for t, p in rows]
+    df = spark.createDataFrame(rows, "predicted string, label string").where("predicted <> '-1'")
+    kept = [(p, t) for p, t in rows if p != "-1"]
+    best = max(sum(m[i] == t and p == str(i) for p, t in kept for i in range(3)) for m in permutations("xyz"))
+    names = {r["predicted"]: r["label"] for r in scoring.label_alignment(df).collect()}
+    assert sum(names[p] == t for p, t in kept) == best
+    named = spark.createDataFrame([(names[p], t) for p, t in kept], "predicted string, label string")
+    got = scoring.class_scores(named).first()
+    f1 = [2 * sum(names[p] == c == t for p, t in kept) / (sum(names[p] == c for p, _ in kept) + sum(t == c for _, t in kept)) for c in "xyz"]
+    assert got["macro_f1"] == pytest.approx(np.mean(f1)) and got["n"] == len(kept)
+
+
+def test_error_is_only_scored_inside_the_uem(spark):
+    ref = spark.createDataFrame([("r", 0, 0.0, 10.0, "A")], SEG)
+    hyp = spark.createDataFrame([("r", 0, 5.0, 20.0, "A")], SEG)
+    whole = spark.createDataFrame([("r", 0.0, 30.0)], "rec string, s double, e double")
+    row = lambda uem: scoring.diarization_error(ref, hyp, optimal=False, uem=uem).first()
+    assert (row(whole)["miss"], row(whole)["false_alarm"]) == (5.0, 10.0)
+    assert (row("reference")["miss"], row("reference")["false_alarm"]) == (5.0, 0.0)
+
+
+def test_small_helpers(spark):
+    row = spark.range(1).select(T.parsed_segment(T.F.lit(" 1.5 2.25  bob")).alias("p"), T.segment_line(T.F.lit(1.0), T.F.lit(2.5), T.F.lit("x")).alias("l"), rollup.subset(T.F.array(T.F.lit(1)), T.F.array(T.F.lit(1), T.F.lit(2))).alias("in")).first()
+    assert tuple(row["p"]) == (1.5, 2.25, "bob") and row["l"] == "1.000 2.500 x" and row["in"]
+    cut = rollup.clamped(spark.createDataFrame([(99.0,), (None,), (0.1,)], "x double"), {"x": (1.0, 10.0)}).collect()
+    assert [r["x"] for r in cut] == [10.0, None, 1.0]
+    rows = spark.createDataFrame([(1, 3, [1.0, 0.0]), (2, 3, [0.0, 1.0])], "vec_id long, cluster long, v array<double>")
+    centre = spark.createDataFrame([(3, [1.0, 0.0])], "cluster long, v array<double>")
+    assert {r["vec_id"]: r["accepted"] for r in speakers.accepted_in_overlap(rows, centre).collect()} == {1: 3, 2: -1}

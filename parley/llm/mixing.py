@@ -117,7 +117,7 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
 t AS (SELECT source, source_size, turn, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM l),
 c AS (SELECT doc_id, size, source_size, target, turn, round(target)::BIGINT AS goal,
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size END::BIGINT AS whole, CASE WHEN source_size = 0 THEN 0 ELSE least(size, greatest(goal % source_size - c, 0)) END::BIGINT AS extra,
   CASE WHEN goal > 0 THEN c::DOUBLE / goal::DOUBLE END AS share FROM c),
 p AS (SELECT *, CASE turn % 3

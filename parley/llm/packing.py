@@ -104,7 +104,7 @@ class WordIds(Codes):
     PUNCTUATION = re.compile(r"[!-&(-/:-@\[-`{-~]")
     LOWER = {a: a + 32 for a in range(65, 91)}
 
-    def __init__(self, vocabulary: str, most: int = 150_000):
+    def __init__(self, vocabulary: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary)
@@ -134,7 +134,7 @@ class WordIds(Codes):
                 return self[folded]
             mark = self.PUNCTUATION.search(word)
             # the tokenizer's own folding must leave letters alone: one like U+0130 becomes two characters, of which it joins the last to what follows
-            if mark and mark.start() and word[: mark.start()].isalpha() and word[: mark.start()].isascii():
+            if mark and mark.start() and word[: mark.start()].isalpha() and word[: mark.start()].lower().isalpha():
                 return self[word[: mark.start()]] + self[word[mark.start() :]]
         return self.encode(word)
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, unit
+from ..functions.vectors import cosine, dot, si_sdr, unit
 
 
 def centroids(rows: DataFrame, label: str = "label", vector: str = "v") -> DataFrame:
@@ -17,22 +17,22 @@ def centroids(rows: DataFrame, label: str = "label", vector: str = "v") -> DataF
     return parts.groupBy(label).agg(F.max("n").alias("n"), listed.alias("v"))
 
 
-def best_matches(rows: DataFrame, registry: DataFrame, key: str, name: str, most_names: int = 100_000) -> DataFrame:
+def best_matches(rows: DataFrame, registry: DataFrame, key: str, name: str, block: int = 1000, most_names: int = 100_000) -> DataFrame:
     """(key, best, score, second): the registry's most similar name for each vector and the runner-up's similarity; ties go to the smaller name.
 
-    A registry of up to ``most_names`` is sent to all; a larger one is met in blocks by a shuffle.
+    Names are held in blocks, one row each, so a vector meets a row a block and sends on the two best of it: no row is made for a name and
+    no window sorts them. A registry of up to ``most_names`` is sent to all; a larger one is met by a shuffle.
     """
-    r = registry.select(F.col(name).alias("name"), unit("v").alias("w"))
-    left = rows.select(key, unit("v").alias("u"))
-    if registry.count() <= most_names:
-        both = left.join(F.broadcast(r))
-    else:
-        blocks = 64
-        both = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(r.withColumn("b", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")), "b")
-    scored = both.select(key, "name", dot("u", "w").alias("score"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "name"))
-    ranked = scored.withColumn("r", rank).where("r <= 2")
-    return ranked.groupBy(key).agg(F.max(F.when(F.col("r") == 1, F.col("name"))).alias("best"), F.max(F.when(F.col("r") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("second"))
+    n = registry.count()
+    parts = max(1, -(-n // block))
+    cell = F.pmod(F.xxhash64(name), F.lit(parts)).cast("int").alias("__b")
+    held = registry.select(cell, F.struct(F.col(name).alias("name"), unit("v").alias("w")).alias("r")).groupBy("__b").agg(F.collect_list("r").alias("__r"))
+    asked = rows.select(key, unit("v").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__b"))
+    both = asked.join(F.broadcast(held) if n <= most_names else held, "__b")
+    two = lambda x: F.slice(F.array_sort(x), 1, 2)
+    near = F.transform("__r", lambda r: F.struct((-dot(r["w"], F.col("u"))).alias("d"), r["name"].alias("name")))
+    top = both.select(key, two(near).alias("__t")).groupBy(key).agg(two(F.flatten(F.collect_list("__t"))).alias("__t"))
+    return top.select(key, F.get("__t", F.lit(0))["name"].alias("best"), (-F.get("__t", F.lit(0))["d"]).alias("score"), (-F.get("__t", F.lit(1))["d"]).alias("second"))
 
 
 def named(matches: DataFrame, key: str, threshold: float) -> DataFrame:
@@ -64,6 +64,17 @@ def verified(a, b, threshold: float = 0.5):
     return cosine(a, b) > threshold
 
 
+def best_reference(sources: DataFrame, references: DataFrame, region: str, key: str, name: str = "name", least: int = 100) -> DataFrame:
+    """(region, key, name, si_sdr): for each separated source (v) the region's reference (v) with the highest ratio, the smaller name on ties; one reference may win several.
+
+    Pairs whose shorter signal has under ``least`` samples are left out, and sources without a pair have a null name.
+    """
+    other = references.select(region, F.col(name).alias("__name"), F.col("v").alias("__v"))
+    scored = sources.join(other, region).where(F.least(F.size("v"), F.size("__v")) >= least).select(region, key, "__name", si_sdr("v", "__v").alias("__ratio"))
+    best = scored.groupBy(region, key).agg(F.max("__ratio").alias("si_sdr"), F.min(F.struct(-F.col("__ratio"), F.col("__name")))["__name"].alias(name))
+    return sources.select(region, key).join(best, [region, key], "left").select(region, key, name, "si_sdr")
+
+
 def accepted_in_overlap(rows: DataFrame, centre: DataFrame, cluster: str = "cluster", least: float = 0.35) -> DataFrame:
     """``rows`` (with v and a cluster) with ``accepted``: the cluster where the vector is similar enough to its centroid, else -1."""
     near = rows.join(centre.select(cluster, F.col("v").alias("__c")), cluster, "left")

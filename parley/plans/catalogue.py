@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import cosine, si_sdr
+from ..operators import clustering as C
 from ..operators import intervals as I
 from ..operators import rollup as R
 from ..operators import scoring as S
@@ -244,11 +245,15 @@ def q35(spark, d):
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a local one where that is unset."""
+    """A new folder that all executors share: under spark.checkpoint.dir, or a local one where that is unset and the master is local."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="parley-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="parley-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -470,6 +475,63 @@ def q71(spark, d):
     return L.folded(chunks(spark, d), L.Buffer, most=120.0, fresh=10.0, interval=600.0).select("session", "ord", r6("t0").alias("t0"), r6("length").alias("length"), "due")
 
 
+def q72(spark, d):
+    vec = D.vectors(spark, d)
+    cell = F.col("vec_id") % 5
+    parts = V.centroids(vec.withColumn("at", F.col("label") * 5 + cell), "at").select((F.col("at") % 5).alias("cell"), F.floor(F.col("at") / 5).alias("name"), "v")
+    return V.best_reference(vec.withColumn("cell", cell), parts, "cell", "vec_id", least=2).select("cell", "vec_id", "name", r6("si_sdr").alias("si_sdr"))
+
+
+def q73(spark, d):
+    return C.euclidean_silhouette(D.vectors(spark, d)).groupBy("label").agg(F.count("*").alias("n"), r6(F.avg("silhouette")).alias("silhouette"))
+
+
+def q74(spark, d):
+    return C.distance_search(D.vectors(spark, d), scratch(spark, "distances")).select(r6("eps").alias("eps"), "clusters", r6("ari").alias("ari"), "chosen")
+
+
+def q74b(spark, d):
+    return C.distance_for_count(D.vectors(spark, d), scratch(spark, "distances"), 10).select(r6("eps").alias("eps"), "clusters", "chosen")
+
+
+def q75(spark, d):
+    vec = D.vectors(spark, d).withColumn("cell", F.floor(F.col("vec_id") / 100))
+    return C.refined_linkage(vec, "cell", "vec_id", 8)
+
+
+def q76(spark, d):
+    vec = D.vectors(spark, d)
+    references = {str(r["label"]): r["v"] for r in V.centroids(vec).orderBy("label").limit(100).collect()}  # enrolled speakers, ten here
+    return C.online_means(vec.withColumn("cell", F.floor(F.col("vec_id") / 100)), references, "cell", "vec_id").select("cell", "vec_id", "cluster", "name", r6("distance").alias("distance"))
+
+
+def q77(spark, d):
+    return L.folded(chunks(spark, d), L.Microbatch, most=300.0, kept=60.0, interval=1800.0).select("session", "ord", r6("begins").alias("begins"), r6("length").alias("length"), "due")
+
+
+def q78(spark, d):
+    return L.held_display(chunks(spark, d).withColumn("speech", F.col("confidence") >= 0.5), 3600.0)
+
+
+def q79(spark, d):
+    spoken = chunks(spark, d).groupBy("session").agg(F.sort_array(F.collect_set("spk")).alias("all"), F.min_by("spk", F.struct("s", "ord")).alias("first"), F.max_by("spk", F.struct("s", "ord")).alias("current"))
+    known = F.array(F.lit("click"), F.lit("view"), F.lit("zoom"))
+    wide = L.expanded_speakers(F.array("first"), F.col("current"), F.slice("all", 1, 1), known)
+    return spoken.select("session", F.array_join(F.sort_array(wide), ",").alias("speakers"))
+
+
+def q79b(spark, d):
+    top = chunks(spark, d).agg(F.max("e")).first()[0]
+    return L.recent(chunks(spark, d), top - 3600.0, top - 90000.0, 86400.0).select("session", "ord", r6("s").alias("s"), r6("e").alias("e"))
+
+
+def q80(spark, d):
+    from ..sources.annotations import timing_report
+
+    times = D.table(spark, d, "events").groupBy(F.concat(F.lit("stage_"), "event_type").alias("component")).agg(F.count("*").cast("double").alias("seconds"))
+    return timing_report(times, float(D.table(spark, d, "events").count())).select(F.col("place").cast("bigint").alias("place"), "line")
+
+
 NAMES = {
     "q01_overlap_regions": q01, "q02_mask_intersection": q02, "q03_segment_text": q03, "q04_first_overlap_region": q04, "q05_speaker_at_time": q05, "q06_padded_lookup": q06,
     "q07_active_speakers": q07, "q08_nearest_region": q08, "q09_merge": q09, "q09b_merge_same_speaker": q09b, "q09c_close_silences": q09c, "q10_change_points": q10, "q10b_boundaries": q10b,
@@ -482,7 +544,8 @@ NAMES = {
     "q49b_timeline_fold": q49b, "q50_si_sdr": q50, "q51_min_duration": q51, "q52_signal_windows": q52, "q53_several_active": q53, "q54_class_probability": q54, "q55_change_score": q55,
     "q56_class_scores": q56, "q56b_aligned_class_scores": q56b, "q57_similarity": q57, "q58_named_clusters": q58, "q59_two_strikes": q59, "q60_best_config": q60, "q61_first_seen": q61,
     "q62_distinct_speakers": q62, "q63_der_uem": q63, "q64_stitched": q64, "q65_numbered_frames": q65, "q67_noise": q67, "q68_verification": q68, "q69_corpus_errors": q69,
-    "q70_accumulation": q70, "q71_buffer": q71,
+    "q70_accumulation": q70, "q71_buffer": q71, "q72_best_reference": q72, "q73_euclidean_silhouette": q73, "q74_distance_search": q74, "q74b_distance_for_count": q74b,
+    "q75_refined_linkage": q75, "q76_online_means": q76, "q77_microbatch": q77, "q78_display_hold": q78, "q79_expanded_speakers": q79, "q79b_overlap_history": q79b, "q80_timing_report": q80,
 }
 
 

@@ -148,3 +148,26 @@ same AS (SELECT a.rec, a.s, count(DISTINCT a.spk) AS ok FROM inside a JOIN insid
     "q67_noise": "SELECT vec_id, (CASE WHEN label = 3 THEN (SELECT max(label) + 1 FROM embeddings WHERE label <> 3) ELSE label END)::BIGINT AS label FROM embeddings",
     "q68_verification": "SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.1 AS same FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
 }
+
+CHUNKS = """c AS (SELECT user_id AS session, event_id AS ord, epoch_us(ts)::DOUBLE / 1e6 AS s, epoch_us(ts)::DOUBLE / 1e6 + value AS e, event_type AS spk,
+greatest(0.0::DOUBLE, least(1.0::DOUBLE, (value / 500.0::DOUBLE - 0.05::DOUBLE) / (0.35::DOUBLE - 0.05::DOUBLE))) >= 0.5::DOUBLE AS speech FROM events)"""
+
+SQL |= {
+    "q72_best_reference": """WITH v AS (SELECT vec_id, vec_id % 5 AS cell, label, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT cell, label, unnest(range(1, len(v) + 1)) AS pos, unnest(v) AS x FROM v),
+m AS (SELECT cell, label, pos, avg(x) AS x FROM x GROUP BY 1, 2, 3), r AS (SELECT cell, label AS name, list(x ORDER BY pos) AS r0 FROM m GROUP BY 1, 2),
+p AS (SELECT v.cell, vec_id, name, v AS x0, r0 FROM v JOIN r ON v.cell = r.cell), c AS (SELECT cell, vec_id, name, list_transform(x0, lambda t: t - list_avg(x0)) AS x, list_transform(r0, lambda t: t - list_avg(r0)) AS r FROM p),
+g AS (SELECT *, list_dot_product(r, r) AS energy, list_dot_product(x, r) / list_dot_product(r, r) AS gain FROM c), h AS (SELECT *, energy * gain * gain AS target, list_dot_product(x, x) - gain * list_dot_product(x, r) AS rest FROM g),
+k AS (SELECT *, CASE WHEN rest < 1e-8 THEN 'inf'::DOUBLE ELSE 10.0::DOUBLE * log10(target / rest) END AS ratio FROM h), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ratio DESC, name) AS i FROM k)
+SELECT cell, vec_id, name::BIGINT AS name, round(ratio, 6) AS si_sdr FROM o WHERE i = 1""",
+    "q73_euclidean_silhouette": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.vec_id, a.label, b.label AS other, sum(CASE WHEN a.vec_id = b.vec_id THEN 0.0::DOUBLE ELSE list_distance(a.v, b.v) END) AS d, count(*) AS n FROM v a CROSS JOIN v b GROUP BY 1, 2, 3),
+m AS (SELECT vec_id, label, max(CASE WHEN label = other THEN d / greatest(n - 1, 1) END) AS a, min(CASE WHEN label <> other THEN d / n END) AS b, max(CASE WHEN label = other THEN n END) AS n FROM d GROUP BY 1, 2)
+SELECT label, count(*) AS n, round(avg(CASE WHEN n = 1 OR b IS NULL THEN 0.0::DOUBLE ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM m GROUP BY 1""",
+    "q78_display_hold": f"""WITH {CHUNKS}, r AS (SELECT *, sum(speech::INT) OVER w AS run, last_value(CASE WHEN speech THEN spk END IGNORE NULLS) OVER w AS held FROM c WINDOW w AS (PARTITION BY session ORDER BY s, ord ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, min(CASE WHEN NOT speech THEN s END) OVER (PARTITION BY session, run) AS began FROM r) SELECT session, ord, CASE WHEN speech THEN spk WHEN s - began < 3600 THEN held END AS shown FROM b""",
+    "q79_expanded_speakers": f"""WITH {CHUNKS}, g AS (SELECT session, arg_min(spk, (s, ord)) AS a, arg_max(spk, (s, ord)) AS b, min(spk) AS l FROM c GROUP BY 1),
+n AS (SELECT session, x FROM (SELECT session, a AS x FROM g UNION SELECT session, b FROM g UNION SELECT session, l FROM g)), z AS (SELECT session, list(x) AS xs FROM n GROUP BY 1)
+SELECT session, array_to_string(list_sort(CASE WHEN len(xs) >= 2 THEN xs ELSE list_append(xs, list_filter(['click', 'view', 'zoom'], lambda k: NOT list_contains(xs, k))[1]) END), ',') AS speakers FROM z""",
+    "q79b_overlap_history": f"WITH {CHUNKS}, t AS (SELECT max(e) AS top FROM c) SELECT session, ord, round(s, 6) AS s, round(e, 6) AS e FROM c, t WHERE e >= top - 3600 - 86400 AND s >= top - 90000",
+    "q80_timing_report": """WITH t AS (SELECT event_type AS k, count(*)::DOUBLE AS n FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, k) AS place, max(n) OVER () AS top, sum(n) OVER () AS total FROM t)
+SELECT place, concat(rpad('Stage ' || upper(k[1]) || lower(k[2:]), 30, ' '), ' ', rpad(repeat('█', floor(n / top * 40.0::DOUBLE)::INT), 40, ' '), ' ', printf('%6.2f', n), 's (', printf('%5.1f', n * 100.0::DOUBLE / total), '%)') AS line FROM o""",
+}

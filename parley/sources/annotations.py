@@ -93,3 +93,31 @@ def read_report(spark: SparkSession, path: str, required=("comparison_type", "mo
 def unfinished(combinations: DataFrame, finished: DataFrame, keys: list[str]) -> DataFrame:
     """The combinations of a sweep that have no stored result yet."""
     return combinations.join(finished.select(*keys).distinct(), keys, "left_anti")
+
+
+AUDIO = "mp3|wav|flac|m4a"
+
+
+def audio_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of a folder's audio files in the order of their paths; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{AUDIO.replace('|', ',')}}}").load(path)
+    return files.select("path", "length").orderBy("path")
+
+
+def alignment(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
+    """(path relative to the folder, speaker, is_reference): files in <speaker>/audio_chunks, or those of ``known`` (path, speaker), and the clips in speaker_references."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    root = F.lit(folder.split("://")[-1].split(":", 1)[-1].rstrip("/") + "/")
+    rest = files.select(F.element_at(F.split("path", F.concat(F.lit(r"\Q"), root, F.lit(r"\E"))), -1).alias("path"))
+    clips = rest.select("path", F.upper(F.regexp_extract("path", r"^speaker_references/([^/]+)\.mp3$", 1)).alias("speaker"), F.lit(True).alias("is_reference"))
+    found = rest.select("path", F.upper(F.regexp_extract("path", rf"^([^/]+)/audio_chunks/[^/]+\.(?:{AUDIO})$", 1)).alias("speaker")) if known is None else known.select("path", "speaker")
+    return found.withColumn("is_reference", F.lit(False)).union(clips).where("speaker <> ''")
+
+
+def timing_report(times: DataFrame, total: float, width: int = 40) -> DataFrame:
+    """(place, line): a line for each component (component, seconds), the longest first, with a bar and its share of the total. For a run's few components."""
+    top = F.max("seconds").over(Window.partitionBy())
+    bar = F.repeat(F.lit("█"), F.coalesce(F.floor(F.col("seconds") / F.nullif(top, F.lit(0.0)) * width), F.lit(0)).cast("int"))
+    share = F.col("seconds") * 100.0 / total if total > 0 else F.lit(0.0)
+    line = F.format_string(f"%-30s %-{width}s %6.2fs (%5.1f%%)", F.initcap(F.replace("component", F.lit("_"), F.lit(" "))), bar, F.col("seconds"), share)
+    return times.select(F.row_number().over(Window.orderBy(F.desc("seconds"), "component")).alias("place"), line.alias("line"))

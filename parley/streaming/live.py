@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -177,6 +178,43 @@ class Buffer:
         return self
 
 
+@dataclass
+class Microbatch:
+    """Overlap detection on a buffer of at most ``most`` seconds: it runs once ``least`` seconds are held and ``interval`` seconds have gone since the last run, and keeps the last ``kept`` seconds.
+
+    ``begins`` is the session's time at the head of the buffer.
+    """
+
+    least: float = 0.6
+    interval: float = 1.0
+    kept: float = 1.0
+    most: float = 5.0
+    begins: float = 0.0
+    length: float = 0.0
+    last: float = 0.0
+
+    def step(self, row) -> tuple:
+        self._cut(self.length + row.e - row.s, self.most)
+        due, begins, length = self.length >= self.least and row.s - self.last >= self.interval, self.begins, self.length
+        if due:
+            self.last = row.s
+            self._cut(self.length, self.kept)
+        return (row.session, row.ord, begins, length, due)
+
+    def _cut(self, length: float, most: float) -> None:
+        self.begins, self.length = self.begins + max(0.0, length - most), min(length, most)
+
+    STATE = "begins double, length double, last double"
+    OUT = "session long, ord long, begins double, length double, due boolean"
+
+    def dump(self) -> tuple:
+        return (self.begins, self.length, self.last)
+
+    def load(self, held: tuple) -> Microbatch:
+        self.begins, self.length, self.last = held
+        return self
+
+
 @dataclass
 class Timeline:
     """Spans by speaker: one of the same speaker is extended, another is appended; from the oldest on, those that ended over ``RETENTION`` seconds ago go."""
@@ -208,18 +246,28 @@ class Timeline:
         return self
 
 
-def folded(rows: DataFrame, rule: type, **options) -> DataFrame:
-    """A rule along each session of a batch, in the order of (s, ord)."""
+def _steps(pdf: pd.DataFrame, state, rule: type, options: dict, reset: str | None) -> tuple[list, object]:
+    """The results of a session's rows in order, and the state after them; a row whose ``reset`` is true starts afresh and has no result."""
+    out = []
+    for row in pdf.sort_values(["s", "ord"]).itertuples():
+        if reset and getattr(row, reset):
+            state = rule(**options)
+        else:
+            out.append(state.step(row))
+    return out, state
+
+
+def folded(rows: DataFrame, rule: type, reset: str | None = None, **options) -> DataFrame:
+    """A rule along each session of a batch, in the order of (s, ord). ``reset`` names a boolean column of control rows, which clear their session's state."""
     names = [c.split()[0] for c in rule.OUT.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = rule(**options)
-        return pd.DataFrame([state.step(r) for r in pdf.sort_values(["s", "ord"]).itertuples()], columns=names)
+        return pd.DataFrame(_steps(pdf, rule(**options), rule, options, reset)[0], columns=names)
 
     return rows.groupBy("session").applyInPandas(run, rule.OUT)
 
 
-def streamed(rows: DataFrame, rule: type, idle_ms: int = 3_600_000, **options) -> DataFrame:
+def streamed(rows: DataFrame, rule: type, idle_ms: int = 3_600_000, reset: str | None = None, **options) -> DataFrame:
     """The same rule on a stream: state by session, dropped after ``idle_ms`` of processing time without rows."""
     names = [c.split()[0] for c in rule.OUT.split(", ")]
 
@@ -230,10 +278,46 @@ def streamed(rows: DataFrame, rule: type, idle_ms: int = 3_600_000, **options) -
         fold = rule(**options)
         if state.exists:
             fold.load(state.get)
-        pdf = pd.concat(list(frames)).sort_values(["s", "ord"])
-        out = [fold.step(r) for r in pdf.itertuples()]
+        out, fold = _steps(pd.concat(list(frames)), fold, rule, options, reset)
         state.update(fold.dump())
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=names)
 
     return rows.groupBy("session").applyInPandasWithState(run, rule.OUT, rule.STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def held_display(rows: DataFrame, hold: float = 1.5) -> DataFrame:
+    """(session, ord, shown): a chunk with speech (``speech``) shows its speaker; silence shows the last known speaker until ``hold`` seconds after the silence began."""
+    order = Window.partitionBy("session").orderBy("s", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("__run", F.sum(F.col("speech").cast("int")).over(order)).withColumn("__last", F.last(F.when(F.col("speech"), F.col("spk")), ignorenulls=True).over(order))
+    began = F.min(F.when(~F.col("speech"), F.col("s"))).over(Window.partitionBy("session", "__run"))
+    return run.withColumn("__began", began).select("session", "ord", F.when(F.col("speech"), F.col("spk")).when(F.col("s") - F.col("__began") < hold, F.col("__last")).alias("shown"))
+
+
+def warm_up_label(speaker, elapsed, speech, warm_up: float = 1.0, need: float = 0.5):
+    """The speaker; without one, null in the first ``warm_up`` seconds or before ``need`` seconds of speech, then "Unknown"."""
+    return F.coalesce(speaker, F.when((elapsed >= warm_up) & (speech >= need), F.lit("Unknown")))
+
+
+def expanded_speakers(found, current, session, registry):
+    """Speakers of an overlap: where fewer than two were found, the current one and the session's are added, then enrolled ones until there are two."""
+    wide = F.array_union(F.array_union(found, F.array_compact(F.array(current))), session)
+    rest = F.slice(F.array_except(registry, wide), 1, F.greatest(F.lit(2) - F.size(wide), F.lit(0)))
+    return F.when(F.size(found) >= 2, found).otherwise(F.concat(wide, rest))
+
+
+def recent(overlaps: DataFrame, now, since=None, retention: float = RETENTION) -> DataFrame:
+    """Overlaps that ended at most ``retention`` seconds before ``now``, from the start ``since`` on."""
+    kept = overlaps.where(F.col("e") >= F.lit(now) - retention)
+    return kept if since is None else kept.where(F.col("s") >= F.lit(since))
+
+
+def live_chunks(rows: DataFrame) -> DataFrame:
+    """(session, sample_rate, seconds, samples) of JSON messages (``value``) with base64 float32 audio, ``sample_rate`` and ``session_id``, "default" where it is missing."""
+
+    @F.pandas_udf("array<float>")
+    def decoded(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], dtype="<f4"))
+
+    parts = rows.select(F.from_json(F.col("value").cast("string"), "audio string, sample_rate int, session_id string").alias("m")).select("m.*").withColumn("raw", F.unbase64("audio"))
+    return parts.select(F.coalesce("session_id", F.lit("default")).alias("session"), "sample_rate", (F.floor(F.octet_length("raw") / 4) / F.col("sample_rate")).alias("seconds"), decoded("raw").alias("samples"))

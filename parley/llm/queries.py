@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, lm, mixing, neardup, packing, repeats, sharding, toxicity, warc
+from . import ann, jaccard, lm, mixing, neardup, packing, repeats, sharding, toxicity, urls, warc
 
 
 def pipeline(spark, sf_dir: str):
@@ -23,9 +23,10 @@ def queries() -> dict:
         "op8_collision_counting": ann.op8_collision_counting,
         "op9_curriculum_mix": mixing.op9_curriculum_mix,
         "op10_warc_index_first": warc.op10_warc_index_first,
+        "op12_url_cascade": urls.op12_url_cascade,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_curriculum_mix": mixing.OP9_SQL}
+    return {"op9_curriculum_mix": mixing.OP9_SQL, "op12_url_cascade": urls.OP12_SQL}

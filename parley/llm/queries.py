@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, lm, mixing, neardup, packing, repeats, sharding, toxicity, urls, warc
+from . import ann, jaccard, lm, mixing, neardup, packing, repeats, sharding, toxicity, trie, urls, warc
 
 
 def pipeline(spark, sf_dir: str):
@@ -24,9 +24,10 @@ def queries() -> dict:
         "op9_curriculum_mix": mixing.op9_curriculum_mix,
         "op10_warc_index_first": warc.op10_warc_index_first,
         "op12_url_cascade": urls.op12_url_cascade,
+        "op13_prefix_trie": trie.op13_prefix_trie,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_curriculum_mix": mixing.OP9_SQL, "op12_url_cascade": urls.OP12_SQL}
+    return {"op9_curriculum_mix": mixing.OP9_SQL, "op12_url_cascade": urls.OP12_SQL, "op13_prefix_trie": trie.OP13_SQL}

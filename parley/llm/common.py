@@ -10,6 +10,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -138,6 +139,19 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
             spark.conf.set(key, str(most))
 
 
+@contextmanager
+def batch_limits(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """``small_batches`` for what is written inside the block; the session's own settings hold again after it."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(key) for key in keys]
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.set(key, value)
+
+
 class Codes(dict):
     """Maps keys to values made by ``make``. Holds ``most`` entries and as many older ones, which go when it is full again."""
 

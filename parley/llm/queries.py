@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, lm, mixing, neardup, packing, repeats, sharding, toxicity, trie, urls, warc
+from . import ann, divergence, jaccard, lm, mixing, neardup, packing, repeats, sharding, toxicity, trie, urls, warc
 
 
 def pipeline(spark, sf_dir: str):
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op8_collision_counting": ann.op8_collision_counting,
         "op9_curriculum_mix": mixing.op9_curriculum_mix,
         "op10_warc_index_first": warc.op10_warc_index_first,
+        "op11_source_divergence": divergence.op11_source_divergence,
         "op12_url_cascade": urls.op12_url_cascade,
         "op13_prefix_trie": trie.op13_prefix_trie,
         "pipeline": pipeline,
@@ -30,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_curriculum_mix": mixing.OP9_SQL, "op12_url_cascade": urls.OP12_SQL, "op13_prefix_trie": trie.OP13_SQL}
+    return {"op9_curriculum_mix": mixing.OP9_SQL, "op11_source_divergence": divergence.OP11_SQL, "op12_url_cascade": urls.OP12_SQL, "op13_prefix_trie": trie.OP13_SQL}

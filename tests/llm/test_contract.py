@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_collision_counting": "query_id bigint, rank int, vec_id bigint, score double",
     "op9_curriculum_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint, copies int, position double",
     "op10_warc_index_first": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op11_source_divergence": "lang string, source string, part string, item string, value bigint, rank int",
+    "op12_url_cascade": "page_id bigint, host string, path string, rule string, verdict string",
+    "op13_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
 }
 
 
@@ -48,9 +51,10 @@ def test_registered_query(spark, texts, name):
         assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows))) for s in range(8))
     if name == "op4_best_fit_packing":
         assert {r["doc_id"] for r in rows} == set(texts) and all(0 < r["length"] <= 4096 and r["offset"] + r["length"] <= 4096 for r in rows)
-    if name == "op9_curriculum_mix":
+    if name in queries.oracle_sql():
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+        for table in ("documents", "pages", "conversations"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
         found = con.execute(queries.oracle_sql()[name]).fetchall()
         names = [c[0] for c in con.description]
         tidy = lambda row: tuple(round(v, 6) if isinstance(v, float) else v for v in row)

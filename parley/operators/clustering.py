@@ -152,6 +152,14 @@ def refined_linkage(rows: DataFrame, group: str, key: str, clusters: int, passes
     return refined(rows, average_linkage(rows, group, key, clusters), group, key, clusters, passes)
 
 
+def enrolled(registry: DataFrame, most: int = 10_000) -> dict[str, list[float]]:
+    """{name: v} of a registry (name, v) in the order of the names, for a fold that every group begins with. More than ``most`` speakers are an error, never cut off."""
+    rows = registry.select("name", "v").orderBy("name").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} enrolled speakers")
+    return {r["name"]: r["v"] for r in rows}
+
+
 def online_means(rows: DataFrame, references: dict[str, list[float]], group: str, key: str, weight: float = 1.0) -> DataFrame:
     """(group, key, cluster, name, distance) in the order of the key: the nearest centre moves towards a vector by one over the vectors it has had, then the nearest is named.
 

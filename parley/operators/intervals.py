@@ -163,7 +163,11 @@ def class_probability(frames: DataFrame, classes: list[int]) -> DataFrame:
 
 
 def change_score(frames: DataFrame) -> DataFrame:
-    """Frames (rec, ix, scores) as (rec, ix, score): the L1 distance to the frame before (0 for the first), over the recording's largest; 0 where nothing changes."""
+    """Frames (rec, ix, scores) as (rec, ix, score): the L1 distance to the frame before (0 for the first), over the recording's largest; 0 where nothing changes.
+
+    Where no score of a recording is over 0 they are logarithms, and probabilities are compared."""
+    logs = F.max(F.array_max("scores")).over(Window.partitionBy("rec")) <= 0
+    frames = frames.withColumn("scores", F.when(logs, F.transform("scores", F.exp)).otherwise(F.col("scores")))
     before = F.lag("scores").over(Window.partitionBy("rec").orderBy("ix"))
     far = F.coalesce(F.aggregate(F.zip_with("scores", before, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
     moved = frames.select("rec", "ix", far.alias("d")).withColumn("top", F.max("d").over(Window.partitionBy("rec")))
@@ -180,9 +184,10 @@ def signal_windows(durations: DataFrame, width: float, hop: float) -> DataFrame:
 
 
 def stitched(rows: DataFrame, length: float, overlap: float, gap: float = 0.1) -> DataFrame:
-    """Segments (rec, chunk, ord, s, e, spk) with times within chunks of ``length`` that overlap, on the recording's clock, those of one speaker merged: (rec, spk, s, e, n)."""
-    start = F.col("chunk") * F.lit(length - overlap)
-    return merge(shifted(rows, start), ("rec", "spk"), gap).select("rec", "spk", "s", "e", "n")
+    """Segments (rec, chunk, ord, s, e, spk) with times within chunks of ``length`` that overlap, on the recording's clock: (rec, spk, s, e, n).
+
+    A segment joins the one before it if that is the same speaker's and ends no more than ``gap`` before it starts; another speaker in between parts them."""
+    return merge_same_speaker(shifted(rows, F.col("chunk") * F.lit(length - overlap)), gap)
 
 
 def numbered_frames(frames: DataFrame) -> DataFrame:

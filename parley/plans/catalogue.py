@@ -13,6 +13,7 @@ from ..operators import rollup as R
 from ..operators import scoring as S
 from ..operators import sequences as Q
 from ..operators import speakers as V
+from ..operators import words as W
 from ..sources import tables as D
 from ..streaming import live as L
 from .oracle import SQL
@@ -259,7 +260,8 @@ def scratch(spark, name: str) -> str:
 
 def q36(spark, d):
     vec = D.vectors(spark, d)
-    out = V.graph_components(V.near_pairs(vec, 0.6), vec, scratch(spark, "components"))
+    # a forest of each pair of blocks has the same components as all near pairs
+    out = V.graph_components(C.spanning_links(vec, 0.6), vec, scratch(spark, "components"))
     size = F.count("*").over(Window.partitionBy("component"))
     return out.withColumn("size", size).select("vec_id", "component", (F.col("size") == 1).alias("is_noise"))
 
@@ -289,33 +291,30 @@ def q40(spark, d):
 
 
 def q41(spark, d):
-    words = D.utterances(spark, d).select("conv_id", "turn", F.posexplode(T.tokens(F.col("text"))).alias("pos", "w")).withColumn("p", T.plain(F.col("w")))
-    before = F.lag("p").over(Window.partitionBy("conv_id", "turn").orderBy("pos"))
-    kept = words.withColumn("b", before).where(~F.coalesce((F.col("p") == F.col("b")) & (F.col("p") != "") & (F.char_length("p") <= 4), F.lit(False)))
-    return kept.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("text"))
+    words = D.utterances(spark, d).select("conv_id", "turn", F.posexplode(T.tokens(F.col("text"))).alias("pos", "word"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
+    return W.squashed(words, ["conv_id", "turn"]).groupBy("conv_id", "turn").agg(F.count("*").alias("n"), said.alias("text"))
 
 
 def q42(spark, d):
-    """Words spread evenly over 30 s for each turn, given to the segment that holds their middle; turns of one conversation follow each other on the first recording."""
-    words = D.utterances(spark, d).select("conv_id", "turn", T.tokens(F.col("text")).alias("w")).where("size(w) > 0").select("conv_id", "turn", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-    t = (F.col("conv_id") * 100 + F.col("turn") * 30).cast("double") % 86400.0 + (F.col("pos") + F.lit(0.5)) * F.lit(30.0) / F.col("n")
+    """Turns of 30 s, one after another, words spread evenly over them and given to the segment that holds their middle. Conversations are dealt to the recordings of all days."""
     seg = D.segments(spark, d)
-    first = seg.agg(F.min("rec").alias("rec"))
-    timed = words.crossJoin(F.broadcast(first)).select("rec", "conv_id", "turn", "pos", t.alias("t"))  # one row
-    hit = I.point_join(timed, seg).groupBy("conv_id", "turn", "pos").agg(F.max_by("r_spk", "r_ord").alias("spk"))
-    out = timed.join(hit, ["conv_id", "turn", "pos"], "left").select("conv_id", "turn", F.coalesce("spk", F.lit("unknown")).alias("spk"))
-    return out.groupBy("conv_id", "turn", "spk").agg(F.count("*").alias("n"))
+    ends = D.table(spark, d, "events").agg(F.min(F.to_date("ts")).alias("__first"), F.max(F.to_date("ts")).alias("__last"))
+    start = (F.col("conv_id") * 100 + F.col("turn") * 30).cast("double") % 86400.0
+    day = F.date_add("__first", (F.col("conv_id") % (F.datediff("__last", "__first") + 1)).cast("int"))
+    turns = D.utterances(spark, d).crossJoin(F.broadcast(ends)).select(day.cast("string").alias("rec"), "conv_id", "turn", "text", start.alias("s"), (start + 30.0).alias("e"))  # one row
+    words = W.timed_words(turns).withColumn("t", (F.col("ws") + F.col("we")) / 2)
+    return W.attributed(words, seg, ["conv_id", "turn", "pos"]).groupBy("conv_id", "turn", "spk").agg(F.count("*").alias("n"))
 
 
 def q43(spark, d):
     """Bubbles of up to 18 words of consecutive turns of one role."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    turns = D.utterances(spark, d).withColumn("w", T.tokens(F.col("text"))).withColumn("new", F.coalesce((F.col("role") != F.lag("role").over(order)).cast("int"), F.lit(1)))
-    turns = turns.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    words = turns.select("conv_id", "run", "role", "turn", F.posexplode("w").alias("pos", "word"))
-    at = F.row_number().over(Window.partitionBy("conv_id", "run").orderBy("turn", "pos")) - 1
-    bubbles = words.withColumn("bubble", F.floor(at / 18).cast("bigint")).groupBy("conv_id", "run", "role", "bubble")
-    return bubbles.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "pos", "word"))), lambda x: x["word"]), " ").alias("text"))
+    return W.bubbles(D.utterances(spark, d), ["conv_id"], "turn", "role").drop("separated")
+
+
+def q43b(spark, d):
+    """The same where every fifth turn is from a separated source, which has bubbles of its own."""
+    return W.bubbles(D.utterances(spark, d), ["conv_id"], "turn", "role", separated=F.col("turn") % 5 == 4)
 
 
 def q44(spark, d):
@@ -353,7 +352,13 @@ def chunks(spark, d):
 
 
 def q48(spark, d):
-    return L.folded(chunks(spark, d), L.Dedupe)
+    """An hour of a user is a call; what was said in it and its context of 120 s before is heard again, as it is by a recogniser that is given a buffer."""
+    said = chunks(spark, d).withColumn("text", F.concat_ws(" ", "spk", F.col("ord") % 3, "spk"))
+    call = F.floor(F.col("s") / 3600.0)
+    # a segment that ends in the next hour or starts near its end is heard by both calls
+    heard = said.withColumn("call", F.explode(F.array_distinct(F.array(call, F.floor((F.col("e") + 120.0) / 3600.0)))))
+    heard = heard.withColumn("begin", F.col("call") * 3600.0).withColumn("end", F.col("begin") + 3600.0)
+    return L.folded(W.call_words(heard), L.Snippets).select("session", "ord", "n", "text", r6("last_end").alias("last_end"))
 
 
 def q49(spark, d):
@@ -397,6 +402,11 @@ def q55(spark, d):
     return I.change_score(scores(spark, d)).select("rec", F.col("ix").cast("bigint").alias("ix"), r6("score").alias("score"))
 
 
+def q55b(spark, d):
+    logs = scores(spark, d).withColumn("scores", F.transform("scores", lambda x: F.log((x + F.lit(0.01)) / F.lit(1.01))))
+    return I.change_score(logs).select("rec", F.col("ix").cast("bigint").alias("ix"), r6("score").alias("score"))
+
+
 def q56(spark, d):
     out = S.class_scores(D.vectors(spark, d).join(_matches(spark, d), "vec_id"), "best", "label")
     return out.select("n", *[r6(c).alias(c) for c in out.columns if c != "n"])
@@ -419,7 +429,7 @@ def q58(spark, d):
 
 
 def q59(spark, d):
-    return L.folded(chunks(spark, d), L.Silence, least=0.1)
+    return L.silences(chunks(spark, d), least=0.1)
 
 
 def q60(spark, d):
@@ -441,8 +451,11 @@ def q63(spark, d):
 
 
 def q64(spark, d):
+    """Chunks of 30 s every 25 s; what starts in the 5 s that two of them share is found by both."""
+    seg = D.segments(spark, d)
     chunk = F.floor(F.col("s") / 25.0).cast("bigint")
-    rows = D.segments(spark, d).withColumn("chunk", chunk).withColumns({"s": F.col("s") - chunk * 25.0, "e": F.col("e") - chunk * 25.0})
+    both = F.when((chunk > 0) & (F.col("s") - chunk * 25.0 < 5.0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    rows = seg.withColumn("chunk", F.explode(both)).withColumns({"s": F.col("s") - F.col("chunk") * 25.0, "e": F.col("e") - F.col("chunk") * 25.0})
     return I.stitched(rows, 30.0, 5.0).select("rec", "spk", r6("s").alias("s"), r6("e").alias("e"), "n")
 
 
@@ -501,8 +514,8 @@ def q75(spark, d):
 
 def q76(spark, d):
     vec = D.vectors(spark, d)
-    references = {str(r["label"]): r["v"] for r in V.centroids(vec).orderBy("label").limit(100).collect()}  # enrolled speakers, ten here
-    return C.online_means(vec.withColumn("cell", F.floor(F.col("vec_id") / 100)), references, "cell", "vec_id").select("cell", "vec_id", "cluster", "name", r6("distance").alias("distance"))
+    references = V.centroids(vec).select(F.col("label").cast("string").alias("name"), "v")
+    return C.online_means(vec.withColumn("cell", F.floor(F.col("vec_id") / 100)), C.enrolled(references), "cell", "vec_id").select("cell", "vec_id", "cluster", "name", r6("distance").alias("distance"))
 
 
 def q77(spark, d):
@@ -539,9 +552,9 @@ NAMES = {
     "q17_frame_prf_tolerant": q17, "q18_change_point_prf": q18, "q19_boundary_match": q19, "q20_iou_greedy": q20, "q21_max_overlap_label": q21, "q22_der_by_name": q22, "q23_der_optimal": q23,
     "q24_speech_share": q24, "q25_model_rollup": q25, "q26_ranking": q26, "q27_pivot_mean": q27, "q28_capped_sample": q28, "q29_config_sweep": q29, "q30_centroids": q30, "q31_naming": q31,
     "q31b_fresh_labels": q31b, "q32_leave_one_out": q32, "q33_top2_margin": q33, "q34_cosine_silhouette": q34, "q35_adjusted_rand": q35, "q36_components": q36, "q37_lloyd": q37,
-    "q38_char_error_rate": q38, "q39_word_error_rate": q39, "q40_repetition": q40, "q41_repeat_squash": q41, "q42_word_attribution": q42, "q43_word_bubbles": q43, "q44_backfill": q44,
+    "q38_char_error_rate": q38, "q39_word_error_rate": q39, "q40_repetition": q40, "q41_repeat_squash": q41, "q42_word_attribution": q42, "q43_word_bubbles": q43, "q43b_separated_bubbles": q43b, "q44_backfill": q44,
     "q45_prompt_worthy": q45, "q45b_confidence": q45b, "q46_tumbling": q46, "q46b_sliding": q46b, "q47_sessions": q47, "q48_dedupe_fold": q48, "q49_speaker_fold": q49,
-    "q49b_timeline_fold": q49b, "q50_si_sdr": q50, "q51_min_duration": q51, "q52_signal_windows": q52, "q53_several_active": q53, "q54_class_probability": q54, "q55_change_score": q55,
+    "q49b_timeline_fold": q49b, "q50_si_sdr": q50, "q51_min_duration": q51, "q52_signal_windows": q52, "q53_several_active": q53, "q54_class_probability": q54, "q55_change_score": q55, "q55b_change_score_logs": q55b,
     "q56_class_scores": q56, "q56b_aligned_class_scores": q56b, "q57_similarity": q57, "q58_named_clusters": q58, "q59_two_strikes": q59, "q60_best_config": q60, "q61_first_seen": q61,
     "q62_distinct_speakers": q62, "q63_der_uem": q63, "q64_stitched": q64, "q65_numbered_frames": q65, "q67_noise": q67, "q68_verification": q68, "q69_corpus_errors": q69,
     "q70_accumulation": q70, "q71_buffer": q71, "q72_best_reference": q72, "q73_euclidean_silhouette": q73, "q74_distance_search": q74, "q74b_distance_for_count": q74b,

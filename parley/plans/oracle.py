@@ -102,7 +102,7 @@ round(CASE WHEN n_ref = 0 AND n_pred = 0 THEN 100.0::DOUBLE WHEN n_ref = 0 OR n_
     "q36_components": f"WITH RECURSIVE {UNIT}, p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vec a JOIN vec b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.6), reach AS (SELECT vec_id AS id, vec_id AS o FROM vec UNION SELECT p.b, reach.o FROM reach JOIN p ON p.a = reach.id), c AS (SELECT id AS vec_id, min(o) AS component FROM reach GROUP BY 1) SELECT vec_id, component, count(*) OVER (PARTITION BY component) = 1 AS is_noise FROM c",
     "q40_repetition": f"WITH w AS (SELECT conv_id, turn, {TOKENS} AS w FROM conversations) SELECT conv_id, turn, round(CASE WHEN len(w) < 2 THEN 0.0::DOUBLE ELSE len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1]))::DOUBLE / (len(w) - 1) END, 6) AS adjacent, round(CASE WHEN len(w) < 6 THEN 0.0::DOUBLE ELSE (len(w) - 2 - len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))))::DOUBLE / (len(w) - 2) END, 6) AS trigram, len(list_filter(w, lambda t: contains(t, '...')))::BIGINT AS ellipses FROM w",
     "q41_repeat_squash": f"WITH w AS (SELECT conv_id, turn, {TOKENS} AS w FROM conversations), u AS (SELECT conv_id, turn, unnest(w) AS w, unnest(range(len(w))) AS pos FROM w), p AS (SELECT *, regexp_replace(lower(w), '^[^\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+$', '', 'g') AS p FROM u), b AS (SELECT *, lag(p) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS b FROM p) SELECT conv_id, turn, count(*) AS n, string_agg(w, ' ' ORDER BY pos) AS text FROM b WHERE NOT coalesce(p = b AND p <> '' AND length(p) <= 4, false) GROUP BY 1, 2",
-    "q42_word_attribution": f"WITH {SEG}, w AS (SELECT conv_id, turn, {TOKENS} AS w FROM conversations), u AS (SELECT conv_id, turn, len(w) AS n, unnest(range(len(w))) AS pos FROM w), t AS (SELECT (SELECT min(rec) FROM seg) AS rec, conv_id, turn, pos, (conv_id * 100 + turn * 30)::DOUBLE % 86400.0::DOUBLE + (pos + 0.5::DOUBLE) * 30.0::DOUBLE / n AS t FROM u), h AS (SELECT t.conv_id, t.turn, t.pos, seg.spk, row_number() OVER (PARTITION BY t.conv_id, t.turn, t.pos ORDER BY seg.ord DESC NULLS LAST) AS k FROM t LEFT JOIN seg ON t.rec = seg.rec AND t.t >= seg.s AND t.t <= seg.e) SELECT conv_id, turn, coalesce(spk, 'unknown') AS spk, count(*) AS n FROM h WHERE k = 1 GROUP BY 1, 2, 3",
+    "q42_word_attribution": f"WITH {SEG}, w AS (SELECT conv_id, turn, {TOKENS} AS w FROM conversations), u AS (SELECT conv_id, turn, len(w) AS n, unnest(range(len(w))) AS pos FROM w), day AS (SELECT min(ts)::DATE AS a, max(ts)::DATE AS b FROM events), t AS (SELECT strftime(a + (conv_id % (b - a + 1))::INTEGER, '%Y-%m-%d') AS rec, conv_id, turn, pos, (conv_id * 100 + turn * 30)::DOUBLE % 86400.0::DOUBLE + (pos + 0.5::DOUBLE) * 30.0::DOUBLE / n AS t FROM u, day), h AS (SELECT t.conv_id, t.turn, t.pos, seg.spk, row_number() OVER (PARTITION BY t.conv_id, t.turn, t.pos ORDER BY seg.ord DESC NULLS LAST) AS k FROM t LEFT JOIN seg ON t.rec = seg.rec AND t.t >= seg.s AND t.t <= seg.e) SELECT conv_id, turn, coalesce(spk, 'unknown') AS spk, count(*) AS n FROM h WHERE k = 1 GROUP BY 1, 2, 3",
     "q43_word_bubbles": f"WITH t AS (SELECT conv_id, turn, role, {TOKENS} AS w, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS fresh FROM conversations), r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM t), u AS (SELECT conv_id, run, role, turn, unnest(w) AS word, unnest(range(len(w))) AS pos FROM r), b AS (SELECT *, ((row_number() OVER (PARTITION BY conv_id, run ORDER BY turn, pos) - 1) // 18)::BIGINT AS bubble FROM u) SELECT conv_id, run, role, bubble, count(*) AS n, string_agg(word, ' ' ORDER BY turn, pos) AS text FROM b GROUP BY 1, 2, 3, 4",
     "q44_backfill": f"WITH {SEG}, x AS (SELECT rec, ord, s, CASE WHEN ord % 4 <> 0 THEN spk END AS spk FROM seg) SELECT rec, ord, coalesce(first_value(spk IGNORE NULLS) OVER (PARTITION BY rec ORDER BY s, ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(spk IGNORE NULLS) OVER (PARTITION BY rec ORDER BY s, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS spk FROM x",
     "q45_prompt_worthy": f"SELECT conv_id, turn, NOT contains(text, '...') AND len({TOKENS}) >= 3 AND (regexp_matches(trim(text, chr(32)), '[.!?]$') OR len({TOKENS}) >= 6) AS worthy FROM conversations",
@@ -130,6 +130,8 @@ SELECT rec, n, round(n * 300.0::DOUBLE, 6) AS s, round(least(n * 300.0::DOUBLE +
 SELECT rec, min(ix) AS first, max(ix) AS last, count(*) AS n FROM y GROUP BY rec, i""",
     "q54_class_probability": f"WITH {SCORES} SELECT rec, ix, round(b + c, 6) AS score FROM f",
     "q55_change_score": f"""WITH {SCORES}, x AS (SELECT rec, ix, coalesce(abs(a - lag(a) OVER w) + abs(b - lag(b) OVER w) + abs(c - lag(c) OVER w), 0.0::DOUBLE) AS d FROM f WINDOW w AS (PARTITION BY rec ORDER BY ix)),
+y AS (SELECT *, max(d) OVER (PARTITION BY rec) AS top FROM x) SELECT rec, ix, round(CASE WHEN top > 0 THEN d / top ELSE 0.0::DOUBLE END, 6) AS score FROM y""",
+    "q55b_change_score_logs": f"""WITH {SCORES.replace("f AS", "g AS")}, f AS (SELECT rec, ix, (a + 0.01::DOUBLE) / 1.01::DOUBLE AS a, (b + 0.01::DOUBLE) / 1.01::DOUBLE AS b, (c + 0.01::DOUBLE) / 1.01::DOUBLE AS c FROM g), x AS (SELECT rec, ix, coalesce(abs(a - lag(a) OVER w) + abs(b - lag(b) OVER w) + abs(c - lag(c) OVER w), 0.0::DOUBLE) AS d FROM f WINDOW w AS (PARTITION BY rec ORDER BY ix)),
 y AS (SELECT *, max(d) OVER (PARTITION BY rec) AS top FROM x) SELECT rec, ix, round(CASE WHEN top > 0 THEN d / top ELSE 0.0::DOUBLE END, 6) AS score FROM y""",
     "q56_class_scores": f"WITH {CENTRES}, l AS (SELECT label, best FROM vec JOIN matches USING (vec_id)) {CLASSES}",
     "q57_similarity": f"WITH {CENTRES} SELECT (SELECT round(avg(list_cosine_similarity(v, w)), 6) FROM vec JOIN c ON label = name) AS intra, (SELECT round(avg(list_cosine_similarity(a.w, b.w)), 6) FROM c a JOIN c b ON a.name < b.name) AS inter",
@@ -143,7 +145,7 @@ g AS (SELECT *, coalesce(lag(q) OVER (PARTITION BY session ORDER BY ts, ord), fa
     "q62_distinct_speakers": f"WITH {SEG} SELECT rec, count(DISTINCT spk) AS n FROM seg GROUP BY 1",
     "q63_der_uem": f"""{CELLS.replace("u AS (SELECT rec, s, e, spk, 0 AS side FROM seg UNION ALL SELECT rec, s, e, spk, 1 FROM hyp)", "v AS (SELECT rec, s, e, spk, 0 AS side FROM seg UNION ALL SELECT rec, s, e, spk, 1 FROM hyp), u AS (SELECT rec, s, least(e, 43200.0::DOUBLE) AS e, spk, side FROM v WHERE s < 43200.0::DOUBLE)")},
 same AS (SELECT a.rec, a.s, count(DISTINCT a.spk) AS ok FROM inside a JOIN inside b ON a.rec = b.rec AND a.s = b.s AND a.side = 0 AND b.side = 1 AND a.spk = b.spk GROUP BY 1, 2), z AS (SELECT rec, e - s AS d, r, h, coalesce(ok, 0) AS ok FROM cells LEFT JOIN same USING (rec, s)) {DER}""",
-    "q64_stitched": f"WITH {SEG}, {islands('m', 'seg', 'rec, spk', '0.1')} SELECT rec, spk, round(s, 6) AS s, round(e, 6) AS e, n FROM m",
+    "q64_stitched": f"WITH {SEG}, d AS (SELECT * FROM seg UNION ALL SELECT * FROM seg WHERE floor(s / 25.0::DOUBLE) > 0 AND s - floor(s / 25.0::DOUBLE) * 25.0::DOUBLE < 5.0::DOUBLE), t AS (SELECT *, CASE WHEN spk = lag(spk) OVER (PARTITION BY rec ORDER BY s, ord) THEN 0 ELSE 1 END AS turn FROM d), u AS (SELECT *, sum(turn) OVER (PARTITION BY rec ORDER BY s, ord ROWS UNBOUNDED PRECEDING) AS run FROM t), {islands('m', 'u', 'rec, run, spk', '0.1')} SELECT rec, spk, round(s, 6) AS s, round(e, 6) AS e, n FROM m",
     "q65_numbered_frames": f"WITH {SCORES} SELECT rec, ix - 1 AS ix, round(a, 6) AS score FROM f",
     "q67_noise": "SELECT vec_id, (CASE WHEN label = 3 THEN (SELECT max(label) + 1 FROM embeddings WHERE label <> 3) ELSE label END)::BIGINT AS label FROM embeddings",
     "q68_verification": "SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.1 AS same FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",

@@ -6,14 +6,14 @@ Each stateful rule is one fold over a session's rows, used by the batch form (ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .ordered import out_schema, streamed_on_arrival
 
 RETENTION = 30.0
 
@@ -39,28 +39,32 @@ def sessions(events: DataFrame, gap: str, key: str = "user_id", late: str = "30
 
 
 @dataclass
-class Dedupe:
-    """Words that start within ``slack`` of the last kept word's end are dropped. A last end over a second past the start of what is new can't be right, and that start takes its place."""
+class Snippets:
+    """What each call adds: of its words (``operators.words.call_words``) those that start over ``slack`` after the last end of the call before that gave any. A last end over a second
+    past the call's begin can't be right, and the begin takes its place. A snippet equal to the one before is dropped (a null text), though its last end counts."""
 
     slack: float = 0.03
     last: float = float("-inf")
+    snippet: str = ""
 
     def step(self, row) -> tuple:
-        if self.last > row.s + 1.0:
-            self.last = row.s
-        kept = row.s > self.last + self.slack
-        if kept:
-            self.last = row.e
-        return (row.session, row.ord, row.s, row.e, bool(kept))
-
-    STATE = "last double"
-    OUT = "session long, ord long, s double, e double, kept boolean"
+        last = row.s if self.last > row.s + 1.0 else self.last
+        kept = [i for i, start in enumerate(row.starts) if start > last + self.slack]
+        if not kept:
+            return (row.session, row.ord, 0, None, None)
+        text, self.last = " ".join(row.words[i] for i in kept), float(max(row.ends[i] for i in kept))
+        fresh = text != self.snippet
+        self.snippet = text
+        return (row.session, row.ord, len(kept), text if fresh else None, self.last)
+
+    STATE = "last double, snippet string"
+    OUT = "session long, ord long, n int, text string, last_end double"
 
     def dump(self) -> tuple:
-        return (self.last,)
+        return (self.last, self.snippet)
 
-    def load(self, held: tuple) -> Dedupe:
-        self.last = held[0]
+    def load(self, held: tuple) -> Snippets:
+        self.last, self.snippet = held
         return self
 
 
@@ -167,6 +171,14 @@ class Buffer:
             self.cursor, self.last = self.length, row.s
         return (row.session, row.ord, self.t0, self.length, due)
 
+    def wake(self) -> float | None:
+        """What is new waits only for the interval."""
+        return self.last + self.interval if self.length - self.cursor >= self.fresh else None
+
+    def at(self, session, t: float) -> tuple:
+        self.cursor, self.last = self.length, t
+        return (session, None, self.t0, self.length, True)
+
     STATE = "t0 double, length double, cursor double, last double"
     OUT = "session long, ord long, t0 double, length double, due boolean"
 
@@ -192,26 +204,75 @@ class Microbatch:
     begins: float = 0.0
     length: float = 0.0
     last: float = 0.0
+    new: float = 0.0
 
     def step(self, row) -> tuple:
         self._cut(self.length + row.e - row.s, self.most)
+        self.new += row.e - row.s
         due, begins, length = self.length >= self.least and row.s - self.last >= self.interval, self.begins, self.length
         if due:
-            self.last = row.s
-            self._cut(self.length, self.kept)
+            self._run(row.s)
         return (row.session, row.ord, begins, length, due)
 
+    def wake(self) -> float | None:
+        """Enough is held, and some of it is new: it waits only for the interval."""
+        return self.last + self.interval if self.length >= self.least and self.new > 0 else None
+
+    def at(self, session, t: float) -> tuple:
+        begins, length = self.begins, self.length
+        self._run(t)
+        return (session, None, begins, length, True)
+
+    def _run(self, t: float) -> None:
+        self.last, self.new = t, 0.0
+        self._cut(self.length, self.kept)
+
     def _cut(self, length: float, most: float) -> None:
         self.begins, self.length = self.begins + max(0.0, length - most), min(length, most)
 
-    STATE = "begins double, length double, last double"
+    STATE = "begins double, length double, last double, new double"
     OUT = "session long, ord long, begins double, length double, due boolean"
 
     def dump(self) -> tuple:
-        return (self.begins, self.length, self.last)
+        return (self.begins, self.length, self.last, self.new)
 
     def load(self, held: tuple) -> Microbatch:
-        self.begins, self.length, self.last = held
+        self.begins, self.length, self.last, self.new = held
+        return self
+
+
+@dataclass
+class Display:
+    """Who is shown: speech shows its speaker (nobody, if unknown); silence the last known speaker, until it has lasted ``hold`` seconds. That end is a row of its own, as no chunk need come then."""
+
+    hold: float = 1.5
+    known: str | None = None
+    began: float | None = None
+    cleared: bool = True
+
+    def step(self, row) -> tuple:
+        if row.speech:
+            self.known, self.began, self.cleared = row.spk if row.spk is not None else self.known, None, False
+            return (row.session, row.ord, row.spk)
+        if self.began is None:
+            self.began = row.s
+        return (row.session, row.ord, None if self.cleared else self.known)
+
+    def wake(self) -> float | None:
+        return None if self.began is None or self.cleared or self.known is None else self.began + self.hold
+
+    def at(self, session, t: float) -> tuple:
+        self.cleared = True
+        return (session, None, None)
+
+    STATE = "known string, began double, cleared boolean"
+    OUT = "session long, ord long, shown string"
+
+    def dump(self) -> tuple:
+        return (self.known, self.began, self.cleared)
+
+    def load(self, held: tuple) -> Display:
+        self.known, self.began, self.cleared = held
         return self
 
 
@@ -264,26 +325,20 @@ def folded(rows: DataFrame, rule: type, reset: str | None = None, **options) ->
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_steps(pdf, rule(**options), rule, options, reset)[0], columns=names)
 
-    return rows.groupBy("session").applyInPandas(run, rule.OUT)
+    return rows.groupBy("session").applyInPandas(run, out_schema(rows, rule))
 
 
-def streamed(rows: DataFrame, rule: type, idle_ms: int = 3_600_000, reset: str | None = None, **options) -> DataFrame:
-    """The same rule on a stream: state by session, dropped after ``idle_ms`` of processing time without rows."""
-    names = [c.split()[0] for c in rule.OUT.split(", ")]
+#: The same rules on a stream, in the order of arrival or, with timers, of event time.
+streamed = streamed_on_arrival
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        fold = rule(**options)
-        if state.exists:
-            fold.load(state.get)
-        out, fold = _steps(pd.concat(list(frames)), fold, rule, options, reset)
-        state.update(fold.dump())
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy("session").applyInPandasWithState(run, rule.OUT, rule.STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def silences(rows: DataFrame, least: float = 0.05) -> DataFrame:
+    """(session, ord, flagged, silent), the batch form of ``Silence`` without a fold: silent rows since the last one with speech are counted by a window."""
+    order = Window.partitionBy("session").orderBy("s", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    heard = F.coalesce(F.col("confidence") >= least, F.lit(False))
+    runs = rows.select("session", "s", "ord", heard.alias("__heard")).withColumn("__run", F.sum(F.col("__heard").cast("int")).over(order))
+    strikes = F.sum((~F.col("__heard")).cast("int")).over(Window.partitionBy("session", "__run").orderBy("s", "ord").rowsBetween(Window.unboundedPreceding, 0))
+    return runs.withColumn("__strikes", strikes).select("session", "ord", (F.col("__strikes") == 1).alias("flagged"), (F.col("__strikes") >= 2).alias("silent"))
 
 
 def held_display(rows: DataFrame, hold: float = 1.5) -> DataFrame:
@@ -313,11 +368,11 @@ def recent(overlaps: DataFrame, now, since=None, retention: float = RETENTION) -
 
 
 def live_chunks(rows: DataFrame) -> DataFrame:
-    """(session, sample_rate, seconds, samples) of JSON messages (``value``) with base64 float32 audio, ``sample_rate`` and ``session_id``, "default" where it is missing."""
+    """(session, sample_rate, seconds, samples) of JSON messages (``value``) with base64 float32 ``audio_data``, ``sample_rate`` and ``session_id``, "default" where it is missing."""
 
     @F.pandas_udf("array<float>")
     def decoded(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], dtype="<f4"))
 
-    parts = rows.select(F.from_json(F.col("value").cast("string"), "audio string, sample_rate int, session_id string").alias("m")).select("m.*").withColumn("raw", F.unbase64("audio"))
+    parts = rows.select(F.from_json(F.col("value").cast("string"), "audio_data string, sample_rate int, session_id string").alias("m")).select("m.*").withColumn("raw", F.unbase64("audio_data"))
     return parts.select(F.coalesce("session_id", F.lit("default")).alias("session"), "sample_rate", (F.floor(F.octet_length("raw") / 4) / F.col("sample_rate")).alias("seconds"), decoded("raw").alias("samples"))

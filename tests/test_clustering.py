@@ -177,7 +177,7 @@ def test_labels_and_expansion(spark):
 
 def test_live_chunks(spark):
     sound = np.array([0.5, -1.0, 2.0, 0.25], dtype="<f4")
-    message = lambda **more: (json.dumps({"audio": base64.b64encode(sound.tobytes()).decode(), "sample_rate": 2} | more),)
+    message = lambda **more: (json.dumps({"audio_data": base64.b64encode(sound.tobytes()).decode(), "sample_rate": 2} | more),)
     got = live.live_chunks(spark.createDataFrame([message(), message(session_id="x"), ("not json",)], "value string")).collect()
     assert [(r["session"], r["seconds"], r["samples"]) for r in got] == [("default", 2.0, sound.tolist()), ("x", 2.0, sound.tolist()), ("default", None, None)]
 

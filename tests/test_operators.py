@@ -9,9 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from parley.functions import text as T
-from parley.operators import intervals, rollup, scoring, sequences, speakers
+from parley.operators import intervals, rollup, scoring, sequences, speakers, words
 from parley.sources import annotations, tables
-from parley.streaming import live
+from parley.streaming import live, ordered
 
 SEG = "rec string, ord long, s double, e double, spk string"
 
@@ -193,7 +193,7 @@ def test_presets_drop_private_keys(spark, tmp_path):
     assert [tuple(r) for r in annotations.read_presets(spark, f"file://{tmp_path}/p.json").collect()] == [("fast", "interval", "0.5")]
 
 
-@pytest.mark.parametrize("rule", [live.Dedupe, live.Speaker, live.Timeline])
+@pytest.mark.parametrize("rule", [live.Accumulation, live.Speaker, live.Timeline])
 def test_stream_equals_batch(spark, tmp_path, rule):
     rng = random.Random(8)
     rows = [(i % 3, i, float(i), i + rng.uniform(0.2, 3), rng.choice("AB"), rng.random()) for i in range(60)]
@@ -202,8 +202,10 @@ def test_stream_equals_batch(spark, tmp_path, rule):
         spark.createDataFrame(rows[20 * k : 20 * k + 20], schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in")
     name = f"out_{rule.__name__}"
-    query = live.streamed(source, rule).writeStream.format("memory").queryName(name).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
-    query.awaitTermination(180)
+    ordered.use_state_store(spark)
+    query = live.streamed(source, rule).writeStream.format("memory").queryName(name).option("checkpointLocation", f"file://{tmp_path}/cp").start()
+    query.processAllAvailable()  # with processing time there is always another batch, so it never ends by itself
+    query.stop()
     want = sorted(map(repr, live.folded(spark.createDataFrame(rows, schema), rule).collect()))
     assert sorted(map(repr, spark.table(name).collect())) == want
 
@@ -231,16 +233,60 @@ def live_rows(spark, rows):
     return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "session long, ord long, s double, e double, spk string, confidence double")
 
 
-def test_dedupe_rule(spark):
-    rows = [(0.0, 0.5, "A", 1.0), (0.52, 0.9, "A", 1.0), (0.6, 5.0, "A", 1.0), (0.95, 1.2, "A", 1.0), (3.0, 3.2, "A", 1.0), (3.5, 4.0, "A", 1.0)]
-    got = [r["kept"] for r in sorted(live.folded(live_rows(spark, rows), live.Dedupe).collect(), key=lambda r: r["ord"])]
-    last, want = float("-inf"), []
-    for s, e, *_ in rows:
-        if last > s + 1.0:  # more than a second past what is new: it starts there
-            last = s
-        want.append(s > last + 0.03)
-        last = e if want[-1] else last
-    assert got == want and not all(want)
+def test_snippets_by_calls(spark):
+    """Against the rule as a plain loop over calls: context before the begin, segments of one call that overlap, a last end far ahead, equal snippets."""
+    rng = random.Random(17)
+    rows = []
+    for call in range(40):
+        begin = call * 2.0
+        for k in range(rng.randint(0, 3)):
+            s = begin + rng.uniform(-2.5, 2.2)
+            e = s + rng.choice([0.3, 1.0, 2.0, 30.0 if call % 13 == 5 else 0.6, -1.0])
+            rows.append((call % 2, call, k, begin, begin + 2.0, s, e, rng.choice(["yes yes", "no", "so it is then", "", "[BLANK_AUDIO]", "well well well"])))
+    rows += [(0, 60, 0, 120.0, 122.0, 120.5, 121.0, "twice"), (0, 62, 0, 124.0, 126.0, 124.5, 125.0, "twice"), (0, 64, 0, 128.0, 130.0, 128.5, None, "none"), (0, 64, 1, 128.0, 130.0, None, 129.5, "late")]
+    want, state = [], {}
+    for session, call in sorted({r[:2] for r in rows}, key=lambda x: x[1]):
+        mine = [r for r in rows if r[:2] == (session, call)]
+        begin, end = mine[0][3:5]
+        last, snippet = state.get(session, (float("-inf"), ""))
+        limit = begin if last > begin + 1.0 else last
+        heard, given = False, []
+        for *_, s, e, text in mine:
+            if s is None and e is None:
+                continue
+            s = s or 0.0
+            e = s if e is None else e
+            tokens = text.split()
+            if not tokens or text == "[BLANK_AUDIO]" or e <= s or e <= begin or s >= end:
+                continue
+            heard, step = True, max(1e-3, e - s) / len(tokens)
+            given += [(t, s + (i + 1) * step) for i, t in enumerate(tokens) if s + i * step > limit + 0.03]
+        if given:
+            said = " ".join(w for w, _ in given)
+            state[session] = (max(x for _, x in given), said)
+            want.append((session, call, len(given), None if said == snippet else said, round(state[session][0], 6)))
+        elif heard:
+            want.append((session, call, 0, None, None))
+    df = spark.createDataFrame(rows, "session long, call long, ord long, begin double, end double, s double, e double, text string").repartition(3)
+    got = live.folded(words.call_words(df), live.Snippets).collect()
+    assert sorted(map(repr, ((*r[:4], r[4] and round(r[4], 6)) for r in got))) == sorted(map(repr, want))
+    assert sum(w[3] is None and w[2] > 0 for w in want) and sum(w[2] == 0 for w in want)
+
+
+def test_stitching_by_the_row_before(spark):
+    """Another speaker's row in between parts two rows of one speaker, though they overlap."""
+    rows = [("r", 0, 0, 0.0, 10.0, "A"), ("r", 0, 1, 2.0, 3.0, "B"), ("r", 0, 2, 5.0, 12.0, "A"), ("r", 1, 3, 0.05, 4.0, "A"), ("r", 1, 4, 4.05, 5.0, "A"), ("r", 1, 5, 5.2, 6.0, "A")]
+    df = spark.createDataFrame(rows, "rec string, chunk long, ord long, s double, e double, spk string")
+    got = [(r["spk"], round(r["s"], 3), round(r["e"], 3), r["n"]) for r in intervals.stitched(df, 15.0, 3.0).orderBy("s").collect()]
+    assert got == [("A", 0.0, 10.0, 1), ("B", 2.0, 3.0, 1), ("A", 5.0, 17.0, 3), ("A", 17.2, 18.0, 1)]
+
+
+def test_bubbles_and_runs(spark):
+    turns = spark.createDataFrame([(1, 0, "u", "a b c", False), (1, 1, "u", "d", False), (1, 2, "u", "e f", True), (1, 3, "u", None, True), (1, 4, "v", "g", None), (1, 5, None, "h", None)], "conv_id long, turn long, role string, text string, sep boolean")
+    got = [(r["role"], r["separated"], r["bubble"], r["text"]) for r in words.bubbles(turns, ["conv_id"], "turn", "role", separated=words.F.col("sep"), most=3).orderBy("run", "bubble").collect()]
+    assert got == [("u", False, 0, "a b c"), ("u", False, 1, "d"), ("u", True, 0, "e f"), ("v", False, 0, "g"), (None, False, 0, "h")]
+    said = spark.createDataFrame([(1, i, w, s) for i, (w, s) in enumerate([("a", "A"), ("b", "A"), ("c", None), ("d", "unknown"), ("e", "A")])], "id long, pos long, word string, spk string")
+    assert [(r["spk"], r["text"]) for r in words.speaker_runs(said, ["id"], ["pos"]).orderBy("run").collect()] == [("A", "a b"), ("unknown", "c d"), ("A", "e")]
 
 
 def test_speaker_rule(spark):

@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -49,6 +49,14 @@ def stage(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     return out
 
 
+def shielded(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns that are named like results (in any case) under other names, and what selects its columns, under their own names again, from a result."""
+    taken = {n.lower() for n in names}
+    inner = [f"__own_{i}" if c.lower() in taken else c for i, c in enumerate(docs.columns)]
+    outer = docs.columns
+    return docs.toDF(*inner), lambda out: out.select(*[F.col(f"`{i}`").alias(c) for i, c in zip(inner, outer)])
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, stage
+from .common import WORD, discard, shielded, stage
 
 #: Shapes of the weight over time, dealt to the sources in turn: (time, factor) knots, with mean 1 each.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 0.5), (0.5, 1.5), (1.0, 0.5)))
@@ -50,6 +50,9 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), repeats: int = 3) -> Dat
     return table.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level"))).select("source", "source_size", "turn", "weight", "target")
 
 
+RESULTS = ("size", "source_size", "target", "taken", "copies", "position")
+
+
 def mix(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, schedules=SCHEDULES, cut: bool = True, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with size, source_size, target, taken (words, repeats counted), copies and position.
 
@@ -62,7 +65,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), repeats: int = 3, schedules=SCHEDULE
     before the document's) and __turn (its source's number), for ``training_order``. Sources are laid out in 4096 slices each, so a hot source
     is spread over many tasks; what is broadcast holds a row for each source, or is joined where it is large.
     """
-    own = ["size", "source_size", "target", "taken", "copies", "position"]
+    own = list(RESULTS)
     rows = docs.drop(*own).withColumns({"size": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint"), "__source": F.col(source), "__h": F.md5(F.col(key).cast("string").cast("binary"))})
     rows = rows.withColumn("__slice", F.coalesce(F.substring("__h", 1, 3), F.lit("~")))
     slices = stage(rows.groupBy("__source", "__slice").agg(F.sum("size").alias("words")), "mix-slices")
@@ -103,6 +106,12 @@ def training_order(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:
     return copies.withColumn("position", due).drop("__c", "__turn").orderBy("position", "copy")
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """Whole documents as often as the mix takes them, in training order, with the columns of ``docs``; those named like results keep their values."""
+    safe, own = shielded(docs, (*RESULTS, "copy"))
+    return own(training_order(mix(safe, cut=False)))
+
+
 def op9_curriculum_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 9).alias("position"))

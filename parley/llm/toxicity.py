@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, batches, fold, small_batches
+from .common import Codes, batches, fold, shielded, small_batches
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 EDGES = ".,;:!?\"'()[]{}<>|*-_"
@@ -136,6 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, most:
     return learn([r[2] for r in rows], toxic, weight)
 
 
+RESULTS = ("score", "predicted", "n_sentences", "worst_start", "worst_end", "worst_probability")
+
+
 def score(docs: DataFrame, model: NoisyOr) -> DataFrame:
     """``docs`` with score (0 to 1), predicted (1 from 0.5), n_sentences, worst_start, worst_end and worst_probability (characters of the likeliest
     sentence). Whole texts count; null and empty ones are one empty sentence. Other columns pass through, those named like the results are replaced."""
@@ -181,8 +184,9 @@ def offending_sentences(docs: DataFrame, model: NoisyOr, least: float = 0.5) ->
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` that a model learned from ``labels`` does not predict to be toxic."""
-    return score(docs, fit(docs, labels)).where("predicted = 0").select(docs.columns)
+    """``docs`` that a model learned from ``labels`` does not predict to be toxic. Its columns keep their values, those named like the results of ``score`` too."""
+    safe, own = shielded(docs, RESULTS)
+    return own(score(safe, fit(docs, labels)).where("predicted = 0"))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -69,6 +69,17 @@ def test_score_is_the_noisy_or_of_sentences(spark):
     assert {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()} == pytest.approx(want)
 
 
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """Columns named like the results of an operator come out of each stage as they went in."""
+    names = ["Score", "predicted", "n_sentences", "worst_start", "size", "target", "taken", "copies", "position", "copy", "n_removed", "component_id", "source_size"]
+    docs = spark.createDataFrame([(i, f"text of number {i} " * 4 + f"and {i * i} more", "en", "s", 1, *[f"{n} {i}" for n in names]) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for name, function in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.stage(function(spark, docs, f"file://{tmp_path}"), f"clash-{name}")
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names), name
+
+
 def test_pipeline_stages(spark, tmp_path):
     long = " ".join(f"w{i % 977} x{i % 31}" for i in range(3000))
     rows = [(i, f"document number {i} tells of matter {i * i} and nothing else at all", "en", f"s{i % 3}", 1) for i in range(40)]

@@ -65,7 +65,7 @@ def call_words(segments: DataFrame) -> DataFrame:
     A call hears some context before ``begin``, but only segments that end after it and start before ``end`` have words; all words of such a segment count.
     Calls without any have no row.
     """
-    heard = timed_words(segments.where((F.col("e") > F.col("begin")) & (F.col("s") < F.col("end"))))
+    heard = timed_words(segments).where((F.col("e") > F.col("begin")) & (F.col("s") < F.col("end")))  # of all a segment's words, after missing bounds are filled in
     listed = F.array_sort(F.collect_list(F.struct("ord", "pos", "word", "ws", "we")))
     calls = heard.groupBy("session", "call").agg(F.min("begin").alias("s"), listed.alias("w"))
     part = lambda name: F.transform("w", lambda x: x[name])

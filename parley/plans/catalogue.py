@@ -15,7 +15,9 @@ from ..operators import sequences as Q
 from ..operators import speakers as V
 from ..operators import words as W
 from ..sources import tables as D
+from ..streaming import evaluation as E
 from ..streaming import live as L
+from ..streaming import ordered as O
 from .oracle import SQL
 
 
@@ -526,6 +528,37 @@ def q78(spark, d):
     return L.held_display(chunks(spark, d).withColumn("speech", F.col("confidence") >= 0.5), 3600.0)
 
 
+def q71b(spark, d):
+    """With the runs that come due between chunks."""
+    out = O.folded_in_time(chunks(spark, d), L.Buffer, idle=86400.0, most=120.0, fresh=10.0, interval=600.0)
+    return out.select("session", "ord", r6("t").alias("t"), r6("t0").alias("t0"), r6("length").alias("length"), "due")
+
+
+def q77b(spark, d):
+    out = O.folded_in_time(chunks(spark, d), L.Microbatch, idle=86400.0, most=300.0, kept=60.0, interval=1800.0)
+    return out.select("session", "ord", r6("t").alias("t"), r6("begins").alias("begins"), r6("length").alias("length"), "due")
+
+
+def q78b(spark, d):
+    """With a row where the display is cleared."""
+    out = O.folded_in_time(chunks(spark, d).withColumn("speech", F.col("confidence") >= 0.5), L.Display, hold=3600.0)
+    return out.select("session", "ord", r6("t").alias("t"), "shown")
+
+
+def responses(spark, d):
+    return D.utterances(spark, d).select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("chunk"), (F.col("role") == "user").alias("has_speech"), F.col("text").alias("transcript"))
+
+
+def q81(spark, d):
+    out = E.response_rates(responses(spark, d))
+    return out.select("file", "responses", "total_words", *[r6(c).alias(c) for c in E.RATES])
+
+
+def q81b(spark, d):
+    out = E.summary(E.response_rates(responses(spark, d)))
+    return out.select("n", *[r6(c).alias(c) for c in out.columns if c != "n"])
+
+
 def q79(spark, d):
     spoken = chunks(spark, d).groupBy("session").agg(F.sort_array(F.collect_set("spk")).alias("all"), F.min_by("spk", F.struct("s", "ord")).alias("first"), F.max_by("spk", F.struct("s", "ord")).alias("current"))
     known = F.array(F.lit("click"), F.lit("view"), F.lit("zoom"))
@@ -558,7 +591,7 @@ NAMES = {
     "q56_class_scores": q56, "q56b_aligned_class_scores": q56b, "q57_similarity": q57, "q58_named_clusters": q58, "q59_two_strikes": q59, "q60_best_config": q60, "q61_first_seen": q61,
     "q62_distinct_speakers": q62, "q63_der_uem": q63, "q64_stitched": q64, "q65_numbered_frames": q65, "q67_noise": q67, "q68_verification": q68, "q69_corpus_errors": q69,
     "q70_accumulation": q70, "q71_buffer": q71, "q72_best_reference": q72, "q73_euclidean_silhouette": q73, "q74_distance_search": q74, "q74b_distance_for_count": q74b,
-    "q75_refined_linkage": q75, "q76_online_means": q76, "q77_microbatch": q77, "q78_display_hold": q78, "q79_expanded_speakers": q79, "q79b_overlap_history": q79b, "q80_timing_report": q80,
+    "q75_refined_linkage": q75, "q76_online_means": q76, "q77_microbatch": q77, "q78_display_hold": q78, "q71b_buffer_timers": q71b, "q77b_microbatch_timers": q77b, "q78b_display_timers": q78b, "q81_stream_rates": q81, "q81b_stream_summary": q81b, "q79_expanded_speakers": q79, "q79b_overlap_history": q79b, "q80_timing_report": q80,
 }
 
 

@@ -56,6 +56,15 @@ cells AS (SELECT rec, s, e, count(DISTINCT spk) FILTER (side = 0) AS r, count(DI
 DER = """SELECT rec, round(sum(d * r), 6) AS total, round(sum(d * greatest(r - h, 0)), 6) AS miss, round(sum(d * greatest(h - r, 0)), 6) AS false_alarm, round(sum(d * (least(r, h) - ok)), 6) AS confusion,
 round(CASE WHEN sum(d * r) > 0 THEN 100.0::DOUBLE * (sum(d * greatest(r - h, 0)) + sum(d * greatest(h - r, 0)) + sum(d * (least(r, h) - ok))) / sum(d * r) ELSE 0.0::DOUBLE END, 6) AS der_pct FROM z GROUP BY 1"""
 
+RATES = f"""t AS (SELECT conv_id::VARCHAR AS file, turn AS chunk, role = 'user' AS speech, {TOKENS} AS raw FROM conversations),
+p AS (SELECT *, list_filter(list_transform(raw, lambda t: regexp_replace(lower(t), '^[^\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+$', '', 'g')), lambda t: t <> '') AS w FROM t),
+f AS (SELECT file, count(*) AS responses, avg(speech::INT) AS has_speech_rate, flatten(list(w ORDER BY chunk)) AS w, sum(len(raw)) AS n_raw, sum(len(list_filter(raw, lambda t: contains(t, '...')))) AS dots, sum((len(raw) > 0)::INT) AS snippets, sum((len(raw) > 0 AND len(w) <= 2)::INT) AS short FROM p GROUP BY file),
+rates AS (SELECT file, responses, len(w)::BIGINT AS total_words, has_speech_rate,
+  CASE WHEN len(w) < 2 THEN 0.0::DOUBLE ELSE len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1]))::DOUBLE / (len(w) - 1) END AS adj_dup_rate,
+  CASE WHEN len(w) < 6 THEN 0.0::DOUBLE ELSE (len(w) - 2 - len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))))::DOUBLE / (len(w) - 2) END AS trigram_repeat_rate,
+  dots::DOUBLE / greatest(n_raw, 1) AS ellipsis_token_rate, short::DOUBLE / greatest(snippets, 1) AS short_snippet_rate FROM f)"""
+RATE_NAMES = ("has_speech_rate", "adj_dup_rate", "trigram_repeat_rate", "ellipsis_token_rate", "short_snippet_rate")
+
 SQL = {
     "q01_overlap_regions": f"WITH {SEG}, {PAIRS}, {REGIONS} SELECT rec, count(*) AS n_regions, round(sum(e - s), 6) AS seconds FROM regions GROUP BY 1",
     "q02_mask_intersection": f"WITH {SEG}, {HYP}, {islands('m', 'hyp')} SELECT seg.rec, ord, round(greatest(seg.s, m.s), 6) AS s, round(least(seg.e, m.e), 6) AS e, round(least(seg.e, m.e) - greatest(seg.s, m.s), 6) AS dur FROM seg JOIN m ON seg.rec = m.rec AND seg.s < m.e AND m.s < seg.e",
@@ -166,6 +175,12 @@ m AS (SELECT vec_id, label, max(CASE WHEN label = other THEN d / greatest(n - 1,
 SELECT label, count(*) AS n, round(avg(CASE WHEN n = 1 OR b IS NULL THEN 0.0::DOUBLE ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM m GROUP BY 1""",
     "q78_display_hold": f"""WITH {CHUNKS}, r AS (SELECT *, sum(speech::INT) OVER w AS run, last_value(CASE WHEN speech THEN spk END IGNORE NULLS) OVER w AS held FROM c WINDOW w AS (PARTITION BY session ORDER BY s, ord ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT *, min(CASE WHEN NOT speech THEN s END) OVER (PARTITION BY session, run) AS began FROM r) SELECT session, ord, CASE WHEN speech THEN spk WHEN s - began < 3600 THEN held END AS shown FROM b""",
+    "q81_stream_rates": f"WITH {RATES} SELECT file, responses, total_words, {', '.join(f'round({c}, 6) AS {c}' for c in RATE_NAMES)} FROM rates",
+    "q81b_stream_summary": f"WITH {RATES} SELECT count(*) AS n, {', '.join(f'round(avg({c}), 6) AS avg_{c}' for c in RATE_NAMES)} FROM rates",
+    "q78b_display_timers": f"""WITH {CHUNKS}, r AS (SELECT *, sum(speech::INT) OVER w AS run, last_value(CASE WHEN speech THEN spk END IGNORE NULLS) OVER w AS held FROM c WINDOW w AS (PARTITION BY session ORDER BY s, ord ROWS UNBOUNDED PRECEDING)),
+  x AS (SELECT *, min(CASE WHEN NOT speech THEN s END) OVER (PARTITION BY session, run) AS began FROM r), g AS (SELECT session, run, min(began) AS began FROM x WHERE run > 0 AND held IS NOT NULL GROUP BY 1, 2), n AS (SELECT session, run, min(s) AS s FROM x WHERE speech GROUP BY 1, 2)
+  SELECT session, ord, round(s, 6) AS t, CASE WHEN speech THEN spk WHEN run > 0 AND s < began + 3600.0::DOUBLE THEN held END AS shown FROM x
+  UNION ALL SELECT g.session, NULL, round(g.began + 3600.0::DOUBLE, 6), NULL FROM g LEFT JOIN n ON n.session = g.session AND n.run = g.run + 1 WHERE g.began IS NOT NULL AND (n.s IS NULL OR n.s >= g.began + 3600.0::DOUBLE)""",
     "q79_expanded_speakers": f"""WITH {CHUNKS}, g AS (SELECT session, arg_min(spk, (s, ord)) AS a, arg_max(spk, (s, ord)) AS b, min(spk) AS l FROM c GROUP BY 1),
 n AS (SELECT session, x FROM (SELECT session, a AS x FROM g UNION SELECT session, b FROM g UNION SELECT session, l FROM g)), z AS (SELECT session, list(x) AS xs FROM n GROUP BY 1)
 SELECT session, array_to_string(list_sort(CASE WHEN len(xs) >= 2 THEN xs ELSE list_append(xs, list_filter(['click', 'view', 'zoom'], lambda k: NOT list_contains(xs, k))[1]) END), ',') AS speakers FROM z""",

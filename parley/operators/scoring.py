@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunked import greedy_pairs, matched
 from .intervals import dilate, intersect, merge, overlap_join, sweep, to_frames
 
 
@@ -78,37 +79,24 @@ def match_points(a, b, tolerance: float) -> int:
 
 
 def boundary_scores(predicted: DataFrame, truth: DataFrame, tolerances=(0.5, 1.0, 2.0, 3.0, 5.0)) -> DataFrame:
-    """(rec, tolerance, tp, n_pred, n_ref, precision_ratio, recall_ratio, f1_ratio) by one-to-one matching."""
-
-    def score(key, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for tol in tolerances:
-            n = match_points(p["ts"], t["ts"], tol)
-            a, b = n / len(p) if len(p) else 0.0, n / len(t) if len(t) else 0.0
-            rows.append((key[0], tol, n, len(p), len(t), a, b, 2 * a * b / (a + b) if a + b else 0.0))
-        return pd.DataFrame(rows, columns=["rec", "tolerance", "tp", "n_pred", "n_ref", "precision_ratio", "recall_ratio", "f1_ratio"])
-
-    schema = "rec string, tolerance double, tp long, n_pred long, n_ref long, precision_ratio double, recall_ratio double, f1_ratio double"
-    return predicted.select("rec", "ts").groupBy("rec").cogroup(truth.select("rec", "ts").groupBy("rec")).applyInPandas(score, schema)
+    """(rec, tolerance, tp, n_pred, n_ref, precision_ratio, recall_ratio, f1_ratio) by one-to-one matching, in chunks of each recording."""
+    count = lambda df, name: df.groupBy("rec").agg(F.count("ts").alias(name))
+    each = F.explode(F.array(*[F.lit(float(t)) for t in tolerances])).alias("tolerance")
+    sizes = count(predicted, "n_pred").join(count(truth, "n_ref"), "rec", "full").fillna(0, ["n_pred", "n_ref"]).select("rec", each, "n_pred", "n_ref")
+    rows = sizes.join(matched(predicted, truth, tuple(tolerances)), ["rec", "tolerance"], "left").fillna(0, ["tp"])
+    part = lambda a, b: F.when(F.col(b) == 0, F.lit(0.0)).otherwise(F.col(a) / F.greatest(F.col(b), F.lit(1)))
+    rows = rows.select("rec", "tolerance", "tp", "n_pred", "n_ref", part("tp", "n_pred").alias("precision_ratio"), part("tp", "n_ref").alias("recall_ratio"))
+    both = F.col("precision_ratio") + F.col("recall_ratio")
+    return rows.withColumn("f1_ratio", F.when(both == 0, F.lit(0.0)).otherwise(2 * F.col("precision_ratio") * F.col("recall_ratio") / F.greatest(both, F.lit(1e-300))))
 
 
 def iou_scores(predicted: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     """(rec, tp, fp, fn): in list order, each prediction takes the first free reference with at least that intersection over union."""
     both = overlap_join(predicted, truth)
     inter, union = F.least("e", "r_e") - F.greatest("s", "r_s"), F.greatest("e", "r_e") - F.least("s", "r_s")
-    pairs = both.where(inter >= F.lit(least) * union).select("rec", "ord", "r_ord")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, done = set(), set()
-        for p, t in pdf.sort_values(["ord", "r_ord"])[["ord", "r_ord"]].itertuples(index=False):
-            if p not in done and t not in used:
-                done.add(p)
-                used.add(t)
-        return pd.DataFrame({"rec": [pdf["rec"].iloc[0]], "tp": [len(done)]})
-
-    hits = pairs.groupBy("rec").applyInPandas(greedy, "rec string, tp long")
+    pairs = both.where(inter >= F.lit(least) * union).select("rec", "ord", "r_ord", F.least("s", "r_s").alias("s"), F.greatest("e", "r_e").alias("e"))
     count = lambda df, name: df.groupBy("rec").agg(F.count("*").alias(name))
-    rows = count(predicted, "np").join(count(truth, "nt"), "rec", "full").join(hits, "rec", "left").fillna(0, ["np", "nt", "tp"])
+    rows = count(predicted, "np").join(count(truth, "nt"), "rec", "full").join(greedy_pairs(pairs), "rec", "left").fillna(0, ["np", "nt", "tp"])
     return rows.select("rec", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
 
 

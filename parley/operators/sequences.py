@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunked import thin, turn_truth  # noqa: F401
+
 
 def _order():
     return Window.partitionBy("rec").orderBy("s", "ord")
@@ -30,20 +32,6 @@ def segment_ends(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__last", last).where("ord < __last").select("rec", "ord", F.col("e").alias("ts"))
 
 
-def thin(points: DataFrame, gap: float) -> DataFrame:
-    """Change points (rec, ts) at least ``gap`` after the last one kept: a fold along each recording."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], -np.inf
-        for t in np.sort(pdf["ts"].to_numpy()):
-            if t - last >= gap:
-                out.append(t)
-                last = t
-        return pd.DataFrame({"rec": pdf["rec"].iloc[0], "ts": out})
-
-    return points.groupBy("rec").applyInPandas(keep, "rec string, ts double")
-
-
 def run_lengths(rows: DataFrame, value: str) -> DataFrame:
     """(rec, spk, s, e, n, mean): runs of rows with one speaker; a run ends where the next begins, the last at the recording's end."""
     upto = _order().rowsBetween(Window.unboundedPreceding, 0)
@@ -93,24 +81,3 @@ def backfill(rows: DataFrame) -> DataFrame:
     after = _order().rowsBetween(Window.currentRow, Window.unboundedFollowing)
     before = _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("spk", F.coalesce(F.first("spk", ignorenulls=True).over(after), F.last("spk", ignorenulls=True).over(before)))
-
-
-def turn_truth(rows: DataFrame, shortest: float = 0.2, tolerance: float = 0.3) -> DataFrame:
-    """(rec, ts) reference change points: rows under ``shortest`` are ignored; a new speaker takes the turn when it starts no more than
-    ``tolerance`` before the current one ends, or when it outlasts the current one."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, spk, end = [], None, -np.inf
-        for r in pdf.sort_values(["s", "ord"]).itertuples():
-            if r.e - r.s < shortest:
-                continue
-            if spk is None:
-                spk, end = r.spk, r.e
-            elif r.spk == spk:
-                end = max(end, r.e)
-            elif r.s >= end - tolerance or r.e > end:
-                out.append(r.s)
-                spk, end = r.spk, r.e
-        return pd.DataFrame({"rec": pdf["rec"].iloc[0], "ts": np.array(out, dtype=float)})
-
-    return rows.groupBy("rec").applyInPandas(fold, "rec string, ts double")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, dot, si_sdr, unit
+from .reduction import linkage
 
 
 def centroids(rows: DataFrame, label: str = "label", vector: str = "v") -> DataFrame:
@@ -203,31 +204,8 @@ def lloyd(rows: DataFrame, seeds: list[list[float]], passes: int, key: str = "ve
 
 
 def average_linkage(rows: DataFrame, group: str, key: str, clusters: int) -> DataFrame:
-    """(group, key, cluster) for each group of a few hundred vectors: agglomerative, average linkage, cosine distance. Larger groups take the square of their size in memory."""
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        x = np.stack(pdf["v"].to_numpy())
-        size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        x = x / np.where(size == 0, 1, size)
-        far, counts, live = 1 - x @ x.T, np.ones(len(x)), list(range(len(x)))
-        np.fill_diagonal(far, np.inf)
-        label = np.arange(len(x))
-        while len(live) > clusters:
-            part = far[np.ix_(live, live)]
-            i, j = np.unravel_index(part.argmin(), part.shape)
-            a, b = sorted((live[i], live[j]))
-            merged = (far[a] * counts[a] + far[b] * counts[b]) / (counts[a] + counts[b])
-            far[a], far[:, a] = merged, merged
-            far[a, a] = np.inf
-            counts[a] += counts[b]
-            label[label == b] = a
-            live.remove(b)
-        names = {c: n for n, c in enumerate(sorted(live))}
-        return pd.DataFrame({group: pdf[group], key: pdf[key], "cluster": [names[c] for c in label]})
-
-    kinds = rows.schema
-    return rows.select(group, key, "v").groupBy(group).applyInPandas(join, f"{group} {kinds[group].dataType.simpleString()}, {key} {kinds[key].dataType.simpleString()}, cluster int")
+    """(group, key, cluster) for each group of vectors: ``reduction.linkage``, average, cosine distance."""
+    return linkage(rows, group, key, clusters, "average")
 
 
 def greedy_online(rows: DataFrame, group: str, key: str, threshold: float, most: int) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.vectors import cosine, si_sdr
 from ..operators import clustering as C
 from ..operators import intervals as I
+from ..operators import reduction as N
 from ..operators import rollup as R
 from ..operators import scoring as S
 from ..operators import sequences as Q
@@ -549,6 +550,41 @@ def responses(spark, d):
     return D.utterances(spark, d).select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("chunk"), (F.col("role") == "user").alias("has_speech"), F.col("text").alias("transcript"))
 
 
+def q82(spark, d):
+    return Q.turn_truth(D.segments(spark, d), shortest=20.0, tolerance=30.0).select("rec", r6("ts").alias("ts"))
+
+
+def q83(spark, d):
+    found, _ = N.principal_components(D.vectors(spark, d), 5)
+    return found.select("component", r6("variance").alias("variance"), r6("share").alias("share"))
+
+
+def q83b(spark, d):
+    _, placed = N.principal_components(D.vectors(spark, d), 2)
+    return placed.select("vec_id", *[r6(F.col("coordinates")[i]).alias(f"x{i + 1}") for i in range(2)])
+
+
+def q84(spark, d):
+    return N.kmeans(D.vectors(spark, d), 8)[0]
+
+
+def _linked(spark, d, kind):
+    vec = D.vectors(spark, d).withColumn("cell", F.floor(F.col("vec_id") / 100))
+    return N.linkage(vec, "cell", "vec_id", 8, kind)
+
+
+def q85(spark, d):
+    return _linked(spark, d, "average")
+
+
+def q85b(spark, d):
+    return _linked(spark, d, "complete")
+
+
+def q85c(spark, d):
+    return _linked(spark, d, "ward")
+
+
 def q81(spark, d):
     out = E.response_rates(responses(spark, d))
     return out.select("file", "responses", "total_words", *[r6(c).alias(c) for c in E.RATES])
@@ -591,7 +627,7 @@ NAMES = {
     "q56_class_scores": q56, "q56b_aligned_class_scores": q56b, "q57_similarity": q57, "q58_named_clusters": q58, "q59_two_strikes": q59, "q60_best_config": q60, "q61_first_seen": q61,
     "q62_distinct_speakers": q62, "q63_der_uem": q63, "q64_stitched": q64, "q65_numbered_frames": q65, "q67_noise": q67, "q68_verification": q68, "q69_corpus_errors": q69,
     "q70_accumulation": q70, "q71_buffer": q71, "q72_best_reference": q72, "q73_euclidean_silhouette": q73, "q74_distance_search": q74, "q74b_distance_for_count": q74b,
-    "q75_refined_linkage": q75, "q76_online_means": q76, "q77_microbatch": q77, "q78_display_hold": q78, "q71b_buffer_timers": q71b, "q77b_microbatch_timers": q77b, "q78b_display_timers": q78b, "q81_stream_rates": q81, "q81b_stream_summary": q81b, "q79_expanded_speakers": q79, "q79b_overlap_history": q79b, "q80_timing_report": q80,
+    "q75_refined_linkage": q75, "q76_online_means": q76, "q77_microbatch": q77, "q78_display_hold": q78, "q71b_buffer_timers": q71b, "q77b_microbatch_timers": q77b, "q78b_display_timers": q78b, "q82_turn_truth": q82, "q83_components": q83, "q83b_coordinates": q83b, "q84_kmeans": q84, "q85_average_linkage": q85, "q85b_complete_linkage": q85b, "q85c_ward_linkage": q85c, "q81_stream_rates": q81, "q81b_stream_summary": q81b, "q79_expanded_speakers": q79, "q79b_overlap_history": q79b, "q80_timing_report": q80,
 }
 
 

@@ -14,11 +14,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 3600.0
+#: Rows of the longest recording that a chunk should have.
+EACH = 20_000
 #: Beyond a tolerance, so that rounding never leaves a point out of a neighbour's chunk.
 SLACK = 1e-6
 
 
+def chunk_width(rows: DataFrame, at: str, least: float = 0.0, each: int = EACH) -> float:
+    """Seconds a chunk, so that the recordings of over ``each`` rows are parted into chunks of about as many, and shorter ones are not."""
+    sizes = rows.groupBy("rec").agg(F.count(at).alias("n"), (F.max(at) - F.min(at)).alias("span"))
+    found = sizes.where(F.col("n") > each).agg(F.min(F.col("span") / F.ceil(F.col("n") / each))).first()[0]
+    return 1e9 if found is None else max(float(found), least, 1e-3)
+
+
 def _in_chunks(rows: DataFrame, at: str, width: float) -> DataFrame:
     return rows.where(F.col(at).isNotNull()).withColumn("__chunk", F.floor(F.col(at) / F.lit(width)).cast("bigint"))
 
@@ -62,13 +70,13 @@ def next_points(t: np.ndarray, gap: float) -> np.ndarray:
     return at + on
 
 
-def thin(points: DataFrame, gap: float, width: float = WIDTH) -> DataFrame:
+def thin(points: DataFrame, gap: float, width: float | None = None) -> DataFrame:
     """Points (rec, ts), of each recording the first and then each that is at least ``gap`` after the last one kept.
 
     A chunk's point leads to the next one kept, and pointers are doubled until they reach the last one of the chunk. Only points less than a gap after the chunk's first can be its first kept, and most of
     them soon lead to the same last one, so a summary has a row for each different one. Null times are left out; points at one time count once.
     """
-    chunked = _in_chunks(points.select("rec", "ts"), "ts", width)
+    chunked = _in_chunks(points.select("rec", "ts"), "ts", width or chunk_width(points, "ts", 8 * gap))
 
     def summary(pdf: pd.DataFrame) -> list:
         t = np.unique(pdf["ts"].to_numpy())
@@ -152,10 +160,10 @@ class _Turns:
         return {"first": known[0] if self.rows else None, "held": held}
 
 
-def turn_truth(rows: DataFrame, shortest: float = 0.2, tolerance: float = 0.3, width: float = WIDTH) -> DataFrame:
+def turn_truth(rows: DataFrame, shortest: float = 0.2, tolerance: float = 0.3, width: float | None = None) -> DataFrame:
     """(rec, ts) reference change points: rows under ``shortest`` are ignored; a new speaker takes the turn when it starts no more than ``tolerance`` before the current one ends, or when it outlasts
     the current one. Null speakers are one speaker of no name."""
-    chunked = _in_chunks(rows.select("rec", "ord", "s", "e", F.coalesce("spk", F.lit("")).alias("spk")), "s", width)
+    chunked = _in_chunks(rows.select("rec", "ord", "s", "e", F.coalesce("spk", F.lit("")).alias("spk")), "s", width or chunk_width(rows, "s"))
 
     def step(state, summary, _):
         if state is None:
@@ -204,10 +212,10 @@ def match_summary(a: np.ndarray, b: np.ndarray, before: tuple[int, int], next_st
     return out
 
 
-def matched(predicted: DataFrame, truth: DataFrame, tolerances: tuple, width: float = WIDTH) -> DataFrame:
+def matched(predicted: DataFrame, truth: DataFrame, tolerances: tuple, width: float | None = None) -> DataFrame:
     """(rec, tolerance, tp): the most one-to-one pairs of points (rec, ts) within each tolerance, by matching in order. A chunk also sees the points that the chunk before may leave to it."""
-    width = max(width, 4 * max(tolerances))
     both = predicted.select("rec", "ts", F.lit(0).alias("side")).union(truth.select("rec", "ts", F.lit(1).alias("side")))
+    width = max(width or chunk_width(both, "ts"), 4 * max(tolerances))
     rows = _in_chunks(both, "ts", width).withColumn("tolerance", F.explode(F.array(*[F.lit(float(t)) for t in tolerances])))
     near = F.col("ts") >= (F.col("__chunk") + 1) * F.lit(width) - F.col("tolerance") - F.lit(SLACK)
     rows = rows.withColumn("own", F.col("__chunk")).withColumn("__chunk", F.explode(F.when(near, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
@@ -233,15 +241,15 @@ def matched(predicted: DataFrame, truth: DataFrame, tolerances: tuple, width: fl
     return summaries.groupBy("rec", "tolerance").applyInPandas(walk, f"rec {kind}, tolerance double, tp long")
 
 
-def greedy_pairs(pairs: DataFrame) -> DataFrame:
+def greedy_pairs(pairs: DataFrame, islands: int = 1000) -> DataFrame:
     """(rec, tp) of candidate pairs (rec, ord, r_ord, s, e), the span that both cover: in list order each ``ord`` takes its first free ``r_ord``.
 
-    Pairs whose spans don't meet share no row, so each run of spans that overlap is matched on its own.
+    Pairs whose spans don't meet share no row, so each run of spans that overlap is matched on its own; up to ``islands`` neighbouring ones go to a task together.
     """
     order = Window.partitionBy("rec").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = pairs.withColumn("__new", F.coalesce((F.col("s") >= reach).cast("int"), F.lit(1)))
-    marked = marked.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("__island", F.floor(F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)) / islands))
 
     def greedy(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         used, done = set(), set()

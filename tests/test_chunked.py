@@ -98,10 +98,12 @@ def test_one_recording_is_many_groups(spark):
     df = spark.createDataFrame(pd.DataFrame({"rec": "r", "ts": t}))
     got = np.sort([r["ts"] for r in chunked.thin(df, 1.0, 1000.0).collect()])
     assert got.tolist() == plain_thin(t.tolist(), 1.0)
+    width = chunked.chunk_width(df, "ts", each=5000)
+    assert 900 < width < 1100 and chunked.chunk_width(df, "ts", each=10**6) == 1e9
     assert chunked._in_chunks(df, "ts", 1000.0).select("__chunk").distinct().count() == 40
 
 
-def test_greedy_by_islands(spark):
+def test_greedy_by_islands(spark, monkeypatch):
     rng = random.Random(3)
     make = lambda n: [("r", i, s := round(rng.uniform(0, 300), 1), s + rng.choice([2.0, 5.0]), "A") for i in range(n)]
     pred, ref = make(200), make(180)
@@ -114,3 +116,5 @@ def test_greedy_by_islands(spark):
             n += 1
     row = scoring.iou_scores(spark.createDataFrame(pred, SEG), spark.createDataFrame(ref, SEG)).first()
     assert (row["tp"], row["fp"], row["fn"]) == (n, 200 - n, 180 - n)
+    monkeypatch.setattr(chunked.greedy_pairs, "__defaults__", (1,))
+    assert scoring.iou_scores(spark.createDataFrame(pred, SEG), spark.createDataFrame(ref, SEG)).first() == row

@@ -7,6 +7,7 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, which is what
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -132,6 +133,7 @@ def bucket_bits(size: int, each: int = 64 << 20, least: int = 8, most: int = 17)
 
 def release() -> None:
     """Give free memory back to the system: a Python worker serves one task after another, and what one has left unused would stand beside what the next one takes."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -178,6 +180,7 @@ class Codes(dict):
 
 def batches(frames: Iterator[pa.RecordBatch], limit: int = 8 << 20, column: str = "text") -> Iterator[pa.Table]:
     """Regroup record batches into tables of about ``limit`` bytes of ``column``, so that a batch of long texts stays small and one of short texts is worth its overhead."""
+    release()  # what the task before left in this worker
     held, size = [], 0
     for frame in frames:
         rows, at = frame.num_rows, 0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -24,17 +23,23 @@ def char_errors(reference, hypothesis):
 
 
 def edit_distance(a: list, b: list) -> int:
-    """Rows of the usual table, each in a few vector steps: insertions along a row are a running minimum of (value - place)."""
-    if len(a) < len(b):
-        a, b = b, a
-    codes: dict = {}
-    x, y = (np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int64) for words in (a, b))
-    place = np.arange(len(y) + 1)
-    row = place.copy()
-    for i, w in enumerate(x, 1):
-        best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != w))])
-        row = np.minimum.accumulate(best - place) + place
-    return int(row[-1])
+    """Columns of the usual table as whole numbers of one bit a row, where the value goes up or down by one (Myers, Hyyro): a few operations on numbers for each word of ``b``, however long ``a`` is."""
+    if not a:
+        return len(b)
+    places: dict = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    full, last, distance = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = full, 0
+    for w in b:
+        same = places.get(w, 0)
+        straight = same | down
+        across = ((same & up) + up ^ up) | same
+        rises, falls = (down | ~(across | up)) & full, up & across
+        distance += bool(rises & last) - bool(falls & last)
+        rises, falls = (rises << 1 | 1) & full, falls << 1 & full
+        up, down = (falls | ~(straight | rises)) & full, rises & straight
+    return distance
 
 
 def joined_texts(rows, by: list[str], order: list[str], *texts: str):

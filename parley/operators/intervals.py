@@ -196,3 +196,13 @@ def numbered_frames(frames: DataFrame) -> DataFrame:
     start = F.coalesce(F.sum("n").over(Window.partitionBy("rec").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(Window.partitionBy("rec", "chunk").orderBy("ix")) - 1
     return frames.withColumn("ix", place).join(sizes.select("rec", "chunk", start.alias("start")), ["rec", "chunk"]).select("rec", (F.col("start") + F.col("ix")).cast("bigint").alias("ix"), "score")
+
+
+def with_processed(regions: DataFrame, processed: DataFrame, keys: tuple = ("rec", "s", "e")) -> DataFrame:
+    """Regions with what was made of them, where something was: an equal join on the region's own bounds, bit by bit, or on any other ``keys``. Null bounds meet nothing; extra columns of ``processed`` follow."""
+    return regions.join(processed, list(keys), "left")
+
+
+def with_embeddings(speakers: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Speakers separated from regions (region, idx, ...) with the cluster and place of their embedding (region, idx, cluster, place), null where none was made."""
+    return speakers.join(embeddings.select("region", "idx", "cluster", "place"), ["region", "idx"], "left")

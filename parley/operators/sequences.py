@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,46 +34,72 @@ def segment_ends(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__last", last).where("ord < __last").select("rec", "ord", F.col("e").alias("ts"))
 
 
-def run_lengths(rows: DataFrame, value: str) -> DataFrame:
-    """(rec, spk, s, e, n, mean): runs of rows with one speaker; a run ends where the next begins, the last at the recording's end."""
+def run_lengths(rows: DataFrame, value: str, flag: str | None = None, durations: DataFrame | None = None) -> DataFrame:
+    """(rec, spk, s, e, n, mean), and the flag if one is named: runs of rows with one speaker and one value of ``flag``. A run ends where the next begins, the last at the recording's duration
+    (rec, dur) if given, else at its largest end. Null speakers and flags are values of their own."""
     upto = _order().rowsBetween(Window.unboundedPreceding, 0)
-    runs = rows.withColumn("__turn", F.coalesce((F.col("spk") != F.lag("spk").over(_order())).cast("int"), F.lit(1))).withColumn("__run", F.sum("__turn").over(upto))
-    end = Window.partitionBy("rec")
-    grouped = runs.groupBy("rec", "__run", "spk").agg(F.min("s").alias("s"), F.max("e").alias("__e"), F.count("*").alias("n"), F.avg(value).alias("mean"))
-    grouped = grouped.withColumn("e", F.coalesce(F.lead("s").over(Window.partitionBy("rec").orderBy("__run")), F.max("__e").over(end)))
-    return grouped.select("rec", "spk", "s", "e", "n", "mean")
+    kept = ["spk", *([flag] if flag else [])]
+    same = F.lit(True)
+    for c in kept:
+        same = same & F.col(c).eqNullSafe(F.lag(c).over(_order()))
+    turn = F.when(F.row_number().over(_order()) == 1, F.lit(1)).otherwise((~same).cast("int"))
+    runs = rows.withColumn("__turn", turn).withColumn("__run", F.sum("__turn").over(upto))
+    grouped = runs.groupBy("rec", "__run", *kept).agg(F.min("s").alias("s"), F.max("e").alias("__e"), F.count("*").alias("n"), F.avg(value).alias("mean"))
+    last = F.max("__e").over(Window.partitionBy("rec"))
+    if durations is not None:
+        grouped, last = grouped.join(durations.select("rec", F.col("dur").alias("__dur")), "rec", "left"), F.coalesce("__dur", last)
+    grouped = grouped.withColumn("e", F.coalesce(F.lead("s").over(Window.partitionBy("rec").orderBy("__run")), last))
+    return grouped.select("rec", *kept, "s", "e", "n", "mean")
+
+
+def local_maxima(x: np.ndarray) -> np.ndarray:
+    """Places higher than what is on both sides; of a plateau its middle, the left one of two. The first and last values are none."""
+    if len(x) < 3:
+        return np.zeros(0, dtype=int)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))  # of runs of equal values
+    last = np.append(first[1:], len(x)) - 1
+    level = x[first]
+    top = np.zeros(len(first), dtype=bool)
+    top[1:-1] = (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
+    return (first[top] + last[top]) // 2
+
+
+def prominences(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How far each peak stands over the higher of its two sides' lowest values, a side reaching to the next higher value: a stack of falling values, with the least value since each, in one pass a side."""
+
+    def lows(values: np.ndarray) -> np.ndarray:
+        out, stack = np.empty(len(values)), []
+        for i, v in enumerate(values.tolist()):
+            low = v
+            while stack and stack[-1][0] <= v:
+                low = min(low, stack.pop()[1])
+            out[i] = low
+            stack.append((v, low))
+        return out
+
+    left, right = lows(x), lows(x[::-1])[::-1]
+    return x[places] - np.maximum(left[places], right[places])
+
+
+def apart(places: np.ndarray, heights: np.ndarray, distance: int) -> np.ndarray:
+    """Places of which any two are at least ``distance`` apart: higher ones first, the later one of equals."""
+    kept: list[int] = []
+    for p in places[np.lexsort((-places, -heights))].tolist():
+        at = bisect_left(kept, p)
+        if (at == len(kept) or kept[at] - p >= distance) and (not at or p - kept[at - 1] >= distance):
+            kept.insert(at, p)
+    return np.array(kept, dtype=int)
 
 
 def peaks(frames: DataFrame, prominence: float, distance: int = 1) -> DataFrame:
-    """(rec, ix, score): local maxima (the middle of a plateau) at least ``distance`` apart, higher ones first, and at least as prominent."""
+    """(rec, ix, score): local maxima (the middle of a plateau) at least ``distance`` apart, higher ones first, and at least as prominent. A recording is folded by one task, in time of n log n."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ix")
         x = pdf["score"].to_numpy()
-        found, i = [], 1
-        while i < len(x) - 1:
-            if x[i - 1] < x[i]:
-                j = i
-                while j < len(x) - 1 and x[j + 1] == x[i]:
-                    j += 1
-                if j < len(x) - 1 and x[j + 1] < x[i]:
-                    found.append((i + j) // 2)
-                i = j
-            i += 1
-        kept: list[int] = []
-        for p in sorted(found, key=lambda p: (-x[p], -p)):
-            if all(abs(p - q) >= distance for q in kept):
-                kept.append(p)
-        out = []
-        for p in sorted(kept):
-            low = []
-            for side in (x[:p][::-1], x[p + 1 :]):
-                higher = np.flatnonzero(side > x[p])
-                reach = side[: higher[0]] if len(higher) else side
-                low.append(reach.min(initial=x[p]))
-            if x[p] - max(low) >= prominence:
-                out.append(p)
-        return pdf.iloc[out][["rec", "ix", "score"]]
+        found = local_maxima(x)
+        found = apart(found, x[found], distance)
+        return pdf.iloc[found[prominences(x, found) >= prominence] if len(found) else found][["rec", "ix", "score"]]
 
     return frames.groupBy("rec").applyInPandas(find, frames.select("rec", "ix", "score").schema)
 

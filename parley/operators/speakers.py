@@ -92,6 +92,13 @@ def decide(matches: DataFrame, least: float = 0.21, margin: float = 0.09) -> Dat
     return matches.withColumn("accepted", (F.col("score") >= least) & (F.col("score") - F.coalesce("second", F.lit(0.0)) >= margin))
 
 
+def best_or_unknown(matches: DataFrame, threshold: float, share: float = 0.8, unknown: str = "unknown") -> DataFrame:
+    """``matches`` of ``best_matches`` with speaker (the best, or ``unknown`` under the threshold, as where there is no name at all) and is_overlap: the best is known, and the second too reaches the threshold and ``share`` of the best."""
+    known = F.coalesce(F.col("score") >= threshold, F.lit(False))
+    close = F.coalesce((F.col("second") >= threshold) & (F.col("second") >= F.col("score") * share), F.lit(False))
+    return matches.withColumn("speaker", F.when(known, F.col("best").cast("string")).otherwise(F.lit(unknown))).withColumn("is_overlap", known & close)
+
+
 def fresh_labels(matches: DataFrame, key: str, threshold: float, registry_size: int) -> DataFrame:
     """Matched vectors keep their reference; the others get new labels from ``registry_size`` on, in the order of the key.
 
@@ -105,30 +112,95 @@ def fresh_labels(matches: DataFrame, key: str, threshold: float, registry_size:
     return matches.join(numbered, key, "left").withColumn("assigned", F.coalesce("fresh", "best")).drop("fresh")
 
 
+#: Labels whose sums are sent to all as one matrix; with more, vectors meet them in blocks, by a shuffle.
+MOST_LABELS = 20_000
+
+
+def _label_sums(rows: DataFrame, label: str, vector: str = "v") -> DataFrame:
+    """(label, n, s): how many vectors each label has, and their sum."""
+    sums = rows.select(label, F.posexplode(vector).alias("pos", "x")).groupBy(label, "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    return sums.groupBy(label).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("s"))
+
+
+def _against_labels(rows: DataFrame, sums: DataFrame, key: str, label: str, found, schema: str, block: int = 1000, most: int = MOST_LABELS) -> DataFrame:
+    """``found(x, at, n, s, own)`` for batches of vectors x against blocks of labels, ordered by name: their numbers n and sums s as matrices, the names of the block, and the place of each vector's own label
+    in it or -1. One block, sent to all, where there are at most ``most`` labels; else blocks are met by a shuffle. ``found`` gives the columns of ``schema`` but the key and label; a vector has a row for each block."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, label)}
+    out = f"{key} {kinds[key]}, {label} {kinds[label]}, {schema}"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def batch(pdf: pd.DataFrame, names_of: list, n: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        place = {k: i for i, k in enumerate(names_of)}
+        own = np.array([place.get(k, -1) for k in pdf[label]])
+        columns = found(np.stack(pdf["v"].to_numpy()), names_of, n, s, own)
+        return pd.DataFrame({key: pdf[key].to_numpy(), label: pdf[label].to_numpy(), **dict(zip(names, columns))})
+
+    rows = rows.select(key, label, "v").where(F.col(label).isNotNull())
+    held = sums.where(F.col(label).isNotNull()).limit(most + 1).collect()
+    if len(held) <= most:
+        held = sorted((r[label], r["n"], r["s"]) for r in held)
+        share = rows.sparkSession.sparkContext.broadcast(([h[0] for h in held], np.array([h[1] for h in held], dtype=float), np.array([h[2] for h in held])))
+
+        def run(frames):
+            for pdf in frames:
+                for at in range(0, len(pdf), 4096):
+                    yield batch(pdf.iloc[at : at + 4096], *share.value)
+
+        return rows.mapInPandas(run, out)
+    parts = max(1, -(-sums.count() // block))
+    cell = F.pmod(F.xxhash64(label), F.lit(parts)).cast("int")
+    lists = sums.select(cell.alias("__b"), F.struct(F.col(label).alias("name"), "n", "s").alias("r")).groupBy("__b").agg(F.sort_array(F.collect_list("r")).alias("__r"))
+    salted = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    asked = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__b"), F.pmod(F.xxhash64(key), F.lit(16)).cast("int").alias("__salt"))
+
+    def met(_, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame(columns=[key, label, *names])
+        held = theirs["__r"].iloc[0]
+        names_of, n, s = [h["name"] for h in held], np.array([h["n"] for h in held], dtype=float), np.array([list(h["s"]) for h in held])
+        return pd.concat([batch(mine.iloc[at : at + 4096], names_of, n, s) for at in range(0, len(mine), 4096)])
+
+    return asked.groupBy("__b", "__salt").cogroup(salted.groupBy("__b", "__salt")).applyInPandas(met, out)
+
+
 def leave_one_out(rows: DataFrame, key: str = "vec_id", label: str = "label") -> DataFrame:
-    """(key, label, predicted): the label whose centroid, without the vector itself, is most similar; sums less the vector make it without a self-join."""
-    sums = rows.select(label, F.posexplode("v").alias("pos", "x")).groupBy(label, "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-    total = sums.groupBy(label).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("s"))
-    both = rows.join(F.broadcast(total.select(F.col(label).alias("other"), "n", "s")))  # a row for each label
-    own = F.col(label) == F.col("other")
-    centre = F.when(own, F.zip_with("s", "v", lambda a, b: a - b)).otherwise(F.col("s"))
-    scored = both.where(~own | (F.col("n") > 1)).select(key, label, "other", cosine(centre, F.col("v")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("score", 12)), "other"))
-    return scored.withColumn("r", rank).where("r = 1").select(key, label, F.col("other").alias("predicted"))
+    """(key, label, predicted): the label whose centroid, without the vector itself, is most similar, the smaller on ties; sums less the vector make it without a self-join. A label of one vector can't be predicted for it."""
+    kind = rows.schema[label].dataType.simpleString()
+
+    def found(x: np.ndarray, names: list, n: np.ndarray, s: np.ndarray, own: np.ndarray):
+        at = np.flatnonzero(own >= 0)
+        size = lambda v: np.where((z := np.sqrt((v * v).sum(axis=-1))) == 0, 1, z)
+        score = x @ s.T / (size(x)[:, None] * size(s)[None, :])
+        rest = s[own[at]] - x[at]
+        score[at, own[at]] = np.where(n[own[at]] > 1, (x[at] * rest).sum(axis=1) / (size(x[at]) * size(rest)), -np.inf)
+        score = score.round(12)
+        best = score.argmax(axis=1)
+        return np.array([names[b] for b in best], dtype=object), score[np.arange(len(x)), best]
+
+    scored = _against_labels(rows, _label_sums(rows, label), key, label, found, f"predicted {kind}, score double")
+    best = scored.groupBy(key, label).agg(F.max(F.struct("score")).alias("top"), F.min_by("predicted", F.struct(-F.col("score"), "predicted")).alias("predicted"))
+    return best.where(F.col("top.score") > float("-inf")).select(key, label, "predicted")
 
 
 def cosine_silhouette(rows: DataFrame, key: str = "vec_id", label: str = "label") -> DataFrame:
     """(key, label, silhouette) by cosine distance: mean distances come from the clusters' sums of unit vectors, so no pairs are made. 0 for a cluster of one."""
     u = rows.select(key, label, unit("v").alias("v"))
-    sums = u.select(label, F.posexplode("v").alias("pos", "x")).groupBy(label, "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-    total = sums.groupBy(label).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("s"))
-    both = u.join(F.broadcast(total.select(F.col(label).alias("other"), "n", "s")))
-    own, near = F.col(label) == F.col("other"), dot("s", "v")
-    mean = F.when(own, F.lit(1.0) - (near - dot("v", "v")) / F.greatest(F.col("n") - 1, F.lit(1))).otherwise(F.lit(1.0) - near / F.col("n"))
-    means = both.select(key, label, own.alias("own"), "n", mean.alias("d"))
-    sides = means.groupBy(key, label).agg(F.max(F.when(F.col("own"), F.col("d"))).alias("a"), F.min(F.when(~F.col("own"), F.col("d"))).alias("b"), F.max(F.when(F.col("own"), F.col("n"))).alias("n"))
+
+    def found(x: np.ndarray, names: list, n: np.ndarray, s: np.ndarray, own: np.ndarray):
+        near = x @ s.T
+        far = 1 - near / n[None, :]
+        at = np.flatnonzero(own >= 0)
+        mine, members = np.full(len(x), np.nan), np.zeros(len(x))
+        mine[at] = 1 - (near[at, own[at]] - (x[at] * x[at]).sum(axis=1)) / np.maximum(n[own[at]] - 1, 1)
+        members[at] = n[own[at]]
+        far[at, own[at]] = np.inf
+        return mine, far.min(axis=1), members
+
+    sides = _against_labels(u, _label_sums(u, label), key, label, found, "a double, b double, n double")
+    sides = sides.groupBy(key, label).agg(F.max(F.when(~F.isnan("a"), F.col("a"))).alias("a"), F.min("b").alias("b"), F.max("n").alias("n"))
     worst = F.greatest("a", "b")
-    return sides.select(key, label, F.when((F.col("n") == 1) | F.col("b").isNull() | (worst == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.when(worst == 0, F.lit(1.0)).otherwise(worst)).alias("silhouette"))
+    alone = (F.col("n") == 1) | F.col("b").isNull() | (F.col("b") == float("inf")) | (worst == 0)
+    return sides.select(key, label, F.when(alone, F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.when(worst == 0, F.lit(1.0)).otherwise(worst)).alias("silhouette"))
 
 
 def near_pairs(rows: DataFrame, least: float, key: str = "vec_id", block: int = 2048) -> DataFrame:

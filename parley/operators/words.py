@@ -70,3 +70,28 @@ def call_words(segments: DataFrame) -> DataFrame:
     calls = heard.groupBy("session", "call").agg(F.min("begin").alias("s"), listed.alias("w"))
     part = lambda name: F.transform("w", lambda x: x[name])
     return calls.select("session", F.col("call").alias("ord"), "s", part("word").alias("words"), part("ws").alias("starts"), part("we").alias("ends"))
+
+
+def with_phonemes(segments: DataFrame, dictionary: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Segments with s and e as doubles (null is 0) and ``phonemes``, from a dictionary (word, phonemes) in lower case; all other columns and every row stay. ``keys`` tell rows apart.
+
+    A word is read from left to right by the longest entry that fits at each place; letters that begin none have no sound. Null and blank texts give "". Each different word is looked up once: its pieces, none
+    longer than the longest entry, are joined with the dictionary, so neither has to fit into one task's memory.
+    """
+    entries = dictionary.where("word is not null and word <> ''").groupBy(F.lower("word").alias("__piece")).agg(F.min("phonemes").alias("__sound"))
+    longest = entries.agg(F.max(F.length("__piece"))).first()[0] or 0
+    words = segments.select(*keys, F.posexplode(T.tokens(F.lower(F.col(text)))).alias("__pos", "__word"))
+    vocabulary = words.select("__word").distinct()
+    starts = vocabulary.select("__word", F.explode(F.sequence(F.lit(1), F.length("__word"))).alias("i"))
+    room = F.least(F.lit(longest), F.length("__word") - F.col("i") + 1)
+    pieces = starts.where(room > 0).select("__word", "i", F.explode(F.sequence(F.lit(1), room)).alias("n")).withColumn("__piece", F.substr("__word", F.col("i"), F.col("n")))
+    found = F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("n"), "__sound")))
+    # the first piece at or after the place that is free, and of those at one place the longest
+    taken = F.aggregate(
+        "x", F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("said")),
+        lambda a, p: F.when(p["i"] >= a["free"], F.struct((p["i"] - p["n"]).alias("free"), F.concat(a["said"], F.array(p["__sound"])).alias("said"))).otherwise(a), lambda a: F.array_join(a["said"], " "),
+    )
+    sounds = pieces.join(entries, "__piece").groupBy("__word").agg(found.alias("x")).select("__word", taken.alias("__said"))
+    spoken = words.join(sounds, "__word").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__said"))), lambda x: x["__said"]), " ").alias("phonemes"))
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    return segments.withColumns({"s": number("s"), "e": number("e")}).join(spoken, keys, "left").withColumn("phonemes", F.coalesce("phonemes", F.lit("")))

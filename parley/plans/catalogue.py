@@ -550,6 +550,38 @@ def responses(spark, d):
     return D.utterances(spark, d).select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("chunk"), (F.col("role") == "user").alias("has_speech"), F.col("text").alias("transcript"))
 
 
+def q15b(spark, d):
+    """Runs that also end where a speaker begins or ceases to overlap, the last at noon of the next day."""
+    seg = D.segments(spark, d).withColumn("len", F.col("e") - F.col("s")).withColumn("loud", F.col("ord") % 3 == 0)
+    noon = seg.select("rec").distinct().select("rec", F.lit(129600.0).alias("dur"))
+    return Q.run_lengths(seg, "len", "loud", noon).select("rec", "spk", "loud", r6("s").alias("s"), r6("e").alias("e"), "n", r6("mean").alias("mean"))
+
+
+def q33b(spark, d):
+    return V.best_or_unknown(_matches(spark, d), 0.2).select("vec_id", "speaker", "is_overlap")
+
+
+def q86(spark, d):
+    return Q.peaks(D.frames(spark, d), 0.1, 2).select("rec", F.col("ix").cast("bigint").alias("ix"), r6("score").alias("score"))
+
+
+def q87(spark, d):
+    """Turns read with a dictionary of the beginnings of the words of parts' names."""
+    rows = D.utterances(spark, d).select("conv_id", "turn", "text", F.col("turn").cast("double").alias("s"), (F.col("turn") + 1).cast("double").alias("e"))
+    letters = D.table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), r"\s+")).alias("w")).where("w <> ''")
+    dictionary = letters.select(F.explode(F.array(F.substr("w", F.lit(1), F.lit(1)), F.substr("w", F.lit(1), F.lit(2)), F.substr("w", F.lit(1), F.lit(4)))).alias("word")).distinct()
+    return W.with_phonemes(rows, dictionary.select("word", F.upper("word").alias("phonemes")), ["conv_id", "turn"]).select("conv_id", "turn", "phonemes")
+
+
+def q88(spark, d):
+    from ..sources.annotations import comparison_report
+
+    runs = D.runs(spark, d).select("model", F.concat_ws("-", "file_id", "ord").alias("file"), "price", "discount")
+    out = comparison_report(runs, "runs", ["price", "discount"], "1970-01-01_00-00-00", {"engine": "spark"}, {"files": "lineitem"})
+    told = out.select("comparison_type", F.explode("pipelines").alias("model", "x"))
+    return told.select("model", F.size("x.per_file_results").cast("bigint").alias("files"), F.round("x.aggregated.price.mean", 4).alias("price_mean"), F.round("x.aggregated.discount.std", 4).alias("discount_std"))
+
+
 def q82(spark, d):
     return Q.turn_truth(D.segments(spark, d), shortest=20.0, tolerance=30.0).select("rec", r6("ts").alias("ts"))
 
@@ -627,7 +659,7 @@ NAMES = {
     "q56_class_scores": q56, "q56b_aligned_class_scores": q56b, "q57_similarity": q57, "q58_named_clusters": q58, "q59_two_strikes": q59, "q60_best_config": q60, "q61_first_seen": q61,
     "q62_distinct_speakers": q62, "q63_der_uem": q63, "q64_stitched": q64, "q65_numbered_frames": q65, "q67_noise": q67, "q68_verification": q68, "q69_corpus_errors": q69,
     "q70_accumulation": q70, "q71_buffer": q71, "q72_best_reference": q72, "q73_euclidean_silhouette": q73, "q74_distance_search": q74, "q74b_distance_for_count": q74b,
-    "q75_refined_linkage": q75, "q76_online_means": q76, "q77_microbatch": q77, "q78_display_hold": q78, "q71b_buffer_timers": q71b, "q77b_microbatch_timers": q77b, "q78b_display_timers": q78b, "q82_turn_truth": q82, "q83_components": q83, "q83b_coordinates": q83b, "q84_kmeans": q84, "q85_average_linkage": q85, "q85b_complete_linkage": q85b, "q85c_ward_linkage": q85c, "q81_stream_rates": q81, "q81b_stream_summary": q81b, "q79_expanded_speakers": q79, "q79b_overlap_history": q79b, "q80_timing_report": q80,
+    "q75_refined_linkage": q75, "q76_online_means": q76, "q77_microbatch": q77, "q78_display_hold": q78, "q71b_buffer_timers": q71b, "q77b_microbatch_timers": q77b, "q78b_display_timers": q78b, "q15b_flagged_runs": q15b, "q33b_best_or_unknown": q33b, "q86_peaks": q86, "q87_phonemes": q87, "q88_report": q88, "q82_turn_truth": q82, "q83_components": q83, "q83b_coordinates": q83b, "q84_kmeans": q84, "q85_average_linkage": q85, "q85b_complete_linkage": q85b, "q85c_ward_linkage": q85c, "q81_stream_rates": q81, "q81b_stream_summary": q81b, "q79_expanded_speakers": q79, "q79b_overlap_history": q79b, "q80_timing_report": q80,
 }
 
 

@@ -175,6 +175,9 @@ m AS (SELECT vec_id, label, max(CASE WHEN label = other THEN d / greatest(n - 1,
 SELECT label, count(*) AS n, round(avg(CASE WHEN n = 1 OR b IS NULL THEN 0.0::DOUBLE ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM m GROUP BY 1""",
     "q78_display_hold": f"""WITH {CHUNKS}, r AS (SELECT *, sum(speech::INT) OVER w AS run, last_value(CASE WHEN speech THEN spk END IGNORE NULLS) OVER w AS held FROM c WINDOW w AS (PARTITION BY session ORDER BY s, ord ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT *, min(CASE WHEN NOT speech THEN s END) OVER (PARTITION BY session, run) AS began FROM r) SELECT session, ord, CASE WHEN speech THEN spk WHEN s - began < 3600 THEN held END AS shown FROM b""",
+    "q15b_flagged_runs": f"WITH {SEG}, x AS (SELECT *, ord % 3 = 0 AS loud FROM seg), t AS (SELECT *, CASE WHEN spk = lag(spk) OVER (PARTITION BY rec ORDER BY s, ord) AND loud = lag(loud) OVER (PARTITION BY rec ORDER BY s, ord) THEN 0 ELSE 1 END AS turn FROM x), r AS (SELECT *, sum(turn) OVER (PARTITION BY rec ORDER BY s, ord ROWS UNBOUNDED PRECEDING) AS run FROM t), g AS (SELECT rec, run, spk, loud, min(s) AS s, count(*) AS n, avg(e - s) AS mean FROM r GROUP BY 1, 2, 3, 4) SELECT rec, spk, loud, round(s, 6) AS s, round(coalesce(lead(s) OVER (PARTITION BY rec ORDER BY run), 129600.0::DOUBLE), 6) AS e, n, round(mean, 6) AS mean FROM g",
+    "q33b_best_or_unknown": f"WITH {CENTRES} SELECT vec_id, CASE WHEN score >= 0.2 THEN best::VARCHAR ELSE 'unknown' END AS speaker, score >= 0.2 AND coalesce(second >= 0.2 AND second >= score * 0.8, false) AS is_overlap FROM matches",
+    "q88_report": "SELECT l_returnflag || l_linestatus AS model, count(*) AS files, round(avg(l_extendedprice), 4) AS price_mean, round(stddev_pop(l_discount), 4) AS discount_std FROM lineitem GROUP BY 1",
     "q81_stream_rates": f"WITH {RATES} SELECT file, responses, total_words, {', '.join(f'round({c}, 6) AS {c}' for c in RATE_NAMES)} FROM rates",
     "q81b_stream_summary": f"WITH {RATES} SELECT count(*) AS n, {', '.join(f'round(avg({c}), 6) AS avg_{c}' for c in RATE_NAMES)} FROM rates",
     "q78b_display_timers": f"""WITH {CHUNKS}, r AS (SELECT *, sum(speech::INT) OVER w AS run, last_value(CASE WHEN speech THEN spk END IGNORE NULLS) OVER w AS held FROM c WINDOW w AS (PARTITION BY session ORDER BY s, ord ROWS UNBOUNDED PRECEDING)),

@@ -68,6 +68,23 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return latest.withColumn("v", unit("v"))
 
 
+def upsert_registry(rows: DataFrame, path: str, version: int, buckets: int = 64) -> None:
+    """Put speakers (name, v) into the registry at ``path``, which has a folder for each of ``buckets`` hashes of names. Only buckets with new names are written, each anew: of a name the latest
+    ``version`` stays, at one version the row given now. A write that fails leaves the buckets as they were. Null names are left out; of repeated names the largest vector counts."""
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64("name"), F.lit(buckets)).cast("int").alias("bucket")
+    new = rows.where("name is not null").groupBy("name").agg(F.max(F.col("v").cast("array<double>")).alias("v")).select("name", "v", F.lit(version).cast("bigint").alias("version"), F.lit(1).alias("__now"), bucket)
+    touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        held = spark.read.schema("name string, v array<double>, version bigint, bucket int").parquet(path).where(F.col("bucket").isin(touched))
+        new = new.unionByName(held.withColumn("__now", F.lit(0)))
+    latest = new.groupBy("bucket", "name").agg(F.max_by(F.struct("v", "version"), F.struct("version", "__now")).alias("x"))
+    latest.select("name", "x.v", "x.version", "bucket").repartition("bucket").write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
 def read_presets(spark: SparkSession, path: str) -> DataFrame:
     """(preset, key, value) of a JSON object of presets; names that start with '_' and presets that aren't objects are left out."""
     raw = spark.read.text(path, wholetext=True)
@@ -76,13 +93,32 @@ def read_presets(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("preset", F.explode(F.from_json("body", "map<string,string>")).alias("key", "value")).where(~F.col("key").startswith("_"))
 
 
-def write_report(results: DataFrame, path: str, kind: str) -> None:
-    """A JSON document for each model: kind, model, results."""
+REPORT_KEYS = ("timestamp", "pipelines", "dataset", "system_info")
+
+
+def comparison_report(results: DataFrame, kind: str, metrics: list[str], timestamp: str, system_info: dict[str, str] | None = None, dataset: dict[str, str] | None = None) -> DataFrame:
+    """A document for each model of ``results`` (model, ...): comparison_type, timestamp, system_info, dataset and pipelines, a map of the model to its per_file_results and aggregated figures.
+
+    ``aggregated`` has the mean, standard deviation, total and count of each metric over the files that have it. A file's results are one row of ``results``, without the model.
+    """
+    from ..operators.rollup import summary
+
     fields = [c for c in results.columns if c != "model"]
-    results.groupBy("model").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("results")).select(F.lit(kind).alias("comparison_type"), "model", "results").write.mode("overwrite").json(path)
+    figures = summary(results, ["model"], metrics)
+    aggregated = F.struct(*[F.struct(*[F.col(f"{m}_{x}").alias(x) for x in ("mean", "std", "total", "n")]).alias(m) for m in metrics]).alias("aggregated")
+    files = results.groupBy("model").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("per_file_results")).join(figures, "model").select("model", "per_file_results", aggregated)
+    told = lambda given: F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
+    body = F.map_from_arrays(F.array("model"), F.array(F.struct("per_file_results", "aggregated")))
+    return files.select(F.lit(kind).alias("comparison_type"), F.lit(timestamp).alias("timestamp"), told(system_info or {"spark": results.sparkSession.version}).alias("system_info"), told(dataset or {"name": "unnamed"}).alias("dataset"), body.alias("pipelines"))
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """The documents of ``comparison_report``, a line of JSON each."""
+    report.write.mode("overwrite").json(path)
 
 
-def read_report(spark: SparkSession, path: str, required=("comparison_type", "model", "results")) -> DataFrame:
+def read_report(spark: SparkSession, path: str, required=REPORT_KEYS) -> DataFrame:
+    """A stored report. It is an error if a key that is ``required`` is missing."""
     found = spark.read.json(path)
     missing = [c for c in required if c not in found.columns]
     if missing:

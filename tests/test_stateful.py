@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from parley.sources import live_source
-from parley.streaming import live, ordered
+from parley.streaming import evaluation, live, ordered
 
 ROWS = "session long, ord long, s double, e double, spk string, speech boolean, reset boolean, confidence double"
 T0 = 1_700_000_000.0
@@ -117,3 +117,44 @@ def test_messages_are_folded_once_over_a_restart(spark, tmp_path, form):
     names = ["session", "ord", "held", "ready"]
     want = live.folded(spark.read.format("chunk_messages").load(f"file://{folder}").where("error is null and session <> 'end'").drop("samples"), live.Accumulation, need=2.0)
     assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect())) and got.count() == 29
+
+
+def plain_rates(rows):
+    """The rates of one file's (chunk, has_speech, transcript) rows."""
+    import re
+
+    plain = lambda t: re.sub(r"^\W+|\W+$", "", t.lower())
+    snippets = [(t or "").strip() for *_, t in sorted(rows, key=lambda r: r[0])]
+    snippets = [t for t in snippets if t]
+    raw = " ".join(snippets).split()
+    toks = [p for t in raw if (p := plain(t))]
+    grams = [tuple(toks[i : i + 3]) for i in range(len(toks) - 2)]
+    return (
+        len(rows), sum(bool(r[1]) for r in rows) / max(1, len(rows)), len(toks), sum(a == b for a, b in zip(toks, toks[1:])) / (len(toks) - 1) if len(toks) > 1 else 0.0,
+        (len(grams) - len(set(grams))) / len(grams) if len(toks) >= 6 else 0.0, sum("..." in t for t in raw) / max(1, len(raw)), sum(len([p for t in s.split() if (p := plain(t))]) <= 2 for s in snippets) / max(1, len(snippets)),
+    )
+
+
+def test_stream_evaluation_is_idempotent(spark, tmp_path):
+    rng = random.Random(2)
+    texts = ["so so it goes ...", "no", None, "  ", "a b c a b c a b c", "Well, well... then", "- ?", "it goes on"]
+    rows = [(f"f{i % 4}", i // 4, rng.choice([True, False, None]), rng.choice(texts)) for i in range(60)] + [("silent", 0, None, None)]
+    parts = [rows[:25], [*rows[25:45], rows[3]], rows[45:]]  # one response is sent again
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, evaluation.RESPONSES).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    stream = lambda: spark.readStream.schema(evaluation.RESPONSES).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    folder = f"file://{tmp_path}/rates"
+    for _ in range(2):  # the second run has nothing new
+        query = evaluation.evaluate(stream(), folder, f"file://{tmp_path}/cp")
+        assert query.awaitTermination(120) and query.exception() is None
+    assert sorted(p.name for p in (tmp_path / "rates").glob("batch=*")) == ["batch=0", "batch=1", "batch=2"]
+    names = ["responses", "has_speech_rate", "total_words", "adj_dup_rate", "trigram_repeat_rate", "ellipsis_token_rate", "short_snippet_rate"]
+    rates = lambda: {r["file"]: tuple(r[n] for n in names) for r in evaluation.response_rates(evaluation.stored(spark, folder)).collect()}
+    want = {f: pytest.approx(plain_rates([r[1:] for r in rows if r[0] == f])) for f in {r[0] for r in rows}}
+    assert rates() == want
+    again = spark.read.schema(evaluation.RESPONSES).parquet(f"{folder}/batch=1")
+    evaluation.store_batch(spark.createDataFrame(again.collect(), evaluation.RESPONSES), 1, folder)  # an attempt after a lost commit
+    assert rates() == want
+    mean = evaluation.summary(evaluation.response_rates(evaluation.stored(spark, folder))).first()
+    assert mean["n"] == 5 and mean["avg_has_speech_rate"] == pytest.approx(np.mean([plain_rates([r[1:] for r in rows if r[0] == f])[1] for f in want]))
+    assert evaluation.summary(evaluation.response_rates(spark.createDataFrame([], evaluation.RESPONSES))).first()["avg_adj_dup_rate"] == 0.0

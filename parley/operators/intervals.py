@@ -187,7 +187,8 @@ def stitched(rows: DataFrame, length: float, overlap: float, gap: float = 0.1) -
     """Segments (rec, chunk, ord, s, e, spk) with times within chunks of ``length`` that overlap, on the recording's clock: (rec, spk, s, e, n).
 
     A segment joins the one before it if that is the same speaker's and ends no more than ``gap`` before it starts; another speaker in between parts them."""
-    return merge_same_speaker(shifted(rows, F.col("chunk") * F.lit(length - overlap)), gap)
+    ordered = rows.withColumn("ord", F.struct("ord", "chunk"))  # two chunks may find the same
+    return merge_same_speaker(shifted(ordered, F.col("chunk") * F.lit(length - overlap)), gap)
 
 
 def numbered_frames(frames: DataFrame) -> DataFrame:

@@ -53,11 +53,17 @@ def without_noise(rows: DataFrame, label: str = "label", noise: int = -1) -> Dat
 
 
 def similarity(rows: DataFrame, label: str = "label", vector: str = "v") -> DataFrame:
-    """One row (intra, inter): the mean cosine of vectors to their own centroid, and the mean over pairs of centroids, of which there is a row a label."""
+    """One row (intra, inter): the mean cosine of vectors to their own centroid, and the mean over pairs of centroids; 1 and 0 where there are fewer than two labels or no more vectors than labels.
+
+    The latter comes from the sum of the centroids at unit length: its square holds each pair twice, and each centroid once. No pairs are made.
+    """
     centre = centroids(rows, label, vector)
-    own = rows.join(centre.select(label, F.col("v").alias("c")), label).agg(F.avg(cosine(vector, "c")).alias("intra"))
-    a, b = centre.select(F.col(label).alias("a"), F.col("v").alias("x")), centre.select(F.col(label).alias("b"), F.col("v").alias("y"))
-    return own.crossJoin(a.join(F.broadcast(b), F.col("a") < F.col("b")).agg(F.avg(cosine("x", "y")).alias("inter")))  # one row each
+    own = rows.join(centre.select(label, F.col("v").alias("c")), label).agg(F.avg(cosine(vector, "c")).alias("intra"), F.count("*").alias("n"))
+    parts = centre.select(F.posexplode(unit("v")).alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("sum"), F.sum(F.col("x") * F.col("x")).alias("own"), F.count("*").alias("k"))
+    total = parts.agg(F.sum(F.col("sum") * F.col("sum") - F.col("own")).alias("twice"), F.max("k").alias("k"))
+    plain = F.coalesce((F.col("k") < 2) | (F.col("n") <= F.col("k")), F.lit(True))
+    inter = F.col("twice") / F.greatest(F.col("k") * (F.col("k") - 1), F.lit(1))
+    return own.crossJoin(total).select(F.when(plain, F.lit(1.0)).otherwise(F.col("intra")).alias("intra"), F.when(plain, F.lit(0.0)).otherwise(inter).alias("inter"))  # one row each
 
 
 def verified(a, b, threshold: float = 0.5):

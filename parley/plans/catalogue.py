@@ -454,11 +454,13 @@ def q63(spark, d):
 
 
 def q64(spark, d):
-    """Chunks of 30 s every 25 s; what starts in the 5 s that two of them share is found by both."""
+    """Chunks of 30 s every 25 s; what starts in the 5 s that two of them share is found by both, and ended 1 ms sooner by the first."""
     seg = D.segments(spark, d)
     chunk = F.floor(F.col("s") / 25.0).cast("bigint")
     both = F.when((chunk > 0) & (F.col("s") - chunk * 25.0 < 5.0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
-    rows = seg.withColumn("chunk", F.explode(both)).withColumns({"s": F.col("s") - F.col("chunk") * 25.0, "e": F.col("e") - F.col("chunk") * 25.0})
+    rows = seg.select("*", F.explode(both).alias("chunk"), chunk.alias("own"))
+    chunk = F.col("own")
+    rows = rows.withColumns({"s": F.col("s") - F.col("chunk") * 25.0, "e": F.col("e") - F.col("chunk") * 25.0 - F.when(F.col("chunk") < chunk, 0.001).otherwise(0.0)})
     return I.stitched(rows, 30.0, 5.0).select("rec", "spk", r6("s").alias("s"), r6("e").alias("e"), "n")
 
 

@@ -154,7 +154,7 @@ g AS (SELECT *, coalesce(lag(q) OVER (PARTITION BY session ORDER BY ts, ord), fa
     "q62_distinct_speakers": f"WITH {SEG} SELECT rec, count(DISTINCT spk) AS n FROM seg GROUP BY 1",
     "q63_der_uem": f"""{CELLS.replace("u AS (SELECT rec, s, e, spk, 0 AS side FROM seg UNION ALL SELECT rec, s, e, spk, 1 FROM hyp)", "v AS (SELECT rec, s, e, spk, 0 AS side FROM seg UNION ALL SELECT rec, s, e, spk, 1 FROM hyp), u AS (SELECT rec, s, least(e, 43200.0::DOUBLE) AS e, spk, side FROM v WHERE s < 43200.0::DOUBLE)")},
 same AS (SELECT a.rec, a.s, count(DISTINCT a.spk) AS ok FROM inside a JOIN inside b ON a.rec = b.rec AND a.s = b.s AND a.side = 0 AND b.side = 1 AND a.spk = b.spk GROUP BY 1, 2), z AS (SELECT rec, e - s AS d, r, h, coalesce(ok, 0) AS ok FROM cells LEFT JOIN same USING (rec, s)) {DER}""",
-    "q64_stitched": f"WITH {SEG}, d AS (SELECT * FROM seg UNION ALL SELECT * FROM seg WHERE floor(s / 25.0::DOUBLE) > 0 AND s - floor(s / 25.0::DOUBLE) * 25.0::DOUBLE < 5.0::DOUBLE), t AS (SELECT *, CASE WHEN spk = lag(spk) OVER (PARTITION BY rec ORDER BY s, ord) THEN 0 ELSE 1 END AS turn FROM d), u AS (SELECT *, sum(turn) OVER (PARTITION BY rec ORDER BY s, ord ROWS UNBOUNDED PRECEDING) AS run FROM t), {islands('m', 'u', 'rec, run, spk', '0.1')} SELECT rec, spk, round(s, 6) AS s, round(e, 6) AS e, n FROM m",
+    "q64_stitched": f"WITH {SEG}, d AS (SELECT *, 1 AS dup FROM seg UNION ALL SELECT rec, ord, s, e - 0.001::DOUBLE, spk, 0 FROM seg WHERE floor(s / 25.0::DOUBLE) > 0 AND s - floor(s / 25.0::DOUBLE) * 25.0::DOUBLE < 5.0::DOUBLE), t AS (SELECT *, CASE WHEN spk = lag(spk) OVER (PARTITION BY rec ORDER BY s, ord, dup) THEN 0 ELSE 1 END AS turn FROM d), u AS (SELECT *, sum(turn) OVER (PARTITION BY rec ORDER BY s, ord, dup ROWS UNBOUNDED PRECEDING) AS run FROM t), {islands('m', 'u', 'rec, run, spk', '0.1')} SELECT rec, spk, round(s, 6) AS s, round(e, 6) AS e, n FROM m",
     "q65_numbered_frames": f"WITH {SCORES} SELECT rec, ix - 1 AS ix, round(a, 6) AS score FROM f",
     "q67_noise": "SELECT vec_id, (CASE WHEN label = 3 THEN (SELECT max(label) + 1 FROM embeddings WHERE label <> 3) ELSE label END)::BIGINT AS label FROM embeddings",
     "q68_verification": "SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.1 AS same FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",

@@ -153,3 +153,52 @@ def test_lookups_by_equal_keys(spark):
     people = spark.createDataFrame([(1, 0, "A"), (1, 1, "B"), (2, None, "C")], "region int, idx int, spk string")
     vectors = spark.createDataFrame([(1, 1, 7, 3), (2, None, 8, 4)], "region int, idx int, cluster int, place int")
     assert sorted((r["spk"], r["cluster"]) for r in intervals.with_embeddings(people, vectors).collect()) == [("A", None), ("B", 7), ("C", None)]
+
+
+def test_stages_by_name(spark):
+    from parley.plans import registry
+
+    rows = spark.createDataFrame([("r", 0, 0.0, 1.0, "A"), ("r", 1, 1.05, 2.0, "A"), ("r", 2, 2.0, 2.1, "B")], "rec string, ord long, s double, e double, spk string")
+    got = registry.run([("merge_same_speaker", {"gap": 0.1}), ("min_duration", {"least": 0.5})], rows).collect()
+    assert [(r["spk"], r["s"], r["e"]) for r in got] == [("A", 0.0, 2.0)]
+    with pytest.raises(ValueError):
+        registry.stage("merge")(lambda table: table)
+    shout = lambda frames: (pdf.assign(spk=pdf["spk"] + "!") for pdf in frames)
+    assert {r["spk"] for r in registry.model(rows.select("spk"), shout, "spk string").collect()} == {"A!", "B!"}
+
+
+def test_distances_and_small_functions(spark):
+    from parley.functions import text as T
+    from parley.functions import vectors
+
+    row = spark.range(1).select(T.rolling_prompt(T.F.lit("one two"), T.F.lit("three"), 9).alias("p")).first()
+    assert row["p"] == "two three"
+    made = spark.createDataFrame([("a b", "a c"), ("d", "d"), ("", "x")], "ref string, hyp string").withColumn("g", T.F.lit(1)).withColumn("n", T.F.monotonically_increasing_id())
+    whole = T.joined_texts(made, ["g"], ["n"], "ref", "hyp")
+    assert whole.select(T.word_errors("ref", "hyp")).first()[0] == pytest.approx(200 / 3)  # a b d against a c d x
+    assert annotations.split_plan(spark.createDataFrame([("r", 25.0), ("q", 0.0)], "rec string, duration double"), 10.0).orderBy("part").select("s", "e").collect() == [(0.0, 10.0), (10.0, 20.0), (20.0, 25.0)]
+    files = spark.createDataFrame([("d/combined_part001.wav",), ("d/001.flac",), ("d/002.txt",)], "path string")
+    got = {r["id"]: r["path"] for r in annotations.pair_by_stem(spark.createDataFrame([("001",), ("002",)], "id string"), files).collect()}
+    assert got == {"001": "d/001.flac", "002": None}
+    odd = [[1.0, -2.0, 2.0], [], None, [0.0, 0.0], [1.0, float("nan")], [None, 3.0]]
+    df = spark.createDataFrame([(i, v, [0.0, 2.0]) for i, v in enumerate(odd)], "i int, v array<double>, w array<double>")
+    rows = df.select(vectors.l1("v", "w").alias("l1"), vectors.euclid("v", "w").alias("l2"), vectors.sound("v").alias("sound")).collect()
+    assert (rows[0]["l1"], [r["sound"] for r in rows]) == (7.0, [True, False, False, False, False, True])
+    pair = spark.createDataFrame([([1.0, 2.0], [4.0, 6.0])], "v array<double>, w array<double>").select(vectors.euclid("v", "w")).first()[0]
+    assert pair == 5.0
+    energies = spark.createDataFrame([([2.0, 8.0],), ([3.0],), ([0.0, 0.0],)], "e array<double>").select(vectors.energy_ratio("e")).collect()
+    assert [r[0] for r in energies] == [0.25, None, 0.0]
+
+
+def test_similarity_without_pairs(spark):
+    rng = np.random.default_rng(8)
+    x, label = rng.normal(size=(40, 4)), np.arange(40) % 6
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(40), "label": label, "v": [r.tolist() for r in x]}))
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centres = np.stack([x[label == k].mean(axis=0) for k in range(6)])
+    row = speakers.similarity(df).first()
+    assert row["intra"] == pytest.approx((unit(x) * unit(centres)[label]).sum(axis=1).mean())
+    between = unit(centres) @ unit(centres).T
+    assert row["inter"] == pytest.approx(between[np.triu_indices(6, 1)].mean())
+    for few in (df.where("label = 2"), df.where("vec_id < 3"), df.limit(0)):
+        assert tuple(speakers.similarity(few).first()) == (1.0, 0.0)

@@ -141,6 +141,16 @@ def release() -> None:
         pass
 
 
+def tidy(run: Callable) -> Callable:
+    """``run``, a function of the batches of a task, and after it ``release``: what it held is free by then, and the worker may wait for long beside a shuffle."""
+
+    def whole(frames: Iterator) -> Iterator:
+        yield from run(frames)
+        release()
+
+    return whole
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Hand texts to Python in batches of ``rows`` at most, and 4 MB where Spark can count bytes, unless the session has smaller ones: both sides hold a whole batch."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):

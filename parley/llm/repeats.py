@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bucket_bits, discard, mix64, small_batches, stage, unpack
+from .common import batches, bucket_bits, discard, mix64, small_batches, stage, tidy, unpack
 
 LENGTH, GRAM = 50, 19
 WINDOW = LENGTH - GRAM + 1  # 32 grams
@@ -113,7 +113,7 @@ def shared_grams(docs: DataFrame, bits: int) -> DataFrame:
         some, times = np.unique(np.concatenate([once, more, more]), return_counts=True)
         return pa.table([pa.array([bucket], pa.int32()), pa.array([some[times > 1].tobytes()], pa.binary())], names=["bucket", "grams"])
 
-    packed = docs.mapInArrow(run, "bucket int, once binary, more binary")
+    packed = docs.mapInArrow(tidy(run), "bucket int, once binary, more binary")
     return stage(packed.groupBy("bucket").applyInArrow(meet, "bucket int, grams binary"), "grams")
 
 
@@ -213,7 +213,7 @@ def occurrences(docs: DataFrame, filtered: tuple[int, np.ndarray], bits: int) ->
         if held:
             yield from send(*(np.concatenate(c) for c in zip(*held)))
 
-    return stage(docs.mapInArrow(run, SPANS), "occurrences")
+    return stage(docs.mapInArrow(tidy(run), SPANS), "occurrences")
 
 
 def _row_hash(context: np.ndarray, *more: np.ndarray) -> np.ndarray:
@@ -361,7 +361,7 @@ def _cut(docs: DataFrame, kept: list, as_text: bool) -> DataFrame:
 
     joined = docs.select(*dict.fromkeys([*names, "doc_id", "text"])).join(removals(docs), "doc_id", "left")
     schema = f"{_schema(kept)}, {'' if as_text else 'body binary, '}{REMOVALS}"
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -177,6 +177,28 @@ SELECT label, count(*) AS n, round(avg(CASE WHEN n = 1 OR b IS NULL THEN 0.0::DO
 b AS (SELECT *, min(CASE WHEN NOT speech THEN s END) OVER (PARTITION BY session, run) AS began FROM r) SELECT session, ord, CASE WHEN speech THEN spk WHEN s - began < 3600 THEN held END AS shown FROM b""",
     "q15b_flagged_runs": f"WITH {SEG}, x AS (SELECT *, ord % 3 = 0 AS loud FROM seg), t AS (SELECT *, CASE WHEN spk = lag(spk) OVER (PARTITION BY rec ORDER BY s, ord) AND loud = lag(loud) OVER (PARTITION BY rec ORDER BY s, ord) THEN 0 ELSE 1 END AS turn FROM x), r AS (SELECT *, sum(turn) OVER (PARTITION BY rec ORDER BY s, ord ROWS UNBOUNDED PRECEDING) AS run FROM t), g AS (SELECT rec, run, spk, loud, min(s) AS s, count(*) AS n, avg(e - s) AS mean FROM r GROUP BY 1, 2, 3, 4) SELECT rec, spk, loud, round(s, 6) AS s, round(coalesce(lead(s) OVER (PARTITION BY rec ORDER BY run), 129600.0::DOUBLE), 6) AS e, n, round(mean, 6) AS mean FROM g",
     "q33b_best_or_unknown": f"WITH {CENTRES} SELECT vec_id, CASE WHEN score >= 0.2 THEN best::VARCHAR ELSE 'unknown' END AS speaker, score >= 0.2 AND coalesce(second >= 0.2 AND second >= score * 0.8, false) AS is_overlap FROM matches",
+    "q70_accumulation": f"""WITH RECURSIVE {CHUNKS}, n AS (SELECT *, e - s AS d, row_number() OVER (PARTITION BY session ORDER BY s, ord) AS k FROM c),
+f AS (SELECT session, ord, k, CASE WHEN d > 300.0::DOUBLE THEN 200.0::DOUBLE ELSE d END AS held FROM n WHERE k = 1
+  UNION ALL SELECT n.session, n.ord, n.k, CASE WHEN f.held + n.d > 300.0::DOUBLE THEN 200.0::DOUBLE ELSE f.held + n.d END FROM f JOIN n ON n.session = f.session AND n.k = f.k + 1)
+SELECT session, ord, round(held, 6) AS held, held >= 100.0::DOUBLE AS ready FROM f""",
+    "q71_buffer": f"""WITH RECURSIVE {CHUNKS}, n AS (SELECT *, e - s AS d, row_number() OVER (PARTITION BY session ORDER BY s, ord) AS k FROM c),
+f AS (SELECT DISTINCT session, NULL::BIGINT AS ord, 0::BIGINT AS k, 0.0::DOUBLE AS t0, 0.0::DOUBLE AS length, 0.0::DOUBLE AS cur, '-infinity'::DOUBLE AS last, false AS due FROM c
+  UNION ALL SELECT session, ord, k, t0, length, CASE WHEN due THEN length ELSE cur END, CASE WHEN due THEN s ELSE last END, due FROM (
+    SELECT session, ord, k, s, last, t0 + over AS t0, length - over AS length, greatest(0.0::DOUBLE, cur - over) AS cur, length - over - greatest(0.0::DOUBLE, cur - over) >= 10.0::DOUBLE AND s - last >= 600.0::DOUBLE AS due FROM (
+      SELECT n.session, n.ord, n.k, n.s, f.last, f.t0, f.cur, f.length + n.d AS length, greatest(0.0::DOUBLE, f.length + n.d - 120.0::DOUBLE) AS over FROM f JOIN n ON n.session = f.session AND n.k = f.k + 1)))
+SELECT session, ord, round(t0, 6) AS t0, round(length, 6) AS length, due FROM f WHERE k > 0""",
+    "q77_microbatch": f"""WITH RECURSIVE {CHUNKS}, n AS (SELECT *, e - s AS d, row_number() OVER (PARTITION BY session ORDER BY s, ord) AS k FROM c),
+f AS (SELECT DISTINCT session, NULL::BIGINT AS ord, 0::BIGINT AS k, 0.0::DOUBLE AS begins, 0.0::DOUBLE AS length, 0.0::DOUBLE AS last, false AS due, 0.0::DOUBLE AS b, 0.0::DOUBLE AS l FROM c
+  UNION ALL SELECT session, ord, k, CASE WHEN due THEN b + greatest(0.0::DOUBLE, l - 60.0::DOUBLE) ELSE b END, CASE WHEN due THEN least(l, 60.0::DOUBLE) ELSE l END, CASE WHEN due THEN s ELSE last END, due, b, l FROM (
+    SELECT *, l >= 0.6::DOUBLE AND s - last >= 1800.0::DOUBLE AS due FROM (
+      SELECT n.session, n.ord, n.k, n.s, f.last, f.begins + greatest(0.0::DOUBLE, f.length + n.d - 300.0::DOUBLE) AS b, least(f.length + n.d, 300.0::DOUBLE) AS l FROM f JOIN n ON n.session = f.session AND n.k = f.k + 1)))
+SELECT session, ord, round(b, 6) AS begins, round(l, 6) AS length, due FROM f WHERE k > 0""",
+    "q82_turn_truth": f"""WITH RECURSIVE {SEG}, n AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY s, ord) AS k FROM seg WHERE NOT (e - s < 20.0::DOUBLE)),
+f AS (SELECT rec, k, spk, e AS until, NULL::DOUBLE AS ts FROM n WHERE k = 1
+  UNION ALL SELECT rec, k, CASE WHEN takes OR same THEN spk ELSE held END, CASE WHEN same THEN greatest(until, e) WHEN takes THEN e ELSE until END, CASE WHEN takes THEN s END FROM (
+    SELECT n.rec, n.k, n.spk, n.s, n.e, f.spk AS held, f.until, n.spk = f.spk AS same, n.spk <> f.spk AND (n.s >= f.until - 30.0::DOUBLE OR n.e > f.until) AS takes FROM f JOIN n ON n.rec = f.rec AND n.k = f.k + 1))
+SELECT rec, round(ts, 6) AS ts FROM f WHERE ts IS NOT NULL""",
+    "q43b_separated_bubbles": f"WITH t AS (SELECT conv_id, turn, role, turn % 5 = 4 AS separated, {TOKENS} AS w FROM conversations), x AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AND separated = lag(separated) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS fresh FROM t), r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM x), u AS (SELECT conv_id, run, role, separated, turn, unnest(w) AS word, unnest(range(len(w))) AS pos FROM r), b AS (SELECT *, ((row_number() OVER (PARTITION BY conv_id, run ORDER BY turn, pos) - 1) // 18)::BIGINT AS bubble FROM u) SELECT conv_id, run, role, separated, bubble, count(*) AS n, string_agg(word, ' ' ORDER BY turn, pos) AS text FROM b GROUP BY 1, 2, 3, 4, 5",
     "q88_report": "SELECT l_returnflag || l_linestatus AS model, count(*) AS files, round(avg(l_extendedprice), 4) AS price_mean, round(stddev_pop(l_discount), 4) AS discount_std FROM lineitem GROUP BY 1",
     "q81_stream_rates": f"WITH {RATES} SELECT file, responses, total_words, {', '.join(f'round({c}, 6) AS {c}' for c in RATE_NAMES)} FROM rates",
     "q81b_stream_summary": f"WITH {RATES} SELECT count(*) AS n, {', '.join(f'round(avg({c}), 6) AS avg_{c}' for c in RATE_NAMES)} FROM rates",

@@ -65,6 +65,14 @@ rates AS (SELECT file, responses, len(w)::BIGINT AS total_words, has_speech_rate
   dots::DOUBLE / greatest(n_raw, 1) AS ellipsis_token_rate, short::DOUBLE / greatest(snippets, 1) AS short_snippet_rate FROM f)"""
 RATE_NAMES = ("has_speech_rate", "adj_dup_rate", "trigram_repeat_rate", "ellipsis_token_rate", "short_snippet_rate")
 
+def lloyd_sql(k: int, passes: int) -> str:
+    """Clusters after ``passes`` rounds from the first ``k`` vectors."""
+    near = lambda n: f"a{n} AS (SELECT vec_id, v, cl FROM (SELECT u.vec_id, u.v, c.cl, row_number() OVER (PARTITION BY u.vec_id ORDER BY round(list_distance(u.v, c.v) ** 2, 12), c.cl) AS i FROM u CROSS JOIN c{n} c) WHERE i = 1)"
+    mean = lambda n: f"m{n} AS (SELECT cl, list(x ORDER BY pos) AS v FROM (SELECT cl, pos, avg(x) AS x FROM (SELECT cl, unnest(v) AS x, unnest(range(len(v))) AS pos FROM a{n}) GROUP BY cl, pos) GROUP BY cl), c{n + 1} AS (SELECT c.cl, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN m{n} m USING (cl))"
+    steps = [x for n in range(passes) for x in (near(n), mean(n))]
+    return f"WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cl, v FROM u WHERE vec_id < {k}), {', '.join([*steps, near(passes)])} SELECT vec_id, cl::INTEGER AS cluster FROM a{passes}"
+
+
 SQL = {
     "q01_overlap_regions": f"WITH {SEG}, {PAIRS}, {REGIONS} SELECT rec, count(*) AS n_regions, round(sum(e - s), 6) AS seconds FROM regions GROUP BY 1",
     "q02_mask_intersection": f"WITH {SEG}, {HYP}, {islands('m', 'hyp')} SELECT seg.rec, ord, round(greatest(seg.s, m.s), 6) AS s, round(least(seg.e, m.e), 6) AS e, round(least(seg.e, m.e) - greatest(seg.s, m.s), 6) AS dur FROM seg JOIN m ON seg.rec = m.rec AND seg.s < m.e AND m.s < seg.e",
@@ -199,6 +207,12 @@ f AS (SELECT rec, k, spk, e AS until, NULL::DOUBLE AS ts FROM n WHERE k = 1
     SELECT n.rec, n.k, n.spk, n.s, n.e, f.spk AS held, f.until, n.spk = f.spk AS same, n.spk <> f.spk AND (n.s >= f.until - 30.0::DOUBLE OR n.e > f.until) AS takes FROM f JOIN n ON n.rec = f.rec AND n.k = f.k + 1))
 SELECT rec, round(ts, 6) AS ts FROM f WHERE ts IS NOT NULL""",
     "q43b_separated_bubbles": f"WITH t AS (SELECT conv_id, turn, role, turn % 5 = 4 AS separated, {TOKENS} AS w FROM conversations), x AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AND separated = lag(separated) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS fresh FROM t), r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM x), u AS (SELECT conv_id, run, role, separated, turn, unnest(w) AS word, unnest(range(len(w))) AS pos FROM r), b AS (SELECT *, ((row_number() OVER (PARTITION BY conv_id, run ORDER BY turn, pos) - 1) // 18)::BIGINT AS bubble FROM u) SELECT conv_id, run, role, separated, bubble, count(*) AS n, string_agg(word, ' ' ORDER BY turn, pos) AS text FROM b GROUP BY 1, 2, 3, 4, 5",
+    "q49_speaker_fold": f"""WITH RECURSIVE {CHUNKS}, n AS (SELECT c.*, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (value / 500.0::DOUBLE - 0.05::DOUBLE) / (0.35::DOUBLE - 0.05::DOUBLE))) AS confidence, row_number() OVER (PARTITION BY session ORDER BY s, ord) AS k FROM c JOIN events ON event_id = ord),
+f AS (SELECT session, ord, k, spk, confidence, s AS since FROM n WHERE k = 1
+  UNION ALL SELECT session, ord, k, CASE WHEN same OR due THEN spk ELSE held END, CASE WHEN same THEN 0.3::DOUBLE * confidence + 0.7::DOUBLE * old WHEN due THEN confidence ELSE old END, CASE WHEN same OR due THEN s ELSE since END FROM (
+    SELECT n.session, n.ord, n.k, n.spk, n.confidence, n.s, f.spk AS held, f.confidence AS old, f.since, n.spk = f.spk AS same, n.s - f.since >= 3600.0::DOUBLE AS due FROM f JOIN n ON n.session = f.session AND n.k = f.k + 1))
+SELECT session, ord, spk AS speaker, round(confidence, 6) AS confidence FROM f""",
+    "q37_lloyd": lloyd_sql(8, 3),
     "q88_report": "SELECT l_returnflag || l_linestatus AS model, count(*) AS files, round(avg(l_extendedprice), 4) AS price_mean, round(stddev_pop(l_discount), 4) AS discount_std FROM lineitem GROUP BY 1",
     "q81_stream_rates": f"WITH {RATES} SELECT file, responses, total_words, {', '.join(f'round({c}, 6) AS {c}' for c in RATE_NAMES)} FROM rates",
     "q81b_stream_summary": f"WITH {RATES} SELECT count(*) AS n, {', '.join(f'round(avg({c}), 6) AS avg_{c}' for c in RATE_NAMES)} FROM rates",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,10 @@ def relabel(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def pair_by_position(left: DataFrame, right: DataFrame, key: str, limit: int | None = None) -> DataFrame:
-    """The i-th of the left with the i-th of the right, in the order of ``key``; what has no partner is left out."""
+    """The i-th of the left with the i-th of the right, in the order of ``key``; what has no partner is left out, with a warning. For lists of files, which one task numbers."""
+    sizes = left.count(), right.count()
+    if sizes[0] != sizes[1]:
+        warnings.warn(f"{sizes[0]} on the left, {sizes[1]} on the right: those over are left out", stacklevel=2)
     rank = lambda df: df.select(F.col(key), F.row_number().over(Window.orderBy(key)).alias("place"))
     both = rank(left).join(rank(right).withColumnRenamed(key, f"{key}_other"), "place")
     return both.where(F.col("place") <= limit) if limit else both
@@ -96,6 +101,18 @@ def read_presets(spark: SparkSession, path: str) -> DataFrame:
 REPORT_KEYS = ("timestamp", "pipelines", "dataset", "system_info")
 
 
+def reload_presets(spark: SparkSession, path: str, held: DataFrame | None = None, modified: int = -1, force: bool = False) -> tuple[DataFrame | None, int]:
+    """(presets, time of their file): those ``held`` while the file is no newer than ``modified`` or isn't there, else read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return held, modified
+    now = files.getFileStatus(at).getModificationTime()
+    if held is not None and not force and now <= modified:
+        return held, modified
+    return read_presets(spark, path), now
+
+
 def comparison_report(results: DataFrame, kind: str, metrics: list[str], timestamp: str, system_info: dict[str, str] | None = None, dataset: dict[str, str] | None = None) -> DataFrame:
     """A document for each model of ``results`` (model, ...): comparison_type, timestamp, system_info, dataset and pipelines, a map of the model to its per_file_results and aggregated figures.
 

@@ -202,3 +202,25 @@ def test_similarity_without_pairs(spark):
     assert row["inter"] == pytest.approx(between[np.triu_indices(6, 1)].mean())
     for few in (df.where("label = 2"), df.where("vec_id < 3"), df.limit(0)):
         assert tuple(speakers.similarity(few).first()) == (1.0, 0.0)
+
+
+def test_presets_are_read_again_when_they_change(spark, tmp_path):
+    import os
+
+    file, path = tmp_path / "p.json", f"file://{tmp_path}/p.json"
+    assert annotations.reload_presets(spark, path) == (None, -1)
+    file.write_text('{"fast": {"interval": 1}}')
+    held, at = annotations.reload_presets(spark, path)
+    assert annotations.reload_presets(spark, path, held, at)[0] is held
+    assert annotations.reload_presets(spark, path, held, at, force=True)[0] is not held
+    file.write_text('{"slow": {"interval": 2}, "_x": {"y": 1}}')
+    os.utime(file, (at / 1000 + 5, at / 1000 + 5))
+    assert [r["preset"] for r in annotations.reload_presets(spark, path, held, at)[0].collect()] == ["slow"]
+
+
+def test_pairs_by_position_warn(spark):
+    a, b = (spark.createDataFrame([(x,) for x in names], "path string") for names in (["b", "a", "c"], ["y", "x"]))
+    with pytest.warns(UserWarning, match="3 on the left"):
+        pairs = annotations.pair_by_position(a, b, "path")
+    assert sorted((r["path"], r["path_other"]) for r in pairs.collect()) == [("a", "x"), ("b", "y")]
+    assert annotations.pair_by_position(a, a, "path", limit=2).count() == 2

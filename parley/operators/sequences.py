@@ -105,7 +105,7 @@ def peaks(frames: DataFrame, prominence: float, distance: int = 1) -> DataFrame:
 
 
 def backfill(rows: DataFrame) -> DataFrame:
-    """Null speakers take the next known one, or else the last known one."""
-    after = _order().rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    before = _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("spk", F.coalesce(F.first("spk", ignorenulls=True).over(after), F.last("spk", ignorenulls=True).over(before)))
+    """Null speakers take the next known one, or else the last known one. Both are running values, the next one in the opposite order: a frame that reaches forward is read again for each row."""
+    back = Window.partitionBy("rec").orderBy(F.col("s").desc(), F.col("ord").desc())
+    known = lambda order: F.last("spk", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("spk", F.coalesce(known(back), known(_order())))

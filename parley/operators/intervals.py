@@ -6,6 +6,9 @@ recordings are spread over tasks and no ``distinct`` is needed. Rows with null b
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +48,40 @@ def point_join(points: DataFrame, spans: DataFrame, before: float = 0.0, after:
     return points.join(r, on).drop("r___b", "r_rec")
 
 
-def speaker_at(points: DataFrame, spans: DataFrame, fallback: str = "unknown") -> DataFrame:
-    """Points with the speaker of the last span (by ord) that holds them, or the fallback. Points need a unique (rec, ord)."""
-    best = point_join(points, spans).groupBy("rec", "ord").agg(F.max_by("r_spk", "r_ord").alias("spk"))
-    return points.join(best, ["rec", "ord"], "left").withColumn("spk", F.coalesce("spk", F.lit(fallback)))
+def speaker_at(points: DataFrame, spans: DataFrame, fallback: str = "unknown", width: float | None = None) -> DataFrame:
+    """Points (rec, t, ...) with the speaker of the last span (by ord) that holds them, or the fallback; every point and column stays.
+
+    Points and spans meet in chunks of time, in which spans take points from the last one down and a point that is taken is passed over: no pairs are made, however many spans hold a point.
+    """
+    from .chunked import chunk_width
+
+    width = width or chunk_width(points.select("rec", "t").union(spans.select("rec", F.col("s").alias("t"))), "t")
+    held = spans.where("rec is not null and ord is not null and s <= e")
+    # names of its own, as both sides may come from one table
+    held = _spread(held, "s", "e", width).select(*[F.col(c).alias(f"__{c}") for c in ("rec", "ord", "s", "e", "spk")], F.col("__b").alias("__at"))
+    asked = points.drop("spk").withColumn("__chunk", _bucket("t", width))
+    out = points.drop("spk").withColumn("spk", F.lit(fallback))
+
+    def look(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        t = mine["t"].to_numpy(zero_copy_only=False).astype(float)
+        order = np.argsort(t)  # times that are missing are last, and in no span
+        ranked = theirs.take(pc.sort_indices(theirs, sort_keys=[("__ord", "descending")]))
+        low = np.searchsorted(t[order], ranked["__s"].to_numpy(), side="left").tolist()
+        high = np.searchsorted(t[order], ranked["__e"].to_numpy(), side="right").tolist()
+        taken, free, left = np.full(len(t), -1), list(range(len(t) + 1)), len(t)
+        for k, (i, end) in enumerate(zip(low, high)):
+            while i < end:
+                if free[i] != i:
+                    free[i] = i = free[free[i]]  # on to the next one that is free, and the way to it halved
+                    continue
+                taken[order[i]], free[i], left = k, i + 1, left - 1
+                i += 1
+            if not left:
+                break
+        spk = ranked["__spk"].combine_chunks().take(pa.array(taken, mask=taken < 0))
+        return mine.drop_columns("__chunk").append_column("spk", pc.fill_null(spk.cast(pa.string()), fallback))
+
+    return asked.groupBy("rec", "__chunk").cogroup(held.groupBy("__rec", "__at")).applyInArrow(look, out.schema)
 
 
 def overlapping_pairs(rows: DataFrame, least: float = 0.5) -> DataFrame:
@@ -57,18 +90,102 @@ def overlapping_pairs(rows: DataFrame, least: float = 0.5) -> DataFrame:
     return both.select("rec", F.col("ord").alias("a"), F.col("r_ord").alias("b"), F.greatest("s", "r_s").alias("s"), F.least("e", "r_e").alias("e"), F.col("spk").alias("spk_a"), F.col("r_spk").alias("spk_b"))
 
 
-def merge(rows: DataFrame, by: tuple = ("rec",), gap: float = 0.0) -> DataFrame:
-    """Unions of intervals that overlap, touch or lie within ``gap``: (*by, s, e, n)."""
+def merge(rows: DataFrame, by: tuple = ("rec",), gap: float = 0.0, n: Column | None = None) -> DataFrame:
+    """Unions of intervals that overlap, touch or lie within ``gap``: (*by, s, e, n), n being the number of rows or the given aggregate."""
     order = Window.partitionBy(*by).orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("__new", F.coalesce((F.col("s") > reach + F.lit(gap)).cast("int"), F.lit(1)))
     grouped = marked.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(*by, "__island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n")).drop("__island")
+    return grouped.groupBy(*by, "__island").agg(F.min("s").alias("s"), F.max("e").alias("e"), (F.count("*") if n is None else n).alias("n")).drop("__island")
+
+
+def speaker_islands(rows: DataFrame) -> DataFrame:
+    """(rec, s, e, spk): each speaker's segments merged, which overlap the same intervals as the segments do, however many of one speaker there are. Rows that end before they begin stay as they are."""
+    whole = merge(rows.where("s <= e"), ("rec", "spk")).select("rec", "s", "e", "spk")
+    return whole.union(rows.where("e < s").select("rec", "s", "e", "spk"))
+
+
+def _pairable(rows: DataFrame, least: float) -> DataFrame:
+    """Rows that can overlap another by ``least``."""
+    if least <= 0:
+        raise ValueError("least is not over 0")
+    return rows.where(F.col("rec").isNotNull() & F.col("ord").isNotNull() & F.col("spk").isNotNull() & (F.col("e") - F.col("s") >= least))
+
+
+def _best_of_others(rows: DataFrame, value: Column, order, name: str) -> DataFrame:
+    """``rows`` with the largest ``value`` among the rows before it, in ``order``, of other speakers than its own (null where there are none).
+
+    The largest of all and its speaker are a running maximum. While one speaker leads, the best of the others is the largest value of theirs since then, or what led before: so it is a running
+    maximum too, of values that are put under the number of the lead.
+    """
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    led = rows.withColumn("__x", value).withColumn("__lead", F.max(F.struct("__x", "spk")).over(upto))
+    led = led.withColumn("__was", F.lag("__lead").over(order))
+    fresh = F.coalesce((F.col("__lead.spk") != F.col("__was.spk")).cast("int"), F.lit(1))
+    led = led.withColumn("__turn", F.sum(fresh).over(upto))
+    other = F.when(fresh == 1, F.col("__was.__x")).when(F.col("spk") != F.col("__lead.spk"), F.col("__x"))
+    led = led.withColumn("__next", F.max(F.struct("__turn", F.coalesce(other, F.lit(float("-inf"))).alias("x"))).over(upto))
+    second = F.lag("__next").over(order)["x"]
+    best = F.when(F.col("__was.spk") != F.col("spk"), F.col("__was.__x")).when(second > float("-inf"), second)
+    return led.withColumn(name, best).drop("__x", "__lead", "__was", "__turn", "__next")
+
+
+def shared_spans(rows: DataFrame, least: float = 0.5) -> DataFrame:
+    """(rec, ord, spk, s, e, n): for each segment the union of what it shares, by at least ``least``, with the ``n`` segments of other speakers that start before it (of equal starts, those of smaller ord).
+
+    All of these parts begin where the segment does, so the longest is their union: no pairs are made. ord is unique in a recording.
+    """
+    able = _pairable(rows, least).select("rec", "ord", "spk", "s", "e")
+    gone = able.select("rec", "ord", "spk", (F.col("e") - F.lit(least)).alias("s"), "e", F.lit(1).alias("__k"))  # from then on it shares too little with what starts
+    step = F.when(F.col("__k") == 0, 1).otherwise(-1)
+    running = lambda *by: F.sum(step).over(Window.partitionBy(*by).orderBy("s", "__k", "ord").rowsBetween(Window.unboundedPreceding, 0))
+    counted = able.withColumn("__k", F.lit(0)).union(gone).withColumn("n", running("rec") - running("rec", "spk")).where("__k = 0").drop("__k")
+    found = _best_of_others(counted, F.col("e"), Window.partitionBy("rec").orderBy("s", "ord"), "__reach")
+    return found.withColumn("e", F.least("e", "__reach")).where(F.col("__reach").isNotNull() & (F.col("e") - F.col("s") >= least)).drop("__reach")
 
 
 def overlap_regions(rows: DataFrame, least: float = 0.5) -> DataFrame:
-    """Merged regions, of at least ``least``, where two speakers are active: (rec, s, e, n)."""
-    return merge(overlapping_pairs(rows, least)).where(F.col("e") - F.col("s") >= least)
+    """Merged regions, of at least ``least``, where two speakers are active: (rec, s, e, n), n being the number of pairs of segments."""
+    found = merge(shared_spans(rows, least), n=F.sum("n")) if least > 0 else merge(overlapping_pairs(rows, least))
+    return found.where(F.col("e") - F.col("s") >= least)
+
+
+def first_pair_at(points: DataFrame, rows: DataFrame, least: float = 0.5, before: float = 0.0, after: float = 0.0) -> DataFrame:
+    """(rec, ord, t, a, b): for each point (rec, ord, t) the first, by start and then by ord, of the overlapping pairs whose common part, from ``before`` sooner to ``after`` later, holds it; points without one have no row.
+
+    The start is that of the first shared span that reaches the point, and only spans that reach further than all before them can be that. At such a start, of each speaker only segments that
+    last longer than those of smaller ord can be in the pair. So pairs are made of few rows for a start, and none for a point.
+    """
+    able = _pairable(rows, least).select("rec", "ord", "spk", "s", "e")
+    starts = shared_spans(rows, least).groupBy("rec", "s").agg((F.max("e") + F.lit(after)).alias("top"))
+    sooner = lambda c, by, *order: F.max(c).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    longer = lambda df, c, by, *order: df.withColumn("__m", sooner(c, by, *order)).where(F.col("__m").isNull() | (F.col(c) > F.col("__m"))).drop("__m")
+    starts = longer(starts, "top", ["rec"], "s")
+    both = points.where("t is not null").select("rec", "ord", "t", F.col("t").alias("__x"), F.lit(1).alias("__k"), F.lit(None).cast("double").alias("at"))
+    both = both.union(starts.select("rec", F.lit(None).cast(points.schema["ord"].dataType).alias("ord"), F.lit(None).cast("double").alias("t"), F.col("top").alias("__x"), F.lit(0).alias("__k"), F.col("s").alias("at")))
+    down = Window.partitionBy("rec").orderBy(F.col("__x").desc(), "__k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("at", F.last("at", ignorenulls=True).over(down)).where((F.col("__k") == 1) & (F.col("at") - F.lit(before) <= F.col("t"))).select("rec", "ord", "t", "at")
+    active = point_join(starts.select("rec", F.col("s").alias("t")), able).where(F.col("r_e") - F.col("t") >= least)
+    each = ["rec", "t", "r_spk"]
+    mine = longer(active.where("r_s = t"), "r_e", each, "r_ord").select("rec", "t", *[F.col(f"r_{c}").alias(f"m_{c}") for c in ("spk", "ord", "e")])
+    pairs = longer(active, "r_e", each, "r_ord").join(mine, ["rec", "t"]).where("r_spk <> m_spk")
+    pairs = pairs.select("rec", F.col("t").alias("at"), F.least("r_ord", "m_ord").alias("a"), F.greatest("r_ord", "m_ord").alias("b"), (F.least("r_e", "m_e") + F.lit(after)).alias("top"))
+    listed = longer(pairs, "top", ["rec", "at"], "a", "b").groupBy("rec", "at").agg(F.array_sort(F.collect_list(F.struct("a", "b", "top"))).alias("__p"))
+    found = placed.join(listed, ["rec", "at"]).withColumn("__p", F.get(F.filter("__p", lambda p: p["top"] >= F.col("t")), F.lit(0)))
+    return found.select("rec", "ord", "t", "__p.a", "__p.b")
+
+
+def in_overlap(rows: DataFrame, least: float = 0.5) -> DataFrame:
+    """``rows`` with ``overlapped``: whether a segment of another speaker overlaps it by at least ``least``, found from the furthest end of those before it and the nearest start of those after it."""
+    able = F.col("rec").isNotNull() & F.col("ord").isNotNull() & F.col("spk").isNotNull() & (F.col("e") - F.col("s") >= least)
+    able = F.coalesce(able, F.lit(False))
+    order = Window.partitionBy("rec", "__able").orderBy("s", "ord")
+    back = Window.partitionBy("rec", "__able").orderBy(F.col("s").desc(), F.col("ord").desc())
+    both = _best_of_others(rows.withColumn("__able", able), F.col("e"), order, "__reach")
+    both = _best_of_others(both, -F.col("s"), back, "__start")
+    hit = (F.least("e", "__reach") - F.col("s") >= least) & F.col("__reach").isNotNull()
+    hit = F.coalesce(hit, F.lit(False)) | F.coalesce(F.col("e") + F.col("__start") >= least, F.lit(False))
+    return both.withColumn("overlapped", F.col("__able") & hit).drop("__able", "__reach", "__start")
 
 
 def merge_same_speaker(rows: DataFrame, gap: float = 0.1) -> DataFrame:

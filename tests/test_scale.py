@@ -2,7 +2,7 @@
 
 import random
 
-from parley.operators import sequences
+from parley.operators import intervals, scoring, sequences
 
 SEG = "rec string, ord long, s double, e double, spk string"
 
@@ -28,3 +28,75 @@ def test_backfill_reads_no_frame_twice(spark):
         for i, r in enumerate(mine):
             want[r[1]] = next((x[4] for x in mine[i:] if x[4]), None) or next((x[4] for x in mine[i::-1] if x[4]), None)
         assert {r["ord"]: r["spk"] for r in out.where(f"rec = '{rec}'").collect()} == want
+
+
+def pairs_of(rows, least=0.5):
+    """(rec, s, e, a, b) of all pairs of segments of different speakers."""
+    for i in rows:
+        for j in rows:
+            if i[0] == j[0] and i[1] < j[1] and i[4] and j[4] and i[4] != j[4] and min(i[3], j[3]) - max(i[2], j[2]) >= least:
+                yield i[0], max(i[2], j[2]), min(i[3], j[3]), i[1], j[1]
+
+
+def test_regions_without_pairs(spark):
+    for seed, speakers in ((2, "abc"), (3, "ab"), (4, "abcdef")):
+        rows = dense(seed, speakers=speakers)
+        df = spark.createDataFrame(rows, SEG)
+        want = sorted(map(tuple, intervals.merge(intervals.overlapping_pairs(df)).collect()))
+        out = intervals.overlap_regions(df)
+        assert sorted(map(tuple, out.collect())) == want
+        assert "Join" not in plan(out)
+        met = {(p[0], k) for p in pairs_of(rows) for k in p[3:]}
+        marked = intervals.in_overlap(df)
+        assert {(r["rec"], r["ord"]) for r in marked.where("overlapped").collect()} == met and marked.count() == len(rows)
+        assert "Join" not in plan(marked)
+
+
+def test_first_pair_at_a_point(spark):
+    for seed, speakers in ((5, "abc"), (6, "ab"), (7, "abcdef")):
+        rows = dense(seed, 80, speakers)
+        pairs = list(pairs_of(rows))
+        points = [(rec, k, k / 10) for k in range(-5, 640, 3) for rec in "xy"] + [("x", 9999, None), ("z", 1, 1.0)]
+        out = intervals.first_pair_at(spark.createDataFrame(points, "rec string, ord long, t double"), spark.createDataFrame(rows, SEG), 0.5, 0.25, 0.1).collect()
+        got = {(r["rec"], r["ord"]): (r["a"], r["b"]) for r in out}
+        want = {}
+        for rec, k, t in points:
+            held = [(p[1], p[3], p[4]) for p in pairs if p[0] == rec and t is not None and p[1] - 0.25 <= t <= p[2] + 0.1]
+            if held:
+                want[rec, k] = min(held)[1:]
+        assert got == want and len(out) == len(want)
+
+
+def test_speaker_at_makes_no_pairs(spark):
+    rows = dense(8)
+    points = [(rec, k, k / 10, rec * 2) for k in range(-5, 700, 3) for rec in "xy"] + [("x", 9999, None, None), ("z", 1, 1.0, "q")]
+    for width in (None, 7.0):
+        out = intervals.speaker_at(spark.createDataFrame(points, "rec string, ord long, t double, more string"), spark.createDataFrame(rows, SEG), width=width)
+        assert "Join" not in plan(out) and len(out.columns) == 5
+        got = {(r["rec"], r["ord"]): (r["more"], r["spk"]) for r in out.collect()}
+        for rec, k, t, more in points:
+            held = [(r[1], r[4]) for r in rows if t is not None and r[0] == rec and r[2] <= t <= r[3]]
+            assert got[rec, k] == (more, (max(held)[1] if held else None) or "unknown")
+
+
+def test_error_has_a_row_for_a_speaker_not_a_segment(spark, monkeypatch):
+    rows = dense(9, 120, "ab")
+    ref, hyp = spark.createDataFrame(rows, SEG), spark.createDataFrame([(r[0], r[1], r[2] + 0.3, r[3] + 0.3, r[4]) for r in rows], SEG)
+    made, real = [], scoring.elementary
+    monkeypatch.setattr(scoring, "elementary", lambda a, b: made.append((a.count(), b.count())) or real(a, b))
+    got = {r["rec"]: r for r in scoring.diarization_error(ref, hyp, optimal=False).collect()}
+    assert max(made[0]) < len(rows)
+    for rec in "xy":
+        total = miss = 0
+        for k in range(820):  # tenths
+            at = lambda d: {r[4] for r in rows if r[0] == rec and r[4] and r[2] + d < (k + 0.5) / 10 < r[3] + d}
+            a, b = at(0), at(0.3)
+            total, miss = total + len(a) / 10, miss + max(len(a) - len(b), 0) / 10
+        assert abs(got[rec]["total"] - total) < 1e-6 and abs(got[rec]["miss"] - miss) < 1e-6
+
+
+def test_islands_overlap_what_segments_do(spark):
+    rows = [r for r in dense(10) if r[4]] + [("x", 5000, 20.0, 18.5, "b")]
+    df = spark.createDataFrame(rows, SEG)
+    met = lambda spans: {(r["rec"], r["ord"], r["r_spk"]) for r in intervals.overlap_join(df, spans).select("rec", "ord", "r_spk").collect()}
+    assert met(intervals.speaker_islands(df)) == met(df.select("rec", "s", "e", "spk")) and intervals.speaker_islands(df).count() < len(rows)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunked import greedy_pairs, matched
-from .intervals import dilate, intersect, merge, overlap_join, sweep, to_frames
+from .intervals import dilate, intersect, merge, overlap_join, speaker_islands, sweep, to_frames
 
 
 def prf(rows: DataFrame, tp: str = "tp", fp: str = "fp", fn: str = "fn") -> DataFrame:
@@ -194,14 +194,15 @@ def diarization_error(ref: DataFrame, hyp: DataFrame, optimal: bool = True, coll
     """(rec, total, miss, false_alarm, confusion, der_pct). Overlapped speech counts; without ``optimal``, speakers are taken by name.
 
     ``collar`` is the whole width left out around each reference boundary. ``uem`` limits what is scored: intervals (rec, s, e), such as 0 to the duration, or "reference" for the
-    union of the reference's regions.
+    union of the reference's regions. A speaker's segments are merged first, so an instant has a row for each speaker that is active and not for each segment.
     """
     if uem is not None:
         parts = merge(ref if isinstance(uem, str) else uem).select("rec", "s", "e")
         ref, hyp = (intersect(x.select("rec", "s", "e", "spk"), parts).drop("dur") for x in (ref, hyp))
-    cells = elementary(ref, hyp)
+    cells = elementary(*(speaker_islands(x.where("s < e")) for x in (ref, hyp)))
     if collar:
         bounds = ref.select("rec", F.explode(F.array("s", "e")).alias("t")).distinct().select("rec", (F.col("t") - collar / 2).alias("s"), (F.col("t") + collar / 2).alias("e"))
+        bounds = merge(bounds).select("rec", "s", "e")
         out = sweep(cells.select("rec", "s", "e").union(bounds))
         scored = overlap_join(out.select("rec", "s", "e"), cells).select("rec", "s", "e", F.col("r_refs").alias("refs"), F.col("r_hyps").alias("hyps"))
         hidden = overlap_join(scored, bounds).select("rec", "s", "e").distinct()

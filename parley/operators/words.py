@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .intervals import point_join
+from .intervals import speaker_at
 
 BLANK = "[BLANK_AUDIO]"
 
@@ -25,7 +25,7 @@ def timed_words(rows: DataFrame, text: str = "text") -> DataFrame:
 
 def attributed(words: DataFrame, segments: DataFrame, keys: list[str], missing: str = "unknown") -> DataFrame:
     """Words (rec, *keys, t) with ``spk``: the speaker of the last segment (rec, ord, s, e, spk) that holds t, or ``missing``."""
-    hit = point_join(words.select("rec", *keys, "t"), segments).groupBy(*keys).agg(F.max_by("r_spk", "r_ord").alias("spk"))
+    hit = speaker_at(words.select("rec", *keys, "t"), segments, missing).select(*keys, "spk")
     return words.join(hit, keys, "left").withColumn("spk", F.coalesce("spk", F.lit(missing)))
 
 

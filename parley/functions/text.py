@@ -17,12 +17,16 @@ def plain(token):
 
 
 def char_errors(reference, hypothesis):
-    """100 * edit distance / length of the reference, on trimmed text; 0 for an empty reference."""
+    """100 * edit distance / length of the reference, on trimmed text; 0 for an empty reference. Characters are code points; long texts take a few operations for each character of the hypothesis."""
+
+    def distance(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+        return pd.Series([edit_distance(r, h) if isinstance(r, str) and isinstance(h, str) else None for r, h in zip(reference, hypothesis)], dtype="Int64")
+
     n = F.char_length(F.trim(reference))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.lit(100.0) * F.levenshtein(F.trim(reference), F.trim(hypothesis)) / F.greatest(n, F.lit(1)))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.lit(100.0) * F.pandas_udf(distance, "long")(F.trim(reference), F.trim(hypothesis)) / F.greatest(n, F.lit(1)))
 
 
-def edit_distance(a: list, b: list) -> int:
+def edit_distance(a: list | str, b: list | str) -> int:
     """Columns of the usual table as whole numbers of one bit a row, where the value goes up or down by one (Myers, Hyyro): a few operations on numbers for each word of ``b``, however long ``a`` is."""
     if not a:
         return len(b)

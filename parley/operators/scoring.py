@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,11 +103,76 @@ def iou_scores(predicted: DataFrame, truth: DataFrame, least: float = 0.5) -> Da
     return rows.select("rec", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
 
 
-def overlap_labels(predicted: DataFrame, truth: DataFrame, missing: str = "none") -> DataFrame:
-    """Predictions (rec, ord, spk) with true_spk: the speaker of the one reference segment that overlaps most, the first of those that tie."""
-    both = overlap_join(predicted, truth).withColumn("o", F.least("e", "r_e") - F.greatest("s", "r_s"))
-    best = both.groupBy("rec", "ord").agg(F.max_by("r_spk", F.struct("o", -F.col("r_ord"))).alias("true_spk"))
-    return predicted.join(best, ["rec", "ord"], "left").select("rec", "ord", "spk", F.coalesce("true_spk", F.lit(missing)).alias("true_spk"))
+def overlap_labels(predicted: DataFrame, truth: DataFrame, missing: str = "none", width: float | None = None) -> DataFrame:
+    """Predictions (rec, ord, spk) with true_spk: the speaker of the one reference segment that overlaps most, the first of those that tie. ord is unique in a recording.
+
+    Rows meet in chunks of time. Of the references that began before a prediction only those that last longer than all of smaller ord can be the one, and these are kept as they come; only where none of
+    them covers the prediction, those that begin within it are looked at. So a prediction has a row for each of its chunks, and none for a pair.
+    """
+    from .chunked import chunk_width
+
+    width = width or chunk_width(predicted.select("rec", "s").union(truth.select("rec", "s")), "s")
+    at = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
+    over = lambda df: df.withColumn("own", at("s")).withColumn("chunk", F.explode_outer(F.sequence(at("s"), F.greatest(at("s"), at("e")))))
+    asked = over(predicted).select("rec", "ord", "spk", "s", "e", "own", "chunk")
+    held = over(truth.where("rec is not null and ord is not null and s is not null and e is not null")).select(*[F.col(c).alias(f"r_{c}") for c in ("rec", "ord", "spk", "s", "e", "own", "chunk")])
+
+    def label(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        theirs = theirs.sort_by([("r_s", "ascending"), ("r_ord", "ascending")])
+        ts, te, no = (theirs[c].to_numpy() for c in ("r_s", "r_e", "r_ord"))
+        starts, s, e = ts.tolist(), mine["s"].to_numpy(zero_copy_only=False).astype(float), mine["e"].to_numpy(zero_copy_only=False).astype(float)
+        ends, numbers, places = te.tolist(), no.tolist(), list(range(len(ts)))
+        here = mine["chunk"].to_numpy(zero_copy_only=False) == mine["own"].to_numpy(zero_copy_only=False)
+        fresh = int(np.searchsorted(theirs["r_own"].to_numpy(), theirs["r_chunk"][0].as_py())) if len(theirs) else 0  # those before began in earlier chunks
+        share, found = np.full(len(s), np.nan), np.full(len(s), -1)
+        reach: list[float] = []  # rising ends of those that have begun, each with the smallest ord of all that end no sooner
+        first: list[int] = []
+        k = 0
+        for i in np.argsort(s, kind="stable").tolist():
+            low, high = float(s[i]), float(e[i])
+            if low != low or high != high:
+                continue
+            best = None
+            if here[i]:
+                while k < len(starts) and starts[k] <= low:
+                    p = bisect_left(reach, ends[k])
+                    if p == len(reach) or numbers[first[p]] > numbers[k]:
+                        q = p + (p < len(reach) and reach[p] == ends[k])
+                        while p and numbers[first[p - 1]] > numbers[k]:
+                            p -= 1
+                        reach[p:q], first[p:q] = [ends[k]], [places[k]]
+                    k += 1
+                if high <= low:  # of no length: only those that hold it, and all share as much
+                    inside = np.flatnonzero((ts < high) & (te > low))
+                    if len(inside):
+                        best = (high - low, int(inside[no[inside].argmin()]))
+                else:
+                    gone = bisect_right(reach, low)
+                    del reach[:gone], first[:gone]
+                    if reach:
+                        p = min(bisect_left(reach, high), len(reach) - 1)
+                        best = (min(reach[p], high) - low, first[p])
+            if high > low and (best is None or best[0] < high - low):
+                p, q = max(fresh, bisect_right(starts, low)), bisect_left(starts, high)
+                if p < q:
+                    shared = np.where(te[p:q] > low, np.minimum(te[p:q], high) - ts[p:q], -np.inf)
+                    most = shared.max()
+                    if most > -np.inf and (best is None or most >= best[0]):
+                        tied = p + np.flatnonzero(shared == most)
+                        j = int(tied[no[tied].argmin()])
+                        if best is None or most > best[0] or numbers[j] < numbers[best[1]]:
+                            best = (float(most), j)
+            if best is not None:
+                share[i], found[i] = best
+        take = pa.array(found, mask=found < 0)
+        told = mine.select(["rec", "ord", "spk"]).append_column("share", pa.array(share, mask=np.isnan(share)))
+        return told.append_column("r_ord", theirs["r_ord"].combine_chunks().take(take)).append_column("true_spk", theirs["r_spk"].combine_chunks().take(take))
+
+    kinds = ", ".join(f"{c} {predicted.schema[c].dataType.simpleString()}" for c in ("rec", "ord", "spk"))
+    kinds += f", share double, r_ord {truth.schema['ord'].dataType.simpleString()}, true_spk {truth.schema['spk'].dataType.simpleString()}"
+    parts = asked.groupBy("rec", "chunk").cogroup(held.groupBy("r_rec", "r_chunk")).applyInArrow(label, kinds)
+    best = parts.groupBy("rec", "ord", "spk").agg(F.max_by("true_spk", F.when(F.col("share").isNotNull(), F.struct("share", -F.col("r_ord")))).alias("true_spk"))
+    return best.select("rec", "ord", "spk", F.coalesce("true_spk", F.lit(missing)).alias("true_spk"))
 
 
 def confusion(labelled: DataFrame) -> DataFrame:

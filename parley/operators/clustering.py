@@ -22,27 +22,46 @@ def cells(rows: DataFrame, columns: list[str], key: str, block: int) -> DataFram
 def spanning_links(rows: DataFrame, least: float, key: str = "vec_id", block: int = 2048) -> DataFrame:
     """(a, b, score): links whose components are those of all pairs with a cosine of s or more, for every s from ``least`` on.
 
-    Each pair of blocks gives its maximum spanning tree, so a cell returns fewer links than it has vectors and not all its near pairs.
+    Each pair of blocks gives the maximum spanning forest of the pairs between them, so a cell returns fewer links than it has vectors and not all its near pairs. One matrix product gives a cell's
+    pairs; in each round every tree takes its best link to another one, so there are few rounds.
     """
 
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy()
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids, own = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy(), pdf["own"].to_numpy()
         size = np.sqrt((x * x).sum(axis=1, keepdims=True))
         x = x / np.where(size == 0, 1, size)
-        score, source, out, at = np.full(len(x), -np.inf), np.zeros(len(x), dtype=int), [], 0
-        inside = np.zeros(len(x), dtype=bool)
-        for _ in range(len(x) - 1):
-            inside[at] = True
-            s = x @ x[at]
-            closer = (s > score) & ~inside
-            score[closer], source[closer] = s[closer], at
-            at = int(np.where(inside, -np.inf, score).argmax())
-            if score[at] >= least:
-                out.append((min(ids[source[at]], ids[at]), max(ids[source[at]], ids[at]), score[at]))
+        left, right = np.flatnonzero(own == pdf["p"].iloc[0]), np.flatnonzero(own == pdf["q"].iloc[0])
+        score = x[left] @ x[right].T
+        score[(left[:, None] == right[None, :]) | (score < least)] = -np.inf
+        tree, out = list(range(len(x))), []
+
+        def root(i: int) -> int:
+            while tree[i] != i:
+                tree[i] = i = tree[tree[i]]
+            return i
+
+        while score.size:
+            i, j = score.argmax(axis=1), score.argmax(axis=0)
+            rows, columns = np.arange(len(left)), np.arange(len(right))
+            a, b = np.append(left, left[j]), np.append(right[i], right)
+            s = np.append(score[rows, i], score[j, columns])
+            found = np.flatnonzero(s > -np.inf)
+            if not len(found):
+                break
+            best: dict[int, tuple] = {}
+            for k in found[np.argsort(-s[found], kind="stable")].tolist():
+                for end in {root(int(a[k])), root(int(b[k]))}:
+                    best.setdefault(end, (int(a[k]), int(b[k]), s[k]))
+            for m, n, value in sorted(set(best.values()), key=lambda link: -link[2]):
+                if (u := root(m)) != (v := root(n)):
+                    tree[u] = v
+                    out.append((min(ids[m], ids[n]), max(ids[m], ids[n]), value))
+            roots = np.array([root(k) for k in range(len(x))])
+            score[roots[left][:, None] == roots[right][None, :]] = -np.inf
         return pd.DataFrame(out, columns=["a", "b", "score"])
 
     dealt = cells(rows.select(F.col(key).alias("id"), "v"), ["id", "v"], "id", block)
-    return dealt.groupBy("p", "q").applyInPandas(tree, "a long, b long, score double")
+    return dealt.groupBy("p", "q").applyInPandas(forest, "a long, b long, score double")
 
 
 def distance_clusterings(rows: DataFrame, distances: list[float], folder: str, key: str = "vec_id") -> DataFrame:
@@ -94,10 +113,11 @@ def _counted(found: DataFrame) -> DataFrame:
     return found.groupBy("step", "eps").agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"))
 
 
-def euclidean_silhouette(rows: DataFrame, key: str = "vec_id", label: str = "label", block: int = 2048) -> DataFrame:
+def euclidean_silhouette(rows: DataFrame, key: str = "vec_id", label: str = "label", block: int = 16_384, tile: int = 256) -> DataFrame:
     """(key, label, silhouette) by Euclidean distance: 0 for a label of one vector, and for all where there are fewer than two labels or no more vectors than labels.
 
-    Mean distances have no closed form, so blocks meet blocks as matrix products; a cell returns the sum of a vector's distances to each label, never pairs.
+    Mean distances have no closed form, so blocks meet blocks as matrix products; a cell returns the sum of a vector's distances to each label, never pairs. A vector is sent once for each block, so
+    blocks are large; a task holds the distances of ``tile`` vectors to a block at a time.
     """
     kind = rows.schema[label].dataType.simpleString()
 
@@ -107,13 +127,22 @@ def euclidean_silhouette(rows: DataFrame, key: str = "vec_id", label: str = "lab
         out = []
         for mine, theirs in {(p, q), (q, p)}:
             left, right = np.flatnonzero(own == mine), np.flatnonzero(own == theirs)
-            squared = (x[left] ** 2).sum(axis=1)[:, None] + (x[right] ** 2).sum(axis=1)[None, :] - 2 * x[left] @ x[right].T
-            far = np.sqrt(np.maximum(squared, 0))
-            if mine == theirs:
-                np.fill_diagonal(far, 0)
-            names = pdf["label"].to_numpy()[right]
-            for name in pd.unique(names):
-                out.append(pd.DataFrame({"id": pdf["id"].to_numpy()[left], "label": pdf["label"].to_numpy()[left], "other": name, "d": far[:, names == name].sum(axis=1)}))
+            if not len(left) or not len(right):
+                continue
+            codes, names = pd.factorize(pdf["label"].to_numpy()[right])
+            right, codes = right[np.argsort(codes, kind="stable")], np.sort(codes)
+            firsts = np.searchsorted(codes, np.arange(len(names)))
+            y = x[right]
+            size = (y * y).sum(axis=1)
+            for at in range(0, len(left), tile):
+                part = left[at : at + tile]
+                squared = (x[part] ** 2).sum(axis=1)[:, None] + size[None, :] - 2 * x[part] @ y.T
+                far = np.sqrt(np.maximum(squared, 0))
+                if mine == theirs:
+                    far[part[:, None] == right[None, :]] = 0
+                sums_of = np.add.reduceat(far, firsts, axis=1)
+                each = pdf.iloc[np.repeat(part, len(names))]
+                out.append(pd.DataFrame({"id": each["id"].to_numpy(), "label": each["label"].to_numpy(), "other": np.tile(names, len(part)), "d": sums_of.ravel()}))
         return pd.concat(out) if out else pd.DataFrame(columns=["id", "label", "other", "d"])
 
     named = rows.select(F.col(key).alias("id"), F.col(label).alias("label"), "v").where("label is not null")

@@ -1,8 +1,12 @@
 """Work that grows with the rows of a dense recording and not with its pairs: each result against all pairs in plain Python, and what the plan does."""
 
+import inspect
 import random
 
-from parley.operators import intervals, scoring, sequences
+from pyspark.sql import functions as F
+
+from parley.functions import text
+from parley.operators import clustering, intervals, scoring, sequences
 
 SEG = "rec string, ord long, s double, e double, spk string"
 
@@ -100,3 +104,38 @@ def test_islands_overlap_what_segments_do(spark):
     df = spark.createDataFrame(rows, SEG)
     met = lambda spans: {(r["rec"], r["ord"], r["r_spk"]) for r in intervals.overlap_join(df, spans).select("rec", "ord", "r_spk").collect()}
     assert met(intervals.speaker_islands(df)) == met(df.select("rec", "s", "e", "spk")) and intervals.speaker_islands(df).count() < len(rows)
+
+
+def test_overlap_labels_without_pairs(spark):
+    for seed in (11, 12):
+        truth, found = dense(seed, 100), [(r[0], r[1], r[2] + 0.2, r[3] + 0.2, r[4]) for r in dense(seed + 20, 100)] + [("z", 1, 0.0, 1.0, "a"), ("x", 5000, None, 1.0, "b"), ("x", 5001, 30.0, 29.0, "a")]
+        want = {}
+        for rec, k, s, e, _ in found:
+            held = [(min(e, r[3]) - max(s, r[2]), -r[1], r[4]) for r in truth if s is not None and r[0] == rec and s < r[3] and r[2] < e]
+            want[rec, k] = (max(held, key=lambda h: h[:2])[2] if held else None) or "none"
+        for width in (None, 4.0):
+            out = scoring.overlap_labels(spark.createDataFrame(found, SEG), spark.createDataFrame(truth, SEG), width=width)
+            assert "Join" not in plan(out)
+            got = out.collect()
+            assert {(r["rec"], r["ord"]): r["true_spk"] for r in got} == want and len(got) == len(found)
+
+
+def test_char_errors_of_long_texts(spark):
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("ab cé😀") for _ in range(r.randrange(40)))
+    rows = [(word(), word()) for _ in range(60)] + [(None, "a"), ("a", None), ("", None), ("  ", "b")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    n = F.char_length(F.trim("a"))
+    plainly = F.when(n == 0, F.lit(0.0)).otherwise(F.lit(100.0) * F.levenshtein(F.trim("a"), F.trim("b")) / n)
+    out = df.select(text.char_errors(F.col("a"), F.col("b")).alias("x"), plainly.alias("y"))
+    assert all(x["x"] == x["y"] for x in out.collect())
+    assert "levenshtein" not in plan(out.select("x")).lower()
+
+
+def test_silhouette_sends_a_vector_to_few_blocks(spark):
+    r = random.Random(14)
+    df = spark.createDataFrame([(k, [r.gauss(0, 1) for _ in range(4)], k % 3) for k in range(50)], "vec_id long, v array<double>, label int")
+    assert inspect.signature(clustering.euclidean_silhouette).parameters["block"].default >= 16_384
+    want = {x["vec_id"]: x["silhouette"] for x in clustering.euclidean_silhouette(df).collect()}
+    got = {x["vec_id"]: x["silhouette"] for x in clustering.euclidean_silhouette(df, block=20, tile=3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -279,11 +279,11 @@ def class_probability(frames: DataFrame, classes: list[int]) -> DataFrame:
     return frames.select("rec", "ix", F.when(logs, add(F.transform(wanted, F.exp))).otherwise(add(wanted)).alias("score"))
 
 
-def change_score(frames: DataFrame) -> DataFrame:
+def change_score(frames: DataFrame, logs: bool | None = None) -> DataFrame:
     """Frames (rec, ix, scores) as (rec, ix, score): the L1 distance to the frame before (0 for the first), over the recording's largest; 0 where nothing changes.
 
-    Where no score of a recording is over 0 they are logarithms, and probabilities are compared."""
-    logs = F.max(F.array_max("scores")).over(Window.partitionBy("rec")) <= 0
+    Of logarithms the probabilities are compared. Scores are logarithms where ``logs`` says so; where it is None, in each recording in which none is over 0, which takes logarithms of scores over 1 for plain ones."""
+    logs = F.max(F.array_max("scores")).over(Window.partitionBy("rec")) <= 0 if logs is None else F.lit(logs)
     frames = frames.withColumn("scores", F.when(logs, F.transform("scores", F.exp)).otherwise(F.col("scores")))
     before = F.lag("scores").over(Window.partitionBy("rec").orderBy("ix"))
     far = F.coalesce(F.aggregate(F.zip_with("scores", before, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))

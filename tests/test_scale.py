@@ -139,3 +139,11 @@ def test_silhouette_sends_a_vector_to_few_blocks(spark):
     want = {x["vec_id"]: x["silhouette"] for x in clustering.euclidean_silhouette(df).collect()}
     got = {x["vec_id"]: x["silhouette"] for x in clustering.euclidean_silhouette(df, block=20, tile=3).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_logs_of_scores_over_one(spark):
+    rows = [("x", 1, [0.5, 1.25]), ("x", 2, [0.25, 0.5]), ("x", 3, [0.75, 0.5])]
+    df = spark.createDataFrame(rows, "rec string, ix long, scores array<double>")
+    logs = df.withColumn("scores", F.transform("scores", lambda x: F.log(x)))
+    score = lambda out: [round(r["score"], 12) for r in out.orderBy("ix").collect()]
+    assert score(intervals.change_score(logs, logs=True)) == score(intervals.change_score(df, logs=False)) == [0.0, 1.0, 0.5]

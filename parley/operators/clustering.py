@@ -19,67 +19,201 @@ def cells(rows: DataFrame, columns: list[str], key: str, block: int) -> DataFram
     return rows.select(*columns, own.alias("own")).withColumn("cell", F.explode(pairs)).select(*columns, "own", "cell.p", "cell.q")
 
 
-def spanning_links(rows: DataFrame, least: float, key: str = "vec_id", block: int = 2048) -> DataFrame:
-    """(a, b, score): links whose components are those of all pairs with a cosine of s or more, for every s from ``least`` on.
+def joined(n: int, a: np.ndarray, b: np.ndarray, s: np.ndarray | None = None, tree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the links of a spanning forest, a root for each of ``n`` nodes): in each round every tree takes its best link (largest ``s``, the first on ties) to another one. ``tree``: roots to begin with."""
+    order = np.arange(len(a)) if s is None else np.argsort(-s, kind="stable")
+    tree, at, kept = np.arange(n) if tree is None else tree, np.arange(len(a)), [np.empty(0, dtype=int)]
+    a, b = a[order], b[order]
+    while True:
+        u, v = tree[a[at]], tree[b[at]]
+        out = u != v
+        at, u, v = at[out], u[out], v[out]
+        if not len(at):
+            return order[np.concatenate(kept)], tree
+        best, other = np.full(n, len(a)), np.full(n, len(a))
+        best[u[::-1]], other[v[::-1]] = at[::-1], at[::-1]  # the last one written stays
+        best = np.minimum(best, other)
+        roots = np.flatnonzero(best < len(a))
+        link = best[roots]
+        kept.append(np.unique(link))
+        up = np.arange(n)
+        up[roots] = tree[a[link]] + tree[b[link]] - roots
+        low = roots[(up[up[roots]] == roots) & (roots < up[roots])]
+        up[low] = low
+        while (up[up] != up).any():
+            up = up[up]
+        tree = up[tree]
+
+
+class _Forest:
+    """A maximum spanning forest that takes links bit by bit, and knows which ones can't change it: those whose ends are in one tree by links that are no worse.
+
+    That is known at some scores, ``at``, from large to small: given levels, to which scores are lowered, or quantiles of the forest's own scores.
+    """
 
-    Each pair of blocks gives the maximum spanning forest of the pairs between them, so a cell returns fewer links than it has vectors and not all its near pairs. One matrix product gives a cell's
-    pairs; in each round every tree takes its best link to another one, so there are few rounds.
+    def __init__(self, n: int, least: float, levels: list[float] | None, most: int):
+        self.n, self.least, self.most, self.fixed = n, least, most, levels is not None
+        self.at = np.array(sorted((x for x in levels or [] if x >= least), reverse=True), dtype=float)
+        self.held, self.new, self.waiting = tuple(np.empty(0, dtype=t) for t in (int, int, float)), [], 0
+        self.settle()
+
+    def lowered(self, s: np.ndarray) -> np.ndarray:
+        return self.at[np.searchsorted(-self.at, -s, side="left")] if self.fixed else s
+
+    def settle(self) -> None:
+        """Links that wait become part of the forest or are dropped."""
+        a, b, s = (np.concatenate(x) for x in zip(self.held, *self.new))
+        keep, _ = joined(self.n, a, b, s)
+        self.held, self.new, self.waiting = (a[keep], b[keep], s[keep]), [], 0
+        a, b, s = self.held
+        if not self.fixed:
+            self.at = np.unique(np.quantile(s, np.linspace(0, 1, 16)))[::-1] if len(s) else np.empty(0)
+        self.trees, tree = np.empty((len(self.at), self.n), dtype=int), None
+        for k, x in enumerate(self.at):
+            mine = (s >= x) & (s < (self.at[k - 1] if k else np.inf))
+            _, tree = joined(self.n, a[mine], b[mine], tree=tree)
+            self.trees[k] = tree
+        # the node that others are joined to early
+        sizes = [np.bincount(t, minlength=self.n) for t in self.trees]
+        wide = next((k for k in range(len(sizes)) if 2 * sizes[k].max() >= self.n), len(sizes) - 1)
+        self.hub = int(sizes[wide].argmax()) if sizes else 0
+        self.floor = np.full(self.n, self.least)
+        self.raise_floors(np.arange(self.n))
+
+    def raise_floors(self, nodes: np.ndarray) -> None:
+        """``floor``: two nodes with a score below both of theirs are joined by way of the hub."""
+        if not len(self.at):
+            return
+        met = self.trees[:, nodes] == self.trees[:, [self.hub]]
+        first = met.argmax(axis=0)
+        above = np.append(np.inf, self.at[:-1]) if self.fixed else np.nextafter(self.at, np.inf)
+        self.floor[nodes] = np.where(met.any(axis=0), np.maximum(above[first], self.least), self.least)
+
+    def hang(self, nodes: np.ndarray, on: np.ndarray, s: np.ndarray) -> None:
+        """Each node by one link to another, which counts from now on."""
+        good = s >= self.least
+        nodes, on, s = nodes[good], on[good], self.lowered(s[good])
+        self.new.append((nodes, on, s))
+        self.waiting += len(nodes)
+        self.trees[:, nodes] = np.where(self.at[:, None] <= s[None, :], self.trees[:, on], self.trees[:, nodes])
+        self.raise_floors(nodes)
+
+    def add(self, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> None:
+        s = self.lowered(s)
+        k = np.searchsorted(-self.at, -s, side="right") - 1
+        fresh = (k < 0) | (self.trees[k, a] != self.trees[k, b]) if len(self.at) else np.ones(len(a), dtype=bool)
+        self.new.append((a[fresh], b[fresh], s[fresh]))
+        self.waiting += int(fresh.sum())
+        if self.waiting > self.most:
+            self.settle()
+
+
+def spanning_links(rows: DataFrame, least: float, key: str = "vec_id", block: int = 16_384, levels: list[float] | None = None, tile: int = 1 << 21) -> DataFrame:
+    """(a, b, score): links whose components are those of all pairs with a cosine of s or more, for every s from ``least`` on, or for those in ``levels``, to which scores are then lowered.
+
+    Each pair of blocks gives the maximum spanning forest of the pairs between them, so a cell returns fewer links than it has vectors and not all its near pairs. A task holds ``tile`` scores at a time, and looks
+    closer only at those that can still change its forest.
     """
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids, own = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy(), pdf["own"].to_numpy()
         size = np.sqrt((x * x).sum(axis=1, keepdims=True))
         x = x / np.where(size == 0, 1, size)
-        left, right = np.flatnonzero(own == pdf["p"].iloc[0]), np.flatnonzero(own == pdf["q"].iloc[0])
-        score = x[left] @ x[right].T
-        score[(left[:, None] == right[None, :]) | (score < least)] = -np.inf
-        tree, out = list(range(len(x))), []
-
-        def root(i: int) -> int:
-            while tree[i] != i:
-                tree[i] = i = tree[tree[i]]
-            return i
-
-        while score.size:
-            i, j = score.argmax(axis=1), score.argmax(axis=0)
-            rows, columns = np.arange(len(left)), np.arange(len(right))
-            a, b = np.append(left, left[j]), np.append(right[i], right)
-            s = np.append(score[rows, i], score[j, columns])
-            found = np.flatnonzero(s > -np.inf)
-            if not len(found):
-                break
-            best: dict[int, tuple] = {}
-            for k in found[np.argsort(-s[found], kind="stable")].tolist():
-                for end in {root(int(a[k])), root(int(b[k]))}:
-                    best.setdefault(end, (int(a[k]), int(b[k]), s[k]))
-            for m, n, value in sorted(set(best.values()), key=lambda link: -link[2]):
-                if (u := root(m)) != (v := root(n)):
-                    tree[u] = v
-                    out.append((min(ids[m], ids[n]), max(ids[m], ids[n]), value))
-            roots = np.array([root(k) for k in range(len(x))])
-            score[roots[left][:, None] == roots[right][None, :]] = -np.inf
-        return pd.DataFrame(out, columns=["a", "b", "score"])
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        found = _Forest(len(x), least, levels, max(4096, len(x)))
+        wide = max(1, tile // max(1, len(right)))
+        # a few rows at first, as all their pairs are looked at
+        firsts = [0, *range(min(8, wide), len(left), wide)] if len(left) and len(right) else []
+        for first, end in zip(firsts, [*firsts[1:], len(left)]):
+            mine, theirs = left[first:end], right[first:] if p == q else right
+            score = x[mine] @ x[theirs].T
+            if p == q:
+                score[np.tril_indices(len(mine), 0, len(theirs))] = -np.inf
+            if first:
+                j = np.where(np.isnan(score), -np.inf, score).argmax(axis=1) if np.isnan(score[:, 0]).any() or np.isnan(score[0]).any() else score.argmax(axis=1)
+                found.hang(mine, theirs[j], score[np.arange(len(mine)), j])
+            near = score >= found.floor[theirs][None, :]
+            near |= score >= found.floor[mine][:, None]
+            i, j = np.divmod(np.flatnonzero(near), len(theirs))
+            found.add(mine[i], theirs[j], score[i, j])
+            if not first:
+                found.settle()
+        found.settle()
+        a, b, s = found.held
+        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "score": s})
 
     dealt = cells(rows.select(F.col(key).alias("id"), "v"), ["id", "v"], "id", block)
     return dealt.groupBy("p", "q").applyInPandas(forest, "a long, b long, score double")
 
 
-def distance_clusterings(rows: DataFrame, distances: list[float], folder: str, key: str = "vec_id") -> DataFrame:
-    """(step, eps, key, cluster): density clusters of two or more by cosine distance at each of ``distances``; a vector on its own is noise, -1.
+def nested_components(links: DataFrame, nodes: DataFrame, steps: int, folder: str, key: str = "vec_id", most: int = 65_536) -> DataFrame:
+    """(key, first, components): the smallest node reachable by links (a, b, step) of each step 0 to ``steps`` - 1 or earlier ones, and the first step at which there is a link at all.
 
-    The components at all distances are found in one run: a node is a vector at a step.
+    Each link is looked at once: at its step its ends are the components of the step before. Steps of no more than ``most`` links together are one group, larger ones spread labels in rounds.
     """
-    k = len(distances)
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(float(e)).alias("eps")) for i, e in enumerate(distances)])).alias("at")
-    node = lambda c: F.col(c) * k + F.col("at.step")
-    links = spanning_links(rows, 1.0 - max(distances), key).select("a", "b", "score", steps).where(F.col("score") >= 1.0 - F.col("at.eps"))
-    nodes = rows.select(key, steps).select(node(key).alias("node"))
-    found = graph_components(links.select(node("a").alias("a"), node("b").alias("b")), nodes, folder, "node")
-    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
+    spark = nodes.sparkSession
+    links.write.mode("overwrite").parquet(f"{folder}/spanning")
+    links = spark.read.parquet(f"{folder}/spanning")
+    counts = {r["step"]: r["count"] for r in links.groupBy("step").count().collect()}
+    ends = links.select(F.explode(F.array("a", "b")).alias("id"), "step").groupBy("id").agg(F.min("step").alias("first"))
+    labels = nodes.select(F.col(key).alias("id"), F.array().cast("array<long>").alias("c"), F.col(key).alias("now")).join(ends, "id", "left")
+    groups: list[list[int]] = []
+    for k in range(steps):
+        if groups and sum(counts.get(j, 0) for j in [*groups[-1], k]) <= most:
+            groups[-1].append(k)
+        else:
+            groups.append([k])
+
+    def solved(group: list[int]):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            ids, at = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
+            at, step, tree, out = at.reshape(-1, 2), pdf["step"].to_numpy(), None, []
+            for k in group:
+                _, tree = joined(len(ids), at[step == k, 0], at[step == k, 1], tree=tree)
+                low = np.full(len(ids), len(ids))
+                np.minimum.at(low, tree, np.arange(len(ids)))
+                out.append(ids[low[tree]])
+            return pd.DataFrame({"node": ids, "to": list(np.stack(out, axis=1))})
+
+        return run
+
+    for group in groups:
+        n = sum(counts.get(k, 0) for k in group)
+        same = F.array_repeat(F.col("now"), len(group))
+        if not n:
+            labels = labels.select("id", "first", F.concat("c", same).alias("c"), "now")
+            continue
+        part = links.where(F.col("step").between(group[0], group[-1]))
+        if group[0]:
+            for end in ("a", "b"):
+                part = part.join(labels.select(F.col("id").alias(end), F.col("now").alias("__now")), end).withColumn(end, F.col("__now")).drop("__now")
+        part = part.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("step").alias("step"))
+        if n <= most:
+            to = F.broadcast(part.withColumn("__all", F.lit(True)).groupBy("__all").applyInPandas(solved(group), "node long, to array<long>"))  # up to twice ``most`` rows
+            after = labels.join(to, F.col("now") == F.col("node"), "left")
+        else:
+            met = part.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            to = graph_components(part, met, f"{folder}/step-{group[0]}", "node").select("node", F.array("component").alias("to"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+            # one component may have nearly all nodes
+            after = labels.join(to, (F.col("now") == F.col("node")) & (F.pmod(F.xxhash64("id"), F.lit(16)).cast("int") == F.col("salt")), "left")
+        after = after.select("id", "first", "c", F.coalesce("to", same).alias("to")).select("id", "first", F.concat("c", "to").alias("c"), F.element_at("to", -1).alias("now"))
+        after.write.mode("overwrite").parquet(f"{folder}/labels-{group[0]}")
+        labels = spark.read.parquet(f"{folder}/labels-{group[0]}")
+    return labels.select(F.col("id").alias(key), "first", F.col("c").alias("components"))
+
+
+def distance_clusterings(rows: DataFrame, distances: list[float], folder: str, key: str = "vec_id") -> DataFrame:
+    """(step, eps, key, cluster): density clusters of two or more by cosine distance at each of ``distances``, which rise; a vector on its own is noise, -1."""
+    levels = [1.0 - e for e in distances]
+    if any(a <= b for a, b in zip(levels, levels[1:])):
+        raise ValueError("distances don't rise")
+    step = F.size(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x > F.col("score")))
+    links = spanning_links(rows, levels[-1], key, levels=levels).select("a", "b", step.alias("step"))
+    found = nested_components(links, rows, len(levels), folder, key).select(key, "first", F.posexplode("components").alias("step", "component"))
     values = F.array(*[F.lit(float(e)) for e in distances])
-    step = F.pmod(F.col("node"), F.lit(k)).cast("int")
-    cluster = F.when(F.col("n") > 1, F.floor(F.col("component") / k)).otherwise(F.lit(-1)).cast("bigint")
-    return found.join(sizes, "component").select(step.alias("step"), F.element_at(values, step + 1).alias("eps"), F.floor(F.col("node") / k).cast("bigint").alias(key), cluster.alias("cluster"))
+    cluster = F.when(F.col("step") >= F.col("first"), F.col("component")).otherwise(F.lit(-1)).cast("bigint")
+    return found.select("step", F.element_at(values, F.col("step") + 1).alias("eps"), key, cluster.alias("cluster"))
 
 
 def rand_by(labelled: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

@@ -147,3 +147,31 @@ def test_logs_of_scores_over_one(spark):
     logs = df.withColumn("scores", F.transform("scores", lambda x: F.log(x)))
     score = lambda out: [round(r["score"], 12) for r in out.orderBy("ix").collect()]
     assert score(intervals.change_score(logs, logs=True)) == score(intervals.change_score(df, logs=False)) == [0.0, 1.0, 0.5]
+
+
+def test_distance_search_looks_at_a_link_once(spark, tmp_path, monkeypatch):
+    r, steps = random.Random(15), [0.05 * k for k in range(1, 40)]
+    near = lambda c: [x + r.gauss(0, 0.3) for x in c]
+    centres = [[r.gauss(0, 1) for _ in range(5)] for _ in range(6)]
+    rows = [(k * 7 - 200, near(r.choice(centres)) if k % 3 else [r.gauss(0, 1) for _ in range(5)]) for k in range(70)] + [(900, [0.0] * 5), (901, [float("nan")] * 5), (902, rows_of := [1.0] * 5), (903, rows_of)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    size = lambda v: sum(x * x for x in v) ** 0.5 or 1.0
+    cosines = {(i, j): sum(x * y for x, y in zip(a, b)) / size(a) / size(b) for i, a in rows for j, b in rows if i != j}
+    want = {}
+    for k, e in enumerate(steps):
+        label, links = {i: i for i, _ in rows}, [p for p, c in cosines.items() if c >= 1.0 - e]
+        while any(label[i] > label[j] for i, j in links):
+            for i, j in links:
+                label[i] = min(label[i], label[j])
+        linked = {i for p in links for i in p}
+        want |= {(k, i): c if i in linked else -1 for i, c in label.items()}
+    sent, real = [], clustering.graph_components
+    monkeypatch.setattr(clustering, "graph_components", lambda links, nodes, *more: sent.append(nodes.count()) or real(links, nodes, *more))
+    made, spans, parts = [], clustering.spanning_links, clustering.nested_components
+    for k, (block, tile, most) in enumerate(((16_384, 1 << 21, 65_536), (20, 64, 65_536), (20, 64, 0), (16_384, 300, 40))):
+        monkeypatch.setattr(clustering, "spanning_links", lambda *a, **b: made.append(out := spans(*a, **b, block=block, tile=tile)) or out)
+        monkeypatch.setattr(clustering, "nested_components", lambda *a: parts(*a, most=most))
+        out = clustering.distance_clusterings(df, steps, f"file://{tmp_path}/{k}").collect()
+        assert len(out) == len(want) and {(x["step"], x["vec_id"]): x["cluster"] for x in out} == want
+    assert made[0].count() < len(rows) and sent and max(sent) <= len(rows)  # no node or link for each distance
+    assert inspect.signature(spans).parameters["block"].default >= 16_384

@@ -84,6 +84,49 @@ def speaker_at(points: DataFrame, spans: DataFrame, fallback: str = "unknown", w
     return asked.groupBy("rec", "__chunk").cogroup(held.groupBy("__rec", "__at")).applyInArrow(look, out.schema)
 
 
+def overlap_texts(rows: DataFrame, others: DataFrame, width: float | None = None) -> DataFrame:
+    """(rec, ord, n, text) for each (rec, ord) of ``rows``: how many of ``others`` overlap it, and their known speakers in the order of ord, null where there are none.
+
+    Rows and others meet in chunks of time, where a row's text is written at once, so pairs are never rows of a table. Only rows longer than a chunk, or that share their ord, take the pairs of ``overlap_join``.
+    """
+    from .chunked import SLACK, chunk_width
+
+    keyed = rows.groupBy("rec", "ord").agg(F.count("*").alias("__k"), F.min("s").alias("s"), F.min("e").alias("e"))
+    width = width or chunk_width(rows.select("rec", "s").union(others.select("rec", "s")), "s", each=4000)
+    short = (F.col("__k") == 1) & F.coalesce(F.col("e") - F.col("s") <= width, F.lit(True))
+    mine = keyed.where(short).select("rec", "ord", "s", "e", _bucket("s", width).alias("__chunk"))
+    longest = max(mine.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 0.0, 0.0) + SLACK
+    known = others.where("rec is not null and ord is not null and s is not null and e is not null")
+    sent = _spread(known, F.col("s") - longest, "e", width).select(*[F.col(c).alias(f"__{c}") for c in ("rec", "ord", "s", "e", "spk")], F.col("__b").alias("__at"))
+    out = mine.select("rec", "ord", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("text")).schema
+
+    def write(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        theirs = theirs.take(pc.sort_indices(theirs, sort_keys=[("__ord", "ascending")]))
+        low, high = (mine[c].to_numpy(zero_copy_only=False).astype(float)[:, None] for c in ("s", "e"))
+        starts, ends = theirs["__s"].to_numpy(), theirs["__e"].to_numpy()
+        spk = theirs["__spk"].combine_chunks()
+        named = ~spk.is_null().to_numpy(zero_copy_only=False)
+        tile, counts, texts = max(1, (1 << 22) // max(1, len(starts))), [np.empty(0, dtype=int)], []
+        for at in range(0, len(mine), tile):
+            i, j = np.nonzero((low[at : at + tile] < ends[None, :]) & (starts[None, :] < high[at : at + tile]))
+            n = len(low[at : at + tile])
+            counts.append(np.bincount(i, minlength=n))
+            i, j = i[named[j]], j[named[j]]
+            each = np.bincount(i, minlength=n)
+            listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(each)), pa.int32()), spk.take(pa.array(j)))
+            texts.append(pc.if_else(pa.array(each > 0), pc.binary_join(listed, " "), pa.scalar(None, pa.string())))
+        text = pa.chunked_array(texts, pa.string())
+        return pa.table({"rec": mine["rec"], "ord": mine["ord"], "n": pa.array(np.concatenate(counts), pa.int64()), "text": text})
+
+    found = mine.groupBy("rec", "__chunk").cogroup(sent.groupBy("__rec", "__at")).applyInArrow(write, out)
+    rest = keyed.where(~short).select(F.col("rec").alias("__rec"), F.col("ord").alias("__ord"))
+    same = F.col("rec").eqNullSafe(F.col("__rec")) & F.col("ord").eqNullSafe(F.col("__ord"))
+    pairs = overlap_join(rows.join(rest, same, "left_semi"), known).groupBy("rec", "ord")
+    listed = F.array_sort(F.collect_list(F.when(F.col("r_spk").isNotNull(), F.struct("r_ord", "r_spk"))))
+    told = pairs.agg(F.count("*").alias("n"), F.when(F.size(listed) > 0, F.array_join(F.transform(listed, lambda x: x["r_spk"]), " ")).alias("text"))
+    return found.union(rest.join(told, same, "left").select(F.col("__rec"), F.col("__ord"), F.coalesce("n", F.lit(0)).cast("bigint"), "text"))
+
+
 def overlapping_pairs(rows: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of segments of different speakers, earlier ord first, that overlap by at least ``least``: (rec, a, b, s, e, spk_a, spk_b)."""
     both = overlap_join(rows, rows, (F.col("ord") < F.col("r_ord")) & (F.col("spk") != F.col("r_spk")) & (F.least("e", "r_e") - F.greatest("s", "r_s") >= least))

@@ -175,3 +175,19 @@ def test_distance_search_looks_at_a_link_once(spark, tmp_path, monkeypatch):
         assert len(out) == len(want) and {(x["step"], x["vec_id"]): x["cluster"] for x in out} == want
     assert made[0].count() < len(rows) and sent and max(sent) <= len(rows)  # no node or link for each distance
     assert inspect.signature(spans).parameters["block"].default >= 16_384
+
+
+def test_overlap_texts_without_a_table_of_pairs(spark, monkeypatch):
+    rows = dense(16, 90) + [("x", 2000, 0.0, 55.0, "a"), ("x", 2001, None, 1.0, "a"), ("y", 2002, 30.0, 29.0, "a"), ("x", 2003, 900.0, 901.0, "a"), (None, 2004, 1.0, 2.0, "a"), ("y", None, 5.0, 9.0, "b"), ("x", 2005, 4.0, 5.0, "c"), ("x", 2005, 50.0, 51.0, "c")]
+    others = dense(17, 90)
+    want = {(r[0], r[1]): [] for r in rows}
+    for rec, k, s, e, _ in rows:
+        want[rec, k] += [(o[1], o[4]) for o in others if rec == o[0] and s is not None and s < o[3] and o[2] < e]
+    want = {k: (len(v), " ".join(s for _, s in sorted(v, key=lambda x: x[0]) if s) or None) for k, v in want.items()}
+    met, real = [], intervals.overlap_join
+    monkeypatch.setattr(intervals, "overlap_join", lambda a, b: met.append(a.count()) or real(a, b))
+    df = spark.createDataFrame(rows, SEG)
+    for width in (None, 25.0, 7.0):
+        out = intervals.overlap_texts(df, spark.createDataFrame(others, SEG), width).collect()
+        assert {(r["rec"], r["ord"]): (r["n"], r["text"]) for r in out} == want and len(out) == len(want)
+    assert met[0] == 2 and met[1] == 3  # those that share their ord, and the one that is longer than a chunk

@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,23 +243,51 @@ def matched(predicted: DataFrame, truth: DataFrame, tolerances: tuple, width: fl
     return summaries.groupBy("rec", "tolerance").applyInPandas(walk, f"rec {kind}, tolerance double, tp long")
 
 
-def greedy_pairs(pairs: DataFrame, islands: int = 1000) -> DataFrame:
-    """(rec, tp) of candidate pairs (rec, ord, r_ord, s, e), the span that both cover: in list order each ``ord`` takes its first free ``r_ord``.
+def greedy_pairs(predicted: DataFrame, truth: DataFrame, least: float, islands: int = 1000) -> DataFrame:
+    """(rec, tp): in list order each row of ``predicted`` (rec, ord, s, e) takes the first free one of ``truth`` that it overlaps with at least that intersection over union.
 
-    Pairs whose spans don't meet share no row, so each run of spans that overlap is matched on its own; up to ``islands`` neighbouring ones go to a task together.
+    Rows whose spans don't meet can't take each other, so each run of spans that overlap is matched on its own; up to ``islands`` neighbouring ones go to a task together. A task holds rows and no pairs: those that
+    can have such a share begin near a row's start, and are looked at when it is its turn. A run of any density is one task's, as each row's choice rests on all before it.
     """
+    known = lambda df, side: df.where("rec is not null and s is not null and e is not null").select("rec", "ord", "s", "e", F.lit(side).alias("side"))
     order = Window.partitionBy("rec").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = pairs.withColumn("__new", F.coalesce((F.col("s") >= reach).cast("int"), F.lit(1)))
+    marked = known(predicted, 0).union(known(truth, 1)).withColumn("__new", F.coalesce((F.col("s") >= reach).cast("int"), F.lit(1)))
     marked = marked.withColumn("__island", F.floor(F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)) / islands))
 
-    def greedy(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        used, done = set(), set()
-        for p, t in pdf.sort_values(["ord", "r_ord"])[["ord", "r_ord"]].itertuples(index=False):
-            if p not in done and t not in used:
-                done.add(p)
-                used.add(t)
-        return _frame([(key[0], len(done))], "rec", "tp")
-
-    parts = marked.select("rec", "__island", "ord", "r_ord").groupBy("rec", "__island").applyInPandas(greedy, f"rec {_kind(pairs, 'rec')}, tp long")
+    def greedy(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("ord", "ascending")])
+        side = table["side"].to_numpy()
+        mine, theirs = (table.filter(pa.array(side == k)) for k in (0, 1))
+        # places in list order; rows that share their ord have one place, and those without have each their own
+        places = []
+        for part in (mine, theirs):
+            same = pc.fill_null(pc.equal(part["ord"][1:], part["ord"][:-1]), False).to_numpy() if len(part) else np.empty(0, dtype=bool)
+            places.append(np.append(0, np.cumsum(~same.astype(bool)))[: len(part)])
+        s, e = mine["s"].to_numpy(), mine["e"].to_numpy()
+        by_start = np.argsort(theirs["s"].to_numpy(), kind="stable")
+        starts, ends, rank = theirs["s"].to_numpy()[by_start], theirs["e"].to_numpy()[by_start], places[1][by_start]
+        tp = 0
+        if len(s) and len(starts):
+            at = np.empty(len(starts), dtype=int)
+            at[by_start] = np.arange(len(starts))
+            runs = np.append(np.searchsorted(places[1], np.arange(places[1][-1] + 1)), len(starts))
+            none, longest = len(runs), float((ends - starts).max())
+            first = np.maximum(s - longest, e - (e - s) / least if least > 0 else -np.inf) - SLACK
+            low, high = np.searchsorted(starts, first), np.searchsorted(starts, e - max(least, 0.0) * (e - s) + SLACK, side="right")
+            best, now = none, 0
+            for k, (lo, hi, a, b, place) in enumerate(zip(low.tolist(), high.tolist(), s.tolist(), e.tolist(), places[0].tolist())):
+                if place != now:
+                    best, now = none, place
+                if lo < hi:
+                    t, u = starts[lo:hi], ends[lo:hi]
+                    share = np.minimum(u, b) - np.maximum(t, a) >= least * (np.maximum(u, b) - np.minimum(t, a))
+                    share &= (u > a) & (t < b)
+                    best = min(best, int(np.where(share, rank[lo:hi], none).min()))
+                if best < none and (k + 1 == len(s) or places[0][k + 1] != place):
+                    rank[at[runs[best] : runs[best + 1]]] = none  # taken
+                    tp += 1
+        return pa.table({"rec": table["rec"][:1], "tp": pa.array([tp], pa.int64())})
+
+    parts = marked.select("rec", "__island", "ord", "s", "e", "side").groupBy("rec", "__island").applyInArrow(greedy, f"rec {_kind(predicted, 'rec')}, tp long")
     return parts.groupBy("rec").agg(F.sum("tp").alias("tp"))

@@ -95,11 +95,8 @@ def boundary_scores(predicted: DataFrame, truth: DataFrame, tolerances=(0.5, 1.0
 
 def iou_scores(predicted: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     """(rec, tp, fp, fn): in list order, each prediction takes the first free reference with at least that intersection over union."""
-    both = overlap_join(predicted, truth)
-    inter, union = F.least("e", "r_e") - F.greatest("s", "r_s"), F.greatest("e", "r_e") - F.least("s", "r_s")
-    pairs = both.where(inter >= F.lit(least) * union).select("rec", "ord", "r_ord", F.least("s", "r_s").alias("s"), F.greatest("e", "r_e").alias("e"))
     count = lambda df, name: df.groupBy("rec").agg(F.count("*").alias(name))
-    rows = count(predicted, "np").join(count(truth, "nt"), "rec", "full").join(greedy_pairs(pairs), "rec", "left").fillna(0, ["np", "nt", "tp"])
+    rows = count(predicted, "np").join(count(truth, "nt"), "rec", "full").join(greedy_pairs(predicted, truth, least), "rec", "left").fillna(0, ["np", "nt", "tp"])
     return rows.select("rec", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
 
 

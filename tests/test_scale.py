@@ -191,3 +191,22 @@ def test_overlap_texts_without_a_table_of_pairs(spark, monkeypatch):
         out = intervals.overlap_texts(df, spark.createDataFrame(others, SEG), width).collect()
         assert {(r["rec"], r["ord"]): (r["n"], r["text"]) for r in out} == want and len(out) == len(want)
     assert met[0] == 2 and met[1] == 3  # those that share their ord, and the one that is longer than a chunk
+
+
+def test_greedy_matching_without_pairs(spark, monkeypatch):
+    for seed in (18, 19, 20):
+        pred = [r for r in dense(seed, 150, span=20)] + [("x", 5000, 1.0, 1.0, "a"), ("x", 5001, None, 2.0, "a"), ("x", 5002, 7.0, 6.0, "a")]
+        ref = [(r[0], r[1], r[2] + 0.1 * (k % 3), r[3] + 0.1 * (k % 2), r[4]) for k, r in enumerate(dense(seed, 140, span=20))] + dense(seed + 10, 60, span=20)  # some share their ord
+        df = spark.createDataFrame(pred, SEG), spark.createDataFrame(ref, SEG)
+        for least in (0.5, 0.2, 0.0):
+            want = {}
+            for rec in "xy":
+                pairs = [(p[1], t[1]) for p in pred for t in ref if rec == p[0] == t[0] and p[2] is not None and p[2] < t[3] and t[2] < p[3] and min(p[3], t[3]) - max(p[2], t[2]) >= least * (max(p[3], t[3]) - min(p[2], t[2]))]
+                done, used = set(), set()
+                for p, t in sorted(pairs):
+                    if p not in done and t not in used:
+                        done.add(p), used.add(t)
+                want[rec] = len(done)
+            out = scoring.iou_scores(*df, least)
+            assert {r["rec"]: r["tp"] for r in out.collect()} == want
+    assert "r_ord" not in plan(out)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 RATES = ("has_speech_rate", "adj_dup_rate", "trigram_repeat_rate", "ellipsis_token_rate", "short_snippet_rate")
+#: Characters of transcripts a task.
+EACH = 1 << 20
 RESPONSES = "file string, chunk long, has_speech boolean, transcript string"
 
 
@@ -15,9 +17,12 @@ def response_rates(responses: DataFrame, short: int = 2) -> DataFrame:
     """(file, responses, has_speech_rate, total_words, adj_dup_rate, trigram_repeat_rate, ellipsis_token_rate, short_snippet_rate) of responses (file, chunk, has_speech, transcript).
 
     A file's text is that of its responses in the order of ``chunk``; words are taken plain and empty ones left out, but for the share of words that hold ``...``. A snippet is a transcript that isn't
-    blank, short with at most ``short`` words. Repeats are counted over a file's words in rows, so no text is put together in one place. Null ``has_speech`` is false.
+    blank, short with at most ``short`` words. Repeats are counted over a file's words in rows, so no text is put together in one place. Files are dealt to as many tasks as
+    the text asks for, so a task's share doesn't grow with it. Null ``has_speech`` is false.
     """
-    said = responses.select("file", "chunk", "has_speech", F.trim(F.coalesce("transcript", F.lit(""))).alias("text")).withColumn("__raw", T.tokens(F.col("text")))
+    size = responses.agg(F.sum(F.length("transcript"))).first()[0] or 0
+    rows = responses.select("file", "chunk", "has_speech", "transcript").repartition(max(1, -(-size // EACH)), "file")
+    said = rows.select("file", "chunk", "has_speech", F.trim(F.coalesce("transcript", F.lit(""))).alias("text")).withColumn("__raw", T.tokens(F.col("text")))
     said = said.withColumn("__w", F.filter(F.transform("__raw", T.plain), lambda t: t != ""))
     snippet = F.size("__raw") > 0
     each = said.groupBy("file").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text
 from parley.operators import clustering, intervals, scoring, sequences
+from parley.streaming import evaluation
 
 SEG = "rec string, ord long, s double, e double, spk string"
 
@@ -210,3 +211,22 @@ def test_greedy_matching_without_pairs(spark, monkeypatch):
             out = scoring.iou_scores(*df, least)
             assert {r["rec"]: r["tp"] for r in out.collect()} == want
     assert "r_ord" not in plan(out)
+
+
+def test_rates_are_dealt_out_by_the_text(spark, monkeypatch):
+    r, rows = random.Random(21), []
+    for k in range(300):
+        rows.append((f"f{k % 9}", k, k % 2 == 0, " ".join(r.choice(["a", "b", "B.", "c...", "--"]) for _ in range(r.randrange(5))) if k % 7 else None))
+    rows += [("short", 1, True, "one"), ("short", 2, True, "..."), ("short", 3, None, "One one")]
+    df = spark.createDataFrame(rows, evaluation.RESPONSES)
+    monkeypatch.setattr(evaluation, "EACH", 100)
+    out = evaluation.response_rates(df)
+    chars = sum(len(x[3] or "") for x in rows)
+    assert out.rdd.getNumPartitions() == -(-chars // 100)  # by the text, not by a setting
+    got = {x["file"]: x for x in out.collect()}
+    for file in {x[0] for x in rows}:
+        words = [w for x in sorted(rows, key=lambda x: x[1]) if x[0] == file for t in (x[3] or "").split() if (w := t.lower().strip(".-"))]
+        grams = list(zip(words, words[1:], words[2:]))
+        assert got[file]["total_words"] == len(words)
+        assert abs(got[file]["adj_dup_rate"] - (sum(a == b for a, b in zip(words, words[1:])) / (len(words) - 1) if len(words) > 1 else 0)) < 1e-12
+        assert abs(got[file]["trigram_repeat_rate"] - ((len(grams) - len(set(grams))) / len(grams) if len(words) >= 6 else 0)) < 1e-12

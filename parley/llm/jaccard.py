@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,13 +64,26 @@ def band_keys(s: np.ndarray) -> list[int]:
     return [int(np.int64(_hash(b"%d:" % b + least[DEPTH * b : DEPTH * (b + 1)].tobytes()) - (1 << 63))) for b in range(BANDS)]
 
 
-def parity(s: np.ndarray) -> bytes:
-    """512 bits, each the parity of the shingles that fall on it: two sets differ by at least as many shingles as their parities by bits."""
-    return np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes()
+def parity(s: np.ndarray, bits: int = 512) -> bytes:
+    """``bits`` (a power of two) bits, each the parity of the shingles that fall on it: two sets differ by at least as many shingles as their parities by bits."""
+    return np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def sketch(s: np.ndarray) -> bytes | None:
+    """The parity of a set of over 512 shingles in as many bits, up to a power of two, as it has shingles; fewer would be full."""
+    return parity(s, 1 << (len(s) - 1).bit_length()) if len(s) > 512 else None
+
+
+def parted(a: bytes, b: bytes) -> int:
+    """By how many shingles at least two sets differ, from their parities. The longer one is folded to the length of the other."""
+    x, y = (np.frombuffer(m, np.uint64) for m in (a, b))
+    least = min(len(x), len(y))
+    x, y = (m if len(m) == least else np.bitwise_xor.reduce(m.reshape(-1, least)) for m in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, rid, bands, parity, common, times): the set's hash (null for the empty set), its min-hash bands, and on the first row of a batch the
+    """(doc_id, n_shingles, rid, bands, parity, sketch, common, times): the set's hash (null for the empty set), its min-hash bands, its parities, and on the first row of a batch the
     shingles that several of the batch's sets have, with how many."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -82,12 +96,12 @@ def profile(docs: DataFrame) -> DataFrame:
             often = times > 1
             rest = [None] * (len(sets) - 1)
             columns = [
-                table.column("doc_id").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(rids, pa.int64()), pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.binary()),
+                table.column("doc_id").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(rids, pa.int64()), pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()),
                 pa.array([every[often].tobytes(), *rest], pa.binary()), pa.array([times[often].astype("<i8").tobytes(), *rest], pa.binary()),
             ]
-            yield from pa.table(columns, names=["doc_id", "n_shingles", "rid", "bands", "parity", "common", "times"]).to_batches()
+            yield from pa.table(columns, names=["doc_id", "n_shingles", "rid", "bands", "parity", "sketch", "common", "times"]).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, rid long, bands array<long>, parity binary, common binary, times binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, rid long, bands array<long>, parity binary, sketch binary, common binary, times binary")
 
 
 def frequent(profiled: DataFrame, least: int = 8, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -218,6 +232,26 @@ def block_pairs(listed: DataFrame, percent: int, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
+def possible(pairs: DataFrame, reps: DataFrame, family: DataFrame, percent: int, most: int = 2_000_000) -> DataFrame:
+    """The stored ``pairs`` (a, b) of pivots whose answer can matter: by their parities they may link themselves, or some of their members may. What is left out has no link."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    few = pairs.count() <= most  # then twice as many ids fit a broadcast of some 50 MB
+    reach = family.where("rid <> pivot").groupBy(F.col("pivot").alias("rid")).agg(F.max("plus").alias("plus"), F.min("n").alias("least"))
+    facts = reps.select("rid", "n", F.coalesce("sketch", "parity").alias("mark")).join(F.broadcast(ids) if few else ids, "rid", "left_semi").join(reach, "rid", "left")
+    facts = facts.select("rid", "n", "mark", F.coalesce("plus", F.lit(0)).alias("plus"), F.least("n", "least").alias("least"))
+    side = lambda x: facts.select(F.col("rid").alias(x), *[F.col(c).alias(c + x) for c in ("n", "mark", "plus", "least")])
+
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([parted(x, y) for x, y in zip(a, b)], dtype="int64")
+
+    # what two sets of n and m shingles can share at most, and what members may share besides
+    shared = (F.col("na") + F.col("nb") - F.pandas_udf(apart, "long")("marka", "markb")) / 2
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared)
+    may = lambda o, n, m: o * (100 + percent) >= (F.col(n) + F.col(m)) * percent
+    more = F.col("plusa") + F.col("plusb")
+    return met.where(may(F.col("shared"), "na", "nb") | ((more > 0) & may(F.col("shared") + more, "leasta", "leastb"))).select("a", "b")
+
+
 def _until(s, least, most, starts, ends, percent) -> np.ndarray:
     out = np.repeat(ends, ends - starts)
     for a, b in zip(starts[ends - starts > 64], ends[ends - starts > 64]):
@@ -322,18 +356,18 @@ def sharing(near: DataFrame, percent: int) -> DataFrame:
 
 
 def represented(sets: DataFrame, cell: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
-    """The distinct sets (rid, doc_id, n, parity, cell), and (rid, n, band, score) of their min-hash bands that several have, both stored.
+    """The distinct sets (rid, doc_id, n, parity, sketch, cell), and (rid, n, band, score) of their min-hash bands that several have, both stored.
 
     A set's score is how many sets its bands are shared with. Its cell is that of its most shared band, which is cut into as many as hold about ``cell`` shingles each; a set that shares none is a cell of its own.
     """
-    reps = stage(sets.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"), F.min("parity").alias("parity")), "sets-of-docs")
+    reps = stage(sets.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"), F.min("parity").alias("parity"), F.min("sketch").alias("sketch")), "sets-of-docs")
     banded = reps.select("rid", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1")
     banded = stage(banded.join(shared, "band"), "bands")
     facts = banded.groupBy("rid").agg(F.sum("c").alias("score"), F.max(F.struct("c", "band", "w")).alias("x"))
     alike = F.pmod(F.xxhash64("rid"), F.ceil(F.col("x.w") / cell))
     facts = stage(facts.select("rid", "score", F.xxhash64("x.band", alike).alias("cell")), "cells")
-    out = stage(reps.join(facts.select("rid", "cell"), "rid", "left").select("rid", "doc_id", "n", "parity", F.coalesce("cell", "rid").alias("cell")), "reps")
+    out = stage(reps.join(facts.select("rid", "cell"), "rid", "left").select("rid", "doc_id", "n", "parity", "sketch", F.coalesce("cell", "rid").alias("cell")), "reps")
     near = stage(banded.select("rid", "n", "band").join(facts.select("rid", "score"), "rid"), "near")
     discard(reps, banded, facts)
     return out, near
@@ -375,8 +409,10 @@ def jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     listed = entries.join(family.select("rid", "n", "pivot", "kin"), "rid")
     flat = listed.where("not long").select("s", "pos", "n", "pivot", "kin", F.lit(None).cast("binary").alias("parity"))
     listed = stage(flat.union(listed.where("long").join(reps.select("rid", "parity"), "rid").select("s", "pos", "n", "pivot", "kin", "parity")), "lists")
-    pairs = stage(block_pairs(listed, percent, max(256, listed.count() // 20_000)), "block-pairs")
+    met = stage(block_pairs(listed, percent, max(256, listed.count() // 20_000)), "block-pairs")
     discard(listed, entries)
+    pairs = stage(possible(met, reps, family, percent), "possible-pairs")  # most have long texts in common parts only, and would send their sets far
+    discard(met)
     second = overlaps(docs, reps, pairs)
     links = sized(second).where(like(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b")
 

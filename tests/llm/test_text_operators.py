@@ -302,3 +302,27 @@ def test_long_lists_are_pruned_by_parity(docs, monkeypatch):
     a, b = np.arange(1000, dtype=np.uint64) << np.uint64(20), np.arange(37, 1020, dtype=np.uint64) << np.uint64(20)
     apart = np.bitwise_count(np.frombuffer(jaccard.parity(a), np.uint8) ^ np.frombuffer(jaccard.parity(b), np.uint8)).sum()
     assert 0 < apart <= 57
+
+
+def test_long_texts_with_a_common_part_are_told_apart_by_their_parities(spark, monkeypatch):
+    rng = random.Random(31)
+    words = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n))
+    common = words(500)
+    rows = [(i, f"{common} {words(1200)}") for i in range(5)]  # too few for the common part to be frequent
+    rows += [(5, rows[3][1] + " and more")]
+    met, compared = [], jaccard.compared
+    monkeypatch.setattr(jaccard, "compared", lambda docs, reps, pairs, *a: met.append(pairs.count()) or compared(docs, reps, pairs, *a))
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_components(rows))
+    assert sum(met) <= 3  # all ten pairs of the five different texts share shingles, and no two of them can link
+
+
+def test_parities_of_any_length_never_tell_more_than_the_difference():
+    rng = np.random.default_rng(5)
+    every = np.unique(rng.integers(0, 1 << 63, 9000, dtype=np.uint64))
+    marks = lambda s: jaccard.sketch(s) or jaccard.parity(s)
+    assert jaccard.sketch(every[:512]) is None and len(jaccard.sketch(every[:513])) == 128
+    for n, m, first in ((400, 700, 0), (2000, 2100, 30), (8000, 9000, 0), (600, 5000, 500), (3000, 3000, 6000)):
+        a, b = every[:n], every[first : first + m]
+        assert jaccard.parted(marks(a), marks(b)) <= len(np.setxor1d(a, b))
+    assert jaccard.parted(marks(every[:3000]), marks(every[6000:9000])) > (3000 + 3000) // 9  # enough to rule a link out

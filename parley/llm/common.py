@@ -188,8 +188,21 @@ class Codes(dict):
         return value
 
 
-def batches(frames: Iterator[pa.RecordBatch], limit: int = 8 << 20, column: str = "text") -> Iterator[pa.Table]:
-    """Regroup record batches into tables of about ``limit`` bytes of ``column``, so that a batch of long texts stays small and one of short texts is worth its overhead."""
+KEPT: dict = {}
+
+
+def kept(name: str, make: Callable):
+    """What ``make`` makes, once in a Python worker: kept for tasks to come until ``batches`` begins one that doesn't ``keep`` that name."""
+    if name not in KEPT:
+        KEPT[name] = make()
+    return KEPT[name]
+
+
+def batches(frames: Iterator[pa.RecordBatch], limit: int = 8 << 20, column: str = "text", keep: str | None = None) -> Iterator[pa.Table]:
+    """Regroup record batches into tables of about ``limit`` bytes of ``column``, so that a batch of long texts stays small and one of short texts is worth its overhead.
+    What other operators have ``kept`` in this worker goes."""
+    for name in [n for n in KEPT if n != keep]:
+        del KEPT[name]
     release()  # what the task before left in this worker
     held, size = [], 0
     for frame in frames:

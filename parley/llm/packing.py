@@ -13,14 +13,13 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Codes, batches, stage
+from .common import Codes, batches, kept, stage
 
 CAPACITY = 4096
 END_ID = 1
@@ -139,12 +138,6 @@ class WordIds(Codes):
         return self.encode(word)
 
 
-@lru_cache(1)
-def words_of(vocabulary: str) -> WordIds:
-    """Kept by a Python worker from task to task."""
-    return WordIds(vocabulary)
-
-
 def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces (key, piece, start, length, ids_crc32[, ids]) of the token ids of whole texts, each text's ids ended by ``end_id``.
 
@@ -155,9 +148,10 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
     schema = f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words_of(vocabulary)
+        name = f"words of {vocabulary}"
+        known = kept(name, lambda: WordIds(vocabulary))
         end = np.array([end_id], dtype="<u4").tobytes()
-        for frame in batches(frames, 4 << 20, text):
+        for frame in batches(frames, 4 << 20, text, name):
             ids = {c: [] for c in ("row", "piece", "start", "length", "ids_crc32", "ids")}
             for row, body in enumerate(frame.column(text).to_pylist()):
                 codes = known.text(body or "") + end

@@ -326,3 +326,9 @@ def test_parities_of_any_length_never_tell_more_than_the_difference():
         a, b = every[:n], every[first : first + m]
         assert jaccard.parted(marks(a), marks(b)) <= len(np.setxor1d(a, b))
     assert jaccard.parted(marks(every[:3000]), marks(every[6000:9000])) > (3000 + 3000) // 9  # enough to rule a link out
+
+
+def test_a_worker_keeps_what_it_has_made_for_its_own_operator_only():
+    common.kept("words", dict)["a"] = 1
+    assert list(common.batches(iter([]), keep="words")) == [] and common.kept("words", dict) == {"a": 1}
+    assert list(common.batches(iter([]))) == [] and not common.KEPT

@@ -11,12 +11,16 @@ from ..functions.vectors import dot, unit
 from .speakers import average_linkage, graph_components
 
 
-def cells(rows: DataFrame, columns: list[str], key: str, block: int) -> DataFrame:
-    """Each row with its block (own) once for each pair of blocks (p <= q) that it is in, so that any two rows meet in a pair."""
-    parts = max(1, -(-rows.count() // block))
+def cells(rows: DataFrame, columns: list[str], key: str, parts: int) -> DataFrame:
+    """Each row with its block (own, of ``parts``) once for each pair of blocks (p <= q) that it is in, so that any two rows meet in a pair, whose number is ``cell``. Up to 4096 pairs each have a partition of their own."""
     own = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda t: F.struct(F.least(t, F.col("own")).alias("p"), F.greatest(t, F.col("own")).alias("q")))
-    return rows.select(*columns, own.alias("own")).withColumn("cell", F.explode(pairs)).select(*columns, "own", "cell.p", "cell.q")
+    met = rows.select(*columns, own.alias("own")).withColumn("cell", F.explode(pairs)).select(*columns, "own", "cell.p", "cell.q")
+    return met.withColumn("cell", (F.col("q") * (F.col("q") + 1) / 2 + F.col("p")).cast("int")).repartitionById(min(4096, parts * (parts + 1) // 2), F.col("cell"))
+
+
+def blocks(rows: DataFrame, block: int) -> int:
+    return max(1, -(-rows.count() // block))
 
 
 def joined(n: int, a: np.ndarray, b: np.ndarray, s: np.ndarray | None = None, tree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +112,12 @@ class _Forest:
             self.settle()
 
 
-def spanning_links(rows: DataFrame, least: float, key: str = "vec_id", block: int = 16_384, levels: list[float] | None = None, tile: int = 1 << 21) -> DataFrame:
+def spanning_links(rows: DataFrame, least: float, key: str = "vec_id", block: int = 16_384, levels: list[float] | None = None, tile: int = 1 << 21, fan: int = 8, most: int = 1 << 20) -> DataFrame:
     """(a, b, score): links whose components are those of all pairs with a cosine of s or more, for every s from ``least`` on, or for those in ``levels``, to which scores are then lowered.
 
     Each pair of blocks gives the maximum spanning forest of the pairs between them, so a cell returns fewer links than it has vectors and not all its near pairs. A task holds ``tile`` scores at a time, and looks
-    closer only at those that can still change its forest.
+    closer only at those that can still change its forest. Forests of neighbouring pairs of blocks are joined, ``fan`` by ``fan`` of them at a time, while a task has no more than ``most`` vectors, so what is returned
+    doesn't grow with the number of pairs. Equal vectors are compared once, and each is linked to the first.
     """
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,31 +128,61 @@ def spanning_links(rows: DataFrame, least: float, key: str = "vec_id", block: in
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
         found = _Forest(len(x), least, levels, max(4096, len(x)))
         wide = max(1, tile // max(1, len(right)))
+        # single precision rules pairs out; what is within its error of a floor is looked at in double precision
+        y, slack = x.astype(np.float32), (x.shape[1] + 8) * 1.2e-7
         # a few rows at first, as all their pairs are looked at
         firsts = [0, *range(min(8, wide), len(left), wide)] if len(left) and len(right) else []
         for first, end in zip(firsts, [*firsts[1:], len(left)]):
             mine, theirs = left[first:end], right[first:] if p == q else right
-            score = x[mine] @ x[theirs].T
+            rough = y[mine] @ y[theirs].T
             if p == q:
-                score[np.tril_indices(len(mine), 0, len(theirs))] = -np.inf
+                rough[np.tril_indices(len(mine), 0, len(theirs))] = -np.inf
             if first:
-                j = np.where(np.isnan(score), -np.inf, score).argmax(axis=1) if np.isnan(score[:, 0]).any() or np.isnan(score[0]).any() else score.argmax(axis=1)
-                found.hang(mine, theirs[j], score[np.arange(len(mine)), j])
-            near = score >= found.floor[theirs][None, :]
-            near |= score >= found.floor[mine][:, None]
+                j = np.where(np.isnan(rough), -np.inf, rough).argmax(axis=1) if np.isnan(rough[:, 0]).any() or np.isnan(rough[0]).any() else rough.argmax(axis=1)
+                best = np.einsum("ij,ij->i", x[mine], x[theirs[j]])
+                found.hang(mine, theirs[j], np.where(rough[np.arange(len(mine)), j] > -np.inf, best, -np.inf))
+            low = (found.floor - 2 * slack).astype(np.float32)
+            near = rough >= low[theirs][None, :]
+            near |= rough >= low[mine][:, None]
+            if p == q:
+                near &= rough > -np.inf
             i, j = np.divmod(np.flatnonzero(near), len(theirs))
-            found.add(mine[i], theirs[j], score[i, j])
+            score = (x[mine] @ x[theirs].T)[i, j] if len(i) * x.shape[1] > near.size else np.einsum("ij,ij->i", x[mine[i]], x[theirs[j]])
+            sure = (score >= found.floor[theirs[j]]) | (score >= found.floor[mine[i]])
+            found.add(mine[i[sure]], theirs[j[sure]], score[sure])
             if not first:
                 found.settle()
         found.settle()
         a, b, s = found.held
-        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "score": s})
-
-    dealt = cells(rows.select(F.col(key).alias("id"), "v"), ["id", "v"], "id", block)
-    return dealt.groupBy("p", "q").applyInPandas(forest, "a long, b long, score double")
-
-
-def nested_components(links: DataFrame, nodes: DataFrame, steps: int, folder: str, key: str = "vec_id", most: int = 65_536) -> DataFrame:
+        return pd.DataFrame({"p": p, "q": q, "a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "score": s})
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
+        at = at.reshape(-1, 2)
+        return pdf.iloc[joined(len(ids), at[:, 0], at[:, 1], pdf["score"].to_numpy())[0]]
+
+    def equal(frames):
+        for pdf in frames:
+            x = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.empty((0, 1))
+            size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            s = ((x / np.where(size == 0, 1, size)) ** 2).sum(axis=1).round(12)  # 1, or 0 without a direction
+            if levels is not None:
+                s = np.array([max((y for y in levels if y <= z), default=-np.inf) for z in s], dtype=float)
+            yield pdf.assign(score=s)[["a", "b", "score"]][s >= least]
+
+    every = rows.select(F.col(key).alias("id"), "v")
+    firsts = every.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    parts, wide = blocks(firsts, block), 1
+    links = cells(firsts, ["id", "v"], "id", parts).groupBy("cell").applyInPandas(forest, "p int, q int, a long, b long, score double")
+    while wide < parts and wide * fan * block <= most:
+        wide *= fan
+        near = [F.floor(F.col(c) / fan).cast("int").alias(c) for c in ("p", "q")]
+        links = links.select(*near, "a", "b", "score").groupBy("p", "q").applyInPandas(merged, links.schema)
+    copies = firsts.where("n > 1").select("v", F.col("id").alias("a")).join(every.select("v", F.col("id").alias("b")), "v").where("a <> b")
+    return links.select("a", "b", "score").unionByName(copies.select("a", "b", "v").mapInPandas(equal, "a long, b long, score double"))
+
+
+def nested_components(links: DataFrame, nodes: DataFrame, steps: int, folder: str, key: str = "vec_id", most: int = 1 << 20) -> DataFrame:
     """(key, first, components): the smallest node reachable by links (a, b, step) of each step 0 to ``steps`` - 1 or earlier ones, and the first step at which there is a link at all.
 
     Each link is looked at once: at its step its ends are the components of the step before. Steps of no more than ``most`` links together are one group, larger ones spread labels in rounds.
@@ -190,11 +225,14 @@ def nested_components(links: DataFrame, nodes: DataFrame, steps: int, folder: st
                 part = part.join(labels.select(F.col("id").alias(end), F.col("now").alias("__now")), end).withColumn(end, F.col("__now")).drop("__now")
         part = part.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("step").alias("step"))
         if n <= most:
-            to = F.broadcast(part.withColumn("__all", F.lit(True)).groupBy("__all").applyInPandas(solved(group), "node long, to array<long>"))  # up to twice ``most`` rows
-            after = labels.join(to, F.col("now") == F.col("node"), "left")
+            to = part.withColumn("__all", F.lit(True)).groupBy("__all").applyInPandas(solved(group), "node long, to array<long>")  # up to twice ``most`` rows
         else:
             met = part.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            to = graph_components(part, met, f"{folder}/step-{group[0]}", "node").select("node", F.array("component").alias("to"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+            to = graph_components(part, met, f"{folder}/step-{group[0]}", "node").select("node", F.array("component").alias("to"))
+        if n <= 65_536:
+            after = labels.join(F.broadcast(to), F.col("now") == F.col("node"), "left")
+        else:
+            to = to.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
             # one component may have nearly all nodes
             after = labels.join(to, (F.col("now") == F.col("node")) & (F.pmod(F.xxhash64("id"), F.lit(16)).cast("int") == F.col("salt")), "left")
         after = after.select("id", "first", "c", F.coalesce("to", same).alias("to")).select("id", "first", F.concat("c", "to").alias("c"), F.element_at("to", -1).alias("now"))
@@ -280,7 +318,7 @@ def euclidean_silhouette(rows: DataFrame, key: str = "vec_id", label: str = "lab
         return pd.concat(out) if out else pd.DataFrame(columns=["id", "label", "other", "d"])
 
     named = rows.select(F.col(key).alias("id"), F.col(label).alias("label"), "v").where("label is not null")
-    far = cells(named, ["id", "label", "v"], "id", block).groupBy("p", "q").applyInPandas(sums, f"id long, label {kind}, other {kind}, d double")
+    far = cells(named, ["id", "label", "v"], "id", blocks(named, block)).groupBy("cell").applyInPandas(sums, f"id long, label {kind}, other {kind}, d double")
     sizes = named.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n"))
     means = far.groupBy("id", "label", "other").agg(F.sum("d").alias("d")).join(sizes, "other")
     own = F.col("label") == F.col("other")

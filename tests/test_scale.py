@@ -178,6 +178,36 @@ def test_distance_search_looks_at_a_link_once(spark, tmp_path, monkeypatch):
     assert inspect.signature(spans).parameters["block"].default >= 16_384
 
 
+def test_forests_of_blocks_are_joined(spark, monkeypatch):
+    r = random.Random(33)
+    plain = [[r.gauss(0, 1) for _ in range(4)] for _ in range(40)] + [[0.0] * 4, [float("nan")] * 4]
+    # cosines a billionth above and below a level, nearer than single precision tells apart
+    turn = lambda c, k: [c * 10**k, (1 - c * c) ** 0.5 * 10**k, 0.0, 0.0]
+    vectors = [v for v in plain for _ in range(3)] + [[1.0, 0.0, 0.0, 0.0], turn(0.9 + 1e-9, 0), turn(0.9 - 1e-9, 3), turn(-0.5 - 1e-9, 1)]
+    rows = [(k * 5 - 100, v) for k, v in enumerate(r.sample(vectors, len(vectors)))]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    size = lambda v: sum(x * x for x in v) ** 0.5 or 1.0
+    cosines = {(i, j): 1.0 if a == b and any(x * x > 0 for x in a) else sum(x * y for x, y in zip(a, b)) / size(a) / size(b) for i, a in rows for j, b in rows if i < j}
+
+    def components(links):
+        label = {i: i for i, _ in rows}
+        while any(label[i] != label[j] for i, j in links):
+            for i, j in links:
+                label[i] = label[j] = min(label[i], label[j])
+        return label
+
+    dealt, real = [], clustering.cells
+    monkeypatch.setattr(clustering, "cells", lambda rows, *more: dealt.append(rows.count()) or real(rows, *more))
+    levels = [0.9, 0.6, 0.0, -0.5]
+    for block, fan, most in ((8, 8, 1 << 20), (4, 2, 40), (1000, 8, 1 << 20)):
+        for given in (levels, None):
+            links = clustering.spanning_links(df, -0.5, block=block, levels=given, fan=fan, most=most).collect()
+            for x in levels:
+                assert components([(s["a"], s["b"]) for s in links if s["score"] >= x]) == components([p for p, c in cosines.items() if c >= x])
+            assert most == 40 or len(links) < len(rows)  # not a forest for each pair of blocks
+    assert set(dealt) == {len({str(v) for v in vectors})}  # equal vectors are compared once
+
+
 def test_overlap_texts_without_a_table_of_pairs(spark, monkeypatch):
     rows = dense(16, 90) + [("x", 2000, 0.0, 55.0, "a"), ("x", 2001, None, 1.0, "a"), ("y", 2002, 30.0, 29.0, "a"), ("x", 2003, 900.0, 901.0, "a"), (None, 2004, 1.0, 2.0, "a"), ("y", None, 5.0, 9.0, "b"), ("x", 2005, 4.0, 5.0, "c"), ("x", 2005, 50.0, 51.0, "c")]
     others = dense(17, 90)

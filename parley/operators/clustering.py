@@ -232,9 +232,10 @@ def nested_components(links: DataFrame, nodes: DataFrame, steps: int, folder: st
         if n <= 65_536:
             after = labels.join(F.broadcast(to), F.col("now") == F.col("node"), "left")
         else:
-            to = to.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-            # one component may have nearly all nodes
-            after = labels.join(to, (F.col("now") == F.col("node")) & (F.pmod(F.xxhash64("id"), F.lit(16)).cast("int") == F.col("salt")), "left")
+            # one component may have nearly all nodes, but each node is one of its own before the first step
+            salts = 16 if group[0] else 1
+            to = to.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            after = labels.join(to, (F.col("now") == F.col("node")) & (F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int") == F.col("salt")), "left")
         after = after.select("id", "first", "c", F.coalesce("to", same).alias("to")).select("id", "first", F.concat("c", "to").alias("c"), F.element_at("to", -1).alias("now"))
         after.write.mode("overwrite").parquet(f"{folder}/labels-{group[0]}")
         labels = spark.read.parquet(f"{folder}/labels-{group[0]}")

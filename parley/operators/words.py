@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from ..functions import text as T
 from .intervals import speaker_at
 
 BLANK = "[BLANK_AUDIO]"
+#: Characters of texts a task.
+EACH = 1 << 20
 
 
 def timed_words(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -72,26 +75,69 @@ def call_words(segments: DataFrame) -> DataFrame:
     return calls.select("session", F.col("call").alias("ord"), "s", part("word").alias("words"), part("ws").alias("starts"), part("we").alias("ends"))
 
 
-def with_phonemes(segments: DataFrame, dictionary: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def with_phonemes(segments: DataFrame, dictionary: DataFrame, keys: list[str], text: str = "text", most: int = 1 << 18, most_chars: int = 1 << 24) -> DataFrame:
     """Segments with s and e as doubles (null is 0) and ``phonemes``, from a dictionary (word, phonemes) in lower case; all other columns and every row stay. ``keys`` tell rows apart.
 
-    A word is read from left to right by the longest entry that fits at each place; letters that begin none have no sound. Null and blank texts give "". Each different word is looked up once: its pieces, none
-    longer than the longest entry, are joined with the dictionary, so neither has to fit into one task's memory.
+    A word is read from left to right by the longest entry that fits at each place; letters that begin none have no sound. Null and blank texts give "". A dictionary of at most ``most`` entries and ``most_chars``
+    characters is sent to all tasks, which read texts where they lie; a larger one is joined with the pieces of words.
     """
     entries = dictionary.where("word is not null and word <> ''").groupBy(F.lower("word").alias("__piece")).agg(F.min("phonemes").alias("__sound"))
-    longest = entries.agg(F.max(F.length("__piece"))).first()[0] or 0
-    words = segments.select(*keys, F.posexplode(T.tokens(F.lower(F.col(text)))).alias("__pos", "__word"))
+    size = entries.agg(F.max(F.length("__piece")).alias("longest"), F.count("*").alias("n"), F.sum(F.length("__piece") + F.coalesce(F.length("__sound"), F.lit(0))).alias("chars")).first()
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    rows, words = segments.withColumns({"s": number("s"), "e": number("e")}), T.tokens(F.lower(F.col(text)))
+    if size["n"] <= most and (size["chars"] or 0) <= most_chars:
+        return rows.withColumn("phonemes", _read(dict(entries.collect()))(words))
+    chars = segments.agg(F.sum(F.length(text))).first()[0] or 0
+    spoken = _joined_phonemes(segments.select(*keys, F.posexplode(words).alias("__pos", "__word")), entries, keys, size["longest"], chars)
+    return rows.join(spoken, keys, "left").withColumn("phonemes", F.coalesce("phonemes", F.lit("")))
+
+
+def _read(sounds: dict):
+    lengths: dict = {}
+    for n in sorted({len(p) for p in sounds}, reverse=True):
+        for first in {p[0] for p in sounds if len(p) == n}:
+            lengths.setdefault(first, []).append(n)
+
+    def said(word: str) -> str | None:
+        at, found, end = 0, [], len(word)
+        while at < end:
+            n = next((n for n in lengths.get(word[at], ()) if at + n <= end and word[at : at + n] in sounds), 0)
+            if n:
+                found.append(sounds[word[at : at + n]])
+            at += n or 1
+        return " ".join(x for x in found if x is not None) if found else None
+
+    def read(texts: pd.Series) -> pd.Series:
+        known: dict = {}  # of a batch
+        out = []
+        for words in texts:
+            listed = []
+            for w in words if words is not None else ():
+                if w not in known:
+                    known[w] = said(w)
+                if known[w] is not None:
+                    listed.append(known[w])
+            out.append(" ".join(listed))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(read, "string")
+
+
+def _joined_phonemes(words: DataFrame, entries: DataFrame, keys: list[str], longest: int, chars: int) -> DataFrame:
+    """(keys, phonemes): each different word is looked up once; its pieces, none longer than the longest entry, are joined with the dictionary, so neither has to fit into one task's memory. Tasks are as many as the text asks for."""
+    parts = max(1, -(-chars // EACH))
+    words = words.repartition(parts, "__word")
     vocabulary = words.select("__word").distinct()
     starts = vocabulary.select("__word", F.explode(F.sequence(F.lit(1), F.length("__word"))).alias("i"))
     room = F.least(F.lit(longest), F.length("__word") - F.col("i") + 1)
     pieces = starts.where(room > 0).select("__word", "i", F.explode(F.sequence(F.lit(1), room)).alias("n")).withColumn("__piece", F.substr("__word", F.col("i"), F.col("n")))
+    pieces = pieces.repartition(parts * min(longest, 32), "__piece")
     found = F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("n"), "__sound")))
     # the first piece at or after the place that is free, and of those at one place the longest
     taken = F.aggregate(
         "x", F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("said")),
         lambda a, p: F.when(p["i"] >= a["free"], F.struct((p["i"] - p["n"]).alias("free"), F.concat(a["said"], F.array(p["__sound"])).alias("said"))).otherwise(a), lambda a: F.array_join(a["said"], " "),
     )
-    sounds = pieces.join(entries, "__piece").groupBy("__word").agg(found.alias("x")).select("__word", taken.alias("__said"))
-    spoken = words.join(sounds, "__word").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__said"))), lambda x: x["__said"]), " ").alias("phonemes"))
-    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    return segments.withColumns({"s": number("s"), "e": number("e")}).join(spoken, keys, "left").withColumn("phonemes", F.coalesce("phonemes", F.lit("")))
+    sounds = pieces.join(entries, "__piece").repartition(parts, "__word").groupBy("__word").agg(found.alias("x")).select("__word", taken.alias("__said"))
+    spoken = words.join(sounds, "__word").repartition(parts, *keys).groupBy(*keys)
+    return spoken.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__said"))), lambda x: x["__said"]), " ").alias("phonemes"))

@@ -2,11 +2,12 @@
 
 import inspect
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators import clustering, intervals, scoring, sequences
+from parley.operators import clustering, intervals, scoring, sequences, words
 from parley.streaming import evaluation
 
 SEG = "rec string, ord long, s double, e double, spk string"
@@ -260,3 +261,29 @@ def test_rates_are_dealt_out_by_the_text(spark, monkeypatch):
         assert got[file]["total_words"] == len(words)
         assert abs(got[file]["adj_dup_rate"] - (sum(a == b for a, b in zip(words, words[1:])) / (len(words) - 1) if len(words) > 1 else 0)) < 1e-12
         assert abs(got[file]["trigram_repeat_rate"] - ((len(grams) - len(set(grams))) / len(grams) if len(words) >= 6 else 0)) < 1e-12
+
+
+def test_phonemes_without_rows_of_words(spark, monkeypatch):
+    r = random.Random(24)
+    word = lambda: "".join(r.choice("abcé\U0001f600") for _ in range(r.randrange(1, 9)))
+    entries = {word()[: r.randrange(1, 5)]: r.choice(["X", "Y Z", "", None]) for _ in range(60)}
+    rows = [(k, None if k % 9 == 0 else "\u00a0 ".join([word().upper() if k % 4 else word() for _ in range(r.randrange(30))]) + r.choice(["", " ", "\t\n\x0b"]), 0, 1) for k in range(80)] + [(None, "abc ab", None, None)]
+    df = spark.createDataFrame(rows, "id long, text string, s int, e int")
+    dictionary = spark.createDataFrame(list(entries.items()), "word string, phonemes string")
+
+    def plain(word):
+        at, said = 0, []
+        while at < len(word):
+            n = next((n for n in range(len(word) - at, 0, -1) if word[at : at + n] in entries), 0)
+            said += [entries[word[at : at + n]]] if n else []
+            at += n or 1
+        return [" ".join(x for x in said if x is not None)] if said else []
+
+    want = {k: " ".join(x for w in re.findall(r"[^ \t\n\x0b\f\r]+", (t or "").lower()) for x in plain(w)) for k, t, *_ in rows}
+    monkeypatch.setattr(words, "EACH", 300)
+    sent = words.with_phonemes(df, dictionary, ["id"])
+    assert "Exchange" not in plan(sent)  # texts are read where they lie
+    assert {x["id"]: x["phonemes"] for x in sent.collect()} == want
+    for limits in ({"most": 3}, {"most_chars": 20}):
+        got = {x["id"]: x["phonemes"] for x in words.with_phonemes(df, dictionary, ["id"], **limits).collect()}
+        assert len(got) == len(want) and all(got[k] == want[k] for k in want if k is not None)

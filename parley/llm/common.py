@@ -238,8 +238,13 @@ def by_bucket(buckets: np.ndarray, count: int, **columns: np.ndarray) -> dict[st
 
 
 def unpack(column, dtype) -> np.ndarray:
-    """The concatenated arrays of a packed binary column."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype)
+    """The concatenated arrays of a packed binary column, copied once."""
+    parts = [np.zeros(0, np.uint8)]
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        ends = np.frombuffer(chunk.buffers()[1] or bytes(4), np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk) and ends[-1] > ends[0]:
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+    return np.concatenate(parts).view(dtype)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 LETTERS = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 P = np.uint64(0x9E3779B97F4A7C15)
 REMOVALS = "n_bytes long, n_removed long, n_spans long"
+#: Bytes of grams in a bucket, and occurrences that are grouped at once: what a task holds doesn't grow with the input.
+BUCKET, SLICE = 2 << 20, 1 << 15
 
 
 def _slide(x: np.ndarray, of) -> np.ndarray:
@@ -58,8 +60,8 @@ def anchors(held: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, mix64(h[at] + P)  # least hashes are small: mixed again, they fill all buckets
 
 
-def _chunks(frames, least: int = 1 << 19):
-    """(ids, starts and ends of the texts, their bytes) of about half a megabyte of texts with an id."""
+def _chunks(frames, least: int = 1 << 18):
+    """(ids, starts and ends of the texts, their bytes) of about a quarter of a megabyte of texts with an id; a byte takes some hundred while its grams are hashed."""
     for table in batches(frames, least, "body"):
         table = table.combine_chunks()
         texts = [t if t else b"" for t in table.column("body").to_pylist()]
@@ -207,7 +209,7 @@ def occurrences(docs: DataFrame, filtered: tuple[int, np.ndarray], bits: int) ->
                 context[i, LEFT + right[i] :] = 0
             held.append((h, ids[which].astype(np.int64), at - starts[which], left, right, context))
             count += len(at)
-            if count > 100_000:
+            if count > 60_000:
                 yield from send(*(np.concatenate(c) for c in zip(*held)))
                 held, count = [], 0
         if held:
@@ -246,28 +248,29 @@ def repeat_groups(h: np.ndarray, doc: np.ndarray, place: np.ndarray, sides: np.n
     ``order`` sorts the occurrences, and ``group`` numbers, in that order, those that share the bytes from t before the anchor to LENGTH - t after it (-1: alone in its
     interval). ``maximal``: flags by group, whether the bytes one further left differ (or a text begins).
     """
-    right = context[:, LEFT:]
-    order = np.lexsort((*right.T[::-1], h))
+    wide = np.zeros((len(h), -(-LENGTH // 8) * 8), dtype=np.uint8)
+    wide[:, :LENGTH] = context[:, LEFT:]
+    order = np.lexsort((*wide.view(">u8").astype(np.uint64).T[::-1], h))
+    del wide
     h, doc, sides, context = h[order], doc[order], sides[order].astype(np.int64), context[order]
     right = context[:, LEFT:]
     differ = right[1:] != right[:-1]
     lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
     lcp = np.minimum(lcp, np.minimum(sides[1:, 1], sides[:-1, 1]))
     lcp = np.where(h[1:] == h[:-1], lcp, 0)
-    node = np.full((LEFT + 1, len(h)), -1, dtype=np.int64)
+    del differ
+    node = np.full((LEFT + 1, len(h)), -1, dtype=np.int32)
     for number, (prefix, parent, first, last) in enumerate(intervals(np.append(0, lcp))):
         # for these lengths to the left, this interval and not a larger one is what shares enough to the right
         node[max(0, LENGTH - prefix) : max(0, LENGTH - parent), first : last + 1] = number
     lefts = np.zeros(len(h), dtype=np.uint64)
-    keys = [lefts]
-    for t in range(1, LEFT + 1):
-        lefts = mix64(lefts * P + context[:, LEFT - t].astype(np.uint64) + np.uint64(1))
-        keys.append(lefts)
     for t in range(LEFT + 1):
+        if t:
+            lefts = mix64(lefts * P + context[:, LEFT - t].astype(np.uint64) + np.uint64(1))
         found = np.flatnonzero((node[t] >= 0) & (sides[:, 0] >= t))
         if not len(found):
             continue
-        some, back = np.unique(mix64(keys[t][found] + node[t][found].astype(np.uint64) * P), return_inverse=True)
+        some, back = np.unique(mix64(lefts[found] + node[t][found].astype(np.uint64) * P), return_inverse=True)
         group = np.full(len(h), -1, dtype=np.int64)
         group[found] = back
         before = np.where(sides[found, 0] > t, context[found, max(0, LEFT - t - 1)].astype(np.int64), -1 - np.arange(len(found)))
@@ -277,24 +280,52 @@ def repeat_groups(h: np.ndarray, doc: np.ndarray, place: np.ndarray, sides: np.n
         yield t, order, group, low != high
 
 
+class Spans:
+    """Spans (ids, start, end) as their unions: those added since are merged when they are many, so that no more than the unions and ``most`` others are held."""
+
+    def __init__(self, most: int):
+        self.held, self.fresh, self.most = [(np.zeros(0, np.int64),) * 3], 0, most
+
+    def add(self, *spans: np.ndarray) -> None:
+        self.held.append(spans)
+        self.fresh += len(spans[0])
+        if self.fresh > max(self.most, len(self.held[0][0])):
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.held, self.fresh = [_merge(*(np.concatenate(c) for c in zip(*self.held)))], 0
+        return self.held[0]
+
+
+def slices(h: np.ndarray, most: int = SLICE) -> Iterator[np.ndarray]:
+    """Places in ``h`` of the values that occur more than once: all of a value are in one slice, of ``most`` or of one value."""
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]])) if len(h) else np.zeros(0, int)
+    sizes = np.diff(np.append(first, len(h)))
+    order, ends = order[np.repeat(sizes > 1, sizes)], np.cumsum(sizes[sizes > 1])
+    at = 0
+    while at < len(order):
+        to = int(ends[max(np.searchsorted(ends, at, side="right"), np.searchsorted(ends, at + most, side="right") - 1)])
+        yield order[at:to]
+        at = to
+
+
 def repeated_spans(found: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, start, end) of the bytes that repeat a smaller document's, from ``occurrences``."""
 
     def run(table: pa.Table) -> pa.Table:
         h, doc, place = unpack(table.column("hash"), np.uint64), unpack(table.column("docs"), np.int64), unpack(table.column("places"), np.int64)
         sides, context = unpack(table.column("sides"), np.uint8).reshape(-1, 2), unpack(table.column("context"), np.uint8).reshape(-1, CONTEXT)
-        _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-        keep = times[back] > 1
-        h, doc, place, sides, context = h[keep], doc[keep], place[keep], sides[keep], context[keep]
-        out = [(np.zeros(0, np.int64),) * 3]
-        for t, order, group, _ in repeat_groups(h, doc, place, sides, context) if len(h) else ():
-            own, at = doc[order], place[order]
-            inside = group >= 0
-            least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, group[inside], own[inside])
-            again = inside & (own > least[group])
-            out.append((own[again], at[again] - t, at[again] - t + LENGTH))
-        ids, start, end = _merge(*(np.concatenate(c) for c in zip(*out)))
+        out = Spans(4 * SLICE)
+        for part in slices(h):
+            for t, order, group, _ in repeat_groups(h[part], doc[part], place[part], sides[part], context[part]):
+                own, at = doc[part[order]], place[part[order]]
+                inside = group >= 0
+                least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, group[inside], own[inside])
+                again = inside & (own > least[group])
+                out.add(own[again], at[again] - t, at[again] - t + LENGTH)
+        ids, start, end = out.merged()
         return pa.table([pa.array(ids), pa.array(start), pa.array(end)], names=["doc_id", "start", "end"])
 
     parts = found.where("bucket >= 0").select("bucket", "hash", "docs", "places", "sides", "context")
@@ -315,7 +346,7 @@ def removals(docs: DataFrame, most: int = 2_000_000) -> DataFrame:
     small_batches(docs.sparkSession)
     slim = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body")).where("doc_id is not null")
     marked = stage(slim.select("doc_id", F.length("body").alias("n"), F.sha2("body", 256).alias("sha")), "shas")
-    bits = bucket_bits((marked.agg(F.sum("n")).first()[0] or 0) * 3 // 8)  # 6 bytes for each of the grams, of which there is one in 16 bytes
+    bits = bucket_bits((marked.agg(F.sum("n")).first()[0] or 0) * 3 // 8, BUCKET)  # 6 bytes for each of the grams, of which there is one in 16 bytes
     firsts = stage(marked.where(F.col("n") >= LENGTH).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sha", "first"), "firsts")
     copies = stage(marked.join(firsts, "sha").where("doc_id > first").select("doc_id").distinct(), "copies")
     discard(marked, firsts)

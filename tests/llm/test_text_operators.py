@@ -3,13 +3,16 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parley.llm import common, jaccard, lm, repeats, toxicity
+from parley.llm.common import unpack
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, rid string, body string, copy string, spans string, bucket string, part string, n_removed string"
 
@@ -144,6 +147,35 @@ def test_interval_tree_gives_maximal_groups():
     assert sorted(repeats.intervals(lcp)) == sorted([(5, 3, 1, 3), (3, 2, 0, 3), (2, 0, 0, 4), (4, 0, 5, 6)])
 
 
+def test_occurrences_are_grouped_in_slices_of_bounded_memory():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 9000, 40_000).astype(np.uint64)
+    h[:5000] = 77  # one gram fills more than a slice
+    met = [h[part] for part in repeats.slices(h, 1000)]
+    some, times = np.unique(h, return_counts=True)
+    assert sorted(np.concatenate(met).tolist()) == np.repeat(some[times > 1], times[times > 1]).tolist()
+    assert sum(len(np.unique(x)) for x in met) == (times > 1).sum()
+    assert max(len(x) for x in met if len(np.unique(x)) > 1) <= 1000 and len(met) < 60
+    assert [p.tolist() for p in repeats.slices(h[:0])] == []
+    n, rows = 20_000, rng.integers(97, 99, (20_000, repeats.CONTEXT)).astype(np.uint8)
+    sides = np.tile(np.array([[repeats.LEFT, repeats.LENGTH]], np.uint8), (n, 1))
+    tracemalloc.start()
+    spans = repeats.Spans(1000)
+    for t, order, group, _ in repeats.repeat_groups(np.sort(h[:n]), np.arange(n), np.zeros(n, np.int64), sides, rows):
+        spans.add(order[group >= 0], np.full((group >= 0).sum(), -t), np.full((group >= 0).sum(), repeats.LENGTH - t))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 700 * n
+    # twelve times the text of 0.5 GB has more buckets, not larger ones
+    assert 1 << repeats.bucket_bits(10_000_000_000 * 3 // 8, repeats.BUCKET) >= 1024
+
+
+def test_packed_columns_are_unpacked_without_copies_of_rows():
+    column = pa.chunked_array([pa.array([b"", b"12345678", None], pa.binary()), pa.array([b"x" * 8, b"87654321" * 2, b"y"], pa.binary()).slice(1, 1)])
+    assert unpack(column, np.uint64).tolist() == np.frombuffer(b"12345678" + b"87654321" * 2, np.uint64).tolist()
+    assert unpack(pa.chunked_array([], pa.binary()), np.int64).tolist() == [] and unpack(pa.array([b"ab"], pa.binary()), np.uint8).tolist() == [97, 98]
+
+
 def test_every_window_holds_an_anchor():
     rng = np.random.default_rng(2)
     for alphabet in (2, 26):

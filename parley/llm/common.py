@@ -39,12 +39,21 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors. ``files`` is the most it should be written as."""
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, label: str, files: int | None = None, shuffles_go: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors. ``files`` is the most it should be written as.
+    ``shuffles_go``: Spark deletes the shuffle files of the write at its end, and doesn't wait for the driver to collect its garbage."""
     spark = df.sparkSession
     df = df.coalesce(files) if files else df
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true" if shuffles_go else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

@@ -3,7 +3,7 @@
 All bigrams of the training documents are kept with their count quantised to levels; a bigram of level q is put
 into the filter once for each level 1..q, and its count is read back by probing level after level until one is missing.
 The filter is built in segments by hash, each by one task; its size follows from its entries. It is broadcast up to a bound;
-a larger one stays in its segments, and the bigrams of the texts are dealt to them. Unigram counts are exact: the most frequent words, as many as a bound allows, are
+a larger one stays in its segments, and the bigrams of the texts, distinct in a unit of some megabytes, are dealt to them; a unit takes back their levels. Unigram counts are exact: the most frequent words, as many as a bound allows, are
 broadcast, and all others are joined, so the bound changes no score.
 
 P(w | v) = (q(v w) + m P(w)) / (c(v) + m + f V): q is the mean count of the level that the filter tells for the bigram, at most c(v) and c(w); m is the mean number of different words
@@ -14,21 +14,22 @@ n1 words seen once. After a word never seen, P(w | v) = P(w).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bucket_bits, fold, mix64, release, small_batches, stage, unpack, word_hashes
+from .common import batches, bucket_bits, discard, fold, mix64, release, small_batches, stage, unpack, word_hashes
 
 #: The counts at which levels begin.
 LEVELS = np.unique((1.5 ** np.arange(60)).astype(np.int64))
 PROBES = 8
+#: Bytes of text whose bigrams are dealt at once to the segments of a filter, and of keys in a segment.
+UNIT, BUCKET = 4 << 20, 16 << 20
 END = np.uint64(0x9E3779B97F4A7C00)
 TOP = np.uint64(56)
 
@@ -105,7 +106,7 @@ def counted(train: DataFrame, bits: int) -> DataFrame:
         return pa.table([pa.array([v], k) for v, k in zip(row, KINDS)], names=names)
 
     packed = train.select("text").mapInArrow(count, PACKED)
-    return stage(packed.groupBy("kind", "bucket").applyInArrow(total, PACKED), "ngrams")
+    return stage(packed.groupBy("kind", "bucket").applyInArrow(total, PACKED), "ngrams", shuffles_go=True)
 
 
 def entries(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,36 +222,56 @@ def build_filter(counts: DataFrame, bits: int, total: int, most_bytes: int) -> t
     return Filter(8 * sizes, starts, held, bits), None, float(np.mean(got.column("wrong").to_numpy())) if len(at) else 0.0
 
 
-def dealt_levels(first: DataFrame, model: Model) -> DataFrame:
-    """(unit, keys, levels): the kept bigrams of each unit of ``first`` (unit, bigrams), which are dealt to the filter's segments; a segment meets the keys in parts of some 64 MB."""
+def distinct_bigrams(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (their upper 56 bits) of the bigrams that tokens end, sorted, each once: the order in which levels are told. And the place of each token's among them."""
+    some, back = np.unique(bigrams(hashes) >> np.uint64(8), return_inverse=True)
+    return some << np.uint64(8), back
+
+
+def squeezed(keys: np.ndarray) -> bytes:
+    """Sorted keys of a bucket: the steps between their lower 48 bits, byte plane by byte plane, as high bytes of small steps compress well."""
+    steps = np.diff((keys >> np.uint64(8)) & np.uint64((1 << 48) - 1), prepend=np.uint64(0))
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6].T), codec="zstd", asbytes=True)
+
+
+def unsqueezed(packed: bytes, n: int, bucket: int, bits: int) -> np.ndarray:
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[:, :6] = np.frombuffer(pa.decompress(packed, 6 * n, codec="zstd"), np.uint8).reshape(6, n).T
+    return (np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64) << np.uint64(8)) + (np.uint64(bucket >> (bits - 8)) << TOP)
+
+
+def dealt_levels(units: DataFrame, model: Model) -> DataFrame:
+    """(__unit, bucket, levels): for each unit of ``units`` (__unit, text) and segment of the filter that holds anything, the levels of the unit's distinct bigrams there, in their order.
+
+    Keys are dealt to the filter's segments, each of which meets them in parts of some 64 MB; what comes back are levels without keys, as the unit's text tells these again.
+    """
     lead = model.lead
     parts = max(1, ceil(model.n * 8 / (1 << lead) / (64 << 20)))
 
-    def deal(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            units = np.repeat(np.asarray(frame.column("unit")), np.asarray(frame.column("bigrams").value_lengths()))
-            keys = np.asarray(frame.column("bigrams").flatten()).view(np.uint64)
-            for unit in np.unique(units):
-                k = np.unique(keys[units == unit])
-                edges = np.searchsorted(k, _edges(lead))
-                rows = [(b, x.tobytes()) for b, x in enumerate(np.split(k, edges)) if len(x)]
-                columns = [pa.array([int(unit)] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([int(unit) % parts] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["unit", "bucket", "part", "keys"])
+    def deal(table: pa.Table) -> pa.Table:
+        unit = table.column("__unit")[0].as_py()
+        keys = np.unique(bigrams(token_hashes(table.column("text").to_pylist())[0]) >> np.uint64(8)) << np.uint64(8)
+        rows = [(unit, b, unit % parts, len(x), squeezed(x)) for b, x in enumerate(np.split(keys, np.searchsorted(keys, _edges(lead)))) if len(x)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        out = pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["__unit", "bucket", "part", "n", "keys"])
+        release()
+        return out
 
     def probe(sent: pa.Table, segment: pa.Table) -> pa.Table:
         out = []
         if sent.num_rows and segment.num_rows:
-            held = np.frombuffer(segment.column("held")[0].as_py(), np.uint8)
+            bucket, held = segment.column("bucket")[0].as_py(), np.frombuffer(segment.column("held")[0].as_py(), np.uint8)
             one = Filter(np.full(1 << lead, 8 * len(held)), np.zeros(1 << lead, np.int64), held, lead)
-            for unit, keys in zip(sent.column("unit").to_pylist(), sent.column("keys").to_pylist()):
-                keys = np.frombuffer(keys, np.uint64)
-                level = one.levels(keys)
-                out.append((unit, keys[level > 0].tobytes(), level[level > 0].tobytes()))
-        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["unit", "keys", "levels"])
-
-    sent = first.select("unit", "bigrams").mapInArrow(deal, "unit long, bucket int, part int, keys binary")
+            for some in sent.to_batches(max_chunksize=64):  # a probe of few keys costs as much as one of many
+                sizes = np.asarray(some.column("n"))
+                keys = np.concatenate([unsqueezed(x, n, bucket, lead) for x, n in zip(some.column("keys").to_pylist(), sizes)])
+                levels = np.split(one.levels(keys), np.cumsum(sizes)[:-1])
+                out += [(unit, bucket, pa.compress(x, codec="zstd", asbytes=True)) for unit, x in zip(some.column("__unit").to_pylist(), levels)]
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["__unit", "bucket", "levels"])
+
+    sent = units.groupBy("__unit").applyInArrow(deal, "__unit long, bucket int, part int, n int, keys binary")
     segments = model.segments.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return sent.groupBy("bucket", "part").cogroup(segments.groupBy("bucket", "part")).applyInArrow(probe, "unit long, keys binary, levels binary")
+    return sent.groupBy("bucket", "part").cogroup(segments.groupBy("bucket", "part")).applyInArrow(probe, "__unit long, bucket int, levels binary")
 
 
 @dataclass
@@ -291,9 +312,9 @@ class Model:
 def fit(train: DataFrame, most_words: int = 1_000_000, most_bytes: int = 128 << 20) -> tuple[Model, DataFrame]:
     """The model, and the counts (key, n) of the words that are not broadcast. At most ``most_words`` words are, and a filter of at most ``most_bytes``."""
     small_batches(train.sparkSession)
-    lead = bucket_bits(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)  # about a byte of keys for a byte of text
+    lead = bucket_bits(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET)  # about a byte of keys for a byte of text
     counts = counted(train, lead)
-    words = unpacked(counts, lead)
+    words = stage(unpacked(counts, lead), "words")
     spread = sorted((r["n"], r["count"]) for r in words.groupBy("n").count().collect())
     least, held = 1 << 62, 0
     for n, c in reversed(spread):
@@ -310,6 +331,7 @@ def fit(train: DataFrame, most_words: int = 1_000_000, most_bytes: int = 128 <<
     v = sum(c for _, c in spread)
     model = Model(keys.view(np.uint64)[order].copy(), n[order], sum(n * c for n, c in spread), v, dict(spread).get(1, 0), lead, mean, sum(b for b, _ in levels.values()) / max(1, v))
     model.filter, model.segments, model.wrong = build_filter(counts, lead, sum(q * b for q, (b, _) in levels.items()), most_bytes)
+    discard(counts)  # more than the text of a word or two for each bigram
     return model, words.where(F.col("n") < least)
 
 
@@ -320,18 +342,17 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, keys: tuple = ("doc_id
     held as it is, or as -1 - its place among the document's words that are looked up.
     """
     share = docs.sparkSession.sparkContext.broadcast(replace(model, segments=None))
-    dealt = model.segments is not None
+    lead = model.lead
     kinds = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keys)
-    names = [*keys, "n_tokens", "n_known", "base_score", "score", "rest", "times", "word", "before", "level", "unit", "bigrams"]
+    names = [*keys, "n_tokens", "n_known", "base_score", "score", "rest", "times", "word", "before", "level"]
     bottom = model.n + model.v + 1
 
     def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def looked_up(frames: Iterator[pa.RecordBatch], levels: Callable, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
         model = share.value
-        for number_of, table in enumerate(batches(frames, 2 << 20)):
-            unit = (TaskContext.get().partitionId() << 33) + number_of
+        for table in batches(frames, limit):
             hashes, sizes = token_hashes(table.column("text").to_pylist())
             rows, row = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
             at = model.places(hashes)
@@ -352,31 +373,36 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, keys: tuple = ("doc_id
             starts = np.cumsum(sizes) - sizes
             before = np.concatenate([word[:1], word[:-1]])
             before[starts] = word[np.cumsum(sizes) - 1]
-            level = np.zeros(len(hashes), np.int8) if dealt else model.levels(hashes)
-            local = np.full(len(hashes), not dealt) & (before >= 0) & (word >= 0)
+            level = levels(hashes)
+            local = (before >= 0) & (word >= 0)
             logs = np.bincount(row[local], np.log10(model.probability(word[local], before[local], level[local])), rows).astype(float)
             open_ = np.bincount(row[~local], minlength=rows)
             columns = [table.column(k).combine_chunks() for k in keys] + [
                 pa.array(sizes), pa.array(np.bincount(row[held], minlength=rows)), pa.array(base), pa.array(logs),
                 lists(hashes[firsts].view(np.int64), number), lists(times, number), lists(word[~local], open_), lists(before[~local], open_), lists(level[~local].astype(np.int16), open_),
-                pa.array(np.full(rows, unit)), lists(bigrams(hashes).view(np.int64), sizes) if dealt else lists(np.zeros(0, np.int64), np.zeros(rows, np.int64)),
             ]
             yield from pa.table(columns, names=names).to_batches()
 
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from looked_up(frames, share.value.levels)
+
+    def run_unit(table: pa.Table, told: pa.Table) -> pa.Table:
+        def levels(hashes):
+            keys, back = distinct_bigrams(hashes)
+            edges = np.concatenate([[0], np.searchsorted(keys, _edges(lead)), [len(keys)]])
+            level = np.zeros(len(keys), np.int8)
+            for bucket, packed in zip(told.column("bucket").to_pylist(), told.column("levels").to_pylist()):
+                n = int(edges[bucket + 1] - edges[bucket])
+                level[edges[bucket] : edges[bucket + 1]] = np.frombuffer(pa.decompress(packed, n, codec="zstd"), np.int8)
+            return level[back]
+
+        return pa.Table.from_batches(looked_up(table.to_batches(), levels, 1 << 40))
+
     def finish(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             yield complete(frame, np.asarray(frame.column("level").flatten()))
         release()
 
-    def finish_unit(table: pa.Table, levels: pa.Table) -> pa.Table:
-        frame = table.combine_chunks().to_batches()[0]
-        keys, level = unpack(levels.column("keys"), np.uint64), unpack(levels.column("levels"), np.int8)
-        order = np.argsort(keys)
-        keys, level = np.append(keys[order], np.uint64(0)), np.append(level[order], np.int8(0))
-        sought = np.asarray(frame.column("bigrams").flatten()).view(np.uint64)
-        at = np.searchsorted(keys[:-1], sought)
-        return pa.Table.from_batches([complete(frame, np.where(keys[at] == sought, level[at], 0))])
-
     def complete(frame: pa.RecordBatch, level: np.ndarray) -> pa.RecordBatch:
         model = share.value
 
@@ -402,16 +428,20 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, keys: tuple = ("doc_id
         return pa.RecordBatch.from_arrays(columns, names=names[: len(keys) + 4])
 
     facts = f"{kinds}n_tokens long, n_known long, base_score double, score double"
-    first = docs.select(*keys, "text").mapInArrow(run, f"{facts}, rest array<long>, times array<long>, word array<long>, before array<long>, level array<smallint>, unit long, bigrams array<long>")
-    first = stage(first.withColumn("__row", F.monotonically_increasing_id()), "lm-tokens")
+    rests = f"{facts}, rest array<long>, times array<long>, word array<long>, before array<long>, level array<smallint>"
+    texts = docs.select(*keys, "text")
+    if model.segments is None:
+        first = texts.mapInArrow(run, rests)
+    else:
+        units = max(1, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // UNIT)
+        texts = texts.withColumn("__unit", F.pmod(F.xxhash64(*keys, "text"), F.lit(units)))
+        first = texts.groupBy("__unit").cogroup(dealt_levels(texts, model).groupBy("__unit")).applyInArrow(run_unit, rests)
+    first = stage(first.withColumn("__row", F.monotonically_increasing_id()), "lm-tokens", shuffles_go=True)
     sought = first.select("__row", F.posexplode("rest").alias("i", "key"))
     found = sought.join(rare, "key").groupBy("__row").agg(F.collect_list(F.struct("i", "n")).alias("found"))
     found = first.drop("rest").join(found, "__row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<i:int,n:bigint>>")))
     found = found.drop("__row")
-    if dealt:
-        done = found.groupBy("unit").cogroup(dealt_levels(first, model).groupBy("unit")).applyInArrow(finish_unit, facts)
-    else:
-        done = found.mapInArrow(finish, facts)
+    done = found.mapInArrow(finish, facts)
     return done.select(*keys, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -218,6 +218,24 @@ def test_all_bigrams_are_kept_in_a_filter_of_any_size(docs):
     assert model.segments is not None and got[0] == got[1]
 
 
+def test_little_is_stored_where_bigrams_are_dealt_to_segments(docs, monkeypatch):
+    rng = np.random.default_rng(6)
+    for bits in (8, 10):
+        keys = np.unique(rng.integers(0, 1 << 56, 40_000, dtype=np.uint64) << np.uint64(8))
+        for bucket, part in enumerate(np.split(keys, np.searchsorted(keys, lm._edges(bits)))):
+            assert (lm.unsqueezed(lm.squeezed(part), len(part), bucket, bits) == part).all()
+    keys = np.unique(rng.integers(0, 1 << 56, 600_000, dtype=np.uint64) << np.uint64(8))
+    assert sum(len(lm.squeezed(x)) for x in np.split(keys, np.searchsorted(keys, lm._edges(8)))) < 5.5 * len(keys)  # a key by itself is 8 bytes
+    staged, one = [], lm.stage
+    monkeypatch.setattr(lm, "stage", lambda df, label, *a, **k: staged.append((label, df.columns)) or one(df, label, *a, **k))
+    monkeypatch.setattr(lm, "UNIT", 3000)
+    model, rare = lm.fit(docs, most_words=40, most_bytes=100)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in lm.score(docs, model, rare).collect())
+    assert model.segments is not None and all("bigrams" not in columns for _, columns in staged)
+    model, rare = lm.fit(docs, most_words=40)
+    assert model.segments is None and got == sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in lm.score(docs, model, rare).collect())
+
+
 def test_filter_returns_counts():
     rng = np.random.default_rng(4)
     keys = rng.integers(0, 1 << 62, 5000, dtype=np.uint64) >> np.uint64(8) << np.uint64(8)
